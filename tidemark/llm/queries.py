@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mpegts, packing, secrets, simhash
+from tidemark.llm import linefreq, mixing, mpegts, packing, secrets, simhash
 from tidemark.llm.common import table
 
 
@@ -17,6 +17,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op2_mpeg_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts.stream_digest(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_cross_document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linefreq.quality_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_segment_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.component_digest(table(spark, sf_dir, "documents"))
 
@@ -36,11 +44,16 @@ def op10_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_poisson_mixing,
         op2_mpeg_transport_streams,
         op5_secret_scan,
+        op6_cross_document_lines,
         op8_simhash_segment_popcount,
         op10_cutting_stock_packing,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_poisson_mixing": mixing.MIX_SQL,
+    "op6_cross_document_lines": linefreq.QUALITY_SQL,
+}
