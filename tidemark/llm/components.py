@@ -7,26 +7,30 @@ from pyspark.sql import functions as F
 
 from tidemark.session import cut
 
-MAX_ROUNDS = 200
+MAX_ROUNDS = 100
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root): root is the smallest node reachable; only nodes that have an edge are returned.
 
-    edges: (a, b) longs, in either order, repeats allowed. Each round takes the smallest label of a node's neighbours
-    (partially aggregated, so a node of very many neighbours isn't gathered anywhere) and then follows labels twice,
-    so long chains halve. State is cut in the shared checkpoint folder each round. An empty edge list gives no rows.
+    edges: (a, b) longs, in either order, repeats allowed. By contraction: each round every node points to its smallest
+    neighbour (a minimum that is partially aggregated, so a node of very many neighbours isn't gathered anywhere), pointers
+    are doubled, and edges are renamed to where their ends point; those within one node go. The edge list shrinks by half
+    or more a round, and the smallest node of a component always points to itself. State is cut in the shared checkpoint
+    folder each round. An empty edge list gives no rows.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")))
+    left = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    nodes = left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct()
+    labels = nodes.withColumn("root", F.col("node"))
     for _ in range(MAX_ROUNDS):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("low"))
-        step = labels.join(near, labels["node"] == near["a"], "left").select("node", F.least("root", "low").alias("root"), F.col("root").alias("was"))
-        for _ in range(2):
-            at = labels.select(F.col("node").alias("via"), F.col("root").alias("far"))
-            step = step.join(at, step["root"] == at["via"], "left").select("node", F.least("root", "far").alias("root"), "was")
-        step = cut(step)
-        if not step.where("root <> was").take(1):
-            return step.select("node", "root")
-        labels = step.select("node", "root")
-    raise RuntimeError(f"labels still changed after {MAX_ROUNDS} rounds")
+        if not left.take(1):
+            return labels
+        # The larger end of an edge always has a lower neighbour; a node that is only ever the smaller end points to itself.
+        to = cut(left.groupBy("a").agg(F.min("b").alias("to")))
+        far = to.select(F.col("a").alias("via"), F.col("to").alias("far"))
+        to = cut(to.join(far, to["to"] == far["via"], "left").select("a", F.coalesce("far", "to").alias("to")))
+        x, y = to.select(F.col("a").alias("xa"), F.col("to").alias("x")), to.select(F.col("a").alias("ya"), F.col("to").alias("y"))
+        moved = left.join(x, F.col("a") == F.col("xa")).join(y, F.col("b") == F.col("ya"), "left").select("x", F.coalesce("y", "b").alias("y")).where("x <> y")
+        labels = cut(labels.join(x, F.col("root") == F.col("xa"), "left").select("node", F.coalesce("x", "root").alias("root")))
+        left = cut(moved.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    raise RuntimeError(f"edges were left after {MAX_ROUNDS} rounds")
