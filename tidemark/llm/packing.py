@@ -32,50 +32,60 @@ from tidemark.session import cut
 CAPACITY, GRAIN, END_ID = 1024, 2, 0
 #: Salts within a length: ranks of one length are counted in so many parts, so that a length of very many documents is spread.
 SALTS = 64
-#: Chunks of text whose ids are remembered, and the longest of them; beyond it the memory starts afresh.
-MEMO, MEMO_CHARS = 400_000, 48
 
 
-class ChunkTokenizer:
-    """ids of texts by a `tokenizers` file, remembering those of chunks between single spaces.
+class FileTokenizer:
+    """ids of texts as a `tokenizers` file gives them, with special tokens' strings taken as ordinary text.
 
-    The byte-level pre-tokeniser always begins a piece at a single space between two characters that aren't white
-    space, so the ids of a text are those of such chunks in a row.
+    A byte-level BPE file whose merges are in the order of their results' ids has a second, faster form: the
+    vocabulary as ranks. It is used where the file has that form, and gives the same ids.
     """
 
     def __init__(self, path: str) -> None:
-        import re
-
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.split = re.compile(r"(?<=\S)(?= \S)").split
-        self.memo: dict[str, bytes] = {}
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Of each text its ids as little-endian unsigned 32-bit."""
-        chunked = [self.split(t) if t else [] for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        new = list({c for chunks in chunked for c in chunks if c not in memo})
-        fresh = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(new, add_special_tokens=False)))) if new else {}
-        memo.update((c, b) for c, b in fresh.items() if len(c) <= MEMO_CHARS)
-        look = memo.get
-        out = []
-        for chunks in chunked:
-            got = list(map(look, chunks))
-            if None in got:
-                got = [fresh[c] if b is None else b for c, b in zip(chunks, got)]
-            out.append(b"".join(got))
-        return out
+        self.ranked = None
+        if ranks := byte_ranks(path):
+            import public_tokenizers
+            import tiktoken
+
+            self.ranked = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Of each text its ids, unsigned 32-bit."""
+        if self.ranked:
+            return [self.ranked.encode_to_numpy(t) if t else np.empty(0, np.uint32) for t in texts]
+        return [np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def byte_ranks(path: str) -> dict[bytes, int] | None:
+    """The vocabulary as bytes by id, if the file is plain byte-level BPE with merges in id order; else None."""
+    import json
+    from pathlib import Path
+
+    spec = json.loads(Path(path).read_text(encoding="utf-8"))
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or model.get("type") != "BPE" or model.get("dropout"):
+        return None
+    # The byte alphabet of byte-level BPE: printable Latin-1 stands for itself, the other bytes for U+0100 onwards.
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+    merged = [("".join(m) if isinstance(m, list) else m.replace(" ", "", 1)) for m in model["merges"]]
+    vocab = model["vocab"]
+    order = [vocab.get(m, -1) for m in merged]
+    if order != sorted(set(order)) or order[:1] != [256]:
+        return None
+    special = {t["content"] for t in spec.get("added_tokens", ())}
+    return {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in special}
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int | None = END_ID, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): whole sequences and the remainder of every document; one pass, no shuffle."""
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
-    tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    tail = np.array([] if end_id is None else [end_id], np.uint32)
     half = capacity // 2
 
     def cuts(n: int) -> list[tuple[int, int]]:
@@ -88,21 +98,21 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = ChunkTokenizer(tokenizer_path)
+        tokenizer = FileTokenizer(tokenizer_path)
         for batch in batches:
             for piece in slices(batch):
                 doc_ids, starts, lengths, sums, totals, kept = [], [], [], [], [], []
                 for doc_id, ids in zip(piece.column(0).to_pylist(), tokenizer.ids(piece.column(1).to_pylist())):
-                    ids += tail
-                    for begin, end in cuts(len(ids) // 4):
-                        part = ids[4 * begin : 4 * end]
+                    ids = np.concatenate((ids, tail)).astype("<u4", copy=False)
+                    for begin, end in cuts(len(ids)):
+                        part = ids[begin:end]
                         doc_ids.append(doc_id)
                         starts.append(begin)
                         lengths.append(end - begin)
-                        sums.append(zlib.crc32(part))
-                        totals.append(len(ids) // 4)
+                        sums.append(zlib.crc32(part.tobytes()))
+                        totals.append(len(ids))
                         if keep_ids:
-                            kept.append(np.frombuffer(part, "<i4"))
+                            kept.append(part.view("<i4"))
                 cols = [pa.array(x, pa.int64()) for x in (doc_ids, starts, lengths, sums, totals)]
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
                 if keep_ids:
