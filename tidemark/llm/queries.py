@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import linefreq, mixing, mpegts, packing, secrets, simhash
+from tidemark.llm import linefreq, mixing, mpegts, packing, secrets, simhash, toxicity, xent
 from tidemark.llm.common import table
 
 
@@ -33,10 +33,18 @@ def op6_cross_document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linefreq.quality_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return xent.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_simhash_segment_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.component_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -48,7 +56,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_mpeg_transport_streams,
         op5_secret_scan,
         op6_cross_document_lines,
+        op7_cross_entropy_difference,
         op8_simhash_segment_popcount,
+        op9_toxic_segments,
         op10_cutting_stock_packing,
     )
 }
