@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import linefreq, mixing, mpegts, packing, secrets, simhash, toxicity, xent
+from tidemark.llm import linefreq, mixing, mpegts, packing, pseudonyms, secrets, simhash, toolcalls, toxicity, xent
 from tidemark.llm.common import table
 
 
@@ -25,6 +25,14 @@ def op2_mpeg_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegts.stream_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.tool_digest(table(spark, sf_dir, "conversations"))
+
+
+def op4_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pii_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
@@ -54,6 +62,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_poisson_mixing,
         op2_mpeg_transport_streams,
+        op3_tool_call_linking,
+        op4_feistel_pseudonyms,
         op5_secret_scan,
         op6_cross_document_lines,
         op7_cross_entropy_difference,
@@ -65,5 +75,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_poisson_mixing": mixing.MIX_SQL,
+    "op3_tool_call_linking": toolcalls.TOOL_SQL,
     "op6_cross_document_lines": linefreq.QUALITY_SQL,
 }
