@@ -2,8 +2,8 @@
 
 Calls (call_id, name, arguments as JSON, after: ids it depends on) and results (call_id, content) are linked by a hash
 join on the identifier. Calls are ordered topologically: a call's level is one more than the highest level of the
-calls it waits for, found by peeling the dependency graph in rounds of equality joins; what is left when a round
-peels nothing waits for itself and has no level. Arguments are validated against the schema of the tool, and each call is
+calls it waits for. Chains of calls that wait for one other are shortened by pointer doubling; the calls that wait for
+several are peeled in rounds of equality joins; what is left when a round peels nothing waits for itself and has no level. Arguments are validated against the schema of the tool, and each call is
 serialised with its result as canonical JSON: keys sorted, no white space.
 
 call_turns() reads calls from a conversation table. Texts that are JSON objects with tool_calls or tool_call_id are taken as
@@ -25,6 +25,7 @@ from tidemark.session import cut as _cut
 
 #: Tool name -> argument name -> (JSON type, required). Types: string, integer, number, boolean, array, object.
 SCHEMAS: dict[str, dict[str, tuple[str, bool]]] = {"reply": {"text": ("string", True), "turn": ("integer", True), "words": ("integer", True), "language": ("string", False)}}
+#: Rounds of peeling; each peels a level of calls that wait for several.
 MAX_ROUNDS = 100_000
 
 _CALL = StructType([StructField("id", StringType()), StructField("name", StringType()), StructField("arguments", StringType()), StructField("after", ArrayType(StringType()))])
@@ -79,32 +80,47 @@ def argument_errors(name: Column, arguments: Column, schemas: dict[str, dict[str
     return found.otherwise(F.array(F.lit("unknown_tool")))
 
 
+def single_chains(waits: DataFrame) -> DataFrame:
+    """(call_id, anchor, steps) of calls that wait for one call each: the first call up the chain that doesn't, and how far it is.
+
+    By pointer doubling, so a chain of n calls takes log2(n) rounds. Calls in or behind a cycle of such calls are left out.
+    """
+    singles = waits.groupBy("call_id").agg(F.count("*").alias("n"), F.min("after").alias("anchor")).where("n = 1")
+    at = cut(singles.select("call_id", "anchor", F.lit(1).cast("long").alias("steps"), F.lit(True).alias("open")))
+    n = at.count()
+    for _ in range(n.bit_length() + 1):
+        far = at.select(F.col("call_id").alias("via"), F.col("anchor").alias("far"), F.col("steps").alias("more"))
+        at = cut(at.join(far, F.col("anchor") == F.col("via"), "left").select("call_id", F.coalesce("far", "anchor").alias("anchor"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("via").isNotNull().alias("open")))
+        if not at.where("open").take(1):
+            break
+    return at.where("NOT open").select("call_id", "anchor", "steps")
+
+
 def call_levels(waits: DataFrame, ids: DataFrame) -> DataFrame:
     """(call_id, level): 0 for calls that wait for none, else one more than the highest they wait for; calls in or behind cycles are left out.
 
-    waits: (call_id, after), both among ids (call_id). Each round peels what waits for nothing unpeeled; joins are by id.
+    waits: (call_id, after), both among ids (call_id). Chains are shortened to their ends first; of what is left, the calls
+    that wait for several, each round of joins by id peels those whose waits are all known.
     """
     waits = cut(waits.distinct())
-    done = cut(ids.join(waits, "call_id", "left_anti").select("call_id", F.lit(0).alias("level")))
-    level, front = 0, done
-    parts = [done]
-    while level < MAX_ROUNDS and waits.take(1):
-        level += 1
-        left = cut(waits.join(front.select(F.col("call_id").alias("after")), "after", "left_anti").select("call_id", "after"))
-        front = cut(waits.select("call_id").distinct().join(left, "call_id", "left_anti").select("call_id", F.lit(level).alias("level")))
-        if not front.take(1):
+    chains = cut(single_chains(waits))
+    levels = cut(ids.join(waits, "call_id", "left_anti").select("call_id", F.lit(0).cast("long").alias("level")))
+    several = waits.groupBy("call_id").agg(F.count("*").alias("n")).where("n > 1").select("call_id")
+    to = chains.select(F.col("call_id").alias("after"), "anchor", "steps")
+    ends = waits.join(several, "call_id").join(to, "after", "left")
+    # A wait for a call that is itself an end stays as it is; one for a call of a cycle can't be met and is kept, so it blocks.
+    left = cut(ends.select("call_id", F.coalesce("anchor", "after").alias("after"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps")))
+    for _ in range(MAX_ROUNDS):
+        if not left.take(1):
+            break
+        met = left.join(levels.withColumnRenamed("call_id", "after"), "after", "left")
+        peeled = cut(met.groupBy("call_id").agg(F.bool_and(F.col("level").isNotNull()).alias("all_met"), F.max(F.col("level") + F.col("steps")).alias("level")).where("all_met").select("call_id", "level"))
+        if not peeled.take(1):
             break
-        parts.append(front)
-        if len(parts) > 16:
-            joined = parts[0]
-            for p in parts[1:]:
-                joined = joined.unionByName(p)
-            parts = [cut(joined)]
-        waits = left
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        left = cut(left.join(peeled.select("call_id"), "call_id", "left_anti").select("call_id", "after", "steps"))
+        levels = cut(levels.unionByName(peeled))
+    through = chains.join(levels.withColumnRenamed("call_id", "anchor"), "anchor").select("call_id", (F.col("level") + F.col("steps")).alias("level"))
+    return levels.unionByName(through)
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]] | None = None) -> DataFrame:
