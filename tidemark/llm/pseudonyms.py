@@ -37,6 +37,11 @@ CANDIDATE = "|".join(FORMATS.values())
 HINT = r"@[A-Za-z0-9]|[0-9][^A-Za-z]{0,3}[0-9]"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once: an array of one binds it, where a plain reference in a loop is worked out each time."""
+    return F.transform(F.array(value), use)[0]
+
+
 def draw(key: str, tweak: Column, i: Column, part: Column) -> Column:
     """A keyed number below 2**60."""
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), tweak, i.cast("string"), part), 256), 1, 15), 16, 10).cast("long")
@@ -47,14 +52,19 @@ def feistel_text(value: Column, key: str, tweak: Column, rounds: int = ROUNDS) -
     half = F.floor(F.length(value) / 2).cast("int")
 
     def shift(text: Column, other: Column, i: Column) -> Column:
-        def one(pos: Column) -> Column:
+        """Four hexadecimal digits of SHA-256 move a character; a digest serves sixteen."""
+        digest = lambda block: F.sha2(F.concat_ws("|", F.lit(key), tweak, i.cast("string"), block.cast("string"), other), 256)
+        digests = F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / 16).cast("int")), digest), "")
+
+        def one(pos: Column, hexes: Column) -> Column:
             c = F.substring(text, pos, F.lit(1))
             code = F.ascii(c).cast("long")
-            by = draw(key, tweak, i * 1000 + pos, other)
+            by = F.conv(F.substring(hexes, pos * 4 - 3, F.lit(4)), 16, 10).cast("long")
             moved = lambda base, n: F.chr((code - base + by) % n + base)
             return F.when(c.between("0", "9"), moved(48, 10)).when(c.between("a", "z"), moved(97, 26)).when(c.between("A", "Z"), moved(65, 26)).otherwise(c)
 
-        return F.when(F.length(text) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), one), "")).otherwise(text)
+        done = bound(digests, lambda hexes: F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), lambda pos: one(pos, hexes)), ""))
+        return F.when(F.length(text) > 0, done).otherwise(text)
 
     start = F.struct(F.substring(value, F.lit(1), half).alias("a"), F.substring(value, half + 1, F.length(value)).alias("b"))
 
@@ -78,38 +88,39 @@ def feistel_pair(high: Column, low: Column, n_high: int, n_low: int, key: str, t
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step)
 
 
-def luhn_sum(digits: Column, first_doubled: int) -> Column:
+def luhn_sum(whole: Column, first_doubled: int) -> Column:
     """Sum over digits from the right; first_doubled: 0 doubles the last digit, 1 the one before it."""
 
-    def add(acc: Column, i: Column) -> Column:
+    def add(digits: Column, acc: Column, i: Column) -> Column:
         d = F.ascii(F.substring(digits, F.length(digits) - i, F.lit(1))) - 48
         twice = F.when(d > 4, d * 2 - 9).otherwise(d * 2)
         return acc + F.when(i % 2 == first_doubled, twice).otherwise(d)
 
-    return F.aggregate(F.sequence(F.lit(0), F.greatest(F.length(digits) - 1, F.lit(0))), F.lit(0), add)
+    return bound(whole, lambda digits: F.aggregate(F.sequence(F.lit(0), F.greatest(F.length(digits) - 1, F.lit(0))), F.lit(0), lambda acc, i: add(digits, acc, i)))
 
 
 def iban_mod(text: Column) -> Column:
     """The number of an IBAN, rearranged and with letters as 10 to 35, modulo 97."""
-    rearranged = F.concat(F.substring(text, F.lit(5), F.length(text)), F.substring(text, 1, 4))
+    moved = bound(text, lambda t: F.concat(F.substring(t, F.lit(5), F.length(t)), F.substring(t, 1, 4)))
 
-    def add(acc: Column, i: Column) -> Column:
+    def add(rearranged: Column, acc: Column, i: Column) -> Column:
         code = F.ascii(F.substring(rearranged, i, F.lit(1)))
         return F.when(code >= 65, acc * 100 + code - 55).otherwise(acc * 10 + code - 48) % 97
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(rearranged), F.lit(1))), F.lit(0), add)
+    return bound(moved, lambda r: F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(r), F.lit(1))), F.lit(0), lambda acc, i: add(r, acc, i)))
 
 
 def refill(shape: Column, plain: Column) -> Column:
     """The characters of plain in the places of shape's letters and digits; separators stay."""
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("n"))
 
-    def add(acc: Column, i: Column) -> Column:
+    def add(plain: Column, acc: Column, i: Column) -> Column:
         c = F.substring(shape, i, F.lit(1))
         kept = c.rlike("[^0-9A-Za-z]")
         return F.struct(F.concat(acc["out"], F.when(kept, c).otherwise(F.substring(plain, acc["n"] + 1, F.lit(1)))).alias("out"), (acc["n"] + F.when(kept, 0).otherwise(1)).alias("n"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(shape), F.lit(1))), start, add, lambda acc: acc["out"])
+    places = F.sequence(F.lit(1), F.greatest(F.length(shape), F.lit(1)))
+    return bound(plain, lambda p: F.aggregate(places, start, lambda acc, i: add(p, acc, i), lambda acc: acc["out"]))
 
 
 def kind_of(value: Column) -> Column:
@@ -161,12 +172,11 @@ def pseudonym(value: Column, kind: Column, key: str = KEY) -> Column:
     payload = F.substring(bare, F.lit(1), F.length(bare) - 1)
     # A card keeps its first digit, the network; the check digit follows from the new digits.
     card = F.concat(F.substring(payload, 1, 1), feistel_text(F.substring(payload, F.lit(2), F.length(payload)), key, F.lit("card")))
-    checked = F.concat(card, ((10 - luhn_sum(card, 0) % 10) % 10).cast("string"))
+    checked = bound(card, lambda c: F.concat(c, ((10 - luhn_sum(c, 0) % 10) % 10).cast("string")))
     # An IBAN keeps its country; its check digits follow from the new account.
     account = feistel_text(F.substring(bare, F.lit(5), F.length(bare)), key, F.lit("iban"))
     country = F.substring(bare, 1, 2)
-    check = 98 - iban_mod(F.concat(country, F.lit("00"), account))
-    iban = F.concat(country, F.lpad(check.cast("string"), 2, "0"), account)
+    iban = bound(account, lambda a: F.concat(country, F.lpad((98 - iban_mod(F.concat(country, F.lit("00"), a))).cast("string"), 2, "0"), a))
     # A telephone number keeps its country code, the digits after + up to a separator.
     prefix = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
     rest = F.substring(value, F.length(prefix) + 1, F.length(value))
