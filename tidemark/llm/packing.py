@@ -147,17 +147,14 @@ def best_pattern(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[
     return float(value[capacity]), pattern
 
 
-def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 2000) -> list[tuple[np.ndarray, int]]:
-    """Patterns and how often each is used, covering demand exactly; sizes ascend.
+def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 2000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The basis (patterns as columns), how often each is used, and the prices of the sizes; sizes ascend.
 
     Revised simplex on min sum(x), A x = demand: the start basis has one pattern for each size (as many as fit), the
     knapsack finds the entering column, and the inverse of the basis is updated in place, element-wise (the driver's BLAS
     threads don't survive the fork that starts the JVM). `rounds` bounds the number of pivots; stopping early leaves a
     feasible, slightly worse solution. Rounding works on whole counts, so float drift can't break the cover.
     """
-    m = len(sizes)
-    if not m:
-        return []
     basis = np.diag((capacity // sizes).astype(float))
     inverse = np.diag(1.0 / np.diag(basis))
     x = demand / np.diag(basis)
@@ -179,6 +176,14 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
         row = inverse[out] / step[out]
         inverse -= np.outer(step, row)
         inverse[out] = row
+    return basis, x, inverse.sum(axis=0)
+
+
+def cutting_stock(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """Patterns and how often each is used, covering demand exactly: the linear solution rounded down, then first fit."""
+    if not len(sizes):
+        return []
+    basis, x, _ = column_generation(sizes, demand, capacity)
     used, left = [], demand.astype(np.int64).copy()
     for k in np.argsort(-x, kind="stable"):
         pattern = basis[:, k].round().astype(np.int64)
