@@ -1,4 +1,4 @@
 """Registered queries over the test tables and their SQL."""
 
-from tidemark.plans import algebra, models, rules, scans, streams  # noqa: F401
+from tidemark.plans import algebra, models, rules, scans, services, streams  # noqa: F401
 from tidemark.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
