@@ -58,7 +58,7 @@ class MadeEventsStream(SimpleDataSourceStreamReader):
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         end = min(start["next"] + self.batch, self.count)
-        return (envelope(n, self.entities) for n in range(start["next"], end)), {"next": end}
+        return iter([envelope(n, self.entities) for n in range(start["next"], end)]), {"next": end}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return (envelope(n, self.entities) for n in range(start["next"], end["next"]))
+        return iter([envelope(n, self.entities) for n in range(start["next"], end["next"])])
