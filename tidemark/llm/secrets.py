@@ -17,10 +17,11 @@ import hashlib
 import json
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_rows, keyed_text
+from tidemark.llm.common import arrow_batches, arrow_rows, keyed_text
 
 # The three base patterns, ASCII letters in either case for the first.
 ASSIGN = re.compile(rb"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([a-z0-9+/_.=-]+)")
@@ -29,7 +30,7 @@ HEX = re.compile(rb"[0-9a-f]{24,}")
 MIN_ASSIGN = 6
 
 #: Runs that can hold an encoded key or a signed token; shorter ones can't hold any of the structures below.
-TOKEN = re.compile(rb"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
+TOKEN = re.compile(rb"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
 BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{32,}={0,2}")
 HEX_ANY = re.compile(rb"(?:[0-9a-fA-F]{2}){24,}")
 PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]*(?:PRIVATE KEY|PUBLIC KEY|CERTIFICATE))-----([A-Za-z0-9+/=\s]+)-----END \1-----")
@@ -170,21 +171,21 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def redact_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """docs with every found span replaced by mask; overlapping spans are merged first. All rows and columns are kept."""
-    fields = [(f.name, f.dataType.simpleString()) for f in docs.schema]
-    schema = ", ".join(f"`{n}` {t}" for n, t in fields)
 
-    def work(c: dict[str, list]) -> dict[str, list]:
-        texts = []
-        for t in c["text"]:
-            spans, out, at = scan(t) if t else [], [], 0
-            for i, (s, e, _) in enumerate(spans):
-                if s >= at:
-                    out += [t[at:s], mask]
-                at = max(at, e)
-            texts.append(t if not spans else "".join(out) + t[at:])
-        return c | {"text": texts}
-
-    return arrow_rows(docs, work, schema)
+    def masked(t: str | None) -> str | None:
+        out, at = [], 0
+        for start, end, _ in scan(t) if t else ():
+            if start >= at:
+                out += [t[at:start], mask]
+            at = max(at, end)
+        return "".join(out) + t[at:] if out else t
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = batch.schema.get_field_index("text")
+        field = batch.schema.field(at)
+        return batch.set_column(at, field, pa.array([masked(t) for t in batch.column(at).to_pylist()], field.type))
+
+    return arrow_batches(docs, work)
 
 
 def secret_digest(docs: DataFrame) -> DataFrame:

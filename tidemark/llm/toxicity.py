@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_rows, keyed_text, slices
+from tidemark.llm.common import arrow_batches, arrow_rows, keyed_text, slices
 from tidemark.llm.simhash import shingle_hashes
 
 #: Labelled rows and tokens that training uses at most.
@@ -292,10 +292,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     model = train(docs, labels)
     if model is None:
         return docs
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
-    def work(c: dict[str, list]) -> dict[str, list]:
-        keep = [model.probability(*model.segments(t or "")) < threshold for t in c["text"]]
-        return {k: [x for x, y in zip(v, keep) if y] for k, v in c.items()}
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+        return batch.filter(pa.array([model.probability(*model.segments(t or "")) < threshold for t in texts], pa.bool_()))
 
-    return arrow_rows(docs, work, schema)
+    return arrow_batches(docs, work)
