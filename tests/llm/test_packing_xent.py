@@ -122,7 +122,11 @@ def plain_scores(docs, good, vocab_size, bits):
     """The definition, with dictionaries."""
     toks = {n: (t or "").lower().encode().split() for n, (_, t) in enumerate(docs)}
     counts = Counter(w for ws in toks.values() for w in ws)
-    vocab = {w: i for i, (w, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:vocab_size], 1)}
+    # All words of a bin of counts or none, as many bins as fit.
+    bins = sorted({int(np.floor(np.log2(n) * 64)) for n in counts.values()}, reverse=True)
+    fits = [b for b in bins if sum(np.floor(np.log2(n) * 64) >= b for n in counts.values()) <= vocab_size]
+    words = [w for w, n in counts.items() if fits and np.floor(np.log2(n) * 64) >= fits[-1]]
+    vocab = {w: i for i, w in enumerate(sorted(words, key=lambda w: (-counts[w], w)), 1)}
     size = len(vocab) + 1
     bucket = lambda a, b: ((a * size + b) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 64 - bits
     out = {}

@@ -1,6 +1,6 @@
 """Cross-entropy difference of documents between a target and a background n-gram model.
 
-Both models share one vocabulary, the VOCABULARY most frequent words of all documents (lower-cased A-Z; all others are
+Both models share one vocabulary, the most frequent words of all documents, VOCABULARY at most (lower-cased A-Z; all others are
 one unknown word), and one form: bigrams interpolated with unigrams. The background is counted over all documents, the target over
 all documents that a label marks as good. Counts are gathered in arrays in each task and summed by one shuffle. Bigram counts
 are kept by a hash of the pair in 2**BUCKET_BITS buckets, so the models have the same bounded size at any input and
@@ -61,9 +61,21 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary(docs: DataFrame, size: int) -> dict[bytes, int]:
-    """The most frequent words with ids from 1, at most size of them; ties by the word."""
-    rows = word_counts(docs).orderBy(F.desc("n"), "word").limit(size).collect()
-    return {bytes(r[0]): i for i, r in enumerate(rows, 1)}
+    """The most frequent words with ids from 1: all that reach the smallest count that at most size words reach.
+
+    Counts are binned on a logarithmic scale first, so the driver sees a few thousand bins and then at most size words,
+    however many tasks there are.
+    """
+    counted = word_counts(docs).withColumn("bin", F.floor(F.log2(F.col("n")) * 64).cast("int")).persist()
+    held, least = 0, None
+    for r in sorted(counted.groupBy("bin").agg(F.count("*").alias("words")).collect(), reverse=True):
+        held += r["words"]
+        if held > size:
+            break
+        least = r["bin"]
+    rows = [] if least is None else counted.where(F.col("bin") >= least).select("word", "n").collect()
+    counted.unpersist()
+    return {bytes(r["word"]): i for i, r in enumerate(sorted(rows, key=lambda r: (-r["n"], bytes(r["word"]))), 1)}
 
 
 class Coder:
