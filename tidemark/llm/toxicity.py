@@ -1,6 +1,6 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-Training: labelled rows outside the held-out fold, at most TRAIN_ROWS of them in the order of a hash and one of those
+Training: labelled rows outside the held-out fold, at most TRAIN_ROWS of them by a hash and one of those
 that share the smallest shingle hash (near copies would vote together), give the number of toxic and clean texts that
 hold each word and each word beginning (stems, so that inflected forms count together). A token's weight is the log-odds
 ratio of the two under a Dirichlet prior in proportion to its pooled count. Only tokens keep it whose likelihood ratio
@@ -36,6 +36,8 @@ from tidemark.llm.simhash import shingle_hashes
 
 #: Labelled rows and tokens that training uses at most.
 TRAIN_ROWS, MAX_TOKENS = 40_000, 100_000
+#: Parts of the labels by a hash, of which training takes as many as it may.
+SAMPLE_BUCKETS = 4096
 STEM, PRIOR, MIN_COUNT, TOKEN_COST, SIGNIFICANT, THRESHOLD = 4, 50.0, 3, 0.35, 0.05, 0.3
 MAX_WEIGHT = 6.0
 STEM_MARK = b"\x00"
@@ -216,7 +218,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A model from labels (doc_id, toxic) outside the held-out fold; None if they lack one of the two classes."""
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 2)).select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("long").alias("toxic"))
     spark = docs.sparkSession
-    picked = {r[0]: r[1] for r in usable.orderBy(F.xxhash64("label_id"), "label_id", F.desc("toxic")).limit(train_rows).collect()[::-1]}
+    # Whole buckets of a hash, as many as hold train_rows at most, so that no task sends more than its share.
+    hashed = usable.withColumn("bucket", F.pmod(F.xxhash64("label_id"), F.lit(SAMPLE_BUCKETS)).cast("int"))
+    held, below = 0, 0
+    for r in sorted(hashed.groupBy("bucket").agg(F.count("*").alias("n")).collect()):
+        held += r["n"]
+        if held > train_rows:
+            break
+        below = r["bucket"] + 1
+    picked: dict[int, int] = {}
+    for r in hashed.where(F.col("bucket") < below).select("label_id", "toxic").collect():
+        picked[r[0]] = max(r[1], picked.get(r[0], 0))
     if len(set(picked.values())) < 2:
         return None
 
@@ -233,9 +245,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return None
     rows = labelled(apart)
     counted = token_counts(rows).persist()
-    likely = counted.where((F.col("toxic") + F.col("clean") >= MIN_COUNT) & (F.col("toxic") * n_clean > F.col("clean") * n_toxic))
+    tests = counted.count()
+    both = F.col("toxic") + F.col("clean")
+    expected = both * (n_toxic / (n_toxic + n_clean))
+    part = lambda c, e: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / e)).otherwise(0.0)
+    # A little below the bound, which token_weights applies exactly.
+    likely = counted.where((both >= MIN_COUNT) & (F.col("toxic") > expected) & (part("toxic", expected) + part("clean", both - expected) >= 0.999 * math.log(max(tests, 2))))
     best = [(bytes(r[0]), r[1], r[2]) for r in likely.orderBy(F.desc("toxic"), "clean", "token").limit(MAX_TOKENS).collect()]
-    weights = token_weights(best, n_toxic, n_clean, counted.count())
+    weights = token_weights(best, n_toxic, n_clean, tests)
     counted.unpersist()
     model = SegmentModel(weights, 1.0)
 
