@@ -92,7 +92,7 @@ VALUES = {
     "date": ["1984-02-29", "31/12/1999", "12/31/1999", "31.12.1999", "2099-11-12", "1899-12-31"],
     "ipv4": ["42.144.35.254", "0.0.0.0", "255.255.255.255"],
     "ssn": ["123-45-6789"],
-    "phone": ["+1 (383) 555-6083", "383-555-6083", "+4915112345678"],
+    "phone": ["+1 (383) 555-6083", "383-555-6083", "+4915112345678", "+44 20 7946 0958", "+33 6 12 34 56 78"],
     "email": ["cheio.48@mail8.example.com"],
 }
 INVALID = ["4012429011158755", "DE88370400440532013000", "2023-02-30", "99/99/2000", "999.1.1.1", "1.2.3", "000-12-3456", "666-12-3456", "12345", "user@", "@example.com", "v1.2.3", "$1,000.00"]
