@@ -125,3 +125,25 @@ def test_retry_unprocessed():
 
 def test_ids():
     assert [str(i) for i in expand("n", ["a", "b"])] == ["n-a", "n-b"] and ProjectionId("a-b", "c") != ProjectionId("a", "b-c")
+
+
+def test_handler_lifecycle(spark, folder):
+    """A handler class is made anew after a failure, and each is started and stopped."""
+    path, _ = folder
+    log = []
+
+    class Handler:
+        def start(self):
+            log.append("start")
+
+        def stop(self):
+            log.append("stop")
+
+        def __call__(self, rows, batch):
+            if log.count("start") == 1:
+                raise RuntimeError("once")
+            return rows
+
+    runner = Runner(spark, str(path / "store"), projection(path, Handler))
+    runner.run(sleep=lambda s: None)
+    assert log == ["start", "stop", "start", "stop"] and runner.store.results().count() == 8

@@ -96,6 +96,19 @@ def excluded_origins(self_replica: str, consumer: str, others: Iterable[str], en
     return (set(others) | mine) - {self_replica} if enabled else mine
 
 
+@dataclass(frozen=True)
+class ReplicationSettings:
+    """A replica, those it reads, and whether events that others also send are left out."""
+
+    self_replica: str
+    others: tuple[str, ...]
+    filter_origins: bool = True
+
+    def excluded_by(self, producer: str) -> set[str]:
+        """Origins that a producer leaves out for this replica."""
+        return excluded_origins(producer, self.self_replica, [o for o in self.others if o != producer], self.filter_origins)
+
+
 def mark_by_origin(events: DataFrame, excluded: set[str], origin: str = "origin_replica") -> DataFrame:
     """Events of excluded replicas become filtered events."""
     was = F.col("filtered") if "filtered" in events.columns else F.lit(False)

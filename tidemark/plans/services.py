@@ -244,12 +244,12 @@ def op_L14_replication(spark: SparkSession, d: str) -> DataFrame:
     written = table(spark, d, "events").select("event_id", F.concat(F.lit("Cart|"), F.col("user_id").cast("string")).alias("pid"), F.when(m == 0, "DCA").when(m == 1, "DCB").otherwise("DCC").alias("origin_replica"), F.floor("value").cast("long").alias("delta"))
     sites, out = ["DCA", "DCB", "DCC"], None
     for me in sites:
+        settings = T.ReplicationSettings(me, tuple(s for s in sites if s != me))
         state = written.where(F.col("origin_replica") == me)
-        for other in sites:
-            if other != me:
-                # The other replica holds all events by now; what it didn't write comes from its origin or is one's own.
-                sent = T.mark_by_origin(written, T.excluded_origins(other, me, [s for s in sites if s not in (me, other)]))
-                state = state.unionByName(T.for_handler(sent).select(*written.columns))
+        for other in settings.others:
+            # The other replica holds all events by now; what it didn't write comes from its origin or is one's own.
+            sent = T.mark_by_origin(written, settings.excluded_by(other))
+            state = state.unionByName(T.for_handler(sent).select(*written.columns))
         row = state.groupBy("pid").agg(F.sum("delta").alias("total"), F.count("*").alias("n")).select(F.lit(me).alias("replica"), "pid", "total", "n")
         out = row if out is None else out.unionByName(row)
     return out

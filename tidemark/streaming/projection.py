@@ -91,9 +91,9 @@ class Runner:
         self.store = ProjectionStore(spark, root, projection.id)
         self.query: StreamingQuery | None = None
 
-    def start(self, interval: str | None = None) -> StreamingQuery | None:
+    def start(self, interval: str | None = None, projection: Projection | None = None) -> StreamingQuery | None:
         """Start reading; without interval what is there now is read and the query ends. None while paused."""
-        p, store = self.projection, self.store
+        p, store = projection or self.projection, self.store
         if store.is_paused():
             return None
         p.telemetry.started(str(p.id))
@@ -103,14 +103,22 @@ class Runner:
         return self.query
 
     def run(self, sleep: Callable[[float], None] | None = None) -> None:
-        """Read what there is, restarting by the projection's backoff, until it is done."""
+        """Read what there is, restarting by the projection's backoff, until it is done.
+
+        A handler that is a class is made anew for each attempt; one with start() and stop() is told when an attempt begins and ends.
+        """
+        p = self.projection
 
         def once() -> None:
-            query = self.start()
-            if query is not None:
-                query.awaitTermination()
+            handler = p.handler() if isinstance(p.handler, type) else p.handler
+            getattr(handler, "start", lambda: None)()
+            try:
+                query = self.start(projection=replace(p, handler=handler))
+                if query is not None:
+                    query.awaitTermination()
+            finally:
+                getattr(handler, "stop", lambda: None)()
 
-        p = self.projection
         keywords = {"sleep": sleep} if sleep else {}
         try:
             supervise(once, p.restart, lambda n, e: p.telemetry.restarted(str(p.id), n, e), **keywords)
