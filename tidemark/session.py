@@ -29,11 +29,9 @@ def local_session(cores: str = "*", app: str = "tidemark", **conf: str) -> Spark
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder named in spark.checkpoint.dir; only where none is named, as in tests, a folder of our own."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
