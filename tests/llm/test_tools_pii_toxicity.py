@@ -75,6 +75,25 @@ def test_conversations(spark):
     assert C.orphan_results(calls, results).count() == 0
 
 
+def test_ids_belong_to_their_conversation(spark):
+    """The same ids in several conversations, one without conv_id, and JSON over several lines."""
+    rows = []
+    for c in (1, 2, None):
+        calls = [{"id": "a", "name": "reply", "arguments": "{}"}, {"id": "b", "name": "reply", "arguments": "{}", "after": ["a", f"only{c}"]}]
+        calls += [{"id": f"only{c}", "name": "reply", "arguments": "{}", "after": ["b"] if c == 2 else ["only1"]}]
+        rows += [(c, 0, "assistant", json.dumps({"tool_calls": calls}, indent=1)), (c, 1, "tool", json.dumps({"tool_call_id": "a", "content": f"from {c}"}, indent=1))]
+    rows += [(1, 2, "tool", '{"tool_call_id": "a", "content": "again"}'), (1, 3, "tool", '{"tool_call_id": "only2", "content": "astray"}')]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r["conv_id"], r["call_id"]): r for r in C.tool_digest(frame).collect()}
+    assert len(got) == 9
+    assert {c: (json.loads(got[c, "a"]["canonical"])["result"], got[c, "a"]["n_results"]) for c in (1, 2, None)} == {1: ("from 1", 2), 2: ("from 2", 1), None: ("from None", 1)}
+    assert [got[c, "a"]["level"] for c in (1, 2, None)] == [0, 0, 0]
+    assert [got[c, "b"]["level"] for c in (1, 2, None)] == [None, None, 1]
+    assert got[None, "onlyNone"]["errors"].endswith("unknown_id:only1") and got[None, "onlyNone"]["level"] == 0 and "unknown_id" not in got[1, "only1"]["errors"]
+    calls, results = C.call_turns(frame)
+    assert [(r["conv_id"], r["call_id"]) for r in C.orphan_results(calls, results).collect()] == [(1, "only2")]
+
+
 # Pseudonyms.
 def luhn(text):
     d = [int(c) for c in text if c.isdigit()][::-1]

@@ -1,7 +1,8 @@
 """Tool-call linking for chat formatting, in DataFrame operations only.
 
 Calls (call_id, name, arguments as JSON, after: ids it depends on) and results (call_id, content) are linked by a hash
-join on the identifier. Calls are ordered topologically: a call's level is one more than the highest level of the
+join on the conversation and the identifier, as identifiers need be unique only within a conversation; rows without a conv_id are one
+conversation of their own. Calls are ordered topologically: a call's level is one more than the highest level of the
 calls it waits for. Chains of calls that wait for one other are shortened by pointer doubling; the calls that wait for
 several are peeled in rounds of equality joins; what is left when a round peels nothing waits for itself and has no level. Arguments are validated against the schema of the tool, and each call is
 serialised with its result as canonical JSON: keys sorted, no white space.
@@ -11,7 +12,7 @@ such. Every other assistant turn is a call of the tool `reply`, with the turn's
 
 Defined results: null or unparsable arguments, unknown tools, missing, mistyped and unexpected arguments are listed in
 errors and never raise; results without a call are left out of the calls and kept by orphan_results(); of several results
-of a call the one of the earliest place (then the smallest text) is serialised and all are counted; repeated call ids are one
+of a call the one of the earliest place (then the smallest text) is serialised and all are counted; repeated call ids of a conversation are one
 call, the earliest; a dependency on an unknown id is an error and doesn't delay; calls in or behind a cycle have null level.
 """
 
@@ -39,9 +40,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def call_turns(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls (conv_id, place, call_id, name, arguments, after) and results (call_id, place, content) of (conv_id, turn, role, text)."""
+    """Calls (conv_id, place, call_id, name, arguments, after) and results (conv_id, call_id, place, content) of (conv_id, turn, role, text)."""
     base = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    is_json = F.col("text").rlike(r"^\s*\{.*\"tool_call")
+    is_json = F.col("text").rlike(r"(?s)^\s*\{.*\"tool_call")
     parsed = base.withColumn("m", F.when(is_json, F.from_json("text", _MESSAGE)))
     own_id = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
     words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
@@ -50,11 +51,16 @@ def call_turns(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     # An id that isn't a call of the table simply finds nothing: only even distances between assistant turns are waited for.
     plain_calls = parsed.where(plain).select("conv_id", F.col("turn").alias("place"), own_id(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"), F.when(F.col("turn") >= 2, F.array(own_id(F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("after"), F.lit(False).alias("declared"))
     json_calls = parsed.where(F.col("m.tool_calls").isNotNull()).select("conv_id", "turn", F.posexplode("m.tool_calls").alias("at", "c")).select("conv_id", (F.col("turn") * 1000 + F.col("at")).alias("place"), F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.coalesce("c.after", F.array().cast("array<string>")).alias("after"), F.lit(True).alias("declared"))
-    plain_results = parsed.where((F.col("role") == "user") & F.col("m.tool_call_id").isNull() & (F.col("turn") >= 1)).select(own_id(F.col("turn") - 1).alias("call_id"), F.col("turn").alias("place"), F.col("text").alias("content"))
-    json_results = parsed.where(F.col("m.tool_call_id").isNotNull()).select(F.col("m.tool_call_id").alias("call_id"), F.col("turn").alias("place"), F.col("m.content").alias("content"))
+    plain_results = parsed.where((F.col("role") == "user") & F.col("m.tool_call_id").isNull() & (F.col("turn") >= 1)).select("conv_id", own_id(F.col("turn") - 1).alias("call_id"), F.col("turn").alias("place"), F.col("text").alias("content"))
+    json_results = parsed.where(F.col("m.tool_call_id").isNotNull()).select("conv_id", F.col("m.tool_call_id").alias("call_id"), F.col("turn").alias("place"), F.col("m.content").alias("content"))
     return plain_calls.unionByName(json_calls), plain_results.unionByName(json_results)
 
 
+def call_key(call_id: Column) -> Column:
+    """A call's identifier with its conversation's, null or not, in one string."""
+    return F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("-")), F.lit(":"), call_id)
+
+
 def canonical_json(text: Column) -> Column:
     """Keys sorted, no white space; null if it isn't JSON."""
     return F.to_json(F.try_parse_json(text))
@@ -126,30 +132,39 @@ def call_levels(waits: DataFrame, ids: DataFrame) -> DataFrame:
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]] | None = None) -> DataFrame:
     """(conv_id, call_id, name, level, n_results, valid, errors, canonical) of every call, ordered by nothing but carrying its level."""
     schemas = SCHEMAS if schemas is None else schemas
-    first = F.min(F.struct("place", "conv_id", "name", "arguments", "after", "declared"))
-    calls = cut(calls.where("call_id IS NOT NULL").groupBy("call_id").agg(first.alias("c")).select("call_id", "c.*"))
+    first = F.min(F.struct("place", "conv_id", "name", "arguments", "after", "declared", F.col("call_id").alias("own_id")))
+    calls = cut(calls.where("call_id IS NOT NULL").withColumn("key", call_key(F.col("call_id"))).groupBy("key").agg(first.alias("c")).select(F.col("key").alias("call_id"), "c.*"))
     ids = calls.select("call_id")
-    wanted = calls.select("call_id", "declared", F.explode(F.array_distinct("after")).alias("after"))
+    wanted = calls.select("call_id", "declared", "conv_id", F.explode(F.array_distinct("after")).alias("id")).withColumn("after", call_key(F.col("id")))
     known = wanted.join(ids.withColumnRenamed("call_id", "after"), "after", "left_semi").select("call_id", "after")
-    unknown = wanted.where("declared").join(ids.withColumnRenamed("call_id", "after"), "after", "left_anti").groupBy("call_id").agg(F.array_sort(F.collect_set(F.concat(F.lit("unknown_id:"), "after"))).alias("lost"))
+    # A null among the ids waited for is no call's and names none.
+    unknown = wanted.where("declared").join(ids.withColumnRenamed("call_id", "after"), "after", "left_anti").groupBy("call_id").agg(F.array_sort(F.collect_set(F.concat(F.lit("unknown_id:"), "id"))).alias("lost"))
     levels = call_levels(known, ids)
-    answers = results.where("call_id IS NOT NULL").groupBy("call_id").agg(F.count("*").alias("n_results"), F.min(F.struct("place", "content")).alias("r"))
+    answers = results.where("call_id IS NOT NULL")
+    if "conv_id" in results.columns:
+        answers = answers.withColumn("call_id", call_key(F.col("call_id")))
+    else:  # Results of no conversation in particular answer that identifier in each.
+        answers = answers.withColumnRenamed("call_id", "own_id").join(calls.select("call_id", "own_id"), "own_id")
+    answers = answers.groupBy("call_id").agg(F.count("*").alias("n_results"), F.min(F.struct("place", "content")).alias("r"))
     errors = F.concat(argument_errors(F.col("name"), F.col("arguments"), schemas), F.coalesce("lost", F.array().cast("array<string>")))
     joined = calls.join(answers, "call_id", "left").join(levels, "call_id", "left").join(unknown, "call_id", "left").withColumn("errors", errors)
     # Fields in the order of their names; arguments are JSON already.
     field = lambda k, v: F.concat(F.lit(f'"{k}":'), F.coalesce(v, F.lit("null")))
     quoted = lambda c: F.when(c.isNotNull(), F.substring(F.to_json(F.array(c)), F.lit(2), F.length(F.to_json(F.array(c))) - 2))
     text = F.concat(
-        F.lit("{"), field("arguments", canonical_json(F.col("arguments"))), F.lit(","), field("id", quoted(F.col("call_id"))), F.lit(","), field("name", quoted(F.col("name"))), F.lit(","), field("result", quoted(F.col("r.content"))), F.lit("}")
+        F.lit("{"), field("arguments", canonical_json(F.col("arguments"))), F.lit(","), field("id", quoted(F.col("own_id"))), F.lit(","), field("name", quoted(F.col("name"))), F.lit(","), field("result", quoted(F.col("r.content"))), F.lit("}")
     )
     return joined.select(
-        "conv_id", "call_id", "name", F.col("level").cast("long").alias("level"), F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), (F.size("errors") == 0).alias("valid"), F.array_join("errors", ",").alias("errors"), text.alias("canonical")
+        "conv_id", F.col("own_id").alias("call_id"), "name", F.col("level").cast("long").alias("level"), F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), (F.size("errors") == 0).alias("valid"), F.array_join("errors", ",").alias("errors"), text.alias("canonical")
     )
 
 
 def orphan_results(calls: DataFrame, results: DataFrame) -> DataFrame:
-    """Results whose identifier is no call's."""
-    return results.join(calls.select("call_id").distinct(), "call_id", "left_anti")
+    """Results whose identifier is no call's of their conversation (of any, where results have no conv_id)."""
+    if "conv_id" not in results.columns:
+        return results.join(calls.select("call_id").distinct(), "call_id", "left_anti")
+    known = calls.where("call_id IS NOT NULL").select(call_key(F.col("call_id")).alias("key")).distinct()
+    return results.withColumn("key", call_key(F.col("call_id"))).join(known, "key", "left_anti").drop("key")
 
 
 def tool_digest(conversations: DataFrame) -> DataFrame:
