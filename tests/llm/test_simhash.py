@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -108,3 +109,46 @@ def test_near_dedup(spark):
     ids = [r["doc_id"] for r in kept.collect()]
     assert ids.count(11) == 1 and 12 not in ids and 1 not in ids and 0 in ids and ids.count(None) == 1
     assert S.near_dedup(empty(spark)).count() == 0
+
+
+def plain_near(texts):
+    """Roots over all pairs of a five-word Jaccard similarity of 0.8 or more."""
+    sets = []
+    for t in texts:
+        words = (t or "").lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set()))
+    roots = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                old, new = max(roots[i], roots[j]), min(roots[i], roots[j])
+                roots = [new if r == old else r for r in roots]
+    return roots
+
+
+def edited(rng, words, edits):
+    words = list(words)
+    for _ in range(edits):
+        words[rng.randrange(len(words))] = f"edit{rng.randrange(10**6)}"
+    return words
+
+
+def test_pipeline_stage_finds_all_near_copies(spark, monkeypatch):
+    """Copies with edits down to and below a similarity of 0.8, a line that all texts share, and a dense group."""
+    rng = random.Random(11)
+    line = [f"boiler{i}" for i in range(12)]
+    texts = []
+    for g in range(25):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(20, 200))]
+        texts += [" ".join(line + base)] + [" ".join(line + edited(rng, base, rng.randrange(1, 7))) for _ in range(4)]
+    dense = [f"d{i}" for i in range(150)]
+    texts += [" ".join(edited(rng, dense, rng.randrange(1, 5))) for _ in range(60)]
+    want = set(plain_near(texts))
+    frame = documents(spark, list(enumerate(texts)))
+    stage = dict(pytest.importorskip("corpus_pipeline").STAGES)["simhash near-dedup"]
+    assert {r["doc_id"] for r in stage(spark, frame, "").collect()} == want
+    monkeypatch.setattr(S, "SAMPLE", 1)
+    assert {r["doc_id"] for r in S.drop_near_copies(frame).collect()} == want
+    monkeypatch.setattr(S, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(S, "COMMON", 10**9)
+    assert {r["doc_id"] for r in S.drop_near_copies(frame).collect()} == want

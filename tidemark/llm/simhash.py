@@ -17,10 +17,19 @@ pairs.
 Defined results: a null text counts as empty; texts without words have fingerprint zero and are linked like any other;
 repeated rows give repeated results; a null doc_id never becomes a component id unless a component has no other; other
 input columns are ignored.
+
+drop_near_copies(), the pipeline's stage, isn't bound by 4 words and 4 bits: it links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or
+more, all such pairs and no others. Two sets that similar share one of the first n - ceil(0.8 n) + 1 shingles of each in
+any common order, so each set is filed under those; the order begins with the rare ones, so that a line of many
+documents brings none together. A set is first held against one head of its cells, so a dense group doesn't give all pairs;
+then all pairs that share enough of those shingles and aren't connected yet are. Every link is verified on the whole sets.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from fractions import Fraction
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -28,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_rows, keyed_text
 from tidemark.llm.components import connected_components
-from tidemark.session import cut
+from tidemark.session import cut, stored
 
 SEED = 42
 #: 0101..01, a bit for each 2-bit segment.
@@ -36,6 +45,13 @@ LOW_BITS = 0x5555555555555555
 SEGMENTS_PER_HALF = 16
 #: Hashes whose bits are counted at once.
 BLOCK = 1 << 17
+#: Near copies: words of a shingle, and the least Jaccard similarity of two sets of shingles.
+NEAR_SHINGLE, NEAR_SIMILARITY = 5, Fraction(4, 5)
+#: One text in SAMPLE is sampled for common shingles; those of COMMON or more sampled texts, at most MOST_COMMON, are filed last.
+#: This orders the work only: the result is the same under any order.
+SAMPLE, COMMON, MOST_COMMON = 16, 6, 1 << 20
+#: Sets to verify up to so many rows are broadcast by key, after counting them; larger ones are joined.
+BROADCAST_ROWS = 200_000
 
 
 def shingle_hashes(text: str, size: int) -> list[int]:
@@ -136,21 +152,105 @@ def fingerprint_links(points: DataFrame, max_bits: int = 4) -> DataFrame:
     return stars.unionByName(pairs).distinct()
 
 
-def label_fingerprints(prints: DataFrame, max_bits: int = 4) -> DataFrame:
-    """prints (doc_id, fp and any more) with root, the component's smallest fingerprint, and component_id, its smallest doc_id."""
+def label_points(prints: DataFrame, links_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """prints (doc_id, fp and any more) with root, the smallest fp that links_of((fp)) reach, and component_id, its smallest doc_id."""
     points = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = connected_components(fingerprint_links(points.select("fp"), max_bits))
+    roots = connected_components(links_of(points.select("fp")))
     named = points.join(roots, points["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return prints.join(cut(named.join(ids, "root").select("fp", "root", "component_id")), "fp")
 
 
+def label_fingerprints(prints: DataFrame, max_bits: int = 4) -> DataFrame:
+    """prints (doc_id, fp and any more) with root, the component's smallest fingerprint, and component_id, its smallest doc_id."""
+    return label_points(prints, lambda points: fingerprint_links(points, max_bits))
+
+
 def simhash_components(docs: DataFrame, max_bits: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id reachable over links of max_bits or fewer bits."""
     prints = cut(fingerprint_documents(docs, shingle, id_col, text_col))
     return label_fingerprints(prints, max_bits).select("doc_id", "fp", "component_id")
 
 
+def shingle_set(text: str, size: int) -> np.ndarray:
+    """The distinct shingle hashes in ascending order."""
+    return np.unique(np.array(shingle_hashes(text, size), np.uint64))
+
+
+def common_shingles(texts: DataFrame, size: int) -> np.ndarray:
+    """Shingles of many sampled texts, the commonest first. texts: (th, text)."""
+    sampled = texts.where(F.pmod("th", F.lit(SAMPLE)) == 0).select("text")
+    work = lambda c: {"shingle": np.concatenate([shingle_set(t, size) for t in c["text"]] or [np.empty(0, np.uint64)]).view(np.int64)}
+    counted = arrow_rows(sampled, work, "shingle long").groupBy("shingle").count().where(F.col("count") >= COMMON)
+    top = counted.orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).toArrow()
+    return np.array(top.column("shingle").to_numpy(), np.int64).view(np.uint64)
+
+
+def first_shingles(shingles: np.ndarray, similarity: Fraction, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Those that a set is filed under: rare ones by hash, then common ones from the least common. common is sorted; rank is 0 for the commonest."""
+    n = shingles.size
+    p = n - -(-n * similarity.numerator // similarity.denominator) + 1 if n else 0
+    if not common.size or not n:
+        return shingles[:p]
+    at = np.minimum(np.searchsorted(common, shingles), common.size - 1)
+    known = common[at] == shingles
+    rare = shingles[~known][:p]
+    if rare.size == p:
+        return rare
+    rest, order = shingles[known], -rank[at[known]]
+    return np.concatenate([rare, rest[np.argsort(order, kind="stable")][: p - rare.size]])
+
+
+def near_links(prints: DataFrame, texts: DataFrame, size: int, similarity: Fraction) -> DataFrame:
+    """(a, b): enough links among distinct sets to connect exactly those that are reachable over pairs of the similarity or more.
+
+    prints: (doc_id, th, fp, n, keys); texts: (doc_id, th, text). A set is known by fp, the hash of its shingles.
+    """
+    over, both = similarity.numerator, similarity.numerator + similarity.denominator
+    points = prints.groupBy("fp").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    cell = Window.partitionBy("key")
+    head = F.min(F.struct(F.xxhash64("fp"), "fp")).over(cell)["fp"]
+    marked = points.select("fp", "n", F.explode("keys").alias("key")).select("key", "fp", "n", F.count("*").over(cell).alias("members"), head.alias("head"))
+    filed = stored(marked.where("members > 1").drop("members"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs)
+        wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
+        one = cut(prints.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("m")).select("fp", F.col("m.doc_id").alias("__id"), F.col("m.th").alias("__th")))
+        side = F.broadcast(one) if one.count() <= BROADCAST_ROWS else one
+        held = texts.join(side, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))).select("fp", "text")
+        sets = stored(arrow_rows(held, lambda c: {"fp": c["fp"], "shingles": [shingle_set(t, size).view(np.int64) for t in c["text"]]}, "fp long, shingles array<long>").dropDuplicates(["fp"]))
+        x, y = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))
+        near = F.size(F.array_intersect("x", "y")) * both >= over * (F.size("x") + F.size("y"))
+        return cut(pairs.join(x, "a").join(y, "b").where(near).select("a", "b"))
+
+    # Each set against the head that it meets in most cells, if in a fourth of its own; what this passes over is left to the second step.
+    met = filed.where("fp <> head").groupBy("fp", "n", "head").count().where("count * 20 >= n").groupBy("fp").agg(F.max(F.struct("count", "head"))["head"].alias("head"))
+    stars = verified(met.select(F.least("fp", "head").alias("a"), F.greatest("fp", "head").alias("b")).distinct())
+    roots = connected_components(stars)
+    named = filed.join(roots, filed["fp"] == roots["node"], "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
+    open_cells = stored(named.withColumn("split", F.min("root").over(cell) < F.max("root").over(cell)).where("split").drop("split"))
+    x, y = (open_cells.select(F.col("key").alias(f"key_{s}"), F.col("fp").alias(s), F.col("n").alias(f"n_{s}"), F.col("root").alias(f"root_{s}")) for s in "ab")
+    # Sets that share o shingles or more share l or more of their first n - o + l, so those that meet in fewer cells aren't near.
+    sizes = F.least("n_a", "n_b") * similarity.denominator >= F.greatest("n_a", "n_b") * over
+    shared = x.join(y, (F.col("key_a") == F.col("key_b")) & F.expr("a < b AND root_a <> root_b") & sizes).groupBy("a", "b", "n_a", "n_b").count()
+    least = F.expr(f"({over} * (n_a + n_b) + {both - 1}) div {both}")
+    first = lambda n: F.expr(f"{n} - ({n} * {over} + {similarity.denominator - 1}) div {similarity.denominator} + 1")
+    meets = least + F.least(first("n_a") - F.col("n_a"), first("n_b") - F.col("n_b"))
+    return stars.unionByName(verified(shared.where(F.col("count") >= meets).select("a", "b")))
+
+
+def _first_rows(docs: DataFrame, text_hash: Column, labelled: DataFrame) -> DataFrame:
+    """docs with one row of each root. labelled: (doc_id, th, root)."""
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
+    kept = labelled.groupBy("root").agg(F.min(rank).alias("m")).select(F.col("m.doc_id").alias("__id"), F.col("m.th").alias("__th"))
+    again = labelled.groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.lit(True).alias("__again"))
+    marked = kept.alias("k").join(again.alias("g"), F.col("k.__id").eqNullSafe(F.col("g.__id")) & (F.col("k.__th") == F.col("g.__th")), "left").select("k.__id", "k.__th", "g.__again")
+    rows = docs.join(marked, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (text_hash == F.col("__th")))
+    once, repeated = rows.where("__again IS NULL"), rows.where("__again").dropDuplicates(["__id", "__th"])
+    return once.unionByName(repeated).select(*docs.columns)
+
+
 def near_dedup(docs: DataFrame, max_bits: int = 4, shingle: int = 4) -> DataFrame:
     """docs with one row of each component: of its smallest doc_id (nulls last), ties by a hash of the text, of equal rows one. All columns are kept."""
     text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
@@ -158,13 +258,25 @@ def near_dedup(docs: DataFrame, max_bits: int = 4, shingle: int = 4) -> DataFram
     prints = cut(
         arrow_rows(hashed, lambda c: {"doc_id": c["doc_id"], "th": c["th"], "fp": fingerprints(c["text"], shingle)}, "doc_id long, th long, fp long")
     )
-    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
-    kept = label_fingerprints(prints, max_bits).groupBy("root").agg(F.min(rank).alias("m")).select(F.col("m.doc_id").alias("__id"), F.col("m.th").alias("__th"))
-    again = prints.groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.lit(True).alias("__again"))
-    marked = kept.alias("k").join(again.alias("g"), F.col("k.__id").eqNullSafe(F.col("g.__id")) & (F.col("k.__th") == F.col("g.__th")), "left").select("k.__id", "k.__th", "g.__again")
-    rows = docs.join(marked, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (text_hash == F.col("__th")))
-    once, repeated = rows.where("__again IS NULL"), rows.where("__again").dropDuplicates(["__id", "__th"])
-    return once.unionByName(repeated).select(*docs.columns)
+    return _first_rows(docs, text_hash, label_fingerprints(prints, max_bits).select("doc_id", "th", "root"))
+
+
+def drop_near_copies(docs: DataFrame, similarity: Fraction = NEAR_SIMILARITY, shingle: int = NEAR_SHINGLE) -> DataFrame:
+    """docs with one row of each component of near copies by Jaccard similarity; which row, and ties, as in near_dedup."""
+    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    hashed = keyed_text(docs).withColumn("th", text_hash)
+    common = common_shingles(hashed, shingle)
+    order = np.argsort(common)
+    shared = docs.sparkSession.sparkContext.broadcast((common[order], order))
+
+    def work(c: dict[str, list]) -> dict[str, list]:
+        sets = [shingle_set(t, shingle) for t in c["text"]]
+        fps = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+        return {"doc_id": c["doc_id"], "th": c["th"], "fp": fps, "n": [s.size for s in sets], "keys": [first_shingles(s, similarity, *shared.value).view(np.int64) for s in sets]}
+
+    prints = stored(arrow_rows(hashed, work, "doc_id long, th long, fp long, n int, keys array<long>"))
+    labelled = label_points(prints.select("doc_id", "th", "fp"), lambda _: near_links(prints, hashed, shingle, similarity))
+    return _first_rows(docs, text_hash, labelled)
 
 
 def component_digest(docs: DataFrame) -> DataFrame:
