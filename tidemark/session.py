@@ -41,11 +41,46 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """df written as a Parquet table in the shared checkpoint folder and read again: a cut for wide rows, compressed on disk."""
-    ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """df written as a Parquet table in the shared checkpoint folder and read again: a cut for wide rows, compressed on disk.
+
+    A checkpoint also keeps what the optimiser knew of its rows, which grows from round to round in a loop; a table doesn't.
+    """
+    with Scratch(df.sparkSession) as kept:
+        return kept.keep(df)
+
+
+class Scratch:
+    """Tables in the shared checkpoint folder that go when the block ends, except those that keep() wrote.
+
+    What leaves the block must not depend on the tables that go: keep() it, or cut it.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        ensure_checkpoint_dir(self.spark)
+        return self
+
+    def __exit__(self, *failure: object) -> None:
+        for path in self.paths:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def _written(self, df: DataFrame) -> tuple[str, DataFrame]:
+        path = f"{self.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return path, self.spark.read.schema(df.schema).parquet(path)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df written and read again, for good."""
+        return self._written(df)[1]
+
+    def store(self, df: DataFrame) -> DataFrame:
+        """df written and read again, until the block ends."""
+        path, kept = self._written(df)
+        self.paths.append(path)
+        return kept
 
 
 def importable(spark: SparkSession) -> SparkSession:
