@@ -152,3 +152,38 @@ def test_pipeline_stage_finds_all_near_copies(spark, monkeypatch):
     monkeypatch.setattr(S, "BROADCAST_ROWS", -1)
     monkeypatch.setattr(S, "COMMON", 10**9)
     assert {r["doc_id"] for r in S.drop_near_copies(frame).collect()} == want
+
+
+def test_dense_cells_are_split_alike(spark):
+    """Cells of more members than allowed are split by the other half; what is reachable stays the same. A chain and a group that no head holds together."""
+    rng = random.Random(5)
+    chain, at = [], 0
+    for i in range(40):
+        at ^= 0b1111 << 4 * (i % 16)
+        chain.append(at)
+    group = [(1 << 63) ^ sum(1 << b for b in rng.sample(range(24), 6)) for _ in range(300)]
+    prints = sorted({*chain, *group})
+    roots = plain_components(prints)
+    frame = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)),) for p in prints], "fp long")
+    for dense in (256, 4):
+        links = S.fingerprint_links(frame, dense=dense)
+        got = {r["node"]: r["root"] for r in connected_components(links).collect()}
+        signed = [int(np.uint64(p).astype(np.int64)) for p in prints]
+        groups = {}
+        for p, r in zip(signed, roots):
+            groups.setdefault(r, set()).add(p)
+        assert all({got.get(m, m) for m in members} == {min(members)} for members in groups.values())
+
+
+def test_long_chains_and_stars(spark):
+    """A chain of 20,000 in three orders and a star: every node meets the smallest, in about log(n) rounds."""
+    n = 20_000
+    ids = list(range(n))
+    random.Random(3).shuffle(ids)
+    shuffled = spark.createDataFrame([(ids[i], ids[i + 1]) for i in range(n - 1)], "a long, b long")
+    up = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    down = up.select((n - 1 - F.col("a")).alias("a"), (n - 1 - F.col("b")).alias("b"))
+    star = spark.range(n - 1).select(F.lit(n - 1).cast("long").alias("a"), F.col("id").alias("b"))
+    for edges in (shuffled, up, down, star):
+        found = connected_components(edges)
+        assert found.count() == n and not found.where("root <> 0").take(1)

@@ -10,9 +10,10 @@ the other's, and two lattice points within 2 have a common lattice neighbour: ea
 neighbours at distance 1 (33 cells at most), and a range join becomes an equality join on cells. The join keeps a pair only if the
 Manhattan distance of the whole points and then the exact count of differing bits are within the bound.
 
-In a cell, members within the bound of the cell's smallest fingerprint are linked to it alone; pairs are
-emitted only where one of the two is not. Reachability is the same, and a dense group gives a star rather than all
-pairs.
+A dense group gives no pairs of all with all. First every cell has a head, by a hash of its own, and members within the bound
+of the head are linked to it; the components of these stars are contracted. Pairs are then looked for only in
+cells that still hold several components, and only between those; of the cells that are large even so, each is split
+by the other half, of whose two quarters one must be within 2 as well. Reachability is the same as over all links.
 
 Defined results: a null text counts as empty; texts without words have fingerprint zero and are linked like any other;
 repeated rows give repeated results; a null doc_id never becomes a component id unless a component has no other; other
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_rows, keyed_text
 from tidemark.llm.components import connected_components
-from tidemark.session import cut, stored
+from tidemark.session import Scratch, cut, stored
 
 SEED = 42
 #: 0101..01, a bit for each 2-bit segment.
@@ -50,8 +51,10 @@ NEAR_SHINGLE, NEAR_SIMILARITY = 5, Fraction(4, 5)
 #: One text in SAMPLE is sampled for common shingles; those of COMMON or more sampled texts, at most MOST_COMMON, are filed last.
 #: This orders the work only: the result is the same under any order.
 SAMPLE, COMMON, MOST_COMMON = 16, 6, 1 << 20
-#: Sets to verify up to so many rows are broadcast by key, after counting them; larger ones are joined.
+#: Rows to verify or to drop are broadcast by key up to so many, after counting them; more are joined.
 BROADCAST_ROWS = 200_000
+#: Open cells of more members than this are split by the other half.
+DENSE = 256
 
 
 def shingle_hashes(text: str, size: int) -> list[int]:
@@ -117,48 +120,77 @@ def _unary(fp: Column) -> Column:
     return fp.bitwiseOR(above).bitwiseAND(_long(LOW_BITS)).bitwiseOR(F.shiftleft(fp.bitwiseAND(above).bitwiseAND(_long(LOW_BITS)), 1))
 
 
-def _cells(half: Column, side: int) -> Column:
-    """The cell of a half and its lattice neighbours at distance 1, with the side in bit 32."""
-    steps = F.sequence(F.lit(0), F.lit(SEGMENTS_PER_HALF - 1))
+def _cells(part: Column, side: Column | int, segments: int = SEGMENTS_PER_HALF) -> Column:
+    """The cell of a part of the counts and its lattice neighbours at distance 1, with the side in bit 32."""
+    steps = F.sequence(F.lit(0), F.lit(segments - 1))
     one = F.lit(1).cast("long")
 
     def count(j: Column) -> Column:
-        return F.call_function("shiftrightunsigned", half, j * 2).bitwiseAND(F.lit(3).cast("long"))
+        return F.call_function("shiftrightunsigned", part, j * 2).bitwiseAND(F.lit(3).cast("long"))
 
     unit = lambda j: F.call_function("shiftleft", one, j * 2)
-    up = F.transform(F.filter(steps, lambda j: count(j) < 2), lambda j: half + unit(j))
-    down = F.transform(F.filter(steps, lambda j: count(j) > 0), lambda j: half - unit(j))
-    return F.transform(F.concat(F.array(half), up, down), lambda c: c + F.lit(side << 32).cast("long"))
+    up = F.transform(F.filter(steps, lambda j: count(j) < 2), lambda j: part + unit(j))
+    down = F.transform(F.filter(steps, lambda j: count(j) > 0), lambda j: part - unit(j))
+    return F.transform(F.concat(F.array(part), up, down), lambda c: c + F.lit(side << 32).cast("long"))
 
 
 def _differ(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def fingerprint_links(points: DataFrame, max_bits: int = 4) -> DataFrame:
+def _halves(fp: Column) -> tuple[Column, Column]:
+    counts = _segment_counts(fp)
+    return counts.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")), F.shiftrightunsigned(counts, 32)
+
+
+def _rooted(points: DataFrame, links: DataFrame) -> DataFrame:
+    """points (fp and any more) with root, the smallest fp that links reach."""
+    plain = points.drop("root")
+    roots = connected_components(links).withColumnRenamed("node", "__node")
+    return plain.join(roots, F.col("fp") == F.col("__node"), "left").select(*plain.columns, F.coalesce("root", "fp").alias("root"))
+
+
+def _open(filed: DataFrame, cell: str) -> DataFrame:
+    """Rows of filed (cell, fp, root and any more) in cells that hold several roots, with members."""
+    over = Window.partitionBy(cell)
+    counted = filed.withColumn("split", F.min("root").over(over) < F.max("root").over(over)).withColumn("members", F.count("*").over(over))
+    return counted.where("split").drop("split")
+
+
+def fingerprint_links(points: DataFrame, max_bits: int = 4, dense: int = DENSE) -> DataFrame:
     """(a, b): enough links among distinct fingerprints to connect exactly those that are reachable over max_bits or fewer bits. points: (fp)."""
     if not 0 <= max_bits <= 5:
         raise ValueError("the grid of two halves is exact for 0 to 5 differing bits")
-    counts = _segment_counts(F.col("fp"))
-    low, high = counts.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")), F.shiftrightunsigned(counts, 32)
-    filed = points.select("fp", F.explode(F.concat(_cells(low, 0), _cells(high, 1))).alias("cell"))
-    head = F.min("fp").over(Window.partitionBy("cell"))
-    filed = filed.withColumn("head", head).withColumn("near", _differ(F.col("fp"), F.col("head")) <= max_bits)
-    stars = filed.where("near AND fp <> head").select(F.col("head").alias("a"), F.col("fp").alias("b"))
-    x, y = filed.select("cell", F.col("fp").alias("a"), F.col("near").alias("a_near")), filed.select(F.col("cell").alias("b_cell"), F.col("fp").alias("b"), F.col("near").alias("b_near"))
+    low, high = _halves(F.col("fp"))
+    over = Window.partitionBy("cell")
+    head = F.min(F.struct(F.xxhash64("cell", "fp").alias("rank"), "fp")).over(over)["fp"]
     a, b = F.col("a"), F.col("b")
     bound = (_differ(_unary(a), _unary(b)) <= max_bits) & (_differ(a, b) <= max_bits)
-    pairs = x.join(y, (F.col("cell") == F.col("b_cell")) & (a < b) & ~(F.col("a_near") & F.col("b_near")) & bound).select("a", "b")
-    return stars.unionByName(pairs).distinct()
+    with Scratch(points.sparkSession) as scratch:
+        cells = F.explode(F.concat(_cells(low, 0), _cells(high, 1))).alias("cell")
+        near = points.select("fp", cells).select(head.alias("a"), F.col("fp").alias("b")).where((a != b) & bound)
+        # Of the heads within the bound the first and the last in an order of all: two links a fingerprint hold a group together.
+        rank = F.struct(F.xxhash64("a").alias("rank"), "a")
+        stars = scratch.store(near.groupBy("b").agg(F.array(F.min(rank)["a"], F.max(rank)["a"]).alias("heads")).select(F.explode(F.array_distinct("heads")).alias("a"), "b"))
+        left = scratch.store(_open(_rooted(points, stars).select("fp", "root", cells), "cell"))
+        other = F.when(F.shiftrightunsigned("cell", 32) == 0, high).otherwise(low)
+        quarters = F.concat(_cells(other.bitwiseAND(F.lit(0xFFFF).cast("long")), 0, SEGMENTS_PER_HALF // 2), _cells(F.shiftrightunsigned(other, 16), 1, SEGMENTS_PER_HALF // 2))
+        whole = left.where(F.col("members") <= dense).select("cell", "fp", "root", F.lit(-1).cast("long").alias("quarter"))
+        finer = whole.unionByName(left.where(F.col("members") > dense).select("cell", "fp", "root", F.explode(quarters).alias("quarter")))
+        x, y = (finer.select("cell", "quarter", F.col("fp").alias(s), F.col("root").alias(f"{s}_root")) for s in "ab")
+        pairs = x.join(y.select(F.col("cell").alias("b_cell"), F.col("quarter").alias("b_quarter"), "b", "b_root"), F.expr("cell = b_cell AND quarter = b_quarter AND a < b AND a_root <> b_root") & bound)
+        return scratch.keep(stars.unionByName(pairs.select("a", "b").distinct()))
 
 
 def label_points(prints: DataFrame, links_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """prints (doc_id, fp and any more) with root, the smallest fp that links_of((fp)) reach, and component_id, its smallest doc_id."""
-    points = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = connected_components(links_of(points.select("fp")))
-    named = points.join(roots, points["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(cut(named.join(ids, "root").select("fp", "root", "component_id")), "fp")
+    with Scratch(prints.sparkSession) as scratch:
+        points = scratch.store(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+        roots = connected_components(links_of(points.select("fp")))
+        named = points.join(roots, points["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+        ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
+        labels = scratch.keep(named.join(ids, "root").select("fp", "root", "component_id"))
+    return prints.join(labels, "fp")
 
 
 def label_fingerprints(prints: DataFrame, max_bits: int = 4) -> DataFrame:
@@ -168,7 +200,7 @@ def label_fingerprints(prints: DataFrame, max_bits: int = 4) -> DataFrame:
 
 def simhash_components(docs: DataFrame, max_bits: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id reachable over links of max_bits or fewer bits."""
-    prints = cut(fingerprint_documents(docs, shingle, id_col, text_col))
+    prints = stored(fingerprint_documents(docs, shingle, id_col, text_col))
     return label_fingerprints(prints, max_bits).select("doc_id", "fp", "component_id")
 
 
