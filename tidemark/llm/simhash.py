@@ -19,11 +19,14 @@ Defined results: a null text counts as empty; texts without words have fingerpri
 repeated rows give repeated results; a null doc_id never becomes a component id unless a component has no other; other
 input columns are ignored.
 
-drop_near_copies(), the pipeline's stage, isn't bound by 4 words and 4 bits: it links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or
-more, all such pairs and no others. Two sets that similar share one of the first n - ceil(0.8 n) + 1 shingles of each in
-any common order, so each set is filed under those; the order begins with the rare ones, so that a line of many
-documents brings none together. A set is first held against one head of its cells, so a dense group doesn't give all pairs;
-then all pairs that share enough of those shingles and aren't connected yet are. Every link is verified on the whole sets.
+drop_near_copies(), the pipeline's stage, isn't bound by 4 words and 4 bits: it links texts whose sets of five-word shingles
+have a Jaccard similarity of 0.8 or more, all such pairs and no others. At that similarity 64-bit fingerprints differ in about
+10 bits and often in 17, beyond what any grid can search whole, so it is an exact join in the same form. Two sets
+that similar share one of the first n - ceil(0.8 n) + 1 shingles of each in any common order, so each set is filed
+under those; the order begins with the rare ones, so that a line of many documents brings none together. A fingerprint of
+256 bits, the parities of a set's shingles by a hash, embeds a set such that the popcount of two fingerprints' difference is at most the
+size of the sets' symmetric difference: a lower bound that rules pairs out before they are verified on whole texts. Stars, contraction
+and pairs between what is left follow as above: a set is held against the nearest of its cells' heads, in STAR_ROUNDS rounds.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_rows, keyed_text
 from tidemark.llm.components import connected_components
-from tidemark.session import Scratch, cut, stored
+from tidemark.session import Scratch, stored
 
 SEED = 42
 #: 0101..01, a bit for each 2-bit segment.
@@ -55,6 +58,8 @@ SAMPLE, COMMON, MOST_COMMON = 16, 6, 1 << 20
 BROADCAST_ROWS = 200_000
 #: Open cells of more members than this are split by the other half.
 DENSE = 256
+#: 64-bit words of the parities of a set; rounds of stars before pairs are looked for.
+PARITY_WORDS, STAR_ROUNDS = 4, 2
 
 
 def shingle_hashes(text: str, size: int) -> list[int]:
@@ -233,63 +238,101 @@ def first_shingles(shingles: np.ndarray, similarity: Fraction, common: np.ndarra
     return np.concatenate([rare, rest[np.argsort(order, kind="stable")][: p - rare.size]])
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls on each of 64 * PARITY_WORDS bits, as signed 64-bit words."""
+    at = (shingles * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % (64 * PARITY_WORDS)
+    odd = np.bincount(at, minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def near_links(prints: DataFrame, texts: DataFrame, size: int, similarity: Fraction) -> DataFrame:
     """(a, b): enough links among distinct sets to connect exactly those that are reachable over pairs of the similarity or more.
 
-    prints: (doc_id, th, fp, n, keys); texts: (doc_id, th, text). A set is known by fp, the hash of its shingles.
+    prints: (doc_id, th, fp, n, bits, keys); texts: (doc_id, th, text). A set is known by fp, the hash of its shingles.
     """
-    over, both = similarity.numerator, similarity.numerator + similarity.denominator
-    points = prints.groupBy("fp").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    over, under = similarity.numerator, similarity.denominator
+    both = over + under
     cell = Window.partitionBy("key")
-    head = F.min(F.struct(F.xxhash64("fp"), "fp")).over(cell)["fp"]
-    marked = points.select("fp", "n", F.explode("keys").alias("key")).select("key", "fp", "n", F.count("*").over(cell).alias("members"), head.alias("head"))
-    filed = stored(marked.where("members > 1").drop("members"))
+    words = range(PARITY_WORDS)
+    sized = lambda m, n: F.least(m, n) * under >= F.greatest(m, n) * over
+    apart = lambda x, y: sum((F.bit_count(F.col(f"{x}{i}").bitwiseXOR(F.col(f"{y}{i}"))) for i in words), F.lit(0))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
+    def verified(pairs: DataFrame, scratch: Scratch) -> DataFrame:
+        """The pairs (a, b) whose sets, made anew from whole texts, have the similarity. Text of b meets a's, so that of a head of many is read once."""
         wanted = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp"))).distinct()
-        one = cut(prints.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("m")).select("fp", F.col("m.doc_id").alias("__id"), F.col("m.th").alias("__th")))
+        one = scratch.store(prints.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("m")).select("fp", F.col("m.doc_id").alias("__id"), F.col("m.th").alias("__th")))
         side = F.broadcast(one) if one.count() <= BROADCAST_ROWS else one
         held = texts.join(side, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))).select("fp", "text")
-        sets = stored(arrow_rows(held, lambda c: {"fp": c["fp"], "shingles": [shingle_set(t, size).view(np.int64) for t in c["text"]]}, "fp long, shingles array<long>").dropDuplicates(["fp"]))
-        x, y = sets.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("fp").alias("b"), F.col("shingles").alias("y"))
-        near = F.size(F.array_intersect("x", "y")) * both >= over * (F.size("x") + F.size("y"))
-        return cut(pairs.join(x, "a").join(y, "b").where(near).select("a", "b"))
-
-    # Each set against the head that it meets in most cells, if in a fourth of its own; what this passes over is left to the second step.
-    met = filed.where("fp <> head").groupBy("fp", "n", "head").count().where("count * 20 >= n").groupBy("fp").agg(F.max(F.struct("count", "head"))["head"].alias("head"))
-    stars = verified(met.select(F.least("fp", "head").alias("a"), F.greatest("fp", "head").alias("b")).distinct())
-    roots = connected_components(stars)
-    named = filed.join(roots, filed["fp"] == roots["node"], "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
-    open_cells = stored(named.withColumn("split", F.min("root").over(cell) < F.max("root").over(cell)).where("split").drop("split"))
-    x, y = (open_cells.select(F.col("key").alias(f"key_{s}"), F.col("fp").alias(s), F.col("n").alias(f"n_{s}"), F.col("root").alias(f"root_{s}")) for s in "ab")
-    # Sets that share o shingles or more share l or more of their first n - o + l, so those that meet in fewer cells aren't near.
-    sizes = F.least("n_a", "n_b") * similarity.denominator >= F.greatest("n_a", "n_b") * over
-    shared = x.join(y, (F.col("key_a") == F.col("key_b")) & F.expr("a < b AND root_a <> root_b") & sizes).groupBy("a", "b", "n_a", "n_b").count()
-    least = F.expr(f"({over} * (n_a + n_b) + {both - 1}) div {both}")
-    first = lambda n: F.expr(f"{n} - ({n} * {over} + {similarity.denominator - 1}) div {similarity.denominator} + 1")
-    meets = least + F.least(first("n_a") - F.col("n_a"), first("n_b") - F.col("n_b"))
-    return stars.unionByName(verified(shared.where(F.col("count") >= meets).select("a", "b")))
+        held = scratch.store(held.dropDuplicates(["fp"]))
+        x, y = held.select(F.col("fp").alias("a"), F.col("text").alias("text_a")), held.select(F.col("fp").alias("b"), "text")
+
+        def work(c: dict[str, list]) -> dict[str, list]:
+            out: dict[str, list] = {"a": [], "b": []}
+            known: tuple[int | None, np.ndarray] = (None, np.empty(0, np.uint64))
+            for fa, fb, ta, tb in zip(c["a"], c["b"], c["text_a"], c["text"]):
+                if known[0] != fa:
+                    known = (fa, shingle_set(ta, size))
+                sa, sb = known[1], shingle_set(tb, size)
+                if np.intersect1d(sa, sb, assume_unique=True).size * both >= over * (sa.size + sb.size):
+                    out["a"].append(fa)
+                    out["b"].append(fb)
+            return out
+
+        return scratch.store(arrow_rows(pairs.join(y, "b").join(x, "a").select("a", "b", "text_a", "text"), work, "a long, b long"))
+
+    with Scratch(prints.sparkSession) as scratch:
+        points = scratch.store(prints.groupBy("fp").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys")))
+        marked = points.select("fp", F.explode("keys").alias("key")).select("key", "fp", F.count("*").over(cell).alias("members"))
+        shared = scratch.store(marked.where("members > 1").drop("members"))
+        known = points.select(F.col("fp").alias("__fp"), "n", *(F.col("bits")[i].alias(f"w{i}") for i in words))
+        filed = scratch.store(shared.join(known, F.col("fp") == F.col("__fp")).drop("__fp").withColumn("root", F.col("fp")))
+        links = scratch.store(prints.sparkSession.createDataFrame([], "a long, b long"))
+        for k in range(STAR_ROUNDS):
+            # Every cell has a head of its own; each set is held against the nearest that isn't ruled out.
+            head = F.min(F.struct(F.xxhash64("key", "fp", F.lit(k)).alias("rank"), "fp", "n", "root", *(f"w{i}" for i in words))).over(cell)
+            held = filed.withColumn("h", head).select("fp", "n", "root", *(f"w{i}" for i in words), F.col("h.fp").alias("head"), F.col("h.n").alias("m"), F.col("h.root").alias("h_root"), *(F.col(f"h.w{i}").alias(f"h{i}") for i in words))
+            held = held.where("root <> h_root").withColumn("far", apart("w", "h")).where(sized("m", "n") & (F.col("far") * both <= (F.col("m") + F.col("n")) * (under - over)))
+            met = held.groupBy("fp").agg(F.min(F.struct("far", "head"))["head"].alias("head"))
+            stars = verified(scratch.store(met.select(F.col("head").alias("a"), F.col("fp").alias("b"))), scratch)
+            links = links.unionByName(stars)
+            filed = scratch.store(_open(_rooted(filed.drop("members"), links), "key"))
+        x, y = (filed.select(F.col("key").alias(f"key_{s}"), F.col("fp").alias(s), F.col("n").alias(f"n_{s}"), F.col("root").alias(f"root_{s}"), *(F.col(f"w{i}").alias(f"{s}{i}") for i in words)) for s in "ab")
+        # Sets that share o shingles or more share l or more of their first n - o + l, so those that meet in fewer cells aren't near.
+        likely = sized("n_a", "n_b") & (apart("a", "b") * both <= (F.col("n_a") + F.col("n_b")) * (under - over))
+        meet = x.join(y, F.expr("key_a = key_b AND a < b AND root_a <> root_b") & likely).groupBy("a", "b", "n_a", "n_b").count()
+        least = F.expr(f"({over} * (n_a + n_b) + {both - 1}) div {both}")
+        first = lambda n: F.expr(f"{n} - ({n} * {over} + {under - 1}) div {under} + 1")
+        meets = least + F.least(first("n_a") - F.col("n_a"), first("n_b") - F.col("n_b"))
+        rest = verified(scratch.store(meet.where(F.col("count") >= meets).select("a", "b")), scratch)
+        return scratch.keep(links.unionByName(rest))
 
 
 def _first_rows(docs: DataFrame, text_hash: Column, labelled: DataFrame) -> DataFrame:
-    """docs with one row of each root. labelled: (doc_id, th, root)."""
+    """docs with one row of each root. labelled: (doc_id, th, root).
+
+    Rows are marked by keys alone: texts move only if more than BROADCAST_ROWS keys are marked, and then once.
+    """
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "th")
-    kept = labelled.groupBy("root").agg(F.min(rank).alias("m")).select(F.col("m.doc_id").alias("__id"), F.col("m.th").alias("__th"))
-    again = labelled.groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.lit(True).alias("__again"))
-    marked = kept.alias("k").join(again.alias("g"), F.col("k.__id").eqNullSafe(F.col("g.__id")) & (F.col("k.__th") == F.col("g.__th")), "left").select("k.__id", "k.__th", "g.__again")
-    rows = docs.join(marked, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (text_hash == F.col("__th")))
-    once, repeated = rows.where("__again IS NULL"), rows.where("__again").dropDuplicates(["__id", "__th"])
-    return once.unionByName(repeated).select(*docs.columns)
+    kept = labelled.groupBy("root").agg(F.min(rank).alias("m")).select("root", F.col("m.doc_id").alias("k_id"), F.col("m.th").alias("k_th"))
+    held = labelled.groupBy("root", "doc_id", "th").count()
+    same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("th") == F.col("k_th"))
+    # A row that stays has no mark unless it is repeated.
+    marks = stored(held.join(kept, "root").withColumn("stays", same).where("NOT stays OR count > 1").select(F.col("doc_id").alias("__mark_id"), F.col("th").alias("__mark_th"), F.col("stays").alias("__mark_stays")))
+    side = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
+    rows = docs.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("__mark_id")) & (text_hash == F.col("__mark_th")), "left")
+    once = rows.where("__mark_stays IS NULL").select(*docs.columns)
+    if not marks.where("__mark_stays").take(1):
+        return once
+    again = F.broadcast(marks.where("__mark_stays")) if marks.count() <= BROADCAST_ROWS else marks.where("__mark_stays")
+    repeated = docs.join(again, F.col("doc_id").cast("long").eqNullSafe(F.col("__mark_id")) & (text_hash == F.col("__mark_th")))
+    return once.unionByName(repeated.dropDuplicates(["__mark_id", "__mark_th"]).select(*docs.columns))
 
 
 def near_dedup(docs: DataFrame, max_bits: int = 4, shingle: int = 4) -> DataFrame:
     """docs with one row of each component: of its smallest doc_id (nulls last), ties by a hash of the text, of equal rows one. All columns are kept."""
     text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     hashed = keyed_text(docs).withColumn("th", text_hash)
-    prints = cut(
-        arrow_rows(hashed, lambda c: {"doc_id": c["doc_id"], "th": c["th"], "fp": fingerprints(c["text"], shingle)}, "doc_id long, th long, fp long")
-    )
+    prints = stored(arrow_rows(hashed, lambda c: {"doc_id": c["doc_id"], "th": c["th"], "fp": fingerprints(c["text"], shingle)}, "doc_id long, th long, fp long"))
     return _first_rows(docs, text_hash, label_fingerprints(prints, max_bits).select("doc_id", "th", "root"))
 
 
@@ -304,10 +347,11 @@ def drop_near_copies(docs: DataFrame, similarity: Fraction = NEAR_SIMILARITY, sh
     def work(c: dict[str, list]) -> dict[str, list]:
         sets = [shingle_set(t, shingle) for t in c["text"]]
         fps = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-        return {"doc_id": c["doc_id"], "th": c["th"], "fp": fps, "n": [s.size for s in sets], "keys": [first_shingles(s, similarity, *shared.value).view(np.int64) for s in sets]}
+        return {"doc_id": c["doc_id"], "th": c["th"], "fp": fps, "n": [s.size for s in sets], "bits": [parities(s) for s in sets], "keys": [first_shingles(s, similarity, *shared.value).view(np.int64) for s in sets]}
 
-    prints = stored(arrow_rows(hashed, work, "doc_id long, th long, fp long, n int, keys array<long>"))
-    labelled = label_points(prints.select("doc_id", "th", "fp"), lambda _: near_links(prints, hashed, shingle, similarity))
+    with Scratch(docs.sparkSession) as scratch:
+        prints = scratch.store(arrow_rows(hashed, work, "doc_id long, th long, fp long, n int, bits array<long>, keys array<long>"))
+        labelled = stored(label_points(prints.select("doc_id", "th", "fp"), lambda _: near_links(prints, hashed, shingle, similarity)).select("doc_id", "th", "root"))
     return _first_rows(docs, text_hash, labelled)
 
 
