@@ -25,6 +25,16 @@ def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it none of df's, in either case."""
+    known, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in known:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batch in pieces of bounded bytes; a text is never split."""
     col = batch.column(batch.schema.get_field_index(column))

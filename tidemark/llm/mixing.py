@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import unused
 from tidemark.session import cut
 
 SEED, TEMPERATURE, EPOCHS = 42, 0.5, 1.0
@@ -62,26 +63,26 @@ def poisson_table(mean: Column) -> Column:
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, epochs: float = EPOCHS, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """docs replicated to the target mixture and shuffled: all columns, `copy` from 1, `shuffle_key`."""
-    parts = F.greatest(F.ceil(F.col("rate") / PART_MEAN), F.lit(1)).cast("int")
-    rates = source_rates(docs, weights, temperature, epochs, source_col, text_col).withColumn("parts", parts)
-    rates = cut(rates.select(F.col("src").alias("__src"), F.col("parts").alias("__parts"), poisson_table(F.col("rate") / F.col("parts")).alias("__table")))
     plain = docs.drop("copy", "shuffle_key")
+    src, parts, table, salt, u, n = unused(plain, "src", "parts", "table", "salt", "u", "n")
+    part = F.greatest(F.ceil(F.col("rate") / PART_MEAN), F.lit(1)).cast("int")
+    rates = source_rates(docs, weights, temperature, epochs, source_col, text_col)
+    rates = cut(rates.select(F.col("src").alias(src), part.alias(parts), poisson_table(F.col("rate") / part).alias(table)))
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     if rates.count() <= BROADCAST_ROWS:
-        joined = plain.join(F.broadcast(rates), source == F.col("__src"))
+        joined = plain.join(F.broadcast(rates), source == F.col(src))
     else:
-        salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = plain.join(salted, (source == F.col("__src")) & (F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int") == F.col("__salt")))
+        salted = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = plain.join(salted, (source == F.col(src)) & (F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int") == F.col(salt)))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    one = lambda j: F.size(F.filter("__table", lambda p: p <= hashed_unit(F.lit(str(seed)), key, j.cast("string"))))
-    single = F.col("__parts") == 1
+    one = lambda j: F.size(F.filter(table, lambda p: p <= hashed_unit(F.lit(str(seed)), key, j.cast("string"))))
     draw = hashed_unit(F.lit(str(seed)), key, F.lit("1"))
-    drawn = joined.withColumn("__u", draw).withColumn(
-        "__n", F.when(single, F.size(F.filter("__table", lambda p: p <= F.col("__u")))).otherwise(F.aggregate(F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda a, j: a + one(j)))
-    )
-    copies = drawn.where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
+    single = F.size(F.filter(table, lambda p: p <= F.col(u)))
+    drawn = joined.withColumn(u, draw).withColumn(n, F.when(F.col(parts) == 1, single).otherwise(F.aggregate(F.sequence(F.lit(1), F.col(parts)), F.lit(0), lambda a, j: a + one(j))))
+    copies = drawn.where(F.col(n) > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(n))))
     order = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}/order"), key, F.col("copy").cast("string"))), 1, 15), 16, 10).cast("long")
-    dealt = copies.withColumn("shuffle_key", order).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    # Rows of one id, or of none, have one key and are dealt apart by their texts.
+    dealt = copies.withColumn("shuffle_key", order).repartition("shuffle_key", F.xxhash64(text_col)).sortWithinPartitions("shuffle_key")
     return dealt.select(*plain.columns, F.col("copy").cast("long").alias("copy"), "shuffle_key")
 
 
