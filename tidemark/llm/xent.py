@@ -1,154 +1,207 @@
 """Cross-entropy difference of documents between a target and a background n-gram model.
 
-Both models share one vocabulary, the most frequent words of all documents, VOCABULARY at most (lower-cased A-Z; all others are
-one unknown word), and one form: bigrams interpolated with unigrams. The background is counted over all documents, the target over
-all documents that a label marks as good. Counts are gathered in arrays in each task and summed by one shuffle. Bigram counts
-are kept by a hash of the pair in 2**BUCKET_BITS buckets, so the models have the same bounded size at any input and
-may be broadcast. A document's score is the mean over its tokens of target loss less background loss, in nats; lower is
-nearer to the target.
-
-Defined results: a null text counts as empty and has no tokens, losses 0 and score 0; null or repeated labels: a document is
-in the target if any of its labels is 1; without target documents the target model is uniform over the vocabulary;
-repeated rows are counted and scored each; extra columns are ignored.
+Both models share one vocabulary, all words of all documents (lower-cased A-Z) and an end mark, and one form: bigrams
+interpolated with unigrams and a uniform share, p(v|u) = BIGRAM c(uv)/c(u) + UNIGRAM c(v)/N + rest/V, which sums to 1
+over v; where a model hasn't seen u, its bigram share goes to the unigram. The background is counted over all documents, the target
+over all documents that a label marks as good. A text is its words between a start and an end mark. Counts are exact, so they
+and the vocabulary grow with the input; nothing of them is broadcast or sent to the driver but four totals. A document's
+score is the mean over its tokens (the end mark included) of target loss less background loss, in nats; lower is nearer to the target.
+
+Documents are gathered in blocks of about BLOCK_TOKENS tokens, in which words have ids of the block. A block reports the counts of its
+distinct words and pairs, ordered by a 56-bit hash and cut into parts of the hashes' range: one packed row a block and part. A task
+sums a part over all blocks and sends each block the sums of what it reported, in its order. So what moves is a few bytes
+of a block's every distinct pair, a pair that is everywhere is in a part once for each block, and parts are as many as keep one at about
+PART_ITEMS. Blocks are stored before they are counted, so each is the same in both passes.
+
+Defined results: a null text counts as empty and has no tokens, losses 0 and score 0, and isn't counted; null or repeated labels: a
+document is in the target if any of its labels is 1; without target documents the target model is uniform over the vocabulary;
+repeated rows are counted and scored each; a null doc_id is kept; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tidemark.llm.common import arrow_rows, keyed_text, slices
+from tidemark.llm.common import keyed_text, slices
+from tidemark.session import Scratch, stored
 
-VOCABULARY, BUCKET_BITS = 50_000, 21
 #: Weights of the bigram and the unigram estimate; the rest is uniform, so no probability is 0.
 BIGRAM, UNIGRAM = 0.6, 0.39
 #: Label tables up to so many rows are broadcast, after counting them; larger ones are joined by doc_id.
 BROADCAST_ROWS = 2_000_000
-#: Distinct words a task gathers before it sends them on.
-GATHER = 400_000
+#: Tokens after which a block ends; a text is never split. Items that a part holds in the mean at most.
+BLOCK_TOKENS, PART_ITEMS = 1_000_000, 500_000
+#: Ids of a block's start and end marks; words follow.
+START, END = 0, 1
+_MARKS = (b"\x00start", b"\x00end")
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+BLOCK_SCHEMA = "block long, doc_ids array<long>, good array<int>, lengths array<long>, words binary, ids binary"
+COUNT_SCHEMA = "part long, block long, keys binary, background binary, target binary"
+SUM_SCHEMA = "part long, block long, background binary, target binary, words long"
+SCORE_SCHEMA = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
 
 def tokens(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all texts, gathered in each task before the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers by planes of their bytes, of which the high ones compress to nothing."""
+    return zstandard.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
-        def out() -> pa.RecordBatch:
-            made = [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())]
-            counts.clear()
-            return pa.RecordBatch.from_arrays(made, names=["word", "n"])
 
-        for batch in batches:
-            for piece in slices(batch):
-                for text in piece.column(0).to_pylist():
-                    counts.update(tokens(text))
-                    if len(counts) > GATHER:
-                        yield out()
-        yield out()
+def unpack(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.uint64)
 
-    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+def blocks_of(rows: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """BLOCK_SCHEMA of rows (doc_id, text, good): word hashes of a block and its documents as ids of them, compressed."""
+    declared = StructType.fromDDL(BLOCK_SCHEMA)
 
-def vocabulary(docs: DataFrame, size: int) -> dict[bytes, int]:
-    """The most frequent words with ids from 1: all that reach the smallest count that at most size words reach.
-
-    Counts are binned on a logarithmic scale first, so the driver sees a few thousand bins and then at most size words,
-    however many tasks there are.
-    """
-    counted = word_counts(docs).withColumn("bin", F.floor(F.log2(F.col("n")) * 64).cast("int")).persist()
-    held, least = 0, None
-    for r in sorted(counted.groupBy("bin").agg(F.count("*").alias("words")).collect(), reverse=True):
-        held += r["words"]
-        if held > size:
-            break
-        least = r["bin"]
-    rows = [] if least is None else counted.where(F.col("bin") >= least).select("word", "n").collect()
-    counted.unpersist()
-    return {bytes(r["word"]): i for i, r in enumerate(sorted(rows, key=lambda r: (-r["n"], bytes(r["word"]))), 1)}
-
-
-class Coder:
-    """Words to ids and pairs to buckets."""
-
-    def __init__(self, vocab: dict[bytes, int], bits: int) -> None:
-        self.vocab, self.bits, self.size = vocab, bits, len(vocab) + 1
-
-    def ids(self, text: str) -> np.ndarray:
-        words = tokens(text)
-        return np.fromiter(map(self.vocab.get, words, repeat(0)), np.int64, len(words))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+        from pyspark.taskcontext import TaskContext
 
-    def buckets(self, ids: np.ndarray) -> np.ndarray:
-        """Of each pair of neighbours, by multiplicative hashing."""
-        pair = (ids[:-1] * self.size + ids[1:]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return (pair >> np.uint64(64 - self.bits)).astype(np.int64)
+        schema = to_arrow_schema(declared)
+        number = TaskContext.get().partitionId() << 32
+        known: dict[bytes, int] = {m: i for i, m in enumerate(_MARKS)}
+        doc_ids, good, lengths, ids = [], [], [], []
+        held = 0
 
+        def out() -> pa.RecordBatch:
+            words = np.fromiter((xxhash.xxh64_intdigest(w) for w in known), np.uint64, len(known))
+            packed = zstandard.compress(np.concatenate(ids or [np.empty(0, np.int32)]).tobytes(), 3)
+            made = [[number], [list(doc_ids)], [list(good)], [list(lengths)], [words.tobytes()], [packed]]
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(made, schema)], schema=schema)
 
-def model_counts(rows: DataFrame, coder_of, bits: int) -> DataFrame:
-    """(slot, background, target): counts of buckets and, after them, of words, over rows (text, good)."""
+        for batch in batches:
+            for piece in slices(batch):
+                for doc_id, text, mark in zip(*(piece.column(i).to_pylist() for i in range(3))):
+                    words = tokens(text)
+                    for w in words:
+                        if w not in known:
+                            known[w] = len(known)
+                    doc_ids.append(doc_id)
+                    good.append(mark)
+                    lengths.append(len(words))
+                    ids.append(np.fromiter(map(known.get, words, repeat(0)), np.int32, len(words)))
+                    held += len(words)
+                    if held >= block_tokens:
+                        yield out()
+                        number += 1
+                        known = {m: i for i, m in enumerate(_MARKS)}
+                        doc_ids, good, lengths, ids = [], [], [], []
+                        held = 0
+        if doc_ids:
+            yield out()
+
+    return rows.select("doc_id", "text", "good").mapInArrow(run, BLOCK_SCHEMA)
+
+
+class Block:
+    """A block's documents as pairs of ids, with its distinct items: words, then pairs in ascending order."""
+
+    def __init__(self, row: dict) -> None:
+        self.doc_ids, self.lengths = row["doc_ids"], np.array(row["lengths"], np.int64)
+        self.good = np.array(row["good"], np.int64)
+        self.words = np.frombuffer(row["words"], np.uint64)
+        ids = np.frombuffer(zstandard.decompress(row["ids"]) if self.lengths.sum() else b"", np.int32).astype(np.int64)
+        n = self.lengths
+        self.full = np.flatnonzero(n)  # empty texts have no tokens at all
+        ends = np.cumsum(n)[self.full]
+        # What is predicted: every word of a text, then the end mark; what precedes it: the start mark, then every word.
+        self.v = np.insert(ids, ends, END)
+        self.u = np.insert(ids, ends - n[self.full], START)
+        self.of = np.repeat(self.full, n[self.full] + 1)
+        self.pairs, self.at = np.unique(self.u * self.words.size + self.v, return_inverse=True)
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of words, then pairs, whose last bit is 1 for words that are predicted; and their order."""
+        size = self.words.size
+        pair = self.words[self.pairs // size] * _MIX ^ (self.words[self.pairs % size] + _MIX) * np.uint64(0xC2B2AE3D27D4EB4F)
+        keys = np.concatenate((self.words, pair)) >> np.uint64(8) << np.uint64(1)
+        keys[:size] |= np.uint64(1)
+        keys[START] &= ~np.uint64(1)
+        return keys, np.argsort(keys, kind="stable")
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Background and target counts of words, then pairs. A start mark's count is the number of texts."""
+        size, marked = self.words.size, self.good[self.of].astype(bool)
+
+        def of(keep: np.ndarray | slice) -> np.ndarray:
+            words = np.bincount(self.v[keep], minlength=size)
+            words[START] += int((self.u[keep] == START).sum())
+            return np.concatenate((words, np.bincount(self.at[keep], minlength=self.pairs.size)))
+
+        return of(slice(None)), of(marked)
+
+    def scores(self, sums: np.ndarray, totals: dict[str, int]) -> pa.Table:
+        """SCORE_SCHEMA from the sums (background, target) of the block's items."""
+        size, out = self.words.size, []
+        for k, name in ((1, "target"), (0, "background")):
+            words, pairs, total = sums[k, :size].astype(float), sums[k, size:], totals[name]
+            if total:
+                unigram, before = words[self.v] / total, words[self.u]
+                bigram = np.where(before > 0, pairs[self.at] / np.maximum(before, 1), unigram)
+                p = BIGRAM * bigram + UNIGRAM * unigram + (1 - BIGRAM - UNIGRAM) / totals["vocabulary"]
+            else:
+                p = np.full(self.v.size, 1 / max(totals["vocabulary"], 1))
+            out.append(np.bincount(self.of, -np.log(p), minlength=self.lengths.size).astype(float))
+        score = np.where(self.lengths > 0, (out[0] - out[1]) / (self.lengths + 1), 0.0)
+        return pa.table([pa.array(self.doc_ids, pa.int64()), pa.array(self.lengths), *map(pa.array, (out[0], out[1], score))], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of ordered 57-bit keys; parts is a power of two."""
+    return (keys >> np.uint64(58 - parts.bit_length())).astype(np.int64)
+
+
+def block_counts(blocks: DataFrame, parts: int) -> DataFrame:
+    """COUNT_SCHEMA: of every block and part the ordered keys, as differences, and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = coder_of.value
-        slots = (1 << bits) + coder.size
-        counts = np.zeros((2, slots), np.int64)
         for batch in batches:
-            for piece in slices(batch):
-                held: tuple[list, list] = ([], [])
-                for text, good in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
-                    ids = coder.ids(text)
-                    if ids.size:
-                        held[good].extend((ids + (1 << bits), coder.buckets(ids)))
-                for good in (0, 1):
-                    if held[good]:
-                        counts[good] += np.bincount(np.concatenate(held[good]), minlength=slots)
-        counts[0] += counts[1]
-        used = np.flatnonzero(counts[0])
-        for at in range(0, max(used.size, 1), 1 << 17):
-            part = used[at : at + (1 << 17)]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(counts[0, part]), pa.array(counts[1, part])], names=["slot", "background", "target"])
-
-    return rows.select("text", "good").mapInArrow(run, "slot long, background long, target long").groupBy("slot").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-class NgramModels:
-    """Target and background losses of token ids."""
-
-    def __init__(self, coder: Coder, slot: np.ndarray, background: np.ndarray, target: np.ndarray) -> None:
-        self.coder = coder
-        n = 1 << coder.bits
-        self.pairs, self.words = [], []
-        for counts in (target, background):
-            full = np.zeros(n + coder.size, np.float32)
-            full[slot] = counts
-            self.pairs.append(full[:n])
-            self.words.append(full[n:].astype(np.float64))
-        self.totals = [float(w.sum()) for w in self.words]
-
-    def losses(self, text: str) -> tuple[int, float, float]:
-        """Tokens, and the summed losses under target and background."""
-        ids = self.coder.ids(text)
-        if not ids.size:
-            return 0, 0.0, 0.0
-        buckets = self.coder.buckets(ids)
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                block = Block(row)
+                keys, order = block.keys()
+                counts = [c[order] for c in block.counts()]
+                keys = keys[order]
+                held = part_of(keys, parts)
+                ends = np.flatnonzero(np.diff(held, append=-1)) + 1
+                for start, end in zip([0, *ends[:-1]], ends):
+                    packed = [pack(np.diff(keys[start:end], prepend=np.uint64(0))), *(pack(c[start:end]) for c in counts)]
+                    yield pa.RecordBatch.from_arrays([pa.array([held[start]]), pa.array([row["block"]]), *(pa.array([x], pa.binary()) for x in packed)], names=["part", "block", "keys", "background", "target"])
+
+    return blocks.mapInArrow(run, COUNT_SCHEMA)
+
+
+def part_sums(counts: DataFrame) -> DataFrame:
+    """SUM_SCHEMA: of every block and part the sums over all blocks in the order of its keys; words: the part's distinct words, in one row of it."""
+
+    def run(part: pa.Table) -> pa.Table:
+        keys = [np.cumsum(unpack(x)) for x in part.column("keys").to_pylist()]
+        known, at = np.unique(np.concatenate(keys), return_inverse=True)
+        ends = np.cumsum([k.size for k in keys])[:-1]
         out = []
-        for pairs, words, total in zip(self.pairs, self.words, self.totals):
-            unigram = words[ids] / total if total else np.zeros(ids.size)
-            p = UNIGRAM * unigram + (1 - BIGRAM - UNIGRAM) / self.coder.size
-            p[0] += BIGRAM * unigram[0]
-            # A hashed count may exceed the context's, so the estimate is held at 1.
-            p[1:] += BIGRAM * np.minimum(pairs[buckets] / np.maximum(words[ids[:-1]], 1), 1)
-            out.append(float(-np.log(p).sum()))
-        return int(ids.size), out[0], out[1]
+        for name in ("background", "target"):
+            own = np.concatenate([unpack(x) for x in part.column(name).to_pylist()]).astype(float)
+            sums = np.bincount(at, own, minlength=known.size).astype(np.int64)
+            out.append([pack(x) for x in np.split(sums[at], ends)])
+        words = [int((known & np.uint64(1)).sum())] + [0] * (len(keys) - 1)
+        return pa.table([part.column("part"), part.column("block"), *(pa.array(x, pa.binary()) for x in out), pa.array(words)], names=["part", "block", "background", "target", "words"])
+
+    return counts.groupBy("part").applyInArrow(run, SUM_SCHEMA)
 
 
 def with_target(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> DataFrame:
@@ -158,24 +211,24 @@ def with_target(docs: DataFrame, labels: DataFrame, label_col: str = "quality")
     return keyed_text(docs).join(side, F.col("doc_id") == F.col("good_id"), "left").select("doc_id", "text", F.col("good_id").isNotNull().cast("int").alias("good"))
 
 
-def train(docs: DataFrame, labels: DataFrame, vocab_size: int = VOCABULARY, bits: int = BUCKET_BITS) -> NgramModels:
-    """Both models; at most vocab_size words and 2**bits + vocab_size + 1 counts reach the driver."""
-    rows = with_target(docs, labels)
-    coder = Coder(vocabulary(keyed_text(docs), vocab_size), bits)
-    table = model_counts(rows, docs.sparkSession.sparkContext.broadcast(coder), bits).toArrow()
-    return NgramModels(coder, *(table.column(c).to_numpy() for c in ("slot", "background", "target")))
-
-
-def score_documents(docs: DataFrame, models: NgramModels) -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, score); one pass, no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    def work(c: dict[str, list]) -> dict[str, list]:
-        made = [shared.value.losses(t) for t in c["text"]]
-        return {"doc_id": c["doc_id"], "n_tokens": [m[0] for m in made], "target_loss": [m[1] for m in made], "background_loss": [m[2] for m in made], "score": [(m[1] - m[2]) / max(m[0], 1) for m in made]}
-
-    return arrow_rows(keyed_text(docs), work, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
-
-
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, vocab_size: int = VOCABULARY, bits: int = BUCKET_BITS) -> DataFrame:
-    return score_documents(docs, train(docs, labels, vocab_size, bits))
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, score) of every row of docs."""
+    with Scratch(docs.sparkSession) as scratch:
+        blocks = scratch.store(blocks_of(with_target(docs, labels), block_tokens))
+        tokens_of = "aggregate(zip_with(lengths, good, (n, g) -> IF({}, n + 1, 0L)), 0L, (a, x) -> a + x)"
+        row = blocks.agg(*(F.coalesce(F.sum(F.expr(tokens_of.format(f"n > 0 AND g >= {least}"))), F.lit(0)).alias(name) for name, least in (("background", 0), ("target", 1)))).first()
+        # An item needs a token, so parts hold PART_ITEMS in the mean at most; a power of two.
+        parts = 1 << max(2 * row["background"] // PART_ITEMS, 1).bit_length()
+        sums = scratch.store(part_sums(block_counts(blocks, parts)))
+        totals = {"background": row["background"], "target": row["target"], "vocabulary": sums.agg(F.sum("words")).first()[0] or 0}
+
+        def score(left: pa.Table, right: pa.Table) -> pa.Table:
+            block = Block(left.to_pylist()[0])
+            _, order = block.keys()
+            rows = sorted(right.select(["part", "background", "target"]).to_pylist(), key=lambda r: r["part"])
+            found = np.zeros((2, order.size), np.int64)
+            for k, name in enumerate(("background", "target")):
+                found[k, order] = np.concatenate([unpack(r[name]) for r in rows]).astype(np.int64)
+            return block.scores(found, totals)
+
+        return stored(blocks.groupBy("block").cogroup(sums.drop("words").groupBy("block")).applyInArrow(score, SCORE_SCHEMA))
