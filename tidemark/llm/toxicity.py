@@ -1,11 +1,11 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-Training: labelled rows outside the held-out fold, at most TRAIN_ROWS of them by a hash and one of those
+Training: labelled rows outside the held-out fold, the TRAIN_ROWS of the smallest hashes of their ids at most, and one of those
 that share the smallest shingle hash (near copies would vote together), give the number of toxic and clean texts that
 hold each word and each word beginning (stems, so that inflected forms count together). A token's weight is the log-odds
-ratio of the two under a Dirichlet prior in proportion to its pooled count. Only tokens keep it whose likelihood ratio
-exceeds what the largest of so many tests reaches by chance; all others cost a little, so that a segment's expected
-score is negative.
+ratio of the two, of either sign, under a Dirichlet prior in proportion to its pooled count. A token whose likelihood ratio
+doesn't exceed what the largest of so many tests reaches by chance says nothing and has weight 0. Every token costs TOKEN_COST besides,
+so that a segment's expected score is negative.
 
 Scoring: one linear scan over a text finds all maximal segments (disjoint, each of the highest sum around it). By
 Karlin and Altschul a segment of score S in n tokens has E = K n exp(-lambda S) chance equals in clean text: lambda
@@ -13,8 +13,8 @@ solves sum p exp(lambda s) = 1 over the clean token scores and K is the median o
 clean training texts. Segments of E <= SIGNIFICANT are passages. A document's score is a logistic function of its best and
 summed bit scores, fitted on the training rows.
 
-Labels, language, source and doc_id are never inputs of a score. Whole texts are scanned. Model and training rows are
-bounded by TRAIN_ROWS and MAX_TOKENS, so they may pass through the driver.
+Labels, language, source and doc_id are never inputs of a score. Whole texts are scanned. Training rows are bounded by
+TRAIN_ROWS, so their ids and two numbers of each may pass through the driver, as may the weights, which only significant tokens of those texts have.
 
 Defined results: a null text counts as empty and has the score of no evidence; rows without a label or doc_id aren't
 trained on; without a label of either kind all scores are 0; repeated rows are scored alike.
@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import arrow_batches, arrow_rows, keyed_text, slices
 from tidemark.llm.simhash import shingle_hashes
 
-#: Labelled rows and tokens that training uses at most.
-TRAIN_ROWS, MAX_TOKENS = 40_000, 100_000
-#: Parts of the labels by a hash, of which training takes as many as it may.
+#: Labelled rows that training uses at most.
+TRAIN_ROWS = 40_000
+#: Parts of the labels by a hash: those beyond what training needs aren't sorted.
 SAMPLE_BUCKETS = 4096
 STEM, PRIOR, MIN_COUNT, TOKEN_COST, SIGNIFICANT, THRESHOLD = 4, 50.0, 3, 0.35, 0.05, 0.3
 MAX_WEIGHT = 6.0
@@ -159,18 +159,17 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
 
 
 def token_weights(rows: list[tuple[bytes, int, int]], n_toxic: int, n_clean: int, tests: int) -> dict[bytes, float]:
-    """Weights of significant tokens from (token, toxic, clean) texts: log-odds ratios under the Dirichlet prior of the pooled counts."""
+    """Weights of significant tokens from (token, toxic, clean) texts: log-odds ratios under the Dirichlet prior of the pooled counts, less the cost of a token."""
     total, out = n_toxic + n_clean, {}
     for token, toxic, clean in rows:
         both = toxic + clean
         expected = both * n_toxic / total
         ratio = 2 * sum(o * math.log(o / e) for o, e in ((toxic, expected), (clean, both - expected)) if o)
-        if both < MIN_COUNT or toxic <= expected or ratio < 2 * math.log(max(tests, 2)):
+        if both < MIN_COUNT or ratio < 2 * math.log(max(tests, 2)):
             continue
         prior = PRIOR * both / total
         odds = [math.log((y + prior) / (n + PRIOR - y - prior)) for y, n in ((toxic, n_toxic), (clean, n_clean))]
-        if odds[0] - odds[1] > TOKEN_COST:
-            out[token] = min(odds[0] - odds[1], MAX_WEIGHT) - TOKEN_COST
+        out[token] = max(-MAX_WEIGHT, min(odds[0] - odds[1], MAX_WEIGHT)) - TOKEN_COST
     return out
 
 
@@ -218,17 +217,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A model from labels (doc_id, toxic) outside the held-out fold; None if they lack one of the two classes."""
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 2)).select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("long").alias("toxic"))
     spark = docs.sparkSession
-    # Whole buckets of a hash, as many as hold train_rows at most, so that no task sends more than its share.
-    hashed = usable.withColumn("bucket", F.pmod(F.xxhash64("label_id"), F.lit(SAMPLE_BUCKETS)).cast("int"))
-    held, below = 0, 0
+    # Repeats of an id are one label, toxic if any of them is. A histogram of the hash bounds what is sorted for the smallest.
+    rank = F.xxhash64("label_id")
+    bucket = F.shiftrightunsigned(rank, 64 - SAMPLE_BUCKETS.bit_length() + 1)
+    hashed = usable.groupBy("label_id").agg(F.max("toxic").alias("toxic")).withColumn("bucket", bucket.cast("int")).withColumn("within", rank.bitwiseAND(F.lit((1 << 52) - 1)))
+    held, last = 0, 0
     for r in sorted(hashed.groupBy("bucket").agg(F.count("*").alias("n")).collect()):
-        held += r["n"]
-        if held > train_rows:
+        held, last = held + r["n"], r["bucket"]
+        if held >= train_rows:
             break
-        below = r["bucket"] + 1
-    picked: dict[int, int] = {}
-    for r in hashed.where(F.col("bucket") < below).select("label_id", "toxic").collect():
-        picked[r[0]] = max(r[1], picked.get(r[0], 0))
+    picked: dict[int, int] = dict(tuple(r) for r in hashed.where(F.col("bucket") <= last).orderBy("bucket", "within", "label_id").select("label_id", "toxic").limit(train_rows).collect())
     if len(set(picked.values())) < 2:
         return None
 
@@ -250,8 +248,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     expected = both * (n_toxic / (n_toxic + n_clean))
     part = lambda c, e: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / e)).otherwise(0.0)
     # A little below the bound, which token_weights applies exactly.
-    likely = counted.where((both >= MIN_COUNT) & (F.col("toxic") > expected) & (part("toxic", expected) + part("clean", both - expected) >= 0.999 * math.log(max(tests, 2))))
-    best = [(bytes(r[0]), r[1], r[2]) for r in likely.orderBy(F.desc("toxic"), "clean", "token").limit(MAX_TOKENS).collect()]
+    likely = counted.where((both >= MIN_COUNT) & (part("toxic", expected) + part("clean", both - expected) >= 0.999 * math.log(max(tests, 2))))
+    best = sorted((bytes(r[0]), r[1], r[2]) for r in likely.collect())
     weights = token_weights(best, n_toxic, n_clean, tests)
     counted.unpersist()
     model = SegmentModel(weights, 1.0)
@@ -270,12 +268,20 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     hist = measured.where("toxic = 0").select(F.explode("hist").alias("x")).groupBy("x.s").agg(F.sum("x.n").alias("n")).collect()  # as many rows as rounded weights
     scores, share = np.array([r[0] / 4 for r in hist] or [0.0]), np.array([float(r[1]) for r in hist] or [1.0])
     model.rate = karlin_rate(scores, share / share.sum())
-    seen = measured.select("toxic", "n", "segments").collect()  # at most train_rows
-    measured.unpersist()
-    clean = [model.rate * max(r[2], default=0.0) - math.log(max(r[1], 1)) for r in seen if not r[0]]
+    tops = measured.where("toxic = 0").select("n", F.coalesce(F.array_max("segments"), F.lit(0.0)).alias("best")).collect()  # at most train_rows
+    clean = [model.rate * best - math.log(max(n, 1)) for n, best in tops]
     model.log_k = float(np.median(clean)) + math.log(math.log(2)) if clean else 0.0
-    x = np.array([model.features(r[1], [(0, 0, s) for s in r[2]]) for r in seen])
-    model.logistic = fit_logistic(x, np.array([float(r[0]) for r in seen]))
+    shared = (model.rate, model.log_k)
+
+    def summarise(c: dict[str, list]) -> dict[str, list]:
+        known = SegmentModel({}, shared[0])
+        known.log_k = shared[1]
+        both = [known.features(n, [(0, 0, s) for s in segments]) for n, segments in zip(c["n"], c["segments"])]
+        return {"toxic": c["toxic"], "x": [x for x, _ in both], "y": [y for _, y in both]}
+
+    seen = arrow_rows(measured.select("toxic", "n", "segments", F.lit("").alias("text")), summarise, "toxic long, x double, y double").collect()  # two numbers of at most train_rows texts
+    measured.unpersist()
+    model.logistic = fit_logistic(np.array([[r["x"], r["y"]] for r in seen]), np.array([float(r["toxic"]) for r in seen]))
     return model
 
 
