@@ -3,8 +3,9 @@
 Calls (call_id, name, arguments as JSON, after: ids it depends on) and results (call_id, content) are linked by a hash
 join on the conversation and the identifier, as identifiers need be unique only within a conversation; rows without a conv_id are one
 conversation of their own. Calls are ordered topologically: a call's level is one more than the highest level of the
-calls it waits for. Chains of calls that wait for one other are shortened by pointer doubling; the calls that wait for
-several are peeled in rounds of equality joins; what is left when a round peels nothing waits for itself and has no level. Arguments are validated against the schema of the tool, and each call is
+calls it waits for. In rounds of equality joins waits that a longer way implies go, chains of calls that wait for one other are
+shortened to their ends by pointer doubling, and what then waits for known levels only gets its own; what is left when a round
+changes nothing waits for itself and has no level. There is no limit on rounds. Arguments are validated against the schema of the tool, and each call is
 serialised with its result as canonical JSON: keys sorted, no white space.
 
 call_turns() reads calls from a conversation table. Texts that are JSON objects with tool_calls or tool_call_id are taken as
@@ -13,7 +14,8 @@ such. Every other assistant turn is a call of the tool `reply`, with the turn's
 Defined results: null or unparsable arguments, unknown tools, missing, mistyped and unexpected arguments are listed in
 errors and never raise; results without a call are left out of the calls and kept by orphan_results(); of several results
 of a call the one of the earliest place (then the smallest text) is serialised and all are counted; repeated call ids of a conversation are one
-call, the earliest; a dependency on an unknown id is an error and doesn't delay; calls in or behind a cycle have null level.
+call, the earliest; a dependency on an unknown id is an error and doesn't delay; calls in or behind a cycle have null level; calls and results
+of null id can't be linked and are left out.
 """
 
 from __future__ import annotations
@@ -22,12 +24,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from tidemark.session import Scratch
 from tidemark.session import cut as _cut
 
 #: Tool name -> argument name -> (JSON type, required). Types: string, integer, number, boolean, array, object.
 SCHEMAS: dict[str, dict[str, tuple[str, bool]]] = {"reply": {"text": ("string", True), "turn": ("integer", True), "words": ("integer", True), "language": ("string", False)}}
-#: Rounds of peeling; each peels a level of calls that wait for several.
-MAX_ROUNDS = 100_000
+#: Waits a call may have for those that a longer way implies to be looked for; it only saves rounds.
+FEW_WAITS = 8
+#: Places within a turn.
+TURN = 1 << 20
 
 _CALL = StructType([StructField("id", StringType()), StructField("name", StringType()), StructField("arguments", StringType()), StructField("after", ArrayType(StringType()))])
 _MESSAGE = StructType([StructField("tool_calls", ArrayType(_CALL)), StructField("tool_call_id", StringType()), StructField("content", StringType())])
@@ -49,8 +54,8 @@ def call_turns(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     plain = (F.col("role") == "assistant") & F.col("m.tool_calls").isNull()
     arguments = F.to_json(F.struct(F.col("text"), F.col("turn"), words.alias("words")))
     # An id that isn't a call of the table simply finds nothing: only even distances between assistant turns are waited for.
-    plain_calls = parsed.where(plain).select("conv_id", F.col("turn").alias("place"), own_id(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"), F.when(F.col("turn") >= 2, F.array(own_id(F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("after"), F.lit(False).alias("declared"))
-    json_calls = parsed.where(F.col("m.tool_calls").isNotNull()).select("conv_id", "turn", F.posexplode("m.tool_calls").alias("at", "c")).select("conv_id", (F.col("turn") * 1000 + F.col("at")).alias("place"), F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.coalesce("c.after", F.array().cast("array<string>")).alias("after"), F.lit(True).alias("declared"))
+    plain_calls = parsed.where(plain).select("conv_id", (F.col("turn") * TURN).alias("place"), own_id(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), arguments.alias("arguments"), F.when(F.col("turn") >= 2, F.array(own_id(F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("after"), F.lit(False).alias("declared"))
+    json_calls = parsed.where(F.col("m.tool_calls").isNotNull()).select("conv_id", "turn", F.posexplode("m.tool_calls").alias("at", "c")).select("conv_id", (F.col("turn") * TURN + F.col("at")).alias("place"), F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.coalesce("c.after", F.array().cast("array<string>")).alias("after"), F.lit(True).alias("declared"))
     plain_results = parsed.where((F.col("role") == "user") & F.col("m.tool_call_id").isNull() & (F.col("turn") >= 1)).select("conv_id", own_id(F.col("turn") - 1).alias("call_id"), F.col("turn").alias("place"), F.col("text").alias("content"))
     json_results = parsed.where(F.col("m.tool_call_id").isNotNull()).select("conv_id", F.col("m.tool_call_id").alias("call_id"), F.col("turn").alias("place"), F.col("m.content").alias("content"))
     return plain_calls.unionByName(json_calls), plain_results.unionByName(json_results)
@@ -86,47 +91,72 @@ def argument_errors(name: Column, arguments: Column, schemas: dict[str, dict[str
     return found.otherwise(F.array(F.lit("unknown_tool")))
 
 
-def single_chains(waits: DataFrame) -> DataFrame:
-    """(call_id, anchor, steps) of calls that wait for one call each: the first call up the chain that doesn't, and how far it is.
+def _named(df: DataFrame, **names: str) -> DataFrame:
+    """The columns named, under the names given."""
+    return df.select(*(F.col(old).alias(new) for new, old in names.items()))
+
+
+def without_implied(left: DataFrame) -> DataFrame:
+    """Waits (call_id, after, steps) but those that a way over another wait of the call implies; a call all of whose waits are so, before a cycle, keeps them."""
+    few = left.groupBy("call_id").count().where((F.col("count") > 1) & (F.col("count") <= FEW_WAITS)).select("call_id")
+    direct = left.join(few, "call_id")
+    over = direct.join(_named(direct, call_id="call_id", via="after", first="steps"), "call_id").where("after <> via")
+    last = _named(left, via="call_id", after="after", last="steps")
+    implied = over.join(last, ["via", "after"]).where("first + last >= steps").select("call_id", "after").distinct().withColumn("implied", F.lit(True))
+    marked = left.join(implied, ["call_id", "after"], "left")
+    whole = implied.groupBy("call_id").agg(F.count("*").alias("implied_waits")).join(left.groupBy("call_id").agg(F.count("*").alias("waits")), "call_id").where("implied_waits = waits").select("call_id", F.lit(True).alias("whole"))
+    return marked.join(whole, "call_id", "left").where("implied IS NULL OR whole").select("call_id", "after", "steps")
+
+
+def single_chains(left: DataFrame, floors: DataFrame, scratch: Scratch) -> DataFrame:
+    """(call_id, anchor, steps, floor) of calls that wait for one call each: its level is the higher of floor and steps more than the anchor's, the first up the chain that waits for none or several.
 
     By pointer doubling, so a chain of n calls takes log2(n) rounds. Calls in or behind a cycle of such calls are left out.
     """
-    singles = waits.groupBy("call_id").agg(F.count("*").alias("n"), F.min("after").alias("anchor")).where("n = 1")
-    at = cut(singles.select("call_id", "anchor", F.lit(1).cast("long").alias("steps"), F.lit(True).alias("open")))
-    n = at.count()
-    for _ in range(n.bit_length() + 1):
-        far = at.select(F.col("call_id").alias("via"), F.col("anchor").alias("far"), F.col("steps").alias("more"))
-        at = cut(at.join(far, F.col("anchor") == F.col("via"), "left").select("call_id", F.coalesce("far", "anchor").alias("anchor"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("via").isNotNull().alias("open")))
+    singles = left.groupBy("call_id").agg(F.count("*").alias("n"), F.min("after").alias("anchor"), F.min("steps").alias("steps")).where("n = 1")
+    at = scratch.store(singles.join(floors, "call_id", "left").select("call_id", "anchor", "steps", F.coalesce("floor", F.lit(0).cast("long")).alias("floor"), F.lit(True).alias("open")))
+    for _ in range(at.count().bit_length() + 1):
+        far = at.select(F.col("call_id").alias("via"), F.col("anchor").alias("far"), F.col("steps").alias("more"), F.col("floor").alias("far_floor"))
+        joined = at.join(far, F.col("anchor") == F.col("via"), "left")
+        floor = F.greatest("floor", F.coalesce(F.col("far_floor") + F.col("steps"), F.lit(0)))
+        at = scratch.store(joined.select("call_id", F.coalesce("far", "anchor").alias("anchor"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), floor.alias("floor"), F.col("via").isNotNull().alias("open")))
         if not at.where("open").take(1):
             break
-    return at.where("NOT open").select("call_id", "anchor", "steps")
+    return scratch.store(at.where("NOT open").drop("open"))
 
 
 def call_levels(waits: DataFrame, ids: DataFrame) -> DataFrame:
     """(call_id, level): 0 for calls that wait for none, else one more than the highest they wait for; calls in or behind cycles are left out.
 
-    waits: (call_id, after), both among ids (call_id). Chains are shortened to their ends first; of what is left, the calls
-    that wait for several, each round of joins by id peels those whose waits are all known.
+    waits: (call_id, after), both among ids (call_id).
     """
-    waits = cut(waits.distinct())
-    chains = cut(single_chains(waits))
-    levels = cut(ids.join(waits, "call_id", "left_anti").select("call_id", F.lit(0).cast("long").alias("level")))
-    several = waits.groupBy("call_id").agg(F.count("*").alias("n")).where("n > 1").select("call_id")
-    to = chains.select(F.col("call_id").alias("after"), "anchor", "steps")
-    ends = waits.join(several, "call_id").join(to, "after", "left")
-    # A wait for a call that is itself an end stays as it is; one for a call of a cycle can't be met and is kept, so it blocks.
-    left = cut(ends.select("call_id", F.coalesce("anchor", "after").alias("after"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps")))
-    for _ in range(MAX_ROUNDS):
-        if not left.take(1):
-            break
-        met = left.join(levels.withColumnRenamed("call_id", "after"), "after", "left")
-        peeled = cut(met.groupBy("call_id").agg(F.bool_and(F.col("level").isNotNull()).alias("all_met"), F.max(F.col("level") + F.col("steps")).alias("level")).where("all_met").select("call_id", "level"))
-        if not peeled.take(1):
-            break
-        left = cut(left.join(peeled.select("call_id"), "call_id", "left_anti").select("call_id", "after", "steps"))
-        levels = cut(levels.unionByName(peeled))
-    through = chains.join(levels.withColumnRenamed("call_id", "anchor"), "anchor").select("call_id", (F.col("level") + F.col("steps")).alias("level"))
-    return levels.unionByName(through)
+    with Scratch(ids.sparkSession) as scratch:
+        left = scratch.store(waits.select("call_id", "after").distinct().withColumn("steps", F.lit(1).cast("long")))
+        levels = scratch.store(ids.join(left, "call_id", "left_anti").select("call_id", F.lit(0).cast("long").alias("level")))
+        floors = scratch.store(levels.select("call_id", F.col("level").alias("floor")).limit(0))
+        led, size = [], left.count()
+        while size:
+            chains = single_chains(left, floors, scratch)
+            led.append(chains)
+            several = left.join(chains, "call_id", "left_anti")
+            # A wait for a chain's call is one for its end and a least level; one for a call of a cycle is kept, so it blocks.
+            ends = several.join(_named(chains, after="call_id", anchor="anchor", more="steps", least="floor"), "after", "left")
+            ends = scratch.store(ends.select("call_id", F.coalesce("anchor", "after").alias("after"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), (F.col("steps") + F.col("least")).alias("floor")))
+            met = scratch.store(ends.join(_named(levels, after="call_id", level="level"), "after", "left"))
+            floors = met.select("call_id", F.greatest("floor", F.col("level") + F.col("steps")).alias("floor")).unionByName(floors.join(several.select("call_id").distinct(), "call_id", "left_semi")).groupBy("call_id").agg(F.max("floor").alias("floor"))
+            floors = scratch.store(floors)
+            open_ = met.where("level IS NULL").groupBy("call_id", "after").agg(F.max("steps").alias("steps"))
+            done = met.groupBy("call_id").agg(F.bool_and(F.col("level").isNotNull()).alias("all_met")).where("all_met").select("call_id")
+            levels = scratch.store(levels.unionByName(floors.join(done, "call_id", "left_semi").select("call_id", F.col("floor").alias("level"))))
+            left = scratch.store(without_implied(open_))
+            now = left.count()
+            if now == size and not chains.take(1) and not done.take(1):
+                break
+            size = now
+        for chains in reversed(led):
+            through = chains.join(_named(levels, anchor="call_id", level="level"), "anchor").select("call_id", F.greatest("floor", F.col("level") + F.col("steps")).alias("level"))
+            levels = scratch.store(levels.unionByName(through))
+        return scratch.keep(levels)
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]] | None = None) -> DataFrame:
