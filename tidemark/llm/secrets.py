@@ -1,9 +1,11 @@
 """Secret scans with structural confirmation.
 
 Base spans come from three fixed patterns (assign, access, hex). The method adds spans of candidates that
-decode: base64 or hex runs are decoded and accepted only if the bytes parse as a key encoding (DER with lengths
-that nest exactly, an SSH wire-format key, an OpenSSH private key, a PEM body) or if a dotted triple has a
-signed-token header. A run that merely looks random is not reported.
+decode: base64 (also wrapped over lines) or hex runs are decoded and accepted only if the bytes parse as a key: DER whose lengths nest
+exactly and whose elements have the shape of a key or certificate (a signature's two numbers have not), SSH wire format with
+the fields of its algorithm, an OpenSSH private key field by field, a PEM block (header lines and escaped line breaks
+allowed) around one of these or, with an encryption header, around whole cipher blocks, or a dotted triple with a
+signed-token header. A run that merely looks random is not reported. Public keys and certificates are key encodings too.
 
 Defined results: a null text counts as empty; empty texts have no spans; repeated rows give repeated results;
 spans are offsets in code points, end exclusive. Extra input columns are ignored.
@@ -33,12 +35,15 @@ MIN_ASSIGN = 6
 TOKEN = re.compile(rb"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
 BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{32,}={0,2}")
 HEX_ANY = re.compile(rb"(?:[0-9a-fA-F]{2}){24,}")
-PEM = re.compile(rb"-----BEGIN ([A-Z0-9 ]*(?:PRIVATE KEY|PUBLIC KEY|CERTIFICATE))-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+WRAPPED = re.compile(rb"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{48,76}\r?\n)++(?:[A-Za-z0-9+/]{1,76}={0,2})?")
+PEM_BEGIN = re.compile(rb"-----BEGIN ([A-Z0-9 ]*(?:PRIVATE KEY|PUBLIC KEY|CERTIFICATE))-----")
+PEM_HEADER = re.compile(rb"[A-Za-z][A-Za-z0-9-]*:[^\n]*\n")
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "jwt", "der", "ssh", "pem")
 _RANK = {k: i for i, k in enumerate(KINDS)}
-_SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521", b"sk-ssh-ed25519@openssh.com")
+# SSH algorithms with the number of fields of a public key, the name included.
+_SSH_FIELDS = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3, b"ecdsa-sha2-nistp521": 3, b"sk-ssh-ed25519@openssh.com": 3}
 _OPENSSH_MAGIC = b"openssh-key-v1\0"
 _TOKEN_ALGS = re.compile(r"(?:HS|RS|ES|PS)(?:256|384|512)|EdDSA|none", re.ASCII)
 
@@ -71,40 +76,80 @@ def der_element(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, body, body + size) if body + size <= end else None
 
 
-def is_der_key(data: bytes) -> bool:
-    """A SEQUENCE that spans all bytes, whose nested lengths add up exactly and which holds an INTEGER, a bit or an octet string."""
-    top = der_element(data, 0, len(data))
-    if not top or top[0] != 0x30 or top[2] != len(data) or top[1] == top[2]:
-        return False
-    seen: set[int] = set()
-    todo = [(top[1], top[2], 0)]
-    while todo:
-        at, end, depth = todo.pop()
-        if depth > 16:
-            return False
-        while at < end:
-            e = der_element(data, at, end)
-            if e is None:
-                return False
-            seen.add(e[0])
-            if e[0] & 0x20:
-                todo.append((e[1], e[2], depth + 1))
-            at = e[2]
-    return bool(seen & {0x02, 0x03, 0x04}) and len(data) >= 24
+def der_tree(data: bytes, at: int, end: int, depth: int = 0) -> list[tuple[int, int, list, int]] | None:
+    """(tag, length, elements within, start of content) of the elements that fill at..end exactly; None if any length doesn't fit or nesting passes 16."""
+    out = []
+    while at < end:
+        e = der_element(data, at, end)
+        within = der_tree(data, e[1], e[2], depth + 1) if e and e[0] & 0x20 and depth < 16 else [] if e and not e[0] & 0x20 else None
+        if within is None:
+            return None
+        out.append((e[0], e[2] - e[1], within, e[1]))
+        at = e[2]
+    return out
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """An OpenSSH private key, or a public key whose length-prefixed fields fill the bytes exactly."""
-    if data.startswith(_OPENSSH_MAGIC):
-        return True
-    fields, at = [], 0
+def is_der_key(data: bytes) -> bool:
+    """One SEQUENCE whose lengths add up and whose elements are those of a private or public key or a certificate."""
+    top = der_tree(data, 0, len(data)) if len(data) >= 24 and data[0] == 0x30 else None
+    if not top or len(top) != 1:
+        return False
+    parts = top[0][2]
+    tags = [x[0] for x in parts]
+    algorithm = lambda k: len(tags) > k and tags[k] == 0x30 and bool(parts[k][2]) and parts[k][2][0][0] == 0x06
+    if tags[:1] == [0x02] and parts[0][1] <= 1:  # a version first
+        version = data[parts[0][3]] if parts[0][1] else 99
+        numbers = set(tags) == {0x02} and version <= 1 and len(tags) in (6, 9) and parts[1][1] >= 32
+        return numbers or algorithm(1) and tags[2:3] == [0x04] or tags[1:2] == [0x04] and parts[1][1] >= 16 and set(tags[2:]) <= {0xA0, 0xA1} or version == 3 and algorithm(1)
+    if tags == [0x02, 0x02]:  # modulus and exponent; a signature's numbers are of one size
+        return parts[0][1] >= 64 and parts[1][1] <= 8
+    # An encrypted key, a public key, a certificate.
+    return algorithm(0) and tags[1:] in ([0x04], [0x03]) or tags == [0x30, 0x30, 0x03] and algorithm(1)
+
+
+def ssh_strings(data: bytes, at: int = 0) -> list[bytes] | None:
+    """The length-prefixed fields that fill data from at exactly; None if they don't."""
+    fields = []
     while at + 4 <= len(data):
         n = int.from_bytes(data[at : at + 4], "big")
         if at + 4 + n > len(data):
-            return False
+            return None
         fields.append(data[at + 4 : at + 4 + n])
         at += 4 + n
-    return at == len(data) and len(fields) >= 2 and fields[0] in _SSH_NAMES
+    return fields if at == len(data) else None
+
+
+def is_ssh_key(data: bytes) -> bool:
+    """A public key with the fields of its algorithm, or an OpenSSH private key whose header, public and private parts parse."""
+    if not data.startswith(_OPENSSH_MAGIC):
+        fields = ssh_strings(data)
+        return bool(fields) and _SSH_FIELDS.get(fields[0]) == len(fields) and all(fields[1:])
+    head, at = [], len(_OPENSSH_MAGIC)
+    for _ in range(3):  # cipher, derivation, its options
+        n = int.from_bytes(data[at : at + 4], "big")
+        head.append(data[at + 4 : at + 4 + n])
+        at += 4 + n
+    keys, rest = int.from_bytes(data[at : at + 4], "big"), ssh_strings(data, at + 4)
+    if not rest or keys < 1 or len(rest) != keys + 1 or not all(map(is_ssh_key, rest[:-1])) or not rest[-1] or len(rest[-1]) % 8:
+        return False
+    return head[0] != b"none" or rest[-1][:4] == rest[-1][4:8]  # an open private part begins with a number twice
+
+
+def pem_spans(raw: bytes) -> list[tuple[int, int, str]]:
+    """PEM blocks that hold a key, or are encrypted; a block has no dashes between its lines of dashes."""
+    found = []
+    for m in PEM_BEGIN.finditer(raw):
+        at, tail = raw.find(b"-----", m.end()), b"-----END " + m[1] + b"-----"
+        if at < 0 or not raw.startswith(tail, at):
+            continue
+        body = raw[m.end() : at].replace(b"\\r", b"").replace(b"\\n", b"\n").lstrip()
+        headers = b""
+        while h := PEM_HEADER.match(body, len(headers)):
+            headers = body[: h.end()]
+        data = unbase64(re.sub(rb"\s", b"", body[len(headers) :]))
+        if data and (key_kind(data) or b"ENCRYPTED" in headers and b"DEK-Info:" in headers and len(data) % 8 == 0 and m[1].endswith(b"PRIVATE KEY")):
+            found.append((m.start(), at + len(tail), "pem"))
+    return found
 
 
 def is_signed_token(run: bytes) -> bool:
@@ -137,12 +182,20 @@ def confirmed_spans(raw: bytes) -> list[tuple[int, int, str]]:
     if b"eyJ" in raw:
         found += [(*m.span(), "jwt") for m in TOKEN.finditer(raw) if is_signed_token(m[0])]
     if b"-----BEGIN " in raw:
-        found += [(*m.span(), "pem") for m in PEM.finditer(raw) if (body := unbase64(re.sub(rb"\s", b"", m[2]))) and (key_kind(body) or body.startswith(b"\x30"))]
+        found += pem_spans(raw)
     taken = list(found)
     free = lambda m: not any(s < m.end() and m.start() < e for s, e, _ in taken)
     hexes = [m for m in HEX_ANY.finditer(raw)]
     found += [(*m.span(), kind) for m in hexes if free(m) and (kind := key_kind(bytes.fromhex(m[0].decode())))]
     taken = list(found)
+    for m in WRAPPED.finditer(raw) if b"\n" in raw else ():
+        # What follows a whole last line may be another text.
+        last = m.start() + len(m[0].rstrip(b"\r\n"))
+        for end in (last, raw.rfind(b"\n", m.start(), last)):
+            if free(m) and end > 0 and (kind := key_kind(unbase64(raw[m.start() : end].replace(b"\r", b"").replace(b"\n", b"")))):
+                found.append((m.start(), end, kind))
+                break
+    taken = list(found)
     found += [(*m.span(), kind) for m in BASE64.finditer(raw) if free(m) and (kind := key_kind(unbase64(m[0])))]
     return found
 
