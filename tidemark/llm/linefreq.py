@@ -3,10 +3,12 @@
 Within a document: words, their code points, symbols, repeated lines and words in repeated 3-word windows. Across
 documents: lines are normalised (A-Z lower-cased, digits made 0, runs of white space made one space) and hashed, and for
 each host (the source column) the distinct documents that hold a line are counted; exact copies of a text are one
-document, as telling copies apart is deduplication's task. A line is removed where its count is above
+document, as telling copies apart is deduplication's task, unless copies=True counts each. A line is removed where its count is above
 max(MIN_DOCS, SHARE x documents of the host). A document is rejected if it fails the base rules or if removal depletes it:
 fewer than MIN_WORDS words left, or less than LEFT_SHARE of them.
 
+quality_verdicts() judges, remove_frequent_lines() returns the documents with those lines cut from their texts.
+
 Defined results: a null text counts as empty (no words, rejected); a null host is one host; repeated rows are judged
 alike; an empty table gives no rows; other input columns are ignored.
 """
@@ -14,11 +16,12 @@ alike; an empty table gives no rows; other input columns are ignored.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_rows
+from tidemark.llm.common import arrow_batches, arrow_rows, unused
 from tidemark.session import cut
 
 MIN_WORDS, REPEAT_PERCENT = 50, 50
@@ -47,6 +50,11 @@ def repeated_window_words(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
+def line_hash(parts: list[bytes]) -> int:
+    """Of a normalised line, signed."""
+    return xxhash.xxh64_intdigest(b" ".join(parts).translate(_NORMAL)) - (1 << 63)
+
+
 def document_counts(text: str) -> tuple[int, int, int, int, int, list[tuple[int, int]]]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and (hash, words) of each distinct normalised line."""
     raw = text.encode("utf-8", "surrogatepass")
@@ -63,7 +71,7 @@ def document_counts(text: str) -> tuple[int, int, int, int, int, list[tuple[int,
             lines[key] = lines.get(key, 0) + len(parts)
     hashed: dict[int, int] = {}
     for key, n in lines.items():
-        h = xxhash.xxh64_intdigest(key.translate(_NORMAL)) - (1 << 63)
+        h = line_hash([key])
         hashed[h] = hashed.get(h, 0) + n
     chars = len(text) - (len(raw) - len(raw.translate(None, _SPACE)))
     return len(words), chars, len(raw) - len(raw.translate(None, _SYMBOLS)), repeats, repeated_window_words(words), list(hashed.items())
@@ -72,37 +80,68 @@ def document_counts(text: str) -> tuple[int, int, int, int, int, list[tuple[int,
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def quality_verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, min_words: int = MIN_WORDS, left_share: float = LEFT_SHARE, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(doc_id, the five counts, removed_words, base_failed, kept) for every row of docs."""
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"))
+def line_table(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """(doc_id, host, digest, row, the five counts, lines) for every row of docs, stored; digest is a hash of the text."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.xxhash64(text).alias("digest"))
 
     def work(c: dict[str, list]) -> dict[str, list]:
         made = [document_counts(t) for t in c["text"]]
         out = {name: [m[i] for m in made] for i, name in enumerate(_COUNTS)}
-        digest = [xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t in c["text"]]
-        return out | {"doc_id": c["doc_id"], "host": c["host"], "digest": digest, "lines": [[{"h": h, "n": n} for h, n in m[5]] for m in made]}
+        return out | {k: c[k] for k in ("doc_id", "host", "digest")} | {"lines": [[{"h": h, "n": n} for h, n in m[5]] for m in made]}
 
     schema = "doc_id long, host string, digest long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", lines array<struct<h: long, n: int>>"
-    rows = cut(arrow_rows(plain, work, schema).withColumn("row", F.monotonically_increasing_id()))
+    return cut(arrow_rows(plain, work, schema).withColumn("row", F.monotonically_increasing_id()))
 
-    distinct = rows.groupBy("host", "digest").agg(F.first("lines").alias("lines"))  # copies meet before the shuffle
+
+def line_hits(rows: DataFrame, min_docs: int, share: float, copies: bool) -> DataFrame:
+    """(row, h, n): the lines of each row of a line_table that are above the limit of their host."""
+    one = ["host", "doc_id", "digest"] if copies else ["host", "digest"]
+    distinct = rows.groupBy(*one).agg(F.first("lines").alias("lines"))  # copies meet before the shuffle
     hosts = distinct.groupBy("host").agg(F.count("*").alias("docs"))
     counted = distinct.select("host", F.explode("lines.h").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
     # Both sides are aggregates; a host has one row here, so its lines meet no more than that.
     frequent = cut(counted.join(hosts, "host").where(F.col("n") > F.greatest(F.lit(float(min_docs)), F.lit(share) * F.col("docs"))).select("host", "h"))
     lines = rows.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.h", "line.n")
     if frequent.count() <= BROADCAST_ROWS:
-        hit = lines.join(F.broadcast(frequent), ["host", "h"])
-    else:
-        salted = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        hit = lines.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted, ["host", "h", "salt"])
-    removed = hit.groupBy("row").agg(F.sum("n").cast("long").alias("removed_words"))
+        return lines.join(F.broadcast(frequent), ["host", "h"])
+    salted = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return lines.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted, ["host", "h", "salt"])
+
+
+def quality_verdicts(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, min_words: int = MIN_WORDS, left_share: float = LEFT_SHARE, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", copies: bool = False) -> DataFrame:
+    """(doc_id, the five counts, removed_words, base_failed, kept) for every row of docs."""
+    rows = line_table(docs, id_col, text_col, host_col)
+    removed = line_hits(rows, min_docs, share, copies).groupBy("row").agg(F.sum("n").cast("long").alias("removed_words"))
     judged = rows.drop("lines").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT)
     left = F.col("n_words") - F.col("removed_words")
     return judged.select("doc_id", *_COUNTS, "removed_words", failed.alias("base_failed"), (~failed & (left >= min_words) & (left >= F.col("n_words") * left_share)).alias("kept"))
 
 
+def remove_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", copies: bool = False) -> DataFrame:
+    """docs with the lines above the limits cut from their texts; all rows and columns are kept, other lines stay as they are."""
+    rows = line_table(docs, id_col, text_col, host_col)
+    hits = line_hits(rows, min_docs, share, copies).groupBy("row").agg(F.collect_set("h").alias("hashes"))  # as many as a document has lines
+    hit_id, hit_host, hit_digest, gone = unused(docs, "hit_id", "hit_host", "hit_digest", "gone")
+    found = rows.join(hits, "row").groupBy(F.col("doc_id").alias(hit_id), F.col("host").alias(hit_host), F.col("digest").alias(hit_digest)).agg(F.first("hashes").alias(gone))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    here = F.col(id_col).cast("long").eqNullSafe(F.col(hit_id)) & (F.coalesce(F.col(host_col).cast("string"), F.lit("")) == F.col(hit_host)) & (F.xxhash64(text) == F.col(hit_digest))
+    marked = docs.join(found, here, "left").select(*docs.columns, gone)
+    at, names = docs.columns.index(text_col), docs.columns
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        field = batch.schema.field(at)
+        texts = [t if t is None or not hashes else without_lines(t, set(hashes)) for t, hashes in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist())]
+        return batch.set_column(at, field, pa.array(texts, field.type))
+
+    return arrow_batches(marked, work, text_col).select(*names)
+
+
+def without_lines(text: str, hashes: set[int]) -> str:
+    return "\n".join(line for line in text.split("\n") if line_hash(line.encode("utf-8", "surrogatepass").split()) not in hashes)
+
+
 def quality_digest(docs: DataFrame) -> DataFrame:
     """The contract's columns and removed_words."""
     return quality_verdicts(docs)
