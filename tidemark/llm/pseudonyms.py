@@ -4,7 +4,8 @@ Candidates are found by one pattern and validated by kind: payment cards (Luhn),
 numbers (ranges that are issued), IPv4 addresses (octets up to 255), telephone numbers (formats), calendar dates, and the
 local part of e-mail addresses. Each valid value is permuted within its format by a keyed, alternating Feistel network
 over its characters: in a round one half of the characters is shifted, each within its own alphabet (digits, a-z, A-Z),
-by numbers drawn from SHA-256 of the key, the kind, the round and the other half. Every round can be undone with the key, so
+by numbers drawn from SHA-256 of the key, the kind, the round and the other half. Social security numbers are permuted among the
+issued ones; a telephone number's country code is read from its digits, so that it stays and separators don't matter. Every round can be undone with the key, so
 different values stay different, and equal values get equal pseudonyms in every document. Check digits are worked out
 afresh; octets are permuted modulo 256; dates are permuted as day numbers within a block of 73,000 days (1900-01-01
 begins one). What fails validation is left as it is.
@@ -15,10 +16,13 @@ both day-first and month-first counts as day-first; other columns are kept as th
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import unused
+
 KEY, ROUNDS = "tidemark-demo-key", 8
 BLOCK_DAYS, DAY_HIGH, DAY_LOW, FIRST_DAY = 73_000, 292, 250, -25_567
 
@@ -29,9 +33,11 @@ FORMATS = {
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-]|\.[0-9])",
     "ipv4": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z])(?:[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{8,15}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]\(?[0-9]{1,4}\)?){2,5}(?![0-9A-Za-z])",
 }
+# Country calling codes of one and of two digits; all others have three.
+CALLING_CODE = r"^(?:[17]|2[07]|3[0-4]|36|39|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 CANDIDATE = "|".join(FORMATS.values())
 #: What every candidate contains; other texts aren't split.
 HINT = r"@[A-Za-z0-9]|[0-9][^A-Za-z]{0,3}[0-9]"
@@ -177,17 +183,27 @@ def pseudonym(value: Column, kind: Column, key: str = KEY) -> Column:
     account = feistel_text(F.substring(bare, F.lit(5), F.length(bare)), key, F.lit("iban"))
     country = F.substring(bare, 1, 2)
     iban = bound(account, lambda a: F.concat(country, F.lpad((98 - iban_mod(F.concat(country, F.lit("00"), a))).cast("string"), 2, "0"), a))
-    # A telephone number keeps its country code, the digits after + up to a separator.
-    prefix = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
-    rest = F.substring(value, F.length(prefix) + 1, F.length(value))
-    phone = F.concat(prefix, refill(rest, feistel_text(F.regexp_replace(rest, "[^0-9]", ""), key, F.concat(F.lit("phone"), prefix))))
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    country_code = F.when(value.startswith("+"), F.regexp_extract(digits, CALLING_CODE, 0)).otherwise(F.lit(""))
+    national = F.substring(digits, F.length(country_code) + 1, F.length(digits))
+    phone = refill(value, F.concat(country_code, feistel_text(national, key, F.concat(F.lit("phone+"), country_code))))
+    # Issued areas are 1 to 899 without 666, groups 1 to 99, serials 1 to 9999.
+    area, group, serial = (F.substring(bare, at, n).cast("long") for at, n in ((1, 3), (4, 2), (6, 4)))
+    pair = feistel_pair((area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1, serial - 1, 898 * 99, 9999, key, F.lit("ssn"))
+
+    def issued(p: Column) -> Column:
+        number = F.floor(p["a"] / 99) + 1
+        number = number + F.when(number >= 666, 1).otherwise(0)
+        return F.concat(F.lpad(number.cast("string"), 3, "0"), F.lpad((p["a"] % 99 + 1).cast("string"), 2, "0"), F.lpad((p["b"] + 1).cast("string"), 4, "0"))
+
+    ssn = bound(pair, issued)
     local = F.substring_index(value, "@", 1)
     return (
         F.when(kind == "email", F.concat(feistel_text(local, key, F.lit("email")), F.substring(value, F.length(local) + 1, F.length(value))))
         .when(kind == "iban", refill(value, iban))
         .when(kind == "date", _date_pseudonym(value, key))
         .when(kind == "ipv4", _ipv4_pseudonym(value, key))
-        .when(kind == "ssn", refill(value, feistel_text(bare, key, F.lit("ssn"))))
+        .when(kind == "ssn", refill(value, ssn))
         .when(kind == "card", refill(value, checked))
         .when(kind == "phone", phone)
     )
@@ -201,15 +217,16 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text_col: str = "text", values
     text = F.col(text_col)
     found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>"))
     names = [c for c in docs.columns if c != values_col]
-    step = docs.select(*names, F.coalesce(found, F.array().cast("array<string>")).alias("__found"))
-    step = step.withColumn("__kinds", F.transform("__found", kind_of))
-    new = F.zip_with("__found", "__kinds", lambda v, k: F.struct(k.alias("kind"), F.when(k.isNull(), v).otherwise(pseudonym(v, k, key)).alias("pseudonym")))
-    step = step.withColumn("__new", new)
+    values, kinds, new = unused(docs, "found", "kinds", "new")
+    step = docs.select(*names, F.coalesce(found, F.array().cast("array<string>")).alias(values))
+    step = step.withColumn(kinds, F.transform(values, kind_of))
+    made = F.zip_with(values, kinds, lambda v, k: F.struct(k.alias("kind"), F.when(k.isNull(), v).otherwise(pseudonym(v, k, key)).alias("pseudonym")))
+    step = step.withColumn(new, made)
     pieces = F.split(text, CANDIDATE, -1)
-    after = F.concat(F.transform("__new", lambda x: x["pseudonym"]), F.array(F.lit("")))
+    after = F.concat(F.transform(new, lambda x: x["pseudonym"]), F.array(F.lit("")))
     joined = F.array_join(F.zip_with(pieces, after, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    done = F.when(F.size("__found") == 0, text).otherwise(joined)
-    return step.select(*(done.alias(c) if c == text_col else F.col(c) for c in names), F.filter("__new", lambda x: x["kind"].isNotNull()).alias(values_col))
+    done = F.when(F.size(values) == 0, text).otherwise(joined)
+    return step.select(*(done.alias(c) if c == text_col else F.col(c) for c in names), F.filter(new, lambda x: x["kind"].isNotNull()).alias(values_col))
 
 
 def pii_digest(docs: DataFrame, key: str = KEY) -> DataFrame:
