@@ -35,17 +35,17 @@ SALTS = 64
 
 
 class FileTokenizer:
-    """ids of texts as a `tokenizers` file gives them, with special tokens' strings taken as ordinary text.
+    """ids of texts as a `tokenizers` file gives them, without special tokens of its own; the strings of added tokens in a text are these tokens.
 
     A byte-level BPE file whose merges are in the order of their results' ids has a second, faster form: the
-    vocabulary as ranks. It is used where the file has that form, and gives the same ids.
+    vocabulary as ranks. It is used where the file has that form and the text no added token, and gives the same ids.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.ranked = None
         if ranks := byte_ranks(path):
             import public_tokenizers
@@ -56,9 +56,12 @@ class FileTokenizer:
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Of each text its ids, unsigned 32-bit."""
         if self.ranked:
-            return [self.ranked.encode_to_numpy(t) if t else np.empty(0, np.uint32) for t in texts]
+            return [self.ranked.encode_to_numpy(t) if t and not any(a in t for a in self.added) else self.exact(t) for t in texts]
         return [np.array(e.ids, np.uint32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def exact(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids if text else [], np.uint32)
+
 
 def byte_ranks(path: str) -> dict[bytes, int] | None:
     """The vocabulary as bytes by id, if the file is plain byte-level BPE with merges in id order; else None."""
