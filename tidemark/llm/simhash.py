@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_rows, keyed_text
+from tidemark.llm.common import arrow_rows, keyed_text, unused
 from tidemark.llm.components import connected_components
 from tidemark.session import Scratch, stored
 
@@ -317,15 +317,16 @@ def _first_rows(docs: DataFrame, text_hash: Column, labelled: DataFrame) -> Data
     held = labelled.groupBy("root", "doc_id", "th").count()
     same = F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("th") == F.col("k_th"))
     # A row that stays has no mark unless it is repeated.
-    marks = stored(held.join(kept, "root").withColumn("stays", same).where("NOT stays OR count > 1").select(F.col("doc_id").alias("__mark_id"), F.col("th").alias("__mark_th"), F.col("stays").alias("__mark_stays")))
-    side = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
-    rows = docs.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("__mark_id")) & (text_hash == F.col("__mark_th")), "left")
-    once = rows.where("__mark_stays IS NULL").select(*docs.columns)
-    if not marks.where("__mark_stays").take(1):
+    mark_id, mark_th, stays = unused(docs, "mark_id", "mark_th", "stays")
+    marks = stored(held.join(kept, "root").withColumn("same", same).where("NOT same OR count > 1").select(F.col("doc_id").alias(mark_id), F.col("th").alias(mark_th), F.col("same").alias(stays)))
+    few = marks.count() <= BROADCAST_ROWS
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col(mark_id)) & (text_hash == F.col(mark_th))
+    once = docs.join(F.broadcast(marks) if few else marks, here, "left").where(F.col(stays).isNull()).select(*docs.columns)
+    again = marks.where(stays)
+    if not again.take(1):
         return once
-    again = F.broadcast(marks.where("__mark_stays")) if marks.count() <= BROADCAST_ROWS else marks.where("__mark_stays")
-    repeated = docs.join(again, F.col("doc_id").cast("long").eqNullSafe(F.col("__mark_id")) & (text_hash == F.col("__mark_th")))
-    return once.unionByName(repeated.dropDuplicates(["__mark_id", "__mark_th"]).select(*docs.columns))
+    repeated = docs.join(F.broadcast(again) if few else again, here)
+    return once.unionByName(repeated.dropDuplicates([mark_id, mark_th]).select(*docs.columns))
 
 
 def near_dedup(docs: DataFrame, max_bits: int = 4, shingle: int = 4) -> DataFrame:
