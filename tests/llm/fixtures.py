@@ -19,7 +19,7 @@ TEXTS = [
     (11, "A b C d e F"),
     (12, "a B c D E f"),
 ]
-CLASHING = ("component_id", "fp", "score", "row", "spans", "media", "piece", "salt", "copy", "pii", "th", "n", "host", "words", "length")
+CLASHING = ("component_id", "fp", "score", "row", "spans", "media", "piece", "salt", "copy", "pii", "th", "n", "host", "words", "length", "src", "parts", "table", "found", "kinds", "new", "mark_id", "stays", "root", "hit_id", "gone", "block", "good", "label_id", "__id", "__table", "__found", "__th", "__again", "__src", "__u", "__n", "__kinds", "__new", "__node", "__fp")
 
 
 def documents(spark, texts=TEXTS, extra=True):

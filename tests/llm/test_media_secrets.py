@@ -111,3 +111,44 @@ def test_secret_query_and_masking(spark):
     masked = S.redact_secrets(docs)
     assert masked.columns == docs.columns
     assert {r["doc_id"]: r["text"] for r in masked.collect()} == {1: "é [SECRET] and [SECRET]", 2: None, 3: "", 4: "clean", 5: "[SECRET]"}
+
+
+def ssh_fields(*parts):
+    return b"".join(len(x).to_bytes(4, "big") + x for x in parts)
+
+
+OPENSSH = b"openssh-key-v1\0" + ssh_fields(b"none", b"none", b"") + (1).to_bytes(4, "big") + ssh_fields(SSH, b"\1\2\3\4" * 2 + b"x" * 56)
+NUMBER = lambda n, seed=1: der(0x02, b"\1" + random.Random(seed).randbytes(n - 1))
+RSA = der(0x30, der(0x02, b"\0"), *(NUMBER(n, n) for n in (128, 3, 127, 64, 63, 62, 61, 60)))
+
+
+def test_keys_are_parsed_not_guessed():
+    b64 = lambda x: base64.b64encode(x).decode()
+    pem = lambda label, body, sep="\n", head="": f"-----BEGIN {label}-----{sep}{head}{body}{sep}-----END {label}-----"
+    assert kinds(b64(OPENSSH)) == ["ssh"] and kinds(b64(RSA)) == ["der"]
+    assert kinds(pem("OPENSSH PRIVATE KEY", b64(OPENSSH))) == ["pem"] == kinds(pem("RSA PRIVATE KEY", b64(RSA)))
+    # Magic bytes with anything behind them, cut and stretched keys.
+    for junk in (OPENSSH[:15] + b"j" * 90, OPENSSH[:-1], OPENSSH + b"x", OPENSSH.replace(b"\1\2\3\4\1", b"\1\2\3\4\2")):
+        assert kinds(b64(junk)) == [] == kinds(pem("OPENSSH PRIVATE KEY", b64(junk)))
+    assert kinds(pem("PRIVATE KEY", b64(b"\x30" + b"junk" * 30))) == []
+    # A signature is two numbers of a size; other nested lengths are no key either.
+    signature = der(0x30, NUMBER(33), NUMBER(32))
+    assert kinds(b64(signature)) == [] == kinds(b64(der(0x30, der(0x30, der(0x04, b"x" * 40)), der(0x02, b"\5"))))
+    assert kinds(b64(der(0x30, NUMBER(129), der(0x02, b"\1\0\1")))) == ["der"]
+    # Escaped line breaks as in JSON, header lines, an encrypted body, lines without armour.
+    lines = [b64(RSA)[i : i + 64] for i in range(0, len(b64(RSA)), 64)]
+    assert kinds('{"private_key": "' + pem("RSA PRIVATE KEY", "\\n".join(lines), "\\n") + '"}') == ["pem"]
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n"
+    cipher = random.Random(4).randbytes(640)
+    assert kinds(pem("RSA PRIVATE KEY", b64(cipher), head=head)) == ["pem"] and kinds(pem("RSA PRIVATE KEY", b64(cipher))) == []
+    text = "key:\n" + "\n".join(lines) + "\nafter it"
+    (start, end, kind), = [x for x in S.scan(text) if x[2] not in S.BASE_KINDS]
+    assert kind == "der" and text[start:end] == "\n".join(lines)
+    assert kinds("-----BEGIN PRIVATE KEY-----" * 2000) == []
+
+
+def test_texts_of_megabytes():
+    """Long runs without a key, and a key at the end of a long text."""
+    key = base64.b64encode(RSA).decode()
+    for filler in ("word " * 400_000, "A" * 1_000_000 + " ", ("B" * 64 + "\n") * 20_000 + " ", "-----BEGIN " * 100_000, "0a" * 500_000 + " "):
+        assert kinds(filler + key)[-1:] == ["der"]

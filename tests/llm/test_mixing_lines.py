@@ -4,6 +4,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import same_rows
 from tests.llm.fixtures import PROSE, TEXTS, documents, empty
@@ -124,3 +125,39 @@ def test_repeated_windows():
     assert L.repeated_window_words(b"a b c d a b x".split()) == 0
     assert L.repeated_window_words(b"a a a a".split()) == 4
     assert L.repeated_window_words(b"x a b c y a b c z".split()) == 6
+
+
+def test_lines_are_removed(spark, monkeypatch):
+    """The texts returned lack the frequent lines and nothing else; the words gone are those that the verdicts count."""
+    rows = [(n, f"unique words of number {'x' * n} stay here\n  Shared LINE 12 of all\n\nand a tail") for n in range(80)] + [(140, None), (141, ""), (5, "Shared line 99 of all"), (None, "shared line 34 of all\nown"), (142, "shared line 12 of all\n" * 50_000)]
+    docs = documents(spark, rows)
+    out = L.remove_frequent_lines(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    texts = {}
+    for r in out.collect():
+        texts.setdefault(r["doc_id"], []).append(r["text"])
+    verdicts = {}
+    for r in L.quality_verdicts(docs).collect():
+        verdicts.setdefault(r["doc_id"], []).append(r["n_words"] - r["removed_words"])
+    for i in verdicts:
+        assert sorted(len((t or "").split()) for t in texts[i]) == sorted(verdicts[i])
+    assert any("Shared LINE" not in texts[n][0] for n in range(80)) and all("unique words" in texts[n][0] for n in range(80) if n != 5)
+    assert texts[140] == [None] and texts[141] == [""]
+    monkeypatch.setattr(L, "BROADCAST_ROWS", -1)
+    assert sorted(map(str, (r["text"] for r in L.remove_frequent_lines(docs).collect()))) == sorted(str(t) for ts in texts.values() for t in ts)
+    assert L.remove_frequent_lines(empty(spark)).count() == 0
+
+
+def test_copies_count_if_asked(spark):
+    """A line of twenty equal documents is one document's, unless copies count."""
+    docs = spark.createDataFrame([(n, "the same line\nand words", "h") for n in range(20)], "doc_id long, text string, source string")
+    assert {r["removed_words"] for r in L.quality_verdicts(docs).collect()} == {0}
+    assert {r["removed_words"] for r in L.quality_verdicts(docs, copies=True).collect()} == {5}
+
+
+def test_rows_without_id_are_dealt_apart(spark):
+    """One shuffle key for rows of null id, but not one partition."""
+    docs = spark.createDataFrame([(None, f"text {n}", "s") for n in range(400)], "doc_id long, text string, source string")
+    out = M.mix_sources(docs)
+    parts = out.groupBy(F.spark_partition_id()).count().count()
+    assert parts > 1 or out.count() == 0

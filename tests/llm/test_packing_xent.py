@@ -15,9 +15,7 @@ from tidemark.llm.queries import tokenizer_path
 def model():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path())
 
 
 def test_ids_are_those_of_the_file(model):
@@ -32,6 +30,14 @@ def test_ids_are_those_of_the_file(model):
     assert [x.tolist() for x in fast.ids(texts)] == want
 
 
+def test_added_tokens_and_megabytes(model):
+    """Strings of added tokens are those tokens; a text of megabytes has the file's ids."""
+    fast = P.FileTokenizer(tokenizer_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext", ("Some words, 12 of them.\n" * 100_000)]
+    assert [x.tolist() for x in fast.ids(texts)] == [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+    assert 50256 in fast.ids(texts)[0].tolist()
+
+
 def test_other_files_have_no_ranks():
     import public_tokenizers
 
@@ -118,50 +124,44 @@ def test_knapsack():
 CORPUS = [(i, f"good words come here often {i % 7} tail" if i % 2 else f"bad stuff goes there rarely {i % 5} end") for i in range(60)]
 
 
-def plain_scores(docs, good, vocab_size, bits):
+def plain_scores(docs, good):
     """The definition, with dictionaries."""
-    toks = {n: (t or "").lower().encode().split() for n, (_, t) in enumerate(docs)}
-    counts = Counter(w for ws in toks.values() for w in ws)
-    # All words of a bin of counts or none, as many bins as fit.
-    bins = sorted({int(np.floor(np.log2(n) * 64)) for n in counts.values()}, reverse=True)
-    fits = [b for b in bins if sum(np.floor(np.log2(n) * 64) >= b for n in counts.values()) <= vocab_size]
-    words = [w for w, n in counts.items() if fits and np.floor(np.log2(n) * 64) >= fits[-1]]
-    vocab = {w: i for i, w in enumerate(sorted(words, key=lambda w: (-counts[w], w)), 1)}
-    size = len(vocab) + 1
-    bucket = lambda a, b: ((a * size + b) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 64 - bits
-    out = {}
+    toks = [(i, (t or "").lower().encode().split()) for i, t in docs]
+    vocab = {w for _, ws in toks for w in ws} | {None}
     tables = []
-    for members in ([n for n, (i, _) in enumerate(docs) if i in good], list(toks)):
+    for members in ([ws for i, ws in toks if i in good], [ws for _, ws in toks]):
         uni, bi = Counter(), Counter()
-        for n in members:
-            ids = [vocab.get(w, 0) for w in toks[n]]
-            uni.update(ids)
-            bi.update(bucket(a, b) for a, b in zip(ids, ids[1:]))
-        tables.append((uni, bi, sum(uni.values())))
-    for n, (i, _) in enumerate(docs):
-        ids = [vocab.get(w, 0) for w in toks[n]]
-        loss = []
-        for uni, bi, total in tables:
-            s = 0.0
-            for k, w in enumerate(ids):
-                u = uni[w] / total if total else 0
-                p = X.UNIGRAM * u + (1 - X.BIGRAM - X.UNIGRAM) / size
-                p += X.BIGRAM * (u if k == 0 else min(bi[bucket(ids[k - 1], w)] / max(uni[ids[k - 1]], 1), 1))
-                s -= np.log(p)
-            loss.append(s)
-        out.setdefault(i, []).append((len(ids), loss[0], loss[1], (loss[0] - loss[1]) / max(len(ids), 1)))
+        for ws in members:
+            if ws:
+                uni.update([*ws, None])
+                bi.update(zip(["<s>", *ws], [*ws, None]))
+        tables.append((uni, bi, sum(uni.values()), sum(1 for ws in members if ws)))
+
+    def p(table, u, v):
+        uni, bi, total, texts = table
+        if not total:
+            return 1 / len(vocab)
+        before = texts if u == "<s>" else uni[u]
+        return X.BIGRAM * (bi[u, v] / before if before else uni[v] / total) + X.UNIGRAM * uni[v] / total + (1 - X.BIGRAM - X.UNIGRAM) / len(vocab)
+
+    for t in tables:  # a probability for what follows any word
+        assert all(abs(sum(p(t, u, v) for v in vocab) - 1) < 1e-9 for u in ["<s>", b"good", b"x" * 9])
+    out = {}
+    for i, ws in toks:
+        loss = [-sum(np.log(p(t, u, v)) for u, v in zip(["<s>", *ws], [*ws, None])) if ws else 0.0 for t in tables]
+        out.setdefault(i, []).append((len(ws), loss[0], loss[1], (loss[0] - loss[1]) / (len(ws) + 1)))
     return out
 
 
-@pytest.mark.parametrize("good_ids", [[1, 3, 5, 7, 9, 11], []])
-def test_scores_match_the_definition(spark, good_ids):
+@pytest.mark.parametrize("good_ids, block_tokens", [([1, 3, 5, 7, 9, 11], 60), ([], 10**6)])
+def test_scores_match_the_definition(spark, good_ids, block_tokens):
     docs = CORPUS + TEXTS
     labels = spark.createDataFrame([(i, 1) for i in good_ids] + [(2, 0), (None, 1), (4, None), (1, 0), (1, 1) if good_ids else (1, 0)], "doc_id long, quality int")
     frame = documents(spark, docs)
     got = {}
-    for r in X.cross_entropy_difference(frame, labels, vocab_size=20, bits=10).collect():
+    for r in X.cross_entropy_difference(frame.repartition(3), labels, block_tokens).collect():
         got.setdefault(r["doc_id"], []).append(tuple(r)[1:])
-    want = plain_scores(docs, set(good_ids), 20, 10)
+    want = plain_scores(docs, set(good_ids))
     assert set(got) == set(want)
     for i in want:
         assert np.allclose(sorted(got[i]), sorted(want[i]), rtol=1e-5)
@@ -170,6 +170,15 @@ def test_scores_match_the_definition(spark, good_ids):
         assert mean(1) < mean(0)
 
 
+def test_texts_of_megabytes_are_scored(spark):
+    """One text of 1.6 million words among short ones, over blocks of which it is longer."""
+    docs = [(1, "one two three four " * 400_000), (2, "one two"), (3, "five")]
+    labels = spark.createDataFrame([(2, 1)], "doc_id long, quality int")
+    got = {r["doc_id"]: tuple(r)[1:] for r in X.cross_entropy_difference(documents(spark, docs), labels, 1000).collect()}
+    want = plain_scores(docs, {2})
+    assert all(np.allclose(got[i], want[i][0], rtol=1e-6) for i in want)
+
+
 def test_scores_of_nothing(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
-    assert X.cross_entropy_difference(empty(spark), labels, 10, 8).count() == 0
+    assert X.cross_entropy_difference(empty(spark), labels).count() == 0

@@ -1,7 +1,9 @@
+import hashlib
 import json
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +66,16 @@ def test_levels_of_graphs(spark):
     assert {r["call_id"]: r["level"] for r in got.collect()} == level
 
 
+def test_deep_ladder_and_cycle_behind_it(spark):
+    """10,000 calls that each wait for the two before: a dozen doublings, not a round for each; and calls behind a cycle of three."""
+    n = 10_000
+    name = lambda i: f"c{i}"
+    waits = [(name(i), name(i - k)) for i in range(n) for k in (1, 2) if i >= k] + [("x", "a"), ("x", "b"), ("x", "c"), ("a", "b"), ("b", "c"), ("c", "a"), ("y", "x"), ("y", name(5))]
+    ids = [name(i) for i in range(n)] + list("xabcy")
+    got = {r["call_id"]: r["level"] for r in C.call_levels(spark.createDataFrame(waits, "call_id string, after string"), spark.createDataFrame([(i,) for i in ids], "call_id string")).collect()}
+    assert got == {name(i): i for i in range(n)}
+
+
 def test_conversations(spark):
     rows = [(1, 0, "user", "q"), (1, 1, "assistant", "first answer"), (1, 2, "user", "thanks"), (1, 3, "assistant", "second"), (2, 0, None, None), (2, 1, "assistant", None), (None, 1, "assistant", "x"), (3, 0, "assistant", '{"tool_calls": [{"id": "t1", "name": "reply", "arguments": "{}"}]}'), (3, 1, "tool", '{"tool_call_id": "t1", "content": "ok"}'), (4, 0, "assistant", '{"tool_calls": 5}'), (1, 3, "assistant", "second")]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").select("*", *(F.lit(1).alias(c) for c in CLASHING))
@@ -150,6 +162,73 @@ def test_one_to_one_and_keyed(spark):
     assert len(set(replaced(spark, phones))) == 300
 
 
+def plain_feistel_text(value, key, tweak, rounds=8):
+    """The network over characters, with hashlib."""
+    a, b = value[: len(value) // 2], value[len(value) // 2 :]
+
+    def shift(text, other, i):
+        hexes = "".join(hashlib.sha256(f"{key}|{tweak}|{i}|{block}|{other}".encode()).hexdigest() for block in range((len(text) + 15) // 16))
+        out = ""
+        for k, c in enumerate(text):
+            by = int(hexes[4 * k : 4 * k + 4], 16)
+            base, n = (48, 10) if "0" <= c <= "9" else (97, 26) if "a" <= c <= "z" else (65, 26) if "A" <= c <= "Z" else (0, 0)
+            out += chr((ord(c) - base + by) % n + base) if n else c
+        return out
+
+    for i in range(1, rounds + 1):
+        a, b = (shift(a, b, i), b) if i % 2 else (a, shift(b, a, i))
+    return a + b
+
+
+def plain_feistel_pair(a, b, na, nb, key, tweak, rounds=8):
+    draw = lambda i, x: int(hashlib.sha256(f"{key}|{tweak}|{i}|{x}".encode()).hexdigest()[:15], 16)
+    for i in range(1, rounds + 1):
+        a, b = ((a + draw(i, b)) % na, b) if i % 2 else (a, (b + draw(i, a)) % nb)
+    return a, b
+
+
+def test_feistel_by_another_hand(spark):
+    """Against a network written with hashlib: texts of all lengths and alphabets, pairs, and values of three kinds as a whole."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("019azAZ-.é", k=n)) for n in range(1, 40)]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", P.feistel_text(F.col("t"), "k", F.lit("w")).alias("x"))
+    assert all(r["x"] == plain_feistel_text(r["t"], "k", "w") for r in frame.collect())
+    pairs = [(rng.randrange(292), rng.randrange(250)) for _ in range(50)]
+    got = spark.createDataFrame(pairs, "a long, b long").select("a", "b", P.feistel_pair(F.col("a"), F.col("b"), 292, 250, "k", F.lit("w")).alias("p")).collect()
+    assert all(tuple(r["p"]) == plain_feistel_pair(r["a"], r["b"], 292, 250, "k", "w") for r in got)
+
+    def ssn(v):
+        area, group, serial = map(int, v.split("-"))
+        a, b = plain_feistel_pair((area - 1 - (area > 666)) * 99 + group - 1, serial - 1, 898 * 99, 9999, P.KEY, "ssn")
+        area = a // 99 + 1
+        return f"{area + (area >= 666):03d}-{a % 99 + 1:02d}-{b + 1:04d}"
+
+    ssns = [f"{rng.choice([1, 665, 667, 899, rng.randrange(1, 666)]):03d}-{rng.randrange(1, 100):02d}-{rng.randrange(1, 10000):04d}" for _ in range(200)]
+    made = replaced(spark, ssns)
+    assert made == [ssn(v) for v in ssns]
+    assert all(1 <= int(v[:3]) <= 899 and v[:3] != "666" and v[4:6] != "00" and v[7:] != "0000" for v in made)
+    local = replaced(spark, ["cheio.48@mail8.example.com"])[0]
+    assert local == plain_feistel_text("cheio.48", P.KEY, "email") + "@mail8.example.com"
+
+
+def test_phones_link_whatever_their_separators(spark):
+    forms = ["+1 555 123 4567", "+15551234567", "+1-555-123-4567", "+1 (555) 123-4567"]
+    made = replaced(spark, forms)
+    assert len({"".join(c for c in m if c.isdigit()) for m in made}) == 1 and all(m.startswith("+1") and m != f for m, f in zip(made, forms))
+    codes = replaced(spark, ["+4915112345678", "+35312345678", "+7 495 123 45 67"])
+    assert [c[:n] for c, n in zip(codes, (3, 4, 2))] == ["+49", "+353", "+7"]
+    amex = replaced(spark, ["3782 822463 10005", "378282246310005"])
+    assert amex[0].replace(" ", "") == amex[1] != "378282246310005" and luhn(amex[1])
+
+
+def test_long_texts(spark):
+    """Megabytes in a row: values at both ends are found, the rest stays."""
+    filler = "plain words and 12 numbers. " * 80_000
+    out = replaced(spark, [f"123-45-6789 {filler} 123-45-6789", "7" * 2_000_000, "a@" * 300_000])
+    first, last = out[0][:11], out[0][-11:]
+    assert first == last != "123-45-6789" and out[0][12:-12] == filler and out[1:] == ["7" * 2_000_000, "a@" * 300_000]
+
+
 def test_feistel_is_a_permutation(spark):
     """Every string of three digits, and every pair of a small grid."""
     n = spark.range(1000).select(P.feistel_text(F.lpad(F.col("id").cast("string"), 3, "0"), "k", F.lit("t")).alias("x"))
@@ -223,6 +302,29 @@ def test_toxicity(spark):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, _, t in labels if not t} | {1000, 1001} | ({None} if not by_id[None]["predicted"] else set())
 
 
+def test_training_bound(spark):
+    """However few rows training may use and however often a label is repeated, those of the smallest hashes are used."""
+    texts, labels = corpus(200)
+    frame = spark.createDataFrame(labels + [(1, 0, 0)] * 300, "doc_id long, quality int, toxic int")
+    usable = sorted(i for i, _, _ in labels if zlib.crc32(str(i).encode()) % 4 != 2)
+    model = T.train(documents(spark, texts), frame, train_rows=60)
+    assert model is not None and model.weights
+    assert T.train(documents(spark, texts), frame, train_rows=len(usable)).weights == T.train(documents(spark, texts), frame).weights
+
+
+def test_weights_by_definition():
+    """Log-odds of both signs; what chance can explain has none."""
+    n_toxic, n_clean, tests = 100, 300, 50
+    rows = [(b"bad", 60, 5), (b"good", 2, 200), (b"the", 100, 300), (b"rare", 2, 0)]
+    got = T.token_weights(rows, n_toxic, n_clean, tests)
+    assert set(got) == {b"bad", b"good"}
+    for token, y, n in rows[:2]:
+        prior = T.PRIOR * (y + n) / 400
+        odds = [np.log((k + prior) / (total + T.PRIOR - k - prior)) for k, total in ((y, n_toxic), (n, n_clean))]
+        assert abs(got[token] - (odds[0] - odds[1] - T.TOKEN_COST)) < 1e-9
+    assert got[b"good"] < -T.TOKEN_COST < got[b"bad"]
+
+
 def test_held_out_labels_do_not_matter(spark):
     texts, labels = corpus(200)
     flip = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 4 == 2 else t) for i, q, t in labels]
