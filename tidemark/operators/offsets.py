@@ -79,11 +79,16 @@ def adopt(records: DataFrame, own_key: str, latest_seen: datetime) -> DataFrame:
     return joined.withColumn("projection_key", F.when(taken, F.lit(own_key)).otherwise(F.col("projection_key"))).select(*records.columns)
 
 
+def _newest(records: DataFrame) -> DataFrame:
+    """records with the newest time of their slice as __newest: an aggregate of a row a slice, sent to where the records are."""
+    top = records.groupBy(F.col("slice").alias("__slice")).agg(F.max("ts").alias("__newest"))
+    return records.join(F.broadcast(top), F.col("slice").eqNullSafe(F.col("__slice"))).drop("__slice")
+
+
 def without_old(records: DataFrame, delete_after_s: float, now: datetime, consumed_after_s: float) -> DataFrame:
     """Retention: a record goes if it is older than its slice's newest by delete_after and was consumed before now - consumed_after."""
-    newest = F.max("ts").over(Window.partitionBy("slice"))
-    old = (_us("ts") < _us(newest) - micros(delete_after_s)) & (_us("consumed") < _us(F.lit(now)) - micros(consumed_after_s))
-    return records.withColumn("__old", old).where(~F.col("__old")).drop("__old")
+    old = (_us("ts") < _us("__newest") - micros(delete_after_s)) & (_us("consumed") < _us(F.lit(now)) - micros(consumed_after_s))
+    return _newest(records).where(~old).drop("__newest")
 
 
 def without_newer(records: DataFrame, ts: datetime) -> DataFrame:
@@ -97,11 +102,10 @@ def cleared(records: DataFrame, name: str, min_slice: int, max_slice: int) -> Da
 
 def evict(records: DataFrame, window_s: float, evictable: Column | None = None) -> DataFrame:
     """Records within the window before their slice's newest, that boundary included, and what may not be evicted."""
-    newest = F.max("ts").over(Window.partitionBy("slice"))
-    out = _us("ts") < _us(newest) - micros(window_s)
+    out = _us("ts") < _us("__newest") - micros(window_s)
     if evictable is not None:
         out = out & evictable
-    return records.withColumn("__out", out).where(~F.col("__out")).drop("__out")
+    return _newest(records).where(~out).drop("__newest")
 
 
 def save_batch(stored: DataFrame, batch: DataFrame, order: str = "arrival") -> DataFrame:

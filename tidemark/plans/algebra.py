@@ -169,9 +169,9 @@ def op_H4_max_min_by(spark: SparkSession, d: str) -> DataFrame:
     return records(spark, d).groupBy("projection_key").agg(F.max_by("pid", "ts").alias("newest_pid"), F.min_by("pid", "ts").alias("oldest_pid"))
 
 
-@query(f"WITH {REC}, {_BY_SLICE} SELECT slice, pid, seq_nr FROM bs WHERE projection_key <> 'k0' AND ts <= {SEEN_SQL}")
+@query(f"WITH {REC}, {_BY_SLICE} SELECT slice, pid, seq_nr FROM bs WHERE projection_key <> 'k0' AND ts <= TIMESTAMP '2024-01-30 12:00:00'")
 def op_H5_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return O.foreign_offsets(records(spark, d), "k0").where(F.col("ts") <= F.lit(SEEN)).select("slice", "pid", "seq_nr")
+    return O.foreign_offsets(records(spark, d), "k0").where(F.col("ts") <= F.lit(datetime(2024, 1, 30, 12))).select("slice", "pid", "seq_nr")
 
 
 @query("SELECT s_suppkey AS id, floor(abs(s_acctbal - 1000))::BIGINT AS distance FROM supplier ORDER BY floor(abs(s_acctbal - 1000)), s_suppkey LIMIT 1")
@@ -185,11 +185,11 @@ def op_H7_history(spark: SparkSession, d: str) -> DataFrame:
     return H.history(journal(spark, d), 25).select("pid", "seq_nr", "age")
 
 
-@query("SELECT c_mktsegment AS value FROM customer WHERE c_nationkey < 10 UNION SELECT c_name FROM customer WHERE c_custkey < 50 EXCEPT SELECT c_mktsegment FROM customer WHERE c_nationkey = 3 AND c_custkey < 100")
+@query("SELECT c_mktsegment AS value FROM customer WHERE c_nationkey < 10 UNION SELECT c_name FROM customer WHERE c_acctbal < 0 EXCEPT SELECT c_mktsegment FROM customer WHERE c_nationkey = 3 AND c_acctbal > 9000")
 def op_J1_criteria_sets(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
-    both = c.where("c_nationkey < 10").select(F.col("c_mktsegment").alias("value")).union(c.where("c_custkey < 50").select("c_name")).distinct()
-    return both.exceptAll(c.where("c_nationkey = 3 AND c_custkey < 100").select("c_mktsegment").distinct())
+    both = c.where("c_nationkey < 10").select(F.col("c_mktsegment").alias("value")).union(c.where("c_acctbal < 0").select("c_name")).distinct()
+    return both.exceptAll(c.where("c_nationkey = 3 AND c_acctbal > 9000").select("c_mktsegment").distinct())
 
 
 _LOG = "log AS (SELECT CASE WHEN event_type = 'error' THEN 'remove_' ELSE '' END || CASE WHEN event_id % 2 = 0 THEN 'include_ids' ELSE 'exclude_ids' END AS kind, user_id::VARCHAR AS value, event_id AS seq_nr, event_id AS updated_at FROM events)"

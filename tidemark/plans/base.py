@@ -42,10 +42,10 @@ def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every other event as a stored offset record of four projection keys."""
+    """Every event as a stored offset record of four projection keys."""
     consumed = F.timestamp_micros(F.unix_micros("ts") + F.col("event_id") % 1000 * 1000)
     key = F.concat(F.lit("k"), F.floor(F.col("slice") / 256).cast("string"))
-    return journal(spark, sf_dir).where("event_id % 2 = 0").select(F.lit("proj").alias("projection_name"), key.alias("projection_key"), "slice", "pid", "seq_nr", "ts", consumed.alias("consumed"))
+    return journal(spark, sf_dir).select(F.lit("proj").alias("projection_name"), key.alias("projection_key"), "slice", "pid", "seq_nr", "ts", consumed.alias("consumed"))
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,7 @@ ENV = f"""e0 AS (SELECT event_id, ts, user_id, event_type, value, props AS paylo
     row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq_nr, {sql_hash("('user|' || user_id)")} AS h FROM events),
 env AS (SELECT * EXCLUDE (h), {sql_shard("h")} AS slice, [event_type, 't:' || event_type || '/' || (event_id % 3)] AS tags FROM e0)"""
 REC = ENV + """,
-rec AS (SELECT 'proj' AS projection_name, 'k' || (slice // 256) AS projection_key, slice, pid, seq_nr, ts, make_timestamp(epoch_us(ts) + event_id % 1000 * 1000) AS consumed FROM env WHERE event_id % 2 = 0)"""
+rec AS (SELECT 'proj' AS projection_name, 'k' || (slice // 256) AS projection_key, slice, pid, seq_nr, ts, make_timestamp(epoch_us(ts) + event_id % 1000 * 1000) AS consumed FROM env)"""
 SNAP = ENV + """,
 snap AS (SELECT * FROM env WHERE seq_nr % 10 = 0 QUALIFY row_number() OVER (PARTITION BY pid ORDER BY seq_nr DESC) = 1)"""
 CHG = f"""c0 AS (SELECT 'Customer|' || o_custkey AS pid, 'Customer' AS entity_type, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS revision, o_orderdate AS ts,

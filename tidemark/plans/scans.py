@@ -122,7 +122,7 @@ def op_A23_test_source(spark: SparkSession, d: str) -> DataFrame:
     return J.from_offset(journal(spark, d), 500, "event_id").select("event_id", "pid", "seq_nr")
 
 
-@query(f"WITH {ENV} SELECT event_id, pid, seq_nr, slice FROM env WHERE slice BETWEEN 128 AND 255")
+@query(f"WITH {ENV} SELECT event_id, pid, seq_nr, slice FROM env WHERE slice BETWEEN 896 AND 1023")
 def op_A17_stored_journal(spark: SparkSession, d: str) -> DataFrame:
     """A journal written by slices and read by a consumer of one range: only its directories are listed."""
     import uuid
@@ -132,4 +132,4 @@ def op_A17_stored_journal(spark: SparkSession, d: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/journal-{uuid.uuid4().hex}"
     J.write_journal(cut(journal(spark, d).select("event_id", "pid", "seq_nr", "slice", "ts")), path)
-    return J.read_journal(spark, path, 128, 255).select("event_id", "pid", "seq_nr", "slice")
+    return J.read_journal(spark, path, 896, 1023).select("event_id", "pid", "seq_nr", "slice")
