@@ -28,10 +28,13 @@ def local_session(cores: str = "*", app: str = "tidemark", **conf: str) -> Spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in spark.checkpoint.dir; only where none is named, as in tests, a folder of our own."""
+    """Use the shared folder named in spark.checkpoint.dir; only where none is named and all run on one machine, as in tests, a folder of our own."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
