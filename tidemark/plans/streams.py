@@ -13,7 +13,7 @@ from tidemark.functions.scalars import slice_of
 from tidemark.plans.base import ENV, query
 from tidemark.session import ensure_checkpoint_dir, importable
 from tidemark.streaming import recovery as R
-from tidemark.streaming.projection import Delivery, Projection, Runner
+from tidemark.streaming.projection import Delivery, Projection, Runner, rate_limited
 from tidemark.streaming.stateful import fold_stream, validate_stream
 from tidemark.streaming.store import ProjectionId
 from tidemark.streaming.telemetry import Recorder, ensemble
@@ -24,19 +24,41 @@ def _root(spark: SparkSession) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/projections-{uuid.uuid4().hex}"
 
 
-def _events(d: str) -> Callable[[SparkSession], DataFrame]:
-    """events as a stream of envelopes; an entity's number is its event's id, so gaps are allowed."""
+def _events(d: str, folder: str | None = None) -> Callable[[SparkSession], DataFrame]:
+    """events as a stream of envelopes; an entity's number is its event's id, so gaps are allowed. folder: of _in_batches."""
 
     def source(spark: SparkSession) -> DataFrame:
-        path = f"{d}/events.parquet"
+        schema = spark.read.parquet(f"{d}/events.parquet").schema
         # A stream reads folders; the table is one file of this one.
-        raw = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "events.parquet").parquet(d)
+        raw = rate_limited(spark, folder, schema, 1) if folder else spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
         pid = F.concat(F.lit("user|"), F.col("user_id").cast("string"))
         return raw.select("event_id", "event_type", F.floor("value").cast("long").alias("value"), pid.alias("pid"), slice_of(pid).alias("slice"), F.col("event_id").alias("seq_nr"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("filtered"))
 
     return source
 
 
+def _in_batches(spark: SparkSession, d: str) -> str:
+    """All events in a folder of three files, of which a stream takes one at a time: micro-batch n has those of event_id % 3 = n."""
+    folder = f"{_root(spark)}/batches"
+    for n in range(3):
+        spark.read.parquet(f"{d}/events.parquet").where(F.col("event_id") % 3 == n).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+def _crashing(runner: Runner, batch_id: int) -> Runner:
+    """The runner, whose first attempt to store the offset of a batch fails: what the handler did stays."""
+    commit, failed = runner.store.commit, []
+
+    def once(batch: int, rows: DataFrame) -> None:
+        if batch == batch_id and not failed:
+            failed.append(batch)
+            raise RuntimeError("crash between result and offset")
+        commit(batch, rows)
+
+    runner.store.commit = once
+    return runner
+
+
 def _projection(d: str, name: str, **more) -> Projection:
     counted = lambda rows, batch: rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return Projection(**({"id": ProjectionId(name, "all"), "source": _events(d), "handler": counted, "restart": R.Restart(0.01, 0.02, max_restarts=3)} | more))
@@ -57,21 +79,23 @@ _COUNTS = "SELECT event_type, count(*) AS n, sum(floor(value)::BIGINT)::BIGINT A
 
 @query(_COUNTS)
 def op_E1_exactly_once(spark: SparkSession, d: str) -> DataFrame:
-    """The handler fails at first and the query restarts; the batch still counts once."""
-    p, failed = _projection(d, "exactly", delivery=Delivery.EXACTLY_ONCE), []
+    """Three micro-batches; the second's result is written, its offset isn't, and the query restarts: it still counts once."""
+    runner = Runner(spark, _root(spark), _projection(d, "exactly", delivery=Delivery.EXACTLY_ONCE, source=_events(d, _in_batches(spark, d))))
+    _crashing(runner, 1).run(sleep=lambda s: None)
+    return _result(runner)
 
-    def handler(rows: DataFrame, batch: int) -> DataFrame:
-        if not failed:
-            failed.append(batch)
-            raise RuntimeError("first attempt")
-        return p.handler(rows, batch)
 
-    return _result(_ran(spark, replace(p, handler=handler)))
+@query("SELECT event_type, sum(CASE WHEN event_id % 3 = 1 THEN 2 ELSE 1 END)::BIGINT AS n FROM events WHERE event_type <> 'error' GROUP BY event_type")
+def op_E2_at_least_once(spark: SparkSession, d: str) -> DataFrame:
+    """The same crash; what the handler wrote elsewhere is there twice for the second micro-batch, and nothing is missing."""
+    target = f"{_root(spark)}/elsewhere"
 
+    def handler(rows: DataFrame, batch: int) -> None:
+        rows.groupBy("event_type").agg(F.count("*").alias("n")).write.mode("append").parquet(target)
 
-@query(_COUNTS)
-def op_E2_at_least_once(spark: SparkSession, d: str) -> DataFrame:
-    return _result(_ran(spark, _projection(d, "least")))
+    runner = Runner(spark, _root(spark), _projection(d, "least", handler=handler, source=_events(d, _in_batches(spark, d))))
+    _crashing(runner, 1).run(sleep=lambda s: None)
+    return spark.read.parquet(target).groupBy("event_type").agg(F.sum("n").alias("n"))
 
 
 @query(_COUNTS)
@@ -86,9 +110,18 @@ def op_E3_at_least_once_async(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(target).groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
-@query(_COUNTS)
+@query(_COUNTS.replace("GROUP BY", "AND event_id % 3 <> 1 GROUP BY"))
 def op_E4_at_most_once(spark: SparkSession, d: str) -> DataFrame:
-    return _result(_ran(spark, _projection(d, "most", delivery=Delivery.AT_MOST_ONCE)))
+    """The handler fails once in the second of three micro-batches, whose offset is stored already: those events are lost, nothing is twice."""
+    p, failed = _projection(d, "most", delivery=Delivery.AT_MOST_ONCE, source=_events(d, _in_batches(spark, d))), []
+
+    def handler(rows: DataFrame, batch: int) -> DataFrame:
+        if batch == 1 and not failed:
+            failed.append(batch)
+            raise RuntimeError("crash after the offset")
+        return p.handler(rows, batch)
+
+    return _result(_ran(spark, replace(p, handler=handler)))
 
 
 @query(f"WITH {ENV} SELECT slice, (count(*) + 19) // 20 AS groups, count(*) AS n FROM env WHERE event_type <> 'error' GROUP BY slice")

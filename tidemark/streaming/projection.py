@@ -10,7 +10,6 @@ Grouped forms give the handler consecutive groups of at most so many rows of eac
 
 from __future__ import annotations
 
-import contextlib
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from enum import Enum
@@ -127,9 +126,8 @@ class Runner:
 
     def stop(self) -> None:
         if self.query is not None:
-            with contextlib.suppress(Exception):
-                self.query.stop()
-            self.query = None
+            query, self.query = self.query, None
+            query.stop()
 
     # Management.
     def offset(self) -> DataFrame:

@@ -68,13 +68,13 @@ class ProjectionStore:
         result.write.mode("overwrite").parquet(f"{self.base}/results/batch_id={batch_id}")
 
     def results(self) -> DataFrame | None:
-        """Results of committed batches; None before the first."""
-        if not self._exists("results"):
+        """Results of committed batches; None before the first. Commit markers are listed at once; the folder is read by its batch ids."""
+        markers = self._fs().globStatus(self._path("offsets", "batch_id=*", "_SUCCESS")) if self._exists("results") else []
+        done = sorted(int(m.getPath().getParent().getName().partition("=")[2]) for m in markers)
+        if not done or not self._fs().globStatus(self._path("results", "batch_id=*", "_SUCCESS")):
             return None
-        done = [int(s.getPath().getName().partition("=")[2]) for s in self._fs().listStatus(self._path("results")) if self.committed(int(s.getPath().getName().partition("=")[2]))]
-        if not done:
-            return None
-        return self.spark.read.option("basePath", f"{self.base}/results").parquet(*(f"{self.base}/results/batch_id={b}" for b in sorted(done)))
+        committed = self.spark.createDataFrame([(b,) for b in done], "batch_id int")
+        return self.spark.read.parquet(f"{self.base}/results").join(F.broadcast(committed), "batch_id", "left_semi")
 
     def clear(self) -> None:
         """Forget offsets and progress; the next run starts over."""
