@@ -94,3 +94,12 @@ def test_large_id_sets_are_joined(spark, monkeypatch):
     f = L.EventFilter.of(c("exclude_ids", list("0123")), c("include_ids", {"1": 0, "9": 0}), c("exclude_tags", ["t:x"]))
     want = {r[0] for r in df.where(L.passes(f)).collect()}
     assert {r[0] for r in L.filter_events(df, f).collect()} == want == {"p|1", "p|4", "p|6", "p|8", "p|9"}
+
+
+def test_large_id_sets_may_name_the_entity_type(spark, monkeypatch):
+    df = spark.createDataFrame([(f"{t}|{i}", ["x"]) for t in "pq" for i in range(4)], "pid string, tags array<string>")
+    f = L.EventFilter.of(c("exclude_ids", ["p|0", "1", "q|2"]), c("include_ids", {"q|1": 0, "p|3": 0}))
+    want = {r[0] for r in df.where(L.passes(f)).collect()}
+    monkeypatch.setattr(L, "INLINE_IDS", 1)
+    rows = L.filter_events(df, f)
+    assert {r[0] for r in rows.collect()} == want == {"q|0", "q|1", "p|2", "p|3", "q|3"} and rows.columns == df.columns

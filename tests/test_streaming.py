@@ -1,8 +1,11 @@
+import threading
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.streaming import recovery as R
-from tidemark.streaming.projection import Delivery, Projection, Runner
+from tidemark.streaming.projection import Delivery, Projection, Runner, run_once
 from tidemark.streaming.store import ProjectionId, ProjectionStore, expand
 from tidemark.streaming.telemetry import Observer, ensemble
 
@@ -147,3 +150,46 @@ def test_handler_lifecycle(spark, folder):
     runner = Runner(spark, str(path / "store"), projection(path, Handler))
     runner.run(sleep=lambda s: None)
     assert log == ["start", "stop", "start", "stop"] and runner.store.results().count() == 8
+
+
+def test_stop_waits_for_the_batch_in_hand(spark, folder):
+    path, _ = folder
+    begun = threading.Event()
+
+    def handler(rows, batch):
+        begun.set()
+        time.sleep(1)
+        return rows
+
+    runner = Runner(spark, str(path / "store"), projection(path, handler))
+    runner.start(interval="1 second")
+    assert begun.wait(60)
+    runner.stop()
+    assert runner.store.committed(0) and runner.store.results().count() == 8
+    runner.stop()
+
+
+def test_parallel_parts(spark, folder):
+    """Each part of a batch has a number of its own; all are done before the offset is stored; a failing part fails the batch."""
+    path, _ = folder
+    seen = []
+
+    def handler(rows, part):
+        seen.append(part)
+        if part == 1 and seen.count(1) == 1:
+            raise RuntimeError("once")
+        return rows.select("seq_nr")
+
+    runner = Runner(spark, str(path / "store"), projection(path, handler, parallel=3))
+    runner.run(sleep=lambda s: None)
+    assert sorted(set(seen)) == [0, 1, 2] and seen.count(1) == 2
+    assert sorted(r["seq_nr"] for r in runner.store.results().collect()) == [n for n in range(10) if n % 5]
+    for more in ({"delivery": Delivery.EXACTLY_ONCE}, {"delivery": Delivery.AT_MOST_ONCE}):
+        with pytest.raises(ValueError):
+            projection(path, handler, parallel=2, **more)
+
+
+def test_run_once(spark, tmp_path):
+    rows = spark.createDataFrame([("p|1", 1, 0, None, False), ("p|1", 2, 0, None, True)], SCHEMA)
+    store = run_once(spark, str(tmp_path / "store"), projection(tmp_path, lambda r, b: r.select("seq_nr")), rows)
+    assert [r["seq_nr"] for r in store.results().collect()] == [1] and store.offsets().count() == 1

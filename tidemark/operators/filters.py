@@ -132,10 +132,12 @@ def filter_events(events: DataFrame, filt: EventFilter, tags: str = "tags", pid:
     spark = events.sparkSession
     small = EventFilter(v | {"exclude_ids": {}, "include_ids": {}})
     flagged = events.withColumn("__own", entity_id(F.col(pid)))
+    # Ids come with or without entity type, so they are looked up by both; those without a separator can't be a whole id of a typed entity.
     for kind in ("exclude_ids", "include_ids"):
-        ids = spark.createDataFrame([(i, True) for i in v[kind]], StructType([StructField("__id", StringType()), StructField(f"__{kind}", StringType())])) if v[kind] else spark.createDataFrame([], f"__id string, __{kind} string")
-        flagged = flagged.join(ids, flagged["__own"] == ids["__id"], "left").drop("__id")
-    has = lambda kind: F.col(f"__{kind}").isNotNull()
+        for by, ids in (("__own", list(v[kind])), (pid, [i for i in v[kind] if "|" in i])):
+            rows = spark.createDataFrame([(i, True) for i in ids], f"__id string, `__{kind}_{by}` boolean")
+            flagged = flagged.join(rows, flagged[by] == rows["__id"], "left").drop("__id")
+    has = lambda kind: F.col(f"__{kind}___own").isNotNull() | F.col(f"__{kind}_{pid}").isNotNull()
     excluded_else = ~passes(EventFilter(small.values | {"include_tags": {}, "include_topics": {}, "include_regex": {}}), tags, pid)
     included_else = passes(EventFilter(small.values | {"exclude_tags": {}, "exclude_regex": {EXCLUDE_ALL: 0}}), tags, pid)
     return flagged.where(~(excluded_else | has("exclude_ids")) | included_else | has("include_ids")).select(*events.columns)

@@ -95,3 +95,18 @@ def replicated_cart(events: DataFrame) -> DataFrame:
 def closed_by(events: DataFrame) -> DataFrame:
     """(pid, replicas): the set of replicas that closed a cart."""
     return events.where("closed").groupBy("pid").agg(F.array_join(F.array_sort(F.collect_set("replica")), ",").alias("replicas"))
+
+
+def keep_alive(events: DataFrame, idle_s: float, key: str = "slice", ts: str = "ts") -> DataFrame:
+    """(key, tick_us): a tick after each idle_s in which a key's stream had nothing; an event at that very time stands for it."""
+    idle = round(idle_s * 1_000_000)
+    w = Window.partitionBy(key).orderBy("__us")
+    times = events.select(key, F.unix_micros(ts).alias("__us")).distinct().withColumn("__next", F.lead("__us").over(w))
+    gaps = times.where(F.col("__next") - F.col("__us") > idle)
+    return gaps.select(key, F.explode(F.sequence(F.col("__us") + idle, F.col("__next") - 1, F.lit(idle))).alias("tick_us"))
+
+
+def in_order(events: DataFrame, key: str = "pid", seq: str = "seq_nr") -> DataFrame:
+    """events with follows: whether the row before of the same key has the number before. Keys run beside one another, each in order."""
+    w = Window.partitionBy(key).orderBy(seq)
+    return events.withColumn("follows", F.coalesce(F.lag(seq).over(w) + 1 == F.col(seq), F.lit(False)))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.filters import Criterion, EventFilter, criterion, filter_events, from_rows, merge
+from tidemark.operators.transform import Transformation, transform_payload
 
 SCHEMA = "stream_id string, kind string, value string, seq_nr long, version long"
 
@@ -66,3 +68,44 @@ def match_acks(in_flight: DataFrame, acks: DataFrame) -> tuple[DataFrame, DataFr
     """What is still in flight after acknowledgements by (pid, seq_nr), and acknowledgements of nothing, which are errors."""
     keys = ["pid", "seq_nr"]
     return in_flight.join(acks.select(*keys).distinct(), keys, "left_anti"), acks.join(in_flight.select(*keys).distinct(), keys, "left_anti")
+
+
+#: Gets a stream's id and a request's metadata, and raises to refuse the request.
+Interceptor = Callable[[str, Mapping[str, str]], None]
+
+
+def intercepted(streams: Mapping[str, DataFrame], stream_id: str, metadata: Mapping[str, str], interceptors: Iterable[Interceptor] = ()) -> DataFrame:
+    """The stream asked for, once every interceptor has let the request through; nothing is read before."""
+    for check in interceptors:
+        check(stream_id, metadata)
+    if stream_id not in streams:
+        raise KeyError(f"no stream {stream_id}")
+    return streams[stream_id]
+
+
+@dataclass(frozen=True)
+class PushDestination:
+    """Where producers push to: it accepts some streams, and tells a producer at its start which events to send."""
+
+    accepted: frozenset[str]
+    criteria: tuple[Criterion, ...] = ()
+    transformation: Transformation | None = None
+    interceptors: tuple[Interceptor, ...] = ()
+
+    def start(self, stream_id: str, metadata: Mapping[str, str] | None = None) -> str:
+        """The answer to a producer: its filter as JSON. Raises if the stream isn't accepted."""
+        for check in self.interceptors:
+            check(stream_id, metadata or {})
+        if stream_id not in self.accepted:
+            raise PermissionError(f"stream {stream_id} isn't accepted")
+        return to_json(self.criteria)
+
+    def ingest(self, events: DataFrame) -> DataFrame:
+        """What it keeps of what was sent: each event once, transformed."""
+        once = events.dropDuplicates(["pid", "seq_nr"])
+        return transform_payload(once, self.transformation) if self.transformation else once
+
+
+def push(events: DataFrame, answer: str) -> DataFrame:
+    """What a producer sends after a destination's answer; the rest isn't sent at all."""
+    return filter_events(events, merge([], from_json(answer)))

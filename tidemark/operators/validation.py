@@ -139,3 +139,27 @@ def replay_or_filter(live: DataFrame, replayed: DataFrame, passes: Column, filte
     both = live.withColumn("replayed", F.lit(False)).unionByName(replayed.withColumn("replayed", F.lit(True)), allowMissingColumns=True)
     free = F.coalesce((F.col(filter_after) > 0) & (F.col("seq_nr") < F.col(filter_after)), F.lit(False))
     return both.where(free | passes)
+
+
+IN_FLIGHT_LIMIT = 10_000
+
+
+def in_flight(accepted: DataFrame, stored: DataFrame, limit: int | None = None) -> DataFrame:
+    """(pid, seq_nr): of each entity the highest accepted number, where that is above what is stored for it.
+
+    With limit the query fails if there are as many entities as that or more: whoever handles them doesn't keep up.
+    """
+    top = accepted.groupBy("pid").agg(F.max("seq_nr").alias("seq_nr"))
+    done = stored.groupBy("pid").agg(F.max("seq_nr").alias("__done"))
+    flying = top.join(done, "pid", "left").where(F.col("__done").isNull() | (F.col("__done") < F.col("seq_nr"))).drop("__done")
+    if limit is None:
+        return flying
+    count = flying.agg(F.count("*").alias("__n"))  # one row
+    full = F.when(F.col("__n") >= limit, F.raise_error(F.concat(F.lit("too many envelopes in flight: "), F.col("__n").cast("string")))).otherwise(F.lit(True))
+    return flying.join(F.broadcast(count), full.cast("boolean")).drop("__n")
+
+
+def is_in_flight(events: DataFrame, flying: DataFrame) -> DataFrame:
+    """events with in_flight: whether their entity has this number or a higher one in flight."""
+    top = flying.groupBy("pid").agg(F.max("seq_nr").alias("__flying"))
+    return events.join(top, "pid", "left").withColumn("in_flight", F.coalesce(F.col("seq_nr") <= F.col("__flying"), F.lit(False))).drop("__flying")

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import filters as L
+from tidemark.operators import handlers as H
 from tidemark.operators import offsets as O
 from tidemark.operators import registry as G
 from tidemark.operators import transform as T
+from tidemark.operators import validation as V
 from tidemark.plans.base import ENV, REC, journal, query, records, table, us
 from tidemark.plans.streams import _projection, _root
 from tidemark.sources import journal as J
@@ -146,17 +147,8 @@ def op_B18_memory_store(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {ENV} SELECT pid, count(*) AS n, sum(CASE WHEN seq_nr > 1 THEN 1 ELSE 0 END)::BIGINT AS steps FROM env GROUP BY pid")
 def op_D17_ordered_by_key(spark: SparkSession, d: str) -> DataFrame:
     """Keys side by side, each in order: rows of a key follow one another with the next number."""
-    def walk(batches):
-        last: dict = {}
-        for batch in batches:
-            steps = []
-            for pid, nr in zip(batch["pid"], batch["seq_nr"]):
-                steps.append(int(nr == last.get(pid, 0) + 1 and nr > 1))
-                last = {pid: nr}
-            yield pd.DataFrame({"pid": batch["pid"], "step": steps})
-
-    dealt = journal(spark, d).select("pid", "seq_nr").repartition("pid").sortWithinPartitions("pid", "seq_nr")
-    return dealt.mapInPandas(walk, "pid string, step long").groupBy("pid").agg(F.count("*").alias("n"), F.sum("step").alias("steps"))
+    steps = F.sum(F.col("follows").cast("long")).alias("steps")
+    return H.in_order(journal(spark, d).select("pid", "seq_nr")).groupBy("pid").agg(F.count("*").alias("n"), steps)
 
 
 @query(f'WITH {_LOG} SELECT topic || \'-\' || partition AS key, max("offset") AS "offset", count(*) AS n FROM log GROUP BY 1')
@@ -181,31 +173,6 @@ def op_E10_combinations(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "delivery string, with_ string, allowed boolean")
 
 
-@query("SELECT event_id, floor(value)::BIGINT * 2 AS doubled FROM events")
-def op_L1_function_handler(spark: SparkSession, d: str) -> DataFrame:
-    """A handler for one envelope as a vectorised function."""
-    def double(v: pd.Series) -> pd.Series:
-        return v * 2
-
-    return table(spark, d, "events").select("event_id", F.pandas_udf(double, "long")(F.floor("value").cast("long")).alias("doubled"))
-
-
-@query("SELECT user_id, count(*) AS n, max(event_id) AS last FROM events GROUP BY user_id")
-def op_L2_grouped_handler(spark: SparkSession, d: str) -> DataFrame:
-    """A handler for groups of envelopes: it sees Arrow batches and its results are added up."""
-    def handle(batches):
-        for b in batches:
-            yield b.groupby("user_id", as_index=False).agg(n=("event_id", "size"), last=("event_id", "max"))[["user_id", "n", "last"]]
-
-    parts = table(spark, d, "events").select("user_id", "event_id").mapInPandas(handle, "user_id long, n long, last long")
-    return parts.groupBy("user_id").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
-
-
-@query("SELECT event_id, event_type FROM events WHERE event_type <> 'error'")
-def op_L3_flow_handler(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").transform(lambda df: df.where("event_type <> 'error'")).select("event_id", "event_type")
-
-
 @query("SELECT * FROM (VALUES ('abort', 1::BIGINT), ('restart', 3)) t(how, runs)")
 def op_L7_abort(spark: SparkSession, d: str) -> DataFrame:
     """An aborted projection isn't restarted, a failed one is."""
@@ -292,3 +259,85 @@ def op_N9_acknowledged_pushes(spark: SparkSession, d: str) -> DataFrame:
     left, unknown = G.match_acks(sent, sent.where("event_type = 'click'"))
     assert not unknown.take(1)
     return left.select("event_id", "seq_nr")
+
+
+@query("SELECT event_type AS projection_key, max(event_id)::VARCHAR AS current_offset, 'LNG' AS manifest FROM events WHERE event_type <> 'error' GROUP BY event_type")
+def op_B6_table_offset_store(spark: SparkSession, d: str) -> DataFrame:
+    """Create, save, save again, clear and read offsets in the catalogue; the last save after a clear counts."""
+    prefix = f"t{uuid.uuid4().hex[:12]}_"
+    B.create_tables(spark, prefix)
+    store, other = B.TableOffsetStore(spark, "mine", prefix), B.TableOffsetStore(spark, "other", prefix)
+    kept = table(spark, d, "events").groupBy(F.col("event_type").alias("projection_key")).agg(F.max("event_id").alias("last"), F.min("event_id").alias("first"))
+    offsets = lambda c: kept.select("projection_key", F.col(c).alias("current_offset"), F.lit("LNG").alias("manifest"))
+    other.save(offsets("first"))
+    store.save(offsets("first"))
+    store.clear()
+    store.save(offsets("last").where("projection_key <> 'error'"))
+    rows = store.read().collect()  # one row a key, read before the tables go
+    assert other.read().count() == kept.count()
+    B.drop_tables(spark, prefix)
+    return spark.createDataFrame(rows, "projection_key string, current_offset string, manifest string")
+
+
+@query("SELECT * FROM (VALUES ('many', true), ('one', false)) t(offsets, refused)")
+def op_B10_single_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """A store of single offsets refuses offsets of several keys at once."""
+    prefix = f"t{uuid.uuid4().hex[:12]}_"
+    B.create_tables(spark, prefix)
+    store = B.TableOffsetStore(spark, "single", prefix, mergeable=False)
+    keys = table(spark, d, "events").select(F.col("event_type").alias("projection_key"), F.lit("1").alias("current_offset"), F.lit("LNG").alias("manifest")).distinct()
+
+    def refused(offsets: DataFrame) -> bool:
+        try:
+            store.save(offsets)
+        except ValueError:
+            return True
+        return False
+
+    rows = [("one", refused(keys.where("projection_key = 'click'"))), ("many", refused(keys))]
+    B.drop_tables(spark, prefix)
+    return spark.createDataFrame(rows, "offsets string, refused boolean")
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'purchase')")
+def op_C26_interceptors(spark: SparkSession, d: str) -> DataFrame:
+    """Every type is a stream of its own; an interceptor lets through requests with the right token only."""
+    events = table(spark, d, "events").select("event_id", "event_type")
+    types = ("click", "error", "purchase", "signup", "view")
+    streams = {t: events.where(F.col("event_type") == t) for t in types}
+
+    def token(stream_id: str, metadata) -> None:
+        if metadata.get("token") != f"{stream_id}-token":
+            raise PermissionError(stream_id)
+
+    out = events.limit(0)
+    for stream_id, metadata in [("click", {"token": "click-token"}), ("view", {}), ("error", {"token": "click-token"}), ("purchase", {"token": "purchase-token"})]:
+        try:
+            out = out.unionByName(G.intercepted(streams, stream_id, metadata, [token]))
+        except PermissionError:
+            pass
+    return out
+
+
+@query(f"WITH {ENV}, h AS (SELECT pid, max(seq_nr) AS done FROM env WHERE event_id % 3 = 0 GROUP BY pid), a AS (SELECT pid, max(seq_nr) AS top FROM env WHERE event_type <> 'error' GROUP BY pid), f AS (SELECT a.pid, a.top FROM a LEFT JOIN h USING (pid) WHERE done IS NULL OR done < top) SELECT env.pid, env.seq_nr, coalesce(env.seq_nr <= f.top, false) AS in_flight FROM env LEFT JOIN f USING (pid)")
+def op_D9_in_flight(spark: SparkSession, d: str) -> DataFrame:
+    """Events but errors are accepted, every third is stored; what an entity has in flight is above what is stored for it."""
+    j = journal(spark, d).select("event_id", "event_type", "pid", "seq_nr")
+    flying = V.in_flight(j.where("event_type <> 'error'"), j.where("event_id % 3 = 0"))
+    return V.is_in_flight(j, flying).select("pid", "seq_nr", "in_flight")
+
+
+@query("WITH t AS (SELECT DISTINCT event_type, epoch_us(ts) AS us FROM events), n AS (SELECT *, lead(us) OVER (PARTITION BY event_type ORDER BY us) AS next FROM t) SELECT event_type, unnest(range(us + 60000000, next, 60000000)) AS tick_us FROM n WHERE next - us > 60000000")
+def op_G6_keep_alive(spark: SparkSession, d: str) -> DataFrame:
+    """Ticks of each type's stream for every minute without an event."""
+    return H.keep_alive(table(spark, d, "events"), 60, "event_type")
+
+
+@query(f"WITH {ENV} SELECT pid, seq_nr, CASE WHEN event_type <> 'view' THEN upper(payload) END AS payload, event_type = 'view' AS filtered FROM env WHERE event_type NOT IN ('error', 'click') OR pid IN ('user|8', 'user|46')")
+def op_N6_push_destination(spark: SparkSession, d: str) -> DataFrame:
+    """A destination tells the producer its filter at the start; the producer sends what passes, twice, and the destination keeps it once."""
+    criteria = (L.criterion("exclude_tags", ["error", "click"]), L.criterion("include_ids", {"user|8": 0, "user|46": 0}))
+    t = T.Transformation().register("view", lambda: F.lit(None).cast("string")).register_or_else(lambda: F.upper(F.col("payload")))
+    destination = G.PushDestination(frozenset({"users"}), criteria, t)
+    sent = G.push(journal(spark, d), destination.start("users"))
+    return destination.ingest(sent.unionByName(sent)).select("pid", "seq_nr", "payload", "filtered")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
@@ -13,7 +14,7 @@ from tidemark.functions.scalars import slice_of
 from tidemark.plans.base import ENV, query
 from tidemark.session import ensure_checkpoint_dir, importable
 from tidemark.streaming import recovery as R
-from tidemark.streaming.projection import Delivery, Projection, Runner, rate_limited
+from tidemark.streaming.projection import Delivery, Projection, Runner, rate_limited, run_once
 from tidemark.streaming.stateful import fold_stream, validate_stream
 from tidemark.streaming.store import ProjectionId
 from tidemark.streaming.telemetry import Recorder, ensemble
@@ -100,13 +101,13 @@ def op_E2_at_least_once(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_COUNTS)
 def op_E3_at_least_once_async(spark: SparkSession, d: str) -> DataFrame:
-    """A handler that writes elsewhere by itself and returns nothing."""
+    """A handler that writes elsewhere by itself, four parts of a micro-batch beside one another, and returns nothing."""
     target = f"{_root(spark)}/elsewhere"
 
-    def handler(rows: DataFrame, batch: int) -> None:
-        rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).write.mode("overwrite").parquet(f"{target}/batch={batch}")
+    def handler(rows: DataFrame, part: int) -> None:
+        rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).write.mode("overwrite").parquet(f"{target}/part={part}")
 
-    _ran(spark, _projection(d, "async", handler=handler))
+    _ran(spark, _projection(d, "async", handler=handler, parallel=4, source=_events(d, _in_batches(spark, d))))
     return spark.read.parquet(target).groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
@@ -134,7 +135,7 @@ def op_E5_grouped(spark: SparkSession, d: str) -> DataFrame:
 @query(_COUNTS)
 def op_E6_grouped_async(spark: SparkSession, d: str) -> DataFrame:
     counted = lambda rows, batch: rows.groupBy("event_type", "slice", "group_nr").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    return _result(_ran(spark, _projection(d, "grouped-async", group_size=100, handler=counted)))
+    return _result(_ran(spark, _projection(d, "grouped-async", group_size=100, parallel=3, handler=counted)))
 
 
 @query(_COUNTS)
@@ -152,9 +153,88 @@ def op_E8_flow(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n, sum(floor(value)::BIGINT)::BIGINT AS total FROM events WHERE event_type <> 'error' GROUP BY event_type")
 def op_E11_test_projection(spark: SparkSession, d: str) -> DataFrame:
     """A projection run as a batch, for tests of handlers: one batch, no backoff."""
+    return run_once(spark, _root(spark), _projection(d, "test"), _as_table(spark, d)).results().drop("batch_id")
+
+
+@query("SELECT 0::INT AS batch_id, count(*) AS n, (SELECT count(DISTINCT user_id) FROM events WHERE event_id % 3 = 0) AS records FROM events WHERE event_id % 3 = 0 AND event_type <> 'error'")
+def op_B1_transactional_handler(spark: SparkSession, d: str) -> DataFrame:
+    """The second of three micro-batches crashes between result and offset and the projection isn't restarted: neither is seen."""
+    p = _projection(d, "together", delivery=Delivery.EXACTLY_ONCE, restart=R.Restart(max_restarts=0), source=_events(d, _in_batches(spark, d)))
+    runner = _crashing(Runner(spark, _root(spark), p), 1)
+    try:
+        runner.run(sleep=lambda s: None)
+    except Exception as error:
+        if "crash between result and offset" not in str(error):
+            raise
+    stored = runner.store.offsets().groupBy("batch_id").agg(F.count("*").alias("records"))
+    return runner.store.results().groupBy("batch_id").agg(F.sum("n").alias("n")).join(stored, "batch_id", "full").select("batch_id", "n", "records")
+
+
+@query("SELECT count(*) AS n, 2::BIGINT AS started, 2::BIGINT AS stopped FROM events WHERE event_type <> 'error'")
+def op_L4_handler_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """A handler class is made anew after a failure; each is started before its first batch and stopped after its last."""
+    log = []
+
+    class Counting:
+        def start(self) -> None:
+            log.append("started")
+
+        def stop(self) -> None:
+            log.append("stopped")
+
+        def __call__(self, rows: DataFrame, batch: int) -> DataFrame:
+            if log.count("started") == 1:
+                raise RuntimeError("once")
+            return rows.select("event_id")
+
+    runner = _ran(spark, _projection(d, "lifecycle", handler=Counting))
+    return runner.store.results().agg(F.count("*").alias("n")).select("n", *(F.lit(log.count(k)).cast("long").alias(k) for k in ("started", "stopped")))
+
+
+@query(_COUNTS)
+def op_L12_graceful_stop(spark: SparkSession, d: str) -> DataFrame:
+    """A running projection is stopped after its first micro-batch and run again from where it was: each event counts once."""
+    p, seen = _projection(d, "stopped", delivery=Delivery.EXACTLY_ONCE, source=_events(d, _in_batches(spark, d))), threading.Event()
+
+    def handler(rows: DataFrame, batch: int) -> DataFrame:
+        seen.set()
+        return p.handler(rows, batch)
+
+    runner = Runner(spark, _root(spark), replace(p, handler=handler))
+    runner.start(interval="1 second")
+    seen.wait(120)
+    runner.stop()
+    runner.run(sleep=lambda s: None)
+    return _result(runner)
+
+
+def _as_table(spark: SparkSession, d: str) -> DataFrame:
+    """The envelopes of _events as a table."""
+    pid = F.concat(F.lit("user|"), F.col("user_id").cast("string"))
     raw = spark.read.parquet(f"{d}/events.parquet")
-    batch = raw.select("event_type", F.floor("value").cast("long").alias("value"), (F.col("event_type") == "error").alias("filtered")).where("NOT filtered")
-    return _projection(d, "test").handler(batch, 0)
+    return raw.select("event_id", "event_type", "user_id", F.floor("value").cast("long").alias("value"), pid.alias("pid"), slice_of(pid).alias("slice"), F.col("event_id").alias("seq_nr"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("filtered"))
+
+
+@query("SELECT event_id, floor(value)::BIGINT * 2 AS doubled FROM events WHERE event_type <> 'error'")
+def op_L1_function_handler(spark: SparkSession, d: str) -> DataFrame:
+    """A handler of single envelopes: a function of a row's columns. Filtered events don't reach it."""
+    p = _projection(d, "single", handler=lambda rows, batch: rows.select("event_id", (F.col("value") * 2).alias("doubled")))
+    return run_once(spark, _root(spark), p, _as_table(spark, d)).results().drop("batch_id")
+
+
+@query("SELECT user_id, count(*) AS n, max(event_id) AS last FROM events WHERE event_type <> 'error' GROUP BY user_id")
+def op_L2_grouped_handler(spark: SparkSession, d: str) -> DataFrame:
+    """A handler of groups of at most 50 envelopes; its results are added up."""
+    handler = lambda rows, batch: rows.groupBy("slice", "group_nr", "user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+    parts = run_once(spark, _root(spark), _projection(d, "groups", handler=handler, group_size=50), _as_table(spark, d)).results()
+    return parts.groupBy("user_id").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type <> 'view'")
+def op_L3_flow_handler(spark: SparkSession, d: str) -> DataFrame:
+    """A flow is a transformation of the stream itself; it sees filtered events too."""
+    p = _projection(d, "flow-handler", flow=True, handler=lambda rows, batch: rows.where("event_type <> 'view'").select("event_id", "event_type"))
+    return run_once(spark, _root(spark), p, _as_table(spark, d)).results().drop("batch_id")
 
 
 @query(f"WITH {ENV} SELECT slice, epoch_us(max(ts)) AS ts_us FROM env GROUP BY slice")

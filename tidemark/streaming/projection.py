@@ -5,14 +5,18 @@
     at_most_once   the offset is stored, then the handler runs; after a failure in between it doesn't run again
     flow           a DataFrame transformation whose rows are written like results, filtered events included
 
-Grouped forms give the handler consecutive groups of at most so many rows of each micro-batch.
+Grouped forms give the handler consecutive groups of at most so many rows of each micro-batch. Parallel forms give it a
+micro-batch's slices in parts beside one another, each under a number of its own; the offset is stored when all parts are done.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from enum import Enum
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,6 +45,7 @@ class Projection:
     delivery: Delivery = Delivery.AT_LEAST_ONCE
     flow: bool = False
     group_size: int | None = None
+    parallel: int = 1
     recovery: Recovery = field(default_factory=fail)
     restart: Restart = field(default_factory=Restart)
     telemetry: Telemetry = field(default_factory=Telemetry)
@@ -52,6 +57,8 @@ class Projection:
             raise ValueError("at most once allows neither groups nor retries")
         if self.group_size is not None and self.group_size < 1:
             raise ValueError("a group has at least one row")
+        if self.parallel < 1 or self.parallel > 1 and self.delivery is not Delivery.AT_LEAST_ONCE:
+            raise ValueError("only at least once runs in parallel")
 
     def with_recovery(self, recovery: Recovery) -> Projection:
         return replace(self, recovery=recovery)
@@ -67,19 +74,31 @@ class Projection:
         visible = batch if self.flow or "filtered" not in batch.columns else batch.where(~F.col("filtered"))
         if self.delivery is Delivery.AT_MOST_ONCE:
             store.commit(batch_id, batch)
-        done, result = recover(lambda: self._handle(store, visible, batch_id), self.recovery, lambda e, what: self.telemetry.error(str(self.id), e, what))
+        done, result = recover(lambda: self._handle(visible, batch_id), self.recovery, lambda e, what: self.telemetry.error(str(self.id), e, what))
         if done and result is not None:
             store.write_result(batch_id, result)
         if self.delivery is not Delivery.AT_MOST_ONCE:
             store.commit(batch_id, batch)
         self.telemetry.after(str(self.id), batch_id)
 
-    def _handle(self, store: ProjectionStore, rows: DataFrame, batch_id: int) -> DataFrame | None:
-        if not self.group_size:
+    def _handle(self, rows: DataFrame, batch_id: int) -> DataFrame | None:
+        if self.group_size:
+            order = Window.partitionBy("slice").orderBy("ts", "pid", "seq_nr")
+            rows = rows.withColumn("group_nr", F.floor((F.row_number().over(order) - 1) / self.group_size).cast("long"))
+        if self.parallel == 1:
             return self.handler(rows, batch_id)
-        order = Window.partitionBy("slice").orderBy("ts", "pid", "seq_nr")
-        grouped = rows.withColumn("group_nr", F.floor((F.row_number().over(order) - 1) / self.group_size).cast("long"))
-        return self.handler(grouped, batch_id)
+        parts = [rows.where(F.col("slice") % self.parallel == n) for n in range(self.parallel)]
+        with ThreadPoolExecutor(self.parallel) as pool:
+            made = list(pool.map(lambda n: self.handler(parts[n], batch_id * self.parallel + n), range(self.parallel)))
+        made = [m for m in made if m is not None]
+        return reduce(DataFrame.unionByName, made) if made else None
+
+
+def run_once(spark: SparkSession, root: str, projection: Projection, envelopes: DataFrame) -> ProjectionStore:
+    """A projection over a table instead of its source, as one batch and without restarts: for tests of handlers. Gives its store."""
+    store = ProjectionStore(spark, root, projection.id)
+    projection.process(store, envelopes, 0)
+    return store
 
 
 class Runner:
@@ -89,6 +108,7 @@ class Runner:
         self.spark, self.projection = spark, projection
         self.store = ProjectionStore(spark, root, projection.id)
         self.query: StreamingQuery | None = None
+        self._busy, self._stopping = threading.Lock(), False
 
     def start(self, interval: str | None = None, projection: Projection | None = None) -> StreamingQuery | None:
         """Start reading; without interval what is there now is read and the query ends. None while paused."""
@@ -97,10 +117,17 @@ class Runner:
             return None
         p.telemetry.started(str(p.id))
         writer = p.source(self.spark).writeStream.queryName(str(p.id)).option("checkpointLocation", store.checkpoint())
-        writer = writer.foreachBatch(lambda batch, n: p.process(store, batch, n))
+        writer = writer.foreachBatch(lambda batch, n: self._process(p, batch, n))
+        self._stopping = False
         self.query = (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
         return self.query
 
+    def _process(self, p: Projection, batch: DataFrame, batch_id: int) -> None:
+        with self._busy:
+            if self._stopping:
+                raise InterruptedError("stopped")  # the batch stays unprocessed and comes first at the next start
+            p.process(self.store, batch, batch_id)
+
     def run(self, sleep: Callable[[float], None] | None = None) -> None:
         """Read what there is, restarting by the projection's backoff, until it is done.
 
@@ -125,9 +152,12 @@ class Runner:
             p.telemetry.stopped(str(p.id))
 
     def stop(self) -> None:
+        """Stop after the micro-batch in hand, if there is one."""
         if self.query is not None:
             query, self.query = self.query, None
-            query.stop()
+            self._stopping = True
+            with self._busy:
+                query.stop()
 
     # Management.
     def offset(self) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # The columns of bookkeeping tables.
 TABLES = {
@@ -39,6 +42,35 @@ class Session:
         rows.write.mode("append").insertInto(table)
 
 
+class TableOffsetStore:
+    """Offsets of one projection name in the catalogue's offset_store: a save appends, of each key the newest row counts, null clears.
+
+    mergeable: whether offsets of several keys may be saved at once.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, prefix: str = "", mergeable: bool = True) -> None:
+        self.spark, self.name, self.table, self.mergeable = spark, name, f"{prefix}offset_store", mergeable
+
+    def save(self, offsets: DataFrame) -> None:
+        """offsets: (projection_key, current_offset, manifest)."""
+        if not self.mergeable and len(offsets.limit(2).collect()) > 1:
+            raise ValueError("this store keeps single offsets only")
+        row = offsets.select(F.lit(self.name).alias("projection_name"), "projection_key", F.col("current_offset").cast("string"), "manifest", F.lit(self.mergeable).alias("mergeable"), F.lit(time.time_ns()).alias("last_updated"))
+        row.write.mode("append").insertInto(self.table)
+
+    def read(self) -> DataFrame:
+        """(projection_key, current_offset, manifest) of each key that has one."""
+        own = self.spark.table(self.table).where(F.col("projection_name") == self.name)
+        newest = own.groupBy("projection_key").agg(F.max_by(F.struct("current_offset", "manifest"), "last_updated").alias("m"))
+        return newest.select("projection_key", "m.*").where("current_offset IS NOT NULL")
+
+    def clear(self) -> None:
+        row = self.read().select("projection_key", F.lit(None).cast("string").alias("current_offset"), F.lit(None).cast("string").alias("manifest"), F.lit(self.mergeable).alias("mergeable"), F.lit(time.time_ns()).alias("last_updated"))
+        # A table can't be read while it is appended to; keys of a projection are few.
+        keys = self.spark.createDataFrame(row.collect(), row.schema)
+        keys.select(F.lit(self.name).alias("projection_name"), *row.columns).write.mode("append").insertInto(self.table)
+
+
 class MemoryOffsetStore:
     """Offsets of one projection in this process, for tests. Mergeable offsets are kept by key."""
 
