@@ -55,6 +55,16 @@ def top_record(records: DataFrame) -> DataFrame:
     return records.groupBy("pid").agg(F.max(F.struct("seq_nr", "ts")).alias("m")).select("pid", "m.seq_nr", "m.ts")
 
 
+def ranked(records: DataFrame, by: str = "slice") -> DataFrame:
+    """records with rank, their place in ORDER within a column's value; there are as many tasks as the column has values."""
+    return records.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*ORDER)))
+
+
+def newest_and_oldest(records: DataFrame, by: str) -> DataFrame:
+    """(by, newest_pid, oldest_pid): entities of the newest and the oldest time."""
+    return records.groupBy(by).agg(F.max_by("pid", "ts").alias("newest_pid"), F.min_by("pid", "ts").alias("oldest_pid"))
+
+
 def latest_by_slice(records: DataFrame) -> DataFrame:
     """The newest record of each slice; at most as many rows as slices."""
     return records.groupBy("slice").agg(F.max(F.struct("ts", "pid", "seq_nr", "projection_key")).alias("m")).select("slice", "m.*")

@@ -11,6 +11,7 @@ from tidemark.functions import scalars as S
 from tidemark.operators import filters as L
 from tidemark.operators import handlers as H
 from tidemark.operators import offsets as O
+from tidemark.operators import validation as V
 from tidemark.plans.base import ENV, REC, journal, query, records, sql_hash, sql_shard, table, us
 
 SEEN, SEEN_SQL = datetime(2024, 1, 20), "TIMESTAMP '2024-01-20'"
@@ -157,16 +158,14 @@ def op_H2_top_seq_nr(spark: SparkSession, d: str) -> DataFrame:
     return O.top_record(records(spark, d)).select("pid", "seq_nr")
 
 
-@query(f"WITH {REC} SELECT pid, seq_nr, slice, rank FROM (SELECT *, row_number() OVER (PARTITION BY projection_key ORDER BY ts, slice, pid, seq_nr)::INT AS rank FROM rec)")
+@query(f"WITH {REC} SELECT pid, seq_nr, slice, rank FROM (SELECT *, row_number() OVER (PARTITION BY slice ORDER BY ts, slice, pid, seq_nr)::INT AS rank FROM rec)")
 def op_H3_record_order(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    return records(spark, d).select("pid", "seq_nr", "slice", F.row_number().over(Window.partitionBy("projection_key").orderBy(*O.ORDER)).alias("rank"))
+    return O.ranked(records(spark, d)).select("pid", "seq_nr", "slice", "rank")
 
 
 @query(f"WITH {REC} SELECT projection_key, arg_max(pid, ts) AS newest_pid, arg_min(pid, ts) AS oldest_pid FROM rec GROUP BY projection_key")
 def op_H4_max_min_by(spark: SparkSession, d: str) -> DataFrame:
-    return records(spark, d).groupBy("projection_key").agg(F.max_by("pid", "ts").alias("newest_pid"), F.min_by("pid", "ts").alias("oldest_pid"))
+    return O.newest_and_oldest(records(spark, d), "projection_key")
 
 
 @query(f"WITH {REC}, {_BY_SLICE} SELECT slice, pid, seq_nr FROM bs WHERE projection_key <> 'k0' AND ts <= TIMESTAMP '2024-01-30 12:00:00'")
@@ -212,9 +211,8 @@ def op_J3_evict_union(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {ENV} SELECT pid, seq_nr, event_id % 2 = 0 AS replayed FROM env WHERE event_id % 2 = 0 UNION ALL SELECT pid, seq_nr, false FROM env WHERE event_id % 3 = 0")
 def op_J4_replay_union(spark: SparkSession, d: str) -> DataFrame:
-    j = journal(spark, d)
-    part = lambda df, flag: df.select("pid", "seq_nr", F.lit(flag).alias("replayed"))
-    return part(j.where("event_id % 2 = 0"), True).unionByName(part(j.where("event_id % 3 = 0"), False))
+    j = journal(spark, d).withColumn("filter_after", F.lit(0))
+    return V.replay_or_filter(j.where("event_id % 3 = 0"), j.where("event_id % 2 = 0"), F.lit(True)).select("pid", "seq_nr", "replayed")
 
 
 @query("SELECT c_custkey, c_mktsegment AS entity_type, c_name AS entity_id FROM customer")

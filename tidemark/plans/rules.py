@@ -26,7 +26,8 @@ def _filtered(spark: SparkSession, d: str, *criteria: L.Criterion) -> DataFrame:
 
 @query(_passing("value > 5"))
 def op_C1_producer_filter(spark: SparkSession, d: str) -> DataFrame:
-    return journal(spark, d).where("value > 5").select(*EV)
+    """A producer's own filter, with no filter of the consumer's and payloads as they are."""
+    return T.publish(journal(spark, d), F.col("value") > 5, F.lit(True), T.Transformation.identity()).select(*EV)
 
 
 @query(_passing("list_has_any(tags, ['t:click/0', 't:view/0', 't:error/0', 't:signup/0', 't:purchase/0'])"))

@@ -133,7 +133,7 @@ def op_B16_producer_service(spark: SparkSession, d: str) -> DataFrame:
 def op_B17_to_message_log(spark: SparkSession, d: str) -> DataFrame:
     """Keys and values as a message log's writer takes them."""
     e = table(spark, d, "events").where("event_type = 'purchase'")
-    return e.select(F.concat(F.lit("user|"), F.col("user_id").cast("string")).alias("key"), F.to_json(F.struct(F.col("event_id").alias("id"))).alias("value"))
+    return J.log_records(e, F.concat(F.lit("user|"), F.col("user_id").cast("string")), F.col("event_id").alias("id"))
 
 
 @query("SELECT * FROM (VALUES ('a', 3::BIGINT), ('b', 7)) t(key, \"offset\")")

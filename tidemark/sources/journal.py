@@ -143,3 +143,13 @@ def message_log(spark: SparkSession, servers: str, topics: list[str], offsets: s
     """A streaming message log; needs the log's connector on the classpath."""
     reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics))
     return reader.option("startingOffsets", offsets or "earliest").load()
+
+
+def log_records(rows: DataFrame, key: Column, *value: Column) -> DataFrame:
+    """(key, value) as a message log's writer takes them; the value is JSON of the given columns."""
+    return rows.select(key.alias("key"), F.to_json(F.struct(*value)).alias("value"))
+
+
+def append_to_log(records: DataFrame, servers: str, topic: str) -> None:
+    """Send (key, value) of a batch, as from a handler; needs the log's connector on the classpath."""
+    records.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
