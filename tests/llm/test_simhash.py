@@ -154,6 +154,57 @@ def test_pipeline_stage_finds_all_near_copies(spark, monkeypatch):
     assert {r["doc_id"] for r in S.drop_near_copies(frame).collect()} == want
 
 
+def test_pipeline_stage_goes_through_the_grid(spark, monkeypatch):
+    """The stage's sets have SimHash fingerprints of five words; pairs within 4 bits are linked by the grid and by nothing else, the rest by their shingles."""
+    rng = random.Random(13)
+    texts = []
+    for _ in range(30):
+        base = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(100, 300))]
+        texts += [" ".join(base)] + [" ".join(edited(rng, base, n)) for n in (1, 1, 2, 5)] + [" ".join(base[1:])]
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    prints = []
+    for s in sets:
+        hashes = [xxhash.xxh64_intdigest(x, 42) for x in s]
+        prints.append(sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes)))
+    alike = {(i, j) for i in range(len(texts)) for j in range(i) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))}
+    within = {(i, j) for i, j in alike if (prints[i] ^ prints[j]).bit_count() <= 4}
+    assert within and alike - within
+
+    def left(pairs):
+        roots = list(range(len(texts)))
+        for i, j in pairs:
+            old, new = max(roots[i], roots[j]), min(roots[i], roots[j])
+            roots = [new if r == old else r for r in roots]
+        return set(roots)
+
+    seen, real = [], S.fingerprint_links
+
+    def spied(points, *args, **kwargs):
+        links = real(points, *args, **kwargs)
+        seen.append(([r["sim"] for r in points.collect()], connected_components(links).collect()))
+        return links
+
+    frame = documents(spark, list(enumerate(texts)))
+    stage = dict(pytest.importorskip("corpus_pipeline").STAGES)["simhash near-dedup"]
+    monkeypatch.setattr(S, "fingerprint_links", spied)
+    assert {r["doc_id"] for r in stage(spark, frame, "").collect()} == left(alike)
+    (sims, found), = seen
+    assert {p & (1 << 64) - 1 for p in sims} == set(prints)
+    assert len({frozenset(s) for s in sets}) - len(found) + len({r["root"] for r in found}) == len(left(within | {(i, j) for i, j in alike if sets[i] == sets[j]}))
+    monkeypatch.setattr(S, "fingerprint_links", lambda points, *_, **__: spark.createDataFrame([], "a long, b long"))
+    assert {r["doc_id"] for r in stage(spark, frame, "").collect()} == left({(i, j) for i, j in alike - within} | {(i, j) for i, j in alike if sets[i] == sets[j]})
+
+
+def test_unconfirmed_links_connect_nothing(spark):
+    """Points within the bound of one another, some of one fingerprint, of which only those of one parity may be linked: heads of the other parity lose no link."""
+    points = [(i, i % 7) for i in range(60)]
+    odd = F.col("a") % 2 == F.col("b") % 2
+    frame = spark.createDataFrame(points, "fp long, sim long")
+    for dense in (256, 4):
+        links = S.fingerprint_links(frame, dense=dense, confirm=lambda pairs: pairs.where(odd))
+        assert {r["node"]: r["root"] for r in connected_components(links).collect()} == {i: i % 2 for i in range(60)}
+
+
 def test_dense_cells_are_split_alike(spark):
     """Cells of more members than allowed are split by the other half; what is reachable stays the same. A chain and a group that no head holds together."""
     rng = random.Random(5)

@@ -20,18 +20,20 @@ repeated rows give repeated results; a null doc_id never becomes a component id
 input columns are ignored.
 
 drop_near_copies(), the pipeline's stage, isn't bound by 4 words and 4 bits: it links texts whose sets of five-word shingles
-have a Jaccard similarity of 0.8 or more, all such pairs and no others. At that similarity 64-bit fingerprints differ in about
-10 bits and often in 17, beyond what any grid can search whole, so it is an exact join in the same form. Two sets
+have a Jaccard similarity of 0.8 or more, all such pairs and no others. Sets get SimHash fingerprints (each shingle once) and
+go through the same grid, stars, contraction and pairs as above; a link counts once it is verified on whole texts. That decides every
+pair within max_bits. At a similarity of 0.8, though, 64-bit fingerprints differ in about 10 bits and often in 17, beyond what
+any grid can search whole, so the pairs of more than max_bits, and only those, have an exact way of their own. Two sets
 that similar share one of the first n - ceil(0.8 n) + 1 shingles of each in any common order, so each set is filed
 under those; the order begins with the rare ones, so that a line of many documents brings none together. A fingerprint of
 256 bits, the parities of a set's shingles by a hash, embeds a set such that the popcount of two fingerprints' difference is at most the
 size of the sets' symmetric difference: a lower bound that rules pairs out before they are verified on whole texts. Stars, contraction
-and pairs between what is left follow as above: a set is held against the nearest of its cells' heads, in STAR_ROUNDS rounds.
+and pairs between what the grid left apart follow as above: a set is held against the nearest of its cells' heads, in STAR_ROUNDS rounds.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from fractions import Fraction
 
 import numpy as np
@@ -76,9 +78,9 @@ def shingle_hashes(text: str, size: int) -> list[int]:
     return [digest(joined[s:e], SEED) for s, e in zip(starts, ends[size - 1 :])] or [digest(joined, SEED)]
 
 
-def fingerprints(texts: list[str], size: int) -> list[int]:
-    """Signed 64-bit fingerprints; hashes are counted in blocks, so memory doesn't grow with a text's length."""
-    totals, counts = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
+def majorities(lists: Iterable[list[int]], n: int) -> list[int]:
+    """Signed 64-bit fingerprints of n lists of hashes, which are counted in blocks."""
+    totals, counts = np.zeros((n, 64), np.int64), np.zeros(n, np.int64)
     pending: list[int] = []
     bounds: list[tuple[int, int]] = []
 
@@ -91,8 +93,7 @@ def fingerprints(texts: list[str], size: int) -> list[int]:
         pending.clear()
         bounds.clear()
 
-    for i, text in enumerate(texts):
-        hashes = shingle_hashes(text, size)
+    for i, hashes in enumerate(lists):
         counts[i] = len(hashes)
         for at in range(0, len(hashes), BLOCK):
             bounds.append((i, len(pending)))
@@ -104,6 +105,11 @@ def fingerprints(texts: list[str], size: int) -> list[int]:
     return packed.view(np.int64).ravel().tolist()
 
 
+def fingerprints(texts: list[str], size: int) -> list[int]:
+    """Signed 64-bit fingerprints; the work doesn't hold more than a block of bits, whatever a text's length."""
+    return majorities((shingle_hashes(t, size) for t in texts), len(texts))
+
+
 def fingerprint_documents(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): one pass over whole texts, no shuffle."""
     return arrow_rows(keyed_text(docs, id_col, text_col), lambda c: {"doc_id": c["doc_id"], "fp": fingerprints(c["text"], shingle)}, "doc_id long, fp long")
@@ -162,29 +168,38 @@ def _open(filed: DataFrame, cell: str) -> DataFrame:
     return counted.where("split").drop("split")
 
 
-def fingerprint_links(points: DataFrame, max_bits: int = 4, dense: int = DENSE) -> DataFrame:
-    """(a, b): enough links among distinct fingerprints to connect exactly those that are reachable over max_bits or fewer bits. points: (fp)."""
+def fingerprint_links(points: DataFrame, max_bits: int = 4, dense: int = DENSE, confirm: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(a, b): enough links among distinct fingerprints to connect exactly those that are reachable over max_bits or fewer bits.
+
+    points: (fp), or (fp, sim) if fp only names a point whose fingerprint is sim. confirm returns those of the pairs (a, b) that are
+    to count as links: points that only others would connect are then looked for as pairs, so no confirmed link is lost.
+    """
     if not 0 <= max_bits <= 5:
         raise ValueError("the grid of two halves is exact for 0 to 5 differing bits")
-    low, high = _halves(F.col("fp"))
+    given = points.columns
+    sim = given[-1]
+    more = lambda x, s: [F.col(f"{x}{c}").alias(f"{s}_{c}") for c in given if c != "fp"]
+    low, high = _halves(F.col(sim))
     over = Window.partitionBy("cell")
-    head = F.min(F.struct(F.xxhash64("cell", "fp").alias("rank"), "fp")).over(over)["fp"]
-    a, b = F.col("a"), F.col("b")
+    head = F.min(F.struct(F.xxhash64("cell", "fp").alias("rank"), *given)).over(over)
+    a, b = (F.col(s if sim == "fp" else f"{s}_{sim}") for s in "ab")
     bound = (_differ(_unary(a), _unary(b)) <= max_bits) & (_differ(a, b) <= max_bits)
     with Scratch(points.sparkSession) as scratch:
         cells = F.explode(F.concat(_cells(low, 0), _cells(high, 1))).alias("cell")
-        near = points.select("fp", cells).select(head.alias("a"), F.col("fp").alias("b")).where((a != b) & bound)
+        near = points.select(*given, cells).withColumn("head", head).select(F.col("head.fp").alias("a"), F.col("fp").alias("b"), *more("head.", "a"), *more("", "b")).where(F.expr("a <> b") & bound)
         # Of the heads within the bound the first and the last in an order of all: two links a fingerprint hold a group together.
         rank = F.struct(F.xxhash64("a").alias("rank"), "a")
         stars = scratch.store(near.groupBy("b").agg(F.array(F.min(rank)["a"], F.max(rank)["a"]).alias("heads")).select(F.explode(F.array_distinct("heads")).alias("a"), "b"))
-        left = scratch.store(_open(_rooted(points, stars).select("fp", "root", cells), "cell"))
+        stars = confirm(stars) if confirm else stars
+        left = scratch.store(_open(_rooted(points, stars).select(*given, "root", cells), "cell"))
         other = F.when(F.shiftrightunsigned("cell", 32) == 0, high).otherwise(low)
         quarters = F.concat(_cells(other.bitwiseAND(F.lit(0xFFFF).cast("long")), 0, SEGMENTS_PER_HALF // 2), _cells(F.shiftrightunsigned(other, 16), 1, SEGMENTS_PER_HALF // 2))
-        whole = left.where(F.col("members") <= dense).select("cell", "fp", "root", F.lit(-1).cast("long").alias("quarter"))
-        finer = whole.unionByName(left.where(F.col("members") > dense).select("cell", "fp", "root", F.explode(quarters).alias("quarter")))
-        x, y = (finer.select("cell", "quarter", F.col("fp").alias(s), F.col("root").alias(f"{s}_root")) for s in "ab")
-        pairs = x.join(y.select(F.col("cell").alias("b_cell"), F.col("quarter").alias("b_quarter"), "b", "b_root"), F.expr("cell = b_cell AND quarter = b_quarter AND a < b AND a_root <> b_root") & bound)
-        return scratch.keep(stars.unionByName(pairs.select("a", "b").distinct()))
+        whole = left.where(F.col("members") <= dense).select("cell", *given, "root", F.lit(-1).cast("long").alias("quarter"))
+        finer = whole.unionByName(left.where(F.col("members") > dense).select("cell", *given, "root", F.explode(quarters).alias("quarter")))
+        x, y = (finer.select("cell", "quarter", F.col("fp").alias(s), F.col("root").alias(f"{s}_root"), *more("", s)) for s in "ab")
+        y = y.withColumnsRenamed({"cell": "b_cell", "quarter": "b_quarter"})
+        pairs = x.join(y, F.expr("cell = b_cell AND quarter = b_quarter AND a < b AND a_root <> b_root") & bound).select("a", "b").distinct()
+        return scratch.keep(stars.unionByName(confirm(scratch.store(pairs)) if confirm else pairs))
 
 
 def label_points(prints: DataFrame, links_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -245,10 +260,11 @@ def parities(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def near_links(prints: DataFrame, texts: DataFrame, size: int, similarity: Fraction) -> DataFrame:
+def near_links(prints: DataFrame, texts: DataFrame, size: int, similarity: Fraction, max_bits: int = 4) -> DataFrame:
     """(a, b): enough links among distinct sets to connect exactly those that are reachable over pairs of the similarity or more.
 
-    prints: (doc_id, th, fp, n, bits, keys); texts: (doc_id, th, text). A set is known by fp, the hash of its shingles.
+    prints: (doc_id, th, fp, sim, n, bits, keys); texts: (doc_id, th, text). A set is known by fp, the hash of its shingles; sim is its
+    SimHash fingerprint. Pairs of max_bits or fewer differing bits are found by fingerprint_links alone, the others by their first shingles.
     """
     over, under = similarity.numerator, similarity.denominator
     both = over + under
@@ -281,24 +297,24 @@ def near_links(prints: DataFrame, texts: DataFrame, size: int, similarity: Fract
         return scratch.store(arrow_rows(pairs.join(y, "b").join(x, "a").select("a", "b", "text_a", "text"), work, "a long, b long"))
 
     with Scratch(prints.sparkSession) as scratch:
-        points = scratch.store(prints.groupBy("fp").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("keys").alias("keys")))
-        marked = points.select("fp", F.explode("keys").alias("key")).select("key", "fp", F.count("*").over(cell).alias("members"))
-        shared = scratch.store(marked.where("members > 1").drop("members"))
-        known = points.select(F.col("fp").alias("__fp"), "n", *(F.col("bits")[i].alias(f"w{i}") for i in words))
-        filed = scratch.store(shared.join(known, F.col("fp") == F.col("__fp")).drop("__fp").withColumn("root", F.col("fp")))
-        links = scratch.store(prints.sparkSession.createDataFrame([], "a long, b long"))
+        points = scratch.store(prints.groupBy("fp").agg(*(F.first(c).alias(c) for c in ("sim", "n", "bits", "keys"))))
+        links = fingerprint_links(points.select("fp", "sim"), max_bits, confirm=lambda pairs: verified(pairs, scratch))
+        # The grid has decided all pairs within the bound: what follows is for those beyond it, between what it left apart.
+        shared = scratch.store(_open(_rooted(points.select("fp", "keys"), links).select("fp", "root", F.explode("keys").alias("key")), "key").drop("members"))
+        known = points.select(F.col("fp").alias("__fp"), "sim", "n", *(F.col("bits")[i].alias(f"w{i}") for i in words))
+        filed = scratch.store(shared.join(known, F.col("fp") == F.col("__fp")).drop("__fp"))
         for k in range(STAR_ROUNDS):
             # Every cell has a head of its own; each set is held against the nearest that isn't ruled out.
-            head = F.min(F.struct(F.xxhash64("key", "fp", F.lit(k)).alias("rank"), "fp", "n", "root", *(f"w{i}" for i in words))).over(cell)
-            held = filed.withColumn("h", head).select("fp", "n", "root", *(f"w{i}" for i in words), F.col("h.fp").alias("head"), F.col("h.n").alias("m"), F.col("h.root").alias("h_root"), *(F.col(f"h.w{i}").alias(f"h{i}") for i in words))
-            held = held.where("root <> h_root").withColumn("far", apart("w", "h")).where(sized("m", "n") & (F.col("far") * both <= (F.col("m") + F.col("n")) * (under - over)))
+            head = F.min(F.struct(F.xxhash64("key", "fp", F.lit(k)).alias("rank"), "fp", "sim", "n", "root", *(f"w{i}" for i in words))).over(cell)
+            held = filed.withColumn("h", head).select("fp", "sim", "n", "root", *(f"w{i}" for i in words), F.col("h.fp").alias("head"), F.col("h.sim").alias("h_sim"), F.col("h.n").alias("m"), F.col("h.root").alias("h_root"), *(F.col(f"h.w{i}").alias(f"h{i}") for i in words))
+            held = held.where((F.col("root") != F.col("h_root")) & (_differ(F.col("sim"), F.col("h_sim")) > max_bits)).withColumn("far", apart("w", "h")).where(sized("m", "n") & (F.col("far") * both <= (F.col("m") + F.col("n")) * (under - over)))
             met = held.groupBy("fp").agg(F.min(F.struct("far", "head"))["head"].alias("head"))
             stars = verified(scratch.store(met.select(F.col("head").alias("a"), F.col("fp").alias("b"))), scratch)
             links = links.unionByName(stars)
             filed = scratch.store(_open(_rooted(filed.drop("members"), links), "key"))
-        x, y = (filed.select(F.col("key").alias(f"key_{s}"), F.col("fp").alias(s), F.col("n").alias(f"n_{s}"), F.col("root").alias(f"root_{s}"), *(F.col(f"w{i}").alias(f"{s}{i}") for i in words)) for s in "ab")
+        x, y = (filed.select(F.col("key").alias(f"key_{s}"), F.col("fp").alias(s), F.col("sim").alias(f"sim_{s}"), F.col("n").alias(f"n_{s}"), F.col("root").alias(f"root_{s}"), *(F.col(f"w{i}").alias(f"{s}{i}") for i in words)) for s in "ab")
         # Sets that share o shingles or more share l or more of their first n - o + l, so those that meet in fewer cells aren't near.
-        likely = sized("n_a", "n_b") & (apart("a", "b") * both <= (F.col("n_a") + F.col("n_b")) * (under - over))
+        likely = (_differ(F.col("sim_a"), F.col("sim_b")) > max_bits) & sized("n_a", "n_b") & (apart("a", "b") * both <= (F.col("n_a") + F.col("n_b")) * (under - over))
         meet = x.join(y, F.expr("key_a = key_b AND a < b AND root_a <> root_b") & likely).groupBy("a", "b", "n_a", "n_b").count()
         least = F.expr(f"({over} * (n_a + n_b) + {both - 1}) div {both}")
         first = lambda n: F.expr(f"{n} - ({n} * {over} + {under - 1}) div {under} + 1")
@@ -337,8 +353,8 @@ def near_dedup(docs: DataFrame, max_bits: int = 4, shingle: int = 4) -> DataFram
     return _first_rows(docs, text_hash, label_fingerprints(prints, max_bits).select("doc_id", "th", "root"))
 
 
-def drop_near_copies(docs: DataFrame, similarity: Fraction = NEAR_SIMILARITY, shingle: int = NEAR_SHINGLE) -> DataFrame:
-    """docs with one row of each component of near copies by Jaccard similarity; which row, and ties, as in near_dedup."""
+def drop_near_copies(docs: DataFrame, similarity: Fraction = NEAR_SIMILARITY, shingle: int = NEAR_SHINGLE, max_bits: int = 4) -> DataFrame:
+    """docs with one row of each component of near copies by Jaccard similarity; which row, and ties, as in near_dedup. max_bits: the grid's, it orders the work only."""
     text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     hashed = keyed_text(docs).withColumn("th", text_hash)
     common = common_shingles(hashed, shingle)
@@ -348,11 +364,12 @@ def drop_near_copies(docs: DataFrame, similarity: Fraction = NEAR_SIMILARITY, sh
     def work(c: dict[str, list]) -> dict[str, list]:
         sets = [shingle_set(t, shingle) for t in c["text"]]
         fps = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-        return {"doc_id": c["doc_id"], "th": c["th"], "fp": fps, "n": [s.size for s in sets], "bits": [parities(s) for s in sets], "keys": [first_shingles(s, similarity, *shared.value).view(np.int64) for s in sets]}
+        sims = majorities((s.tolist() for s in sets), len(sets))
+        return {"doc_id": c["doc_id"], "th": c["th"], "fp": fps, "sim": sims, "n": [s.size for s in sets], "bits": [parities(s) for s in sets], "keys": [first_shingles(s, similarity, *shared.value).view(np.int64) for s in sets]}
 
     with Scratch(docs.sparkSession) as scratch:
-        prints = scratch.store(arrow_rows(hashed, work, "doc_id long, th long, fp long, n int, bits array<long>, keys array<long>"))
-        labelled = stored(label_points(prints.select("doc_id", "th", "fp"), lambda _: near_links(prints, hashed, shingle, similarity)).select("doc_id", "th", "root"))
+        prints = scratch.store(arrow_rows(hashed, work, "doc_id long, th long, fp long, sim long, n int, bits array<long>, keys array<long>"))
+        labelled = stored(label_points(prints.select("doc_id", "th", "fp"), lambda _: near_links(prints, hashed, shingle, similarity, max_bits)).select("doc_id", "th", "root"))
     return _first_rows(docs, text_hash, labelled)
 
 
