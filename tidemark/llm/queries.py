@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import linefreq, mixing, mpegts, packing, pseudonyms, secrets, simhash, toolcalls, toxicity, xent
+from tidemark.llm import linefreq, mixing, mpegts, packing, prefixtrie, pseudonyms, secrets, simhash, tokenfiles, toolcalls, toxicity, whitening, xent
 from tidemark.llm.common import table
 
 
@@ -57,6 +57,20 @@ def op10_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.trie_digest(table(spark, sf_dir, "conversations"))
+
+
+def op12_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenfiles.token_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_digest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -70,6 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash_segment_popcount,
         op9_toxic_segments,
         op10_cutting_stock_packing,
+        op11_conversation_prefix_trie,
+        op12_orc_token_ids,
+        op13_embedding_whitening,
     )
 }
 
