@@ -40,6 +40,92 @@ def test_damage_is_counted():
         M.demux(b"\x47" * n)
 
 
+def plain_reader(media):
+    """The payload as a reader by the book finds it, packet by packet, with sections and elementary packets put together; no code of the operator."""
+    sections, units, last, counters = {}, {}, {}, {}
+    maps, wanted = set(), set()
+    for at in range(0, len(media), 188):
+        p = media[at : at + 188]
+        assert p[0] == 0x47
+        pid, start, control = (p[1] & 0x1F) << 8 | p[2], p[1] & 0x40, p[3] >> 4 & 3
+        if not control & 1 or p == last.get(pid):
+            continue
+        assert pid not in counters or p[3] & 15 == (counters[pid] + 1) & 15
+        last[pid], counters[pid] = p, p[3] & 15
+        body = p[5 + p[4] :] if control & 2 else p[4:]
+        if pid in wanted:
+            if start:
+                units.setdefault(pid, []).append(b"")
+            units[pid][-1] += body
+        elif pid == 0 or pid in maps:
+            sections[pid] = body[1 + body[0] :] if start else sections[pid] + body
+            s = sections[pid]
+            size = 3 + ((s[1] & 15) << 8 | s[2])
+            if len(s) >= size and pid == 0:
+                maps |= {(s[k + 2] & 31) << 8 | s[k + 3] for k in range(8, size - 4, 4)}
+            elif len(s) >= size:
+                k = 12 + ((s[10] & 15) << 8 | s[11])
+                while k < size - 4:
+                    wanted.add((s[k + 1] & 31) << 8 | s[k + 2])
+                    k += 5 + ((s[k + 3] & 15) << 8 | s[k + 4])
+    out = b""
+    for own in units.values():
+        for u in own:
+            assert u[:3] == b"\0\0\1"
+            size = u[4] << 8 | u[5]
+            out += u[9 + u[8] : 6 + size] if size else u[9 + u[8] :]
+    return out
+
+
+def again(packet):
+    """A repeated packet, whose clock may differ."""
+    if packet[3] & 0x20 and packet[4] > 6 and packet[5] & 0x10:
+        return packet[:6] + b"\1\2\3\4\x7e\0" + packet[12:]
+    return packet
+
+
+@pytest.mark.parametrize("size", [0, 192, 5_000, 100_000])
+def test_an_independent_reader_agrees(size):
+    payload, _ = M.payload_of("".join(random.Random(size).choices("abc é\n", k=size)))
+    assert plain_reader(M.mux(payload)) == payload
+
+
+def test_repeated_packets_count_once():
+    payload, _ = M.payload_of("repeat me " * 9_000)
+    media = M.mux(payload)
+    packets = [media[i : i + 188] for i in range(0, len(media), 188)]
+    twice = M.demux(b"".join(p + again(p) for p in packets))
+    assert twice["payload"] == payload and twice["continuity_errors"] == 0 and twice["bad_sections"] == 0
+    assert twice["repeated_packets"] == len(packets) - 2
+    assert plain_reader(b"".join(p + p for p in packets)) == payload
+    # A third of the same, and the same counter with other bytes, are errors.
+    assert M.demux(b"".join(packets[:5] + packets[4:5] * 2 + packets[5:]))["continuity_errors"] == 1
+    other = packets[5][:100] + bytes([packets[5][100] ^ 1]) + packets[5][101:]
+    assert M.demux(b"".join(packets[:6] + [other] + packets[6:]))["continuity_errors"] == 1
+
+
+def test_sections_over_several_packets():
+    payload, _ = M.payload_of("sections " * 3_000)
+    media = M.mux(payload)
+    data = bytes([0xE0 | M.DATA_PID >> 8, M.DATA_PID & 0xFF])
+    many = b"".join(bytes([0x0F, 0xE3, n, 0xF0, 0]) for n in range(100)) + bytes([M.STREAM_TYPE]) + data + b"\xf0\0"
+    section = M._section(0x02, M.PROGRAM, data + b"\xf0\0" + many)
+    other = M._section(0xC0, 7, b"another table's section")
+    stuff = b"\0" + other + section
+    stuff += b"\xff" * (-len(stuff) % 184)
+    long = [bytes([0x47, (0x40 if k == 0 else 0) | M.PMT_PID >> 8, M.PMT_PID & 0xFF, 0x10 | k]) + stuff[k * 184 : (k + 1) * 184] for k in range(len(stuff) // 184)]
+    assert len(long) > 2
+    got = M.demux(media[:188] + b"".join(long) + media[376:])
+    assert got["payload"] == payload and got["bad_sections"] == 0 and len(got["streams"]) == 101
+    assert M.demux(media[:188] + b"".join(long[:-1]) + media[376:])["bad_sections"] == 1
+    assert M.demux(media[:188] + long[0] + bytes([*long[1][:90], long[1][90] ^ 1, *long[1][91:]]) + b"".join(long[2:]) + media[376:])["bad_sections"] == 1
+
+
+def test_program_clock_is_read():
+    got = M.demux(M.mux(M.payload_of("c" * 200_000)[0]))
+    assert got["first_clock"] == 0 and got["last_clock"] == got["last_pts"] * 300 and got["backward_clock"] == 0
+
+
 def test_stream_query(spark):
     rows = {(r["doc_id"], r["n_bytes"]): r for r in M.stream_digest(documents(spark)).collect()}
     for i, t in TEXTS:
@@ -152,3 +238,47 @@ def test_texts_of_megabytes():
     key = base64.b64encode(RSA).decode()
     for filler in ("word " * 400_000, "A" * 1_000_000 + " ", ("B" * 64 + "\n") * 20_000 + " ", "-----BEGIN " * 100_000, "0a" * 500_000 + " "):
         assert kinds(filler + key)[-1:] == ["der"]
+
+
+def test_many_spans_in_one_text():
+    """The scan of a text grows with its spans, not with their square."""
+    import time
+
+    text = " ".join(f"{token()} {'0123456789abcdef' * 4}" for _ in range(8_000))
+    began = time.perf_counter()
+    found = S.scan("é" + text)
+    assert time.perf_counter() - began < 5
+    assert sum(k == "jwt" for _, _, k in found) == 8_000 and sum(k == "hex" for _, _, k in found) == 8_000
+    key = base64.b64encode(RSA).decode()
+    assert [k for k in kinds(text + " " + key) if k == "der"] == ["der"]
+
+
+def test_overlaps_by_bisection():
+    rng = random.Random(9)
+    for _ in range(300):
+        spans = [(a, a + rng.randrange(1, 30), "jwt") for a in (rng.randrange(200) for _ in range(rng.randrange(12)))]
+        taken = S.Taken(spans)
+        for _ in range(20):
+            a = rng.randrange(220)
+            b = a + rng.randrange(1, 25)
+            assert taken.free(a, b) == (not any(s < b and a < e for s, e, _ in spans))
+
+
+@pytest.mark.parametrize("width", [16, 40, 48, 64, 76, 100, 400])
+def test_keys_wrapped_at_any_width(width):
+    b64 = base64.b64encode(RSA).decode()
+    lines = [b64[i : i + width] for i in range(0, len(b64), width)]
+    for end in ("\n", "\r\n"):
+        text = f"é key:{end}{end.join(lines)}{end}after it"
+        (start, stop, kind), = [x for x in S.scan(text) if x[2] not in S.BASE_KINDS]
+        assert kind == "der" and text[start:stop] == end.join(lines)
+
+
+def test_deep_nesting_and_more_algorithms():
+    inner = der(0x04, b"x" * 20)
+    for _ in range(40):
+        inner = der(0x30, inner)
+    deep = der(0x30, der(0x02, b"\0"), der(0x30, der(0x06, b"*\x86H\xce=\x02\x01"), inner), der(0x04, bytes(range(1, 200))))
+    assert kinds(base64.b64encode(deep).decode()) == ["der"]
+    assert kinds(base64.b64encode(b"\x30\x80" * 50_000).decode()) == []
+    assert kinds(token({"alg": "ES256K", "typ": "JWT"})) == ["jwt"]

@@ -106,20 +106,54 @@ def mux(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def _tables(packets: np.ndarray, pid: np.ndarray, start: np.ndarray, offset: np.ndarray, want: int, table_id: int) -> tuple[list[bytes], int]:
-    """The bodies of sections of a table on a PID, and how many had a wrong checksum. Sections of one packet only."""
+def _tables(packets: np.ndarray, rows: np.ndarray, start: np.ndarray, offset: np.ndarray, table_id: int) -> tuple[list[bytes], int]:
+    """The bodies of sections of a table in the packets of a PID, and how many had a wrong checksum; a section may go over any number of packets, a packet may hold several."""
     bodies, bad = [], 0
-    for i in np.flatnonzero((pid == want) & start & (offset < PACKET)):
+    held: bytearray | None = None  # what is there of the sections since the last pointer
+
+    def whole(final: bool) -> int:
+        """Takes complete sections from held; gives how many were wrong."""
+        nonlocal held
+        wrong = 0
+        while held and held[0] != 0xFF and len(held) >= 3:
+            size = 3 + ((held[1] & 0x0F) << 8 | held[2])
+            if len(held) < size:
+                wrong += final
+                break
+            section = bytes(held[:size])
+            del held[:size]
+            if section[0] == table_id:
+                if size < 12 or crc32_mpeg(section):
+                    wrong += 1
+                else:
+                    bodies.append(section[8 : size - 4])
+        if held and held[0] == 0xFF:
+            held = None
+        return wrong
+
+    for i in rows:
         data = packets[i, offset[i] :].tobytes()
-        data = data[1 + data[0] :]
-        if len(data) < 12 or data[0] != table_id:
-            continue
-        size = 3 + ((data[1] & 0x0F) << 8 | data[2])
-        if size > len(data) or size < 12 or crc32_mpeg(data[:size]):
-            bad += 1
-        else:
-            bodies.append(data[8 : size - 4])
-    return bodies, bad
+        if start[i]:
+            before, data = data[1 : 1 + data[0]], data[1 + data[0] :]
+            if held is not None:
+                held += before
+                bad += whole(True)
+            held = bytearray(data)
+        elif held is not None:
+            held += data
+        bad += whole(False)
+    return bodies, bad + (whole(True) if held else 0)
+
+
+def _repeated(packets: np.ndarray, rows: np.ndarray, counter: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """Which of a PID's packets equal the one before, which the format allows once: same counter and bytes, but for the program clock."""
+    again = np.zeros(rows.size, bool)
+    for k in np.flatnonzero(np.diff(counter[rows]) == 0) + 1:
+        one, two = packets[rows[k - 1]].copy(), packets[rows[k]].copy()
+        if flags[rows[k - 1]] & flags[rows[k]] & 0x10:
+            one[6:12] = two[6:12] = 0
+        again[k] = not again[k - 1] and bool((one == two).all())
+    return again
 
 
 def demux(media: bytes) -> dict:
@@ -137,22 +171,33 @@ def demux(media: bytes) -> dict:
     flags = np.where(field > 0, head[:, 4], 0)
     offset = np.where(has_payload, np.where(has_field, 5 + field, 4), PACKET)
 
-    programs, bad_pat = _tables(packets, pid, start, offset, PAT_PID, 0x00)
+    def packets_of(want: int) -> np.ndarray:
+        rows = np.flatnonzero((pid == want) & has_payload & (offset < PACKET))
+        return rows[~_repeated(packets, rows, counter, flags)]
+
+    programs, bad_pat = _tables(packets, packets_of(PAT_PID), start, offset, 0x00)
     maps = {b[i + 2] << 8 & 0x1F00 | b[i + 3]: b[i] << 8 | b[i + 1] for b in programs for i in range(0, len(b) - 3, 4) if b[i] or b[i + 1]}
     streams: dict[int, int] = {}
-    bad_pmt = 0
+    bad_pmt, clocks = 0, set()
     for map_pid in maps:
-        bodies, bad = _tables(packets, pid, start, offset, map_pid, 0x02)
+        bodies, bad = _tables(packets, packets_of(map_pid), start, offset, 0x02)
         bad_pmt += bad
         for b in bodies:
+            clocks.add((b[0] & 0x1F) << 8 | b[1])
             at = 4 + ((b[2] & 0x0F) << 8 | b[3])
             while at + 5 <= len(b):
                 streams[(b[at + 1] & 0x1F) << 8 | b[at + 2]] = b[at]
                 at += 5 + ((b[at + 3] & 0x0F) << 8 | b[at + 4])
 
-    gaps, truncated, payload, points = 0, 0, [], []
+    # The program clock: 33 bits of 90 kHz and 9 bits of 27 MHz, as ticks of 27 MHz.
+    timed = packets[np.isin(pid, sorted(clocks)) & (field >= 7) & ((flags & 0x10) > 0), 6:12].astype(np.int64)
+    ticks = ((timed[:, 0] << 25 | timed[:, 1] << 17 | timed[:, 2] << 9 | timed[:, 3] << 1 | timed[:, 4] >> 7) * 300 + ((timed[:, 4] & 1) << 8 | timed[:, 5])).tolist()
+
+    gaps, repeats, truncated, payload, points = 0, 0, 0, [], []
     for stream in sorted(streams):
         rows = np.flatnonzero((pid == stream) & has_payload & (offset <= PACKET))
+        again = _repeated(packets, rows, counter, flags)
+        repeats, rows = repeats + int(again.sum()), rows[~again]
         if not rows.size:
             continue
         steps = (np.diff(counter[rows]) & 15) != 1
@@ -181,12 +226,13 @@ def demux(media: bytes) -> dict:
     return {
         "payload": b"".join(payload), "packets": count, "lost_sync": lost, "bad_sections": bad_pat + bad_pmt, "programs": len(maps), "streams": [{"pid": p, "type": t} for p, t in sorted(streams.items())],
         "continuity_errors": gaps, "truncated": truncated, "units": points, "first_pts": min(stamps, default=None), "last_pts": max(stamps, default=None), "backward_pts": sum(b < a for a, b in zip(stamps, stamps[1:])),
+        "repeated_packets": repeats, "first_clock": ticks[0] if ticks else None, "last_clock": ticks[-1] if ticks else None, "backward_clock": sum(b < a for a, b in zip(ticks, ticks[1:])),
     }
 
 
 READ_SCHEMA = (
     "doc_id long, n_bytes long, payload binary, packets long, lost_sync long, bad_sections long, programs long, streams array<struct<pid: int, type: int>>, continuity_errors long, truncated long, "
-    "units array<struct<pid: int, packet: long, offset: long, size: long, pts: long, random_access: boolean>>, first_pts long, last_pts long, backward_pts long, media binary"
+    "units array<struct<pid: int, packet: long, offset: long, size: long, pts: long, random_access: boolean>>, first_pts long, last_pts long, backward_pts long, repeated_packets long, first_clock long, last_clock long, backward_clock long, media binary"
 )
 
 
@@ -205,7 +251,7 @@ def read_streams(media: DataFrame) -> DataFrame:
 
     def work(c: dict[str, list]) -> dict[str, list]:
         made = [demux(m or b"") for m in c["media"]]
-        out = {k: [m[k] for m in made] for k in ("payload", "packets", "lost_sync", "bad_sections", "programs", "streams", "continuity_errors", "truncated", "units", "first_pts", "last_pts", "backward_pts")}
+        out = {k: [m[k] for m in made] for k in ("payload", "packets", "lost_sync", "bad_sections", "programs", "streams", "continuity_errors", "truncated", "units", "first_pts", "last_pts", "backward_pts", "repeated_packets", "first_clock", "last_clock", "backward_clock")}
         return out | {k: c[k] for k in ("doc_id", "n_bytes", "media")}
 
     return arrow_rows(media.select("doc_id", "n_bytes", "media"), work, READ_SCHEMA, text="media")
@@ -217,10 +263,11 @@ def stream_digest(docs: DataFrame) -> DataFrame:
     access = F.transform(F.filter("units", lambda u: u["random_access"]), lambda u: F.concat_ws("@", u["pts"].cast("string"), u["packet"].cast("string")))
     feature = F.concat_ws(
         ";",
-        *(F.concat(F.lit(f"{k}="), F.col(k).cast("string")) for k in ("packets", "lost_sync", "bad_sections", "programs", "continuity_errors", "truncated", "backward_pts")),
+        *(F.concat(F.lit(f"{k}="), F.col(k).cast("string")) for k in ("packets", "lost_sync", "bad_sections", "programs", "continuity_errors", "truncated", "backward_pts", "repeated_packets", "backward_clock")),
         F.concat(F.lit("streams="), F.array_join(F.transform("streams", lambda s: F.concat_ws(":", s["pid"].cast("string"), s["type"].cast("string"))), ",")),
         F.concat(F.lit("units="), F.size("units").cast("string")),
         F.concat(F.lit("pts="), F.concat_ws("-", F.col("first_pts").cast("string"), F.col("last_pts").cast("string"))),
+        F.concat(F.lit("clock="), F.concat_ws("-", F.col("first_clock").cast("string"), F.col("last_clock").cast("string"))),
         F.concat(F.lit("random_access="), F.array_join(access, ",")),
     )
     return r.select(
