@@ -18,6 +18,8 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +37,8 @@ MIN_ASSIGN = 6
 TOKEN = re.compile(rb"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
 BASE64 = re.compile(rb"[A-Za-z0-9+/_-]{32,}={0,2}")
 HEX_ANY = re.compile(rb"(?:[0-9a-fA-F]{2}){24,}")
-WRAPPED = re.compile(rb"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{48,76}\r?\n)++(?:[A-Za-z0-9+/]{1,76}={0,2})?")
+#: Lines of base64 under one another, the last one perhaps shorter or padded.
+WRAPPED = re.compile(rb"(?<![A-Za-z0-9+/])(?:[A-Za-z0-9+/]{16,}+\r?\n)++(?:[A-Za-z0-9+/]++={0,2})?")
 PEM_BEGIN = re.compile(rb"-----BEGIN ([A-Z0-9 ]*(?:PRIVATE KEY|PUBLIC KEY|CERTIFICATE))-----")
 PEM_HEADER = re.compile(rb"[A-Za-z][A-Za-z0-9-]*:[^\n]*\n")
 
@@ -45,7 +48,7 @@ _RANK = {k: i for i, k in enumerate(KINDS)}
 # SSH algorithms with the number of fields of a public key, the name included.
 _SSH_FIELDS = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3, b"ecdsa-sha2-nistp521": 3, b"sk-ssh-ed25519@openssh.com": 3}
 _OPENSSH_MAGIC = b"openssh-key-v1\0"
-_TOKEN_ALGS = re.compile(r"(?:HS|RS|ES|PS)(?:256|384|512)|EdDSA|none", re.ASCII)
+_TOKEN_ALGS = re.compile(r"(?:HS|RS|ES|PS)(?:256|384|512)|ES256K|EdDSA|none", re.ASCII)
 
 
 def unbase64(run: bytes) -> bytes | None:
@@ -76,17 +79,22 @@ def der_element(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, body, body + size) if body + size <= end else None
 
 
-def der_tree(data: bytes, at: int, end: int, depth: int = 0) -> list[tuple[int, int, list, int]] | None:
-    """(tag, length, elements within, start of content) of the elements that fill at..end exactly; None if any length doesn't fit or nesting passes 16."""
-    out = []
-    while at < end:
-        e = der_element(data, at, end)
-        within = der_tree(data, e[1], e[2], depth + 1) if e and e[0] & 0x20 and depth < 16 else [] if e and not e[0] & 0x20 else None
-        if within is None:
-            return None
-        out.append((e[0], e[2] - e[1], within, e[1]))
-        at = e[2]
-    return out
+def der_tree(data: bytes, at: int, end: int) -> list[tuple[int, int, list, int]] | None:
+    """(tag, length, elements within, start of content) of the elements that fill at..end exactly, however deep; None if any length doesn't fit."""
+    top: list[tuple[int, int, list, int]] = []
+    open_parts = [(at, end, top)]
+    while open_parts:
+        at, end, out = open_parts.pop()
+        while at < end:
+            e = der_element(data, at, end)
+            if e is None:
+                return None
+            within: list = []
+            out.append((e[0], e[2] - e[1], within, e[1]))
+            if e[0] & 0x20:
+                open_parts.append((e[1], e[2], within))
+            at = e[2]
+    return top
 
 
 def is_der_key(data: bytes) -> bool:
@@ -176,6 +184,42 @@ def base_spans(raw: bytes) -> list[tuple[int, int, str]]:
     return found + [(*m.span(), "hex") for m in HEX.finditer(raw)]
 
 
+class Taken:
+    """Spans already found, merged and in order, so that whether another one overlaps them is a bisection."""
+
+    def __init__(self, spans: list[tuple[int, int, str]]) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end, _ in sorted(spans):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def free(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end)
+        return k == 0 or self.ends[k - 1] <= start
+
+
+def wrapped_runs(raw: bytes) -> Iterator[tuple[int, list[int]]]:
+    """(start, ends to try) of base64 wrapped at any width: lines of equal length, with and without the line after them, which may be the rest or another text."""
+    for m in WRAPPED.finditer(raw):
+        lines, at = [], m.start()
+        for line in m[0].split(b"\n"):
+            if body := line.rstrip(b"\r"):
+                lines.append((at, at + len(body)))
+            at += len(line) + 1
+        k = 0
+        while k < len(lines):
+            size, first = lines[k][1] - lines[k][0], k
+            while k < len(lines) and lines[k][1] - lines[k][0] == size:
+                k += 1
+            rest = [lines[k][1]] if k < len(lines) and lines[k][1] - lines[k][0] < size else []
+            if rest or k - first > 1:
+                yield lines[first][0], [*rest, lines[k - 1][1]]
+
+
 def confirmed_spans(raw: bytes) -> list[tuple[int, int, str]]:
     """Byte spans of candidates whose decoded structure parses; base64 inside a token or PEM block isn't reported again."""
     found = []
@@ -183,29 +227,36 @@ def confirmed_spans(raw: bytes) -> list[tuple[int, int, str]]:
         found += [(*m.span(), "jwt") for m in TOKEN.finditer(raw) if is_signed_token(m[0])]
     if b"-----BEGIN " in raw:
         found += pem_spans(raw)
-    taken = list(found)
-    free = lambda m: not any(s < m.end() and m.start() < e for s, e, _ in taken)
-    hexes = [m for m in HEX_ANY.finditer(raw)]
-    found += [(*m.span(), kind) for m in hexes if free(m) and (kind := key_kind(bytes.fromhex(m[0].decode())))]
-    taken = list(found)
-    for m in WRAPPED.finditer(raw) if b"\n" in raw else ():
-        # What follows a whole last line may be another text.
-        last = m.start() + len(m[0].rstrip(b"\r\n"))
-        for end in (last, raw.rfind(b"\n", m.start(), last)):
-            if free(m) and end > 0 and (kind := key_kind(unbase64(raw[m.start() : end].replace(b"\r", b"").replace(b"\n", b"")))):
-                found.append((m.start(), end, kind))
+    taken = Taken(found)
+    found += [(*m.span(), kind) for m in HEX_ANY.finditer(raw) if taken.free(*m.span()) and (kind := key_kind(bytes.fromhex(m[0].decode())))]
+    taken = Taken(found)
+    for start, ends in wrapped_runs(raw) if b"\n" in raw else ():
+        for end in ends:
+            if taken.free(start, end) and (kind := key_kind(unbase64(raw[start:end].replace(b"\r", b"").replace(b"\n", b"")))):
+                found.append((start, end, kind))
                 break
-    taken = list(found)
-    found += [(*m.span(), kind) for m in BASE64.finditer(raw) if free(m) and (kind := key_kind(unbase64(m[0])))]
+    taken = Taken(found)
+    found += [(*m.span(), kind) for m in BASE64.finditer(raw) if taken.free(*m.span()) and (kind := key_kind(unbase64(m[0])))]
     return found
 
 
+def places(raw: bytes, at: list[int]) -> dict[int, int]:
+    """Code points before each of the byte places, in one pass over the text."""
+    out, last, count = {}, 0, 0
+    for place in sorted(set(at)):
+        count += len(raw[last:place].decode("utf-8", "surrogatepass"))
+        out[place] = count
+        last = place
+    return out
+
+
 def scan(text: str) -> list[tuple[int, int, str]]:
     """All spans of a text in code points, ordered by start, then kind."""
     raw = text.encode("utf-8", "surrogatepass")
     found = base_spans(raw) + confirmed_spans(raw)
     if not text.isascii():
-        found = [(len(raw[:s].decode("utf-8", "surrogatepass")), len(raw[:e].decode("utf-8", "surrogatepass")), k) for s, e, k in found]
+        point = places(raw, [x for s, e, _ in found for x in (s, e)])
+        found = [(point[s], point[e], k) for s, e, k in found]
     return sorted(found, key=lambda x: (x[0], _RANK[x[2]], x[1]))
 
 
