@@ -348,3 +348,16 @@ def test_one_class_or_none(spark, labels):
     assert {r["score"] for r in T.toxic_digest(docs, frame).collect()} == {0.0}
     assert T.drop_toxic(docs, frame).count() == 2
     assert T.toxic_digest(empty(spark), frame).count() == 0
+
+
+def test_training_rows_are_one_an_id(spark):
+    """A doc_id that comes very often is one training row, of its least text."""
+    from tidemark.llm import toxicity as X
+
+    rows = [(i, f"vile nasty word {i}" if i % 2 else f"kind sweet word {i}") for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    many = docs.unionByName(docs.where("doc_id = 8").crossJoin(spark.range(300)).select("doc_id", "text")).unionByName(spark.createDataFrame([(8, "zzz later text")], "doc_id long, text string"))
+    one, other = X.train(docs, labels), X.train(many, labels)
+    assert one is not None and other.weights == one.weights and (other.rate, other.log_k) == (one.rate, one.log_k)
+    assert np.allclose(other.logistic, one.logistic)

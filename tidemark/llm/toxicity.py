@@ -28,11 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_batches, arrow_rows, keyed_text, slices
 from tidemark.llm.simhash import shingle_hashes
+from tidemark.session import Scratch
 
 #: Labelled rows that training uses at most.
 TRAIN_ROWS = 40_000
@@ -230,18 +231,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if len(set(picked.values())) < 2:
         return None
 
-    def labelled(ids: dict[int, int]) -> DataFrame:
-        """Texts of at most train_rows labelled documents."""
-        chosen = spark.createDataFrame(list(ids.items()), "label_id long, toxic long")
-        return keyed_text(docs, id_col, text_col).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+    with Scratch(spark) as kept:
+        chosen = F.broadcast(spark.createDataFrame(list(picked.items()), "label_id long, toxic long"))
+        # A doc_id that comes several times is one row, of its least text: so there are at most train_rows, whatever the table.
+        found = keyed_text(docs, id_col, text_col).join(chosen, F.col("doc_id") == F.col("label_id"))
+        texts = kept.store(found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")))
+        return _trained(spark, texts, picked)
 
-    keys = arrow_rows(labelled(picked).select("text", "doc_id"), lambda c: {"doc_id": c["doc_id"], "key": [min(shingle_hashes(t, 5), default=0) - (1 << 63) for t in c["text"]]}, "doc_id long, key long")
+
+def _trained(spark: SparkSession, texts: DataFrame, picked: dict[int, int]) -> SegmentModel | None:
+    """A model from (doc_id, toxic, text), one row a doc_id."""
+    keys = arrow_rows(texts.select("text", "doc_id"), lambda c: {"doc_id": c["doc_id"], "key": [min(shingle_hashes(t, 5), default=0) - (1 << 63) for t in c["text"]]}, "doc_id long, key long")
     apart = {r[0]: picked[r[0]] for r in keys.groupBy("key").agg(F.min("doc_id")).select("min(doc_id)").collect()}
     n_toxic = sum(apart.values())
     n_clean = len(apart) - n_toxic
     if not n_toxic or not n_clean:
         return None
-    rows = labelled(apart)
+    rows = texts.join(F.broadcast(spark.createDataFrame([(i,) for i in apart], "doc_id long")), "doc_id", "left_semi")
     counted = token_counts(rows).persist()
     tests = counted.count()
     both = F.col("toxic") + F.col("clean")
