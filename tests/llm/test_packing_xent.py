@@ -182,3 +182,38 @@ def test_texts_of_megabytes_are_scored(spark):
 def test_scores_of_nothing(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert X.cross_entropy_difference(empty(spark), labels).count() == 0
+
+
+@pytest.mark.parametrize("bits, fan, finer", [(2, 2, 1), (3, 3, 4), (10, 2, 8)])
+def test_sums_by_levels_are_the_same(spark, bits, fan, finer, monkeypatch):
+    monkeypatch.setattr(X, "FINER_BITS", finer)
+    monkeypatch.setattr(X.summed, "__defaults__", (fan, finer))
+    labels = spark.createDataFrame([(i, 1) for i in (1, 3, 5)], "doc_id long, quality int")
+    got = {}
+    for r in X.cross_entropy_difference(documents(spark, CORPUS + TEXTS).repartition(5), labels, 25, bits, fan).collect():
+        got.setdefault(r["doc_id"], []).append(tuple(r)[1:])
+    want = plain_scores(CORPUS + TEXTS, {1, 3, 5})
+    assert set(got) == set(want) and all(np.allclose(sorted(got[i]), sorted(want[i]), rtol=1e-5) for i in want)
+
+
+def test_rows_moved_grow_with_the_input(spark, monkeypatch):
+    """Thrice the blocks are about thrice the rows, however many levels there are."""
+    rng = random.Random(12)
+    moved = []
+    for n in (60, 180):
+        docs = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(40))) for i in range(n)]
+        counted = []
+        store = X.Scratch.store
+
+        def seen(self, df, store=store, counted=counted):
+            out = store(self, df)
+            if "part" in out.columns:
+                counted.append(out.count())
+            return out
+
+        monkeypatch.setattr(X.Scratch, "store", seen)
+        labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+        assert X.cross_entropy_difference(documents(spark, docs, extra=False), labels, 200, 3, 4).count() == n
+        monkeypatch.setattr(X.Scratch, "store", store)
+        moved.append(sum(counted))
+    assert moved[1] / moved[0] < 4.5, moved

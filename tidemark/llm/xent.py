@@ -7,11 +7,13 @@ over all documents that a label marks as good. A text is its words between a sta
 and the vocabulary grow with the input; nothing of them is broadcast or sent to the driver but four totals. A document's
 score is the mean over its tokens (the end mark included) of target loss less background loss, in nats; lower is nearer to the target.
 
-Documents are gathered in blocks of about BLOCK_TOKENS tokens, in which words have ids of the block. A block reports the counts of its
-distinct words and pairs, ordered by a 56-bit hash and cut into parts of the hashes' range: one packed row a block and part. A task
-sums a part over all blocks and sends each block the sums of what it reported, in its order. So what moves is a few bytes
-of a block's every distinct pair, a pair that is everywhere is in a part once for each block, and parts are as many as keep one at about
-PART_ITEMS. Blocks are stored before they are counted, so each is the same in both passes.
+Documents are gathered in blocks of about BLOCK_TOKENS tokens, in which words have ids of the block. A block reports the
+counts of its distinct words and pairs, ordered by a 56-bit hash and cut into a fixed number of parts of the hashes'
+range: one packed row a block and part, so rows grow with the input and no faster. A task sums a part over all blocks and
+sends each block the sums of what it reported, in its order. Where there are more than FAN blocks, sums go by levels: a
+part is first added up over about FAN blocks, the outcome is cut into finer parts, and these are added up over such
+groups in the same way; the sums come back level by level. So no task ever holds more than FAN rows of a part. Blocks are
+stored before they are counted, so each is the same in both passes.
 
 Defined results: a null text counts as empty and has no tokens, losses 0 and score 0, and isn't counted; null or repeated labels: a
 document is in the target if any of its labels is 1; without target documents the target model is uniform over the vocabulary;
@@ -38,8 +40,10 @@ from tidemark.session import Scratch, stored
 BIGRAM, UNIGRAM = 0.6, 0.39
 #: Label tables up to so many rows are broadcast, after counting them; larger ones are joined by doc_id.
 BROADCAST_ROWS = 2_000_000
-#: Tokens after which a block ends; a text is never split. Items that a part holds in the mean at most.
-BLOCK_TOKENS, PART_ITEMS = 1_000_000, 500_000
+#: Tokens after which a block ends; a text is never split.
+BLOCK_TOKENS = 1_000_000
+#: A block's parts as a power of two, by how much parts are finer a level up, and blocks or groups that a level adds up at once.
+PART_BITS, FINER_BITS, FAN = 10, 8, 512
 #: Ids of a block's start and end marks; words follow.
 START, END = 0, 1
 _MARKS = (b"\x00start", b"\x00end")
@@ -161,12 +165,20 @@ class Block:
         return pa.table([pa.array(self.doc_ids, pa.int64()), pa.array(self.lengths), *map(pa.array, (out[0], out[1], score))], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
 
-def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    """The part of ordered 57-bit keys; parts is a power of two."""
-    return (keys >> np.uint64(58 - parts.bit_length())).astype(np.int64)
+def part_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The first bits of 57-bit keys."""
+    return (keys >> np.uint64(57 - bits)).astype(np.int64)
 
 
-def block_counts(blocks: DataFrame, parts: int) -> DataFrame:
+def cut_by_part(keys: np.ndarray, counts: list[np.ndarray], bits: int) -> Iterator[tuple]:
+    """(part, packed differences of keys, packed counts ...) of ordered keys, a row for each part of so many bits that has any."""
+    held = part_of(keys, bits)
+    ends = np.flatnonzero(np.diff(held, append=-1)) + 1
+    for start, end in zip([0, *ends[:-1]], ends):
+        yield int(held[start]), pack(np.diff(keys[start:end], prepend=np.uint64(0))), *(pack(c[start:end]) for c in counts)
+
+
+def block_counts(blocks: DataFrame, bits: int) -> DataFrame:
     """COUNT_SCHEMA: of every block and part the ordered keys, as differences, and their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,35 +187,65 @@ def block_counts(blocks: DataFrame, parts: int) -> DataFrame:
                 row = batch.slice(i, 1).to_pylist()[0]
                 block = Block(row)
                 keys, order = block.keys()
-                counts = [c[order] for c in block.counts()]
-                keys = keys[order]
-                held = part_of(keys, parts)
-                ends = np.flatnonzero(np.diff(held, append=-1)) + 1
-                for start, end in zip([0, *ends[:-1]], ends):
-                    packed = [pack(np.diff(keys[start:end], prepend=np.uint64(0))), *(pack(c[start:end]) for c in counts)]
-                    yield pa.RecordBatch.from_arrays([pa.array([held[start]]), pa.array([row["block"]]), *(pa.array([x], pa.binary()) for x in packed)], names=["part", "block", "keys", "background", "target"])
+                for part, *packed in cut_by_part(keys[order], [c[order] for c in block.counts()], bits):
+                    yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([row["block"]]), *(pa.array([x], pa.binary()) for x in packed)], names=["part", "block", "keys", "background", "target"])
 
     return blocks.mapInArrow(run, COUNT_SCHEMA)
 
 
+def merged(part: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """The distinct keys of a part's rows, where each row's keys are among them, their summed counts (background, target), and where rows end."""
+    keys = [np.cumsum(unpack(x)) for x in part.column("keys").to_pylist()]
+    known, at = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = [np.bincount(at, np.concatenate([unpack(x) for x in part.column(name).to_pylist()]).astype(float), minlength=known.size).astype(np.int64) for name in ("background", "target")]
+    return known, at, sums, np.cumsum([k.size for k in keys])[:-1]
+
+
+def handed_back(part: pa.Table, at: np.ndarray, ends: np.ndarray, sums: list[np.ndarray], words: int) -> pa.Table:
+    """SUM_SCHEMA for a part's rows: to each the sums of its own keys."""
+    out = [pa.array([pack(x) for x in np.split(total[at], ends)], pa.binary()) for total in sums]
+    return pa.table([part.column("part"), part.column("block"), *out, pa.array([words] + [0] * (part.num_rows - 1))], names=["part", "block", "background", "target", "words"])
+
+
 def part_sums(counts: DataFrame) -> DataFrame:
     """SUM_SCHEMA: of every block and part the sums over all blocks in the order of its keys; words: the part's distinct words, in one row of it."""
 
     def run(part: pa.Table) -> pa.Table:
-        keys = [np.cumsum(unpack(x)) for x in part.column("keys").to_pylist()]
-        known, at = np.unique(np.concatenate(keys), return_inverse=True)
-        ends = np.cumsum([k.size for k in keys])[:-1]
-        out = []
-        for name in ("background", "target"):
-            own = np.concatenate([unpack(x) for x in part.column(name).to_pylist()]).astype(float)
-            sums = np.bincount(at, own, minlength=known.size).astype(np.int64)
-            out.append([pack(x) for x in np.split(sums[at], ends)])
-        words = [int((known & np.uint64(1)).sum())] + [0] * (len(keys) - 1)
-        return pa.table([part.column("part"), part.column("block"), *(pa.array(x, pa.binary()) for x in out), pa.array(words)], names=["part", "block", "background", "target", "words"])
+        known, at, sums, ends = merged(part)
+        return handed_back(part, at, ends, sums, int((known & np.uint64(1)).sum()))
 
     return counts.groupBy("part").applyInArrow(run, SUM_SCHEMA)
 
 
+def summed(counts: DataFrame, blocks: int, bits: int, kept: Scratch, fan: int = FAN, finer: int = FINER_BITS) -> DataFrame:
+    """part_sums of counts (parts of so many bits) by levels, each over at most about `fan` of the blocks below it."""
+    if blocks <= fan:
+        return kept.store(part_sums(counts))
+    groups = -(-blocks // fan)
+    bits_up = min(bits + finer, 56)
+    own = counts.withColumn("above", F.pmod(F.xxhash64("block"), F.lit(groups)))
+
+    def up(part: pa.Table) -> pa.Table:
+        """A group's part as rows of finer parts, COUNT_SCHEMA with the group in the place of the block."""
+        known, _, sums, _ = merged(part)
+        rows = [(p, keys, *counts) for p, keys, *counts in cut_by_part(known, sums, bits_up)]
+        above = part.column("above")[0].as_py()
+        cols = [pa.array([r[0] for r in rows], pa.int64()), pa.array([above] * len(rows), pa.int64()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))]
+        return pa.table(cols, names=["part", "block", "keys", "background", "target"])
+
+    higher = kept.store(own.groupBy("above", "part").applyInArrow(up, COUNT_SCHEMA))
+    totals = summed(higher, groups, bits_up, kept, fan, finer).withColumn("whole", F.shiftrightunsigned("part", bits_up - bits))
+
+    def down(left: pa.Table, right: pa.Table) -> pa.Table:
+        _, at, _, ends = merged(left)
+        rows = sorted(right.select(["part", "background", "target", "words"]).to_pylist(), key=lambda r: r["part"])
+        sums = [np.concatenate([unpack(r[name]) for r in rows]).astype(np.int64) for name in ("background", "target")]
+        return handed_back(left, at, ends, sums, sum(r["words"] for r in rows))
+
+    back = totals.withColumnRenamed("block", "above").groupBy("above", "whole")
+    return kept.store(own.groupBy("above", "part").cogroup(back).applyInArrow(down, SUM_SCHEMA))
+
+
 def with_target(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> DataFrame:
     """(doc_id, text, good): good is 1 for documents that a label marks."""
     good = labels.where((F.col(label_col) == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("good_id")).distinct()
@@ -211,15 +253,16 @@ def with_target(docs: DataFrame, labels: DataFrame, label_col: str = "quality")
     return keyed_text(docs).join(side, F.col("doc_id") == F.col("good_id"), "left").select("doc_id", "text", F.col("good_id").isNotNull().cast("int").alias("good"))
 
 
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame, block_tokens: int = BLOCK_TOKENS, part_bits: int = PART_BITS, fan: int = FAN) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of every row of docs."""
     with Scratch(docs.sparkSession) as scratch:
         blocks = scratch.store(blocks_of(with_target(docs, labels), block_tokens))
         tokens_of = "aggregate(zip_with(lengths, good, (n, g) -> IF({}, n + 1, 0L)), 0L, (a, x) -> a + x)"
-        row = blocks.agg(*(F.coalesce(F.sum(F.expr(tokens_of.format(f"n > 0 AND g >= {least}"))), F.lit(0)).alias(name) for name, least in (("background", 0), ("target", 1)))).first()
-        # An item needs a token, so parts hold PART_ITEMS in the mean at most; a power of two.
-        parts = 1 << max(2 * row["background"] // PART_ITEMS, 1).bit_length()
-        sums = scratch.store(part_sums(block_counts(blocks, parts)))
+        row = blocks.agg(*(F.coalesce(F.sum(F.expr(tokens_of.format(f"n > 0 AND g >= {least}"))), F.lit(0)).alias(name) for name, least in (("background", 0), ("target", 1))), F.count("*").alias("blocks")).first()
+        counts = block_counts(blocks, part_bits)
+        if row["blocks"] > fan:
+            counts = scratch.store(counts)  # read on the way up and on the way down
+        sums = summed(counts, row["blocks"], part_bits, scratch, fan)
         totals = {"background": row["background"], "target": row["target"], "vocabulary": sums.agg(F.sum("words")).first()[0] or 0}
 
         def score(left: pa.Table, right: pa.Table) -> pa.Table:
