@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -33,18 +34,16 @@ FILE_SCHEMA = "part int, doc_id long, at long, n_tokens long, ids array<int>"
 
 
 class Known(dict):
-    """A dictionary that works out what it lacks; it remembers entries up to a length, and begins anew when it is full."""
+    """A dictionary that works out what it lacks. It remembers entries up to a length, as many as there is room for: the frequent ones come early."""
 
-    ENTRIES, LONGEST = 1 << 19, 64
+    ENTRIES, LONGEST = 1 << 20, 64
 
     def __init__(self, work: Callable[[str], bytes]) -> None:
         self.work = work
 
     def __missing__(self, key: str) -> bytes:
         made = self.work(key)
-        if len(key) <= self.LONGEST:
-            if len(self) >= self.ENTRIES:
-                self.clear()
+        if len(key) <= self.LONGEST and len(self) < self.ENTRIES:
             self[key] = made
         return made
 
@@ -70,20 +69,22 @@ class WordTokenizer:
         self.find = regex.compile(pattern).findall if pattern else None
         self.plain = regex.compile(self.PLAIN).fullmatch
         self.letters = byte_letters()
-        self.words = Known(self._word)
-        self.runs = Known(lambda run: b"".join(map(self.words.__getitem__, self.find(run))))
+        self.known = Known(self._run)
 
     def exact(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        level = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.model.tokenize(level)], "<u4").tobytes()
+    def _run(self, run: str) -> bytes:
+        """A run between blanks. A word of the pattern is found as itself again, so words and runs share a dictionary."""
+        if run.isalpha() or (words := self.find(run)) == [run]:
+            level = run if run.isascii() else run.encode().decode("latin-1").translate(self.letters)
+            return array("I", [t.id for t in self.model.model.tokenize(level)]).tobytes()
+        return b"".join(map(self.known.__getitem__, words))
 
     def encode(self, text: str) -> bytes:
         if self.find is None or not self.plain(text) or any(a in text for a in self.added):
             return self.exact(text)
-        return b"".join(map(self.runs.__getitem__, text.lower().split()))
+        return b"".join(map(self.known.__getitem__, text.lower().split()))
 
 
 def byte_letters() -> dict[int, int]:
