@@ -6,8 +6,9 @@ import threading
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import slice_of
@@ -286,6 +287,42 @@ def op_D1b_validate_stream(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("verdict = 'accepted'").select("pid", "seq_nr", "verdict")
 
 
+def _lossy(d: str, folder: str, lost: str) -> Callable[[SparkSession], DataFrame]:
+    """A stream over three files of the journal of users, one a micro-batch, without the events that `lost` names."""
+
+    def source(spark: SparkSession) -> DataFrame:
+        from tidemark.plans.base import journal
+
+        rows = journal(spark, d).select("event_id", "pid", "seq_nr", "ts", "slice")
+        for n in range(3):
+            rows.where((F.col("event_id") % 3 == n) & ~F.expr(lost)).coalesce(1).write.mode("append").parquet(folder)
+        return rate_limited(spark, folder, rows.schema, 1)
+
+    return lru_cache(source)
+
+
+def _replaying(spark: SparkSession, d: str, name: str, lost: str) -> Runner:
+    from tidemark.plans.base import journal
+
+    p = _projection(d, name, handler=lambda rows, batch: rows.select("pid", "seq_nr", "event_id"), delivery=Delivery.EXACTLY_ONCE, source=_lossy(d, f"{_root(spark)}/lossy", lost), journal=lambda s: journal(s, d))
+    return _ran(spark, p)
+
+
+@query(f"WITH {ENV}, w AS (SELECT pid, max(seq_nr) AS last FROM env WHERE event_id % 23 <> 0 GROUP BY pid) SELECT pid, seq_nr, event_id FROM env JOIN w USING (pid) WHERE seq_nr <= last")
+def op_D12b_replay_in_stream(spark: SparkSession, d: str) -> DataFrame:
+    """A projection of three micro-batches that arrive out of order and lack events: what waits asks for its predecessors, and every entity ends complete, each event once."""
+    return _replaying(spark, d, "replaying", "event_id % 23 = 0").store.results().select("pid", "seq_nr", "event_id")
+
+
+@query(f"WITH {ENV} SELECT pid, count(*) AS n, max(seq_nr) AS last_seq_nr, true AS in_order FROM env GROUP BY pid")
+def op_G4b_out_of_order_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Nothing is lost, but two of three events come in a later micro-batch: no number is projected in a micro-batch before that of its predecessor."""
+    rows = _replaying(spark, d, "out-of-order", "false").store.results()
+    before = F.lag("batch_id").over(Window.partitionBy("pid").orderBy("seq_nr"))
+    marked = rows.withColumn("fine", F.coalesce(before <= F.col("batch_id"), F.lit(True)))
+    return marked.groupBy("pid").agg(F.count("*").alias("n"), F.max("seq_nr").alias("last_seq_nr"), F.bool_and("fine").alias("in_order"))
+
+
 def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     """All rows of a stream with the batch that gave them."""
     root = _root(spark)

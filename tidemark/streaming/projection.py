@@ -5,6 +5,9 @@
     at_most_once   the offset is stored, then the handler runs; after a failure in between it doesn't run again
     flow           a DataFrame transformation whose rows are written like results, filtered events included
 
+With a journal the stream is validated strictly before the handler sees it: what is ahead of its predecessor waits, and
+what is missing is read from the journal (streaming.replay). Without, the source's rows are taken as they are.
+
 Grouped forms give the handler consecutive groups of at most so many rows of each micro-batch. Parallel forms give it a
 micro-batch's slices in parts beside one another, each under a number of its own; the offset is stored when all parts are done.
 """
@@ -14,6 +17,7 @@ from __future__ import annotations
 import threading
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import nullcontext
 from dataclasses import dataclass, field, replace
 from enum import Enum
 from functools import reduce
@@ -22,7 +26,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.operators.validation import ACCEPTED
 from tidemark.streaming.recovery import Recovery, Restart, fail, recover, supervise
+from tidemark.streaming.replay import REQUEST, Replays, replaying_state, validate_replaying
 from tidemark.streaming.store import ProjectionId, ProjectionStore
 from tidemark.streaming.telemetry import Telemetry
 
@@ -49,6 +55,8 @@ class Projection:
     recovery: Recovery = field(default_factory=fail)
     restart: Restart = field(default_factory=Restart)
     telemetry: Telemetry = field(default_factory=Telemetry)
+    journal: Callable[[SparkSession], DataFrame] | None = None
+    reset_after_s: float | None = None
 
     def __post_init__(self) -> None:
         if self.flow and self.delivery is not Delivery.AT_LEAST_ONCE:
@@ -108,6 +116,7 @@ class Runner:
         self.spark, self.projection = spark, projection
         self.store = ProjectionStore(spark, root, projection.id)
         self.query: StreamingQuery | None = None
+        self.replays: Replays | None = None
         self._busy, self._stopping = threading.Lock(), False
 
     def start(self, interval: str | None = None, projection: Projection | None = None) -> StreamingQuery | None:
@@ -116,17 +125,30 @@ class Runner:
         if store.is_paused():
             return None
         p.telemetry.started(str(p.id))
-        writer = p.source(self.spark).writeStream.queryName(str(p.id)).option("checkpointLocation", store.checkpoint())
+        rows = p.source(self.spark)
+        if p.journal is not None:
+            self.replays = Replays(self.spark, f"{store.base}/replays", p.journal, rows.drop("origin").schema)
+            rows = validate_replaying(rows, self.replays, p.reset_after_s)
+        writer = rows.writeStream.queryName(str(p.id)).option("checkpointLocation", store.checkpoint())
         writer = writer.foreachBatch(lambda batch, n: self._process(p, batch, n))
         self._stopping = False
-        self.query = (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+        with replaying_state(self.spark) if p.journal is not None else nullcontext():
+            self.query = (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
         return self.query
 
     def _process(self, p: Projection, batch: DataFrame, batch_id: int) -> None:
         with self._busy:
             if self._stopping:
                 raise InterruptedError("stopped")  # the batch stays unprocessed and comes first at the next start
-            p.process(self.store, batch, batch_id)
+            if p.journal is None:
+                p.process(self.store, batch, batch_id)
+                return
+            batch = batch.persist()  # read for the answers and for the handler; state is worked on once
+            try:
+                self.replays.answer(batch.where(F.col("verdict") == REQUEST), batch_id)
+                p.process(self.store, batch.where(F.col("verdict") == ACCEPTED).drop("verdict", "from_nr", "to_nr"), batch_id)
+            finally:
+                batch.unpersist()
 
     def run(self, sleep: Callable[[float], None] | None = None) -> None:
         """Read what there is, restarting by the projection's backoff, until it is done.
@@ -139,9 +161,12 @@ class Runner:
             handler = p.handler() if isinstance(p.handler, type) else p.handler
             getattr(handler, "start", lambda: None)()
             try:
-                query = self.start(projection=replace(p, handler=handler))
-                if query is not None:
-                    query.awaitTermination()
+                while True:
+                    query = self.start(projection=replace(p, handler=handler))
+                    if query is not None:
+                        query.awaitTermination()
+                    if query is None or p.journal is None or self.replays.answered == 0:
+                        break  # an answer made while the query ran is read by the next one
             finally:
                 getattr(handler, "stop", lambda: None)()
 
