@@ -193,3 +193,110 @@ def test_run_once(spark, tmp_path):
     rows = spark.createDataFrame([("p|1", 1, 0, None, False), ("p|1", 2, 0, None, True)], SCHEMA)
     store = run_once(spark, str(tmp_path / "store"), projection(tmp_path, lambda r, b: r.select("seq_nr")), rows)
     assert [r["seq_nr"] for r in store.results().collect()] == [1] and store.offsets().count() == 1
+
+
+def commits(spark, store, numbers):
+    for n in numbers:
+        store.write_result(n, spark.range(n, n + 1))
+        store.commit(n, spark.createDataFrame([(f"p|{n % 3}", n, n % 3, None, False)], SCHEMA).withColumn("ts", F.timestamp_seconds(F.col("seq_nr") * 100)))
+
+
+def test_the_log_is_compacted(spark, tmp_path):
+    """Results and newest records stay the same, while few folders are left and merged ones go."""
+    store = ProjectionStore(spark, str(tmp_path), ProjectionId("a", "b"), fan=3)
+    commits(spark, store, range(20))
+    log = store.log()
+    assert len(log.offsets) <= 6 and len(log.results) <= 6 and log.last == 19
+    assert sorted((r["id"], r["batch_id"]) for r in store.results().collect()) == [(n, n) for n in range(20)]
+    newest = store.offsets().groupBy("pid").agg(F.max("seq_nr").alias("n")).collect()
+    assert {(r["pid"], r["n"]) for r in newest} == {("p|0", 18), ("p|1", 19), ("p|2", 17)}
+    on_disk = lambda kind: len([p for p in (tmp_path / "a" / "b" / kind).iterdir() if p.is_dir()])
+    assert on_disk("offsets") <= 6 + 3 and on_disk("results") <= 6 + 3
+    assert len(list((tmp_path / "a" / "b" / "log").glob("*.json"))) <= 2
+    again = ProjectionStore(spark, str(tmp_path), ProjectionId("a", "b"))
+    assert again.committed(19) and not again.committed(20) and again.results().count() == 20
+
+
+def test_retention_in_the_store(spark, tmp_path):
+    store = ProjectionStore(spark, str(tmp_path), ProjectionId("a", "b"), fan=4, retention_s=500)
+    for n in range(4):
+        rows = spark.createDataFrame([(f"p|{n}", n, 0, None, False)], SCHEMA).withColumn("ts", F.timestamp_seconds(F.col("seq_nr") * 300))
+        store.commit(n, rows)
+    assert {r["pid"] for r in store.offsets().collect()} == {"p|2", "p|3"}
+
+
+@pytest.mark.parametrize("count", [100, 10_000])
+def test_folders_of_many_batches(count):
+    """The folders that a read opens, by the rule that merges them: some FAN a level."""
+    from tidemark.streaming.store import FAN, to_merge
+
+    folders, most = (), 0
+    for n in range(count):
+        folders = (*folders, (0, str(n)))
+        while found := to_merge(folders):
+            level, names = found
+            folders = (*(f for f in folders if f[1] not in names), (level + 1, f"{names[-1]}-{level + 1}"))
+        most = max(most, len(folders))
+    assert most < 3 * FAN
+
+
+def test_a_crash_in_the_commit_shows_nothing(spark, tmp_path, monkeypatch):
+    store = ProjectionStore(spark, str(tmp_path), ProjectionId("a", "b"))
+    commits(spark, store, range(1))
+    publish = ProjectionStore._publish
+    monkeypatch.setattr(ProjectionStore, "_publish", lambda self, log: (_ for _ in ()).throw(RuntimeError("crash")))
+    with pytest.raises(RuntimeError):
+        commits(spark, store, range(1, 2))
+    monkeypatch.setattr(ProjectionStore, "_publish", publish)
+    other = ProjectionStore(spark, str(tmp_path), ProjectionId("a", "b"))
+    assert not other.committed(1) and other.results().count() == 1 and other.offsets().count() == 1
+    commits(spark, other, range(1, 2))
+    assert other.results().count() == 2
+
+
+def test_offsets_set_by_slice_and_cleared(spark, folder):
+    from datetime import UTC, datetime
+
+    path, _ = folder
+    runner = Runner(spark, str(path / "store"), projection(path, lambda rows, b: rows.select("seq_nr")))
+    runner.run()
+    at = lambda n: datetime.fromtimestamp(n, UTC)
+    runner.update_offset({0: at(3), 1: at(100)})
+    assert {(r["slice"], r["ts"].timestamp()) for r in runner.offset().collect()} == {(0, 3.0), (1, 100.0), (2, 8.0)}
+    runner.run()
+    got = sorted(r["seq_nr"] for r in runner.store.results().collect())
+    assert got == sorted([n for n in range(10) if n % 5] + [6, 9])  # slice 0 after 3, nothing of 1 and 2
+    runner.clear_offset()
+    assert runner.offset().count() == 0 and runner.store.results().count() == 10
+    runner.run()
+    assert runner.store.results().count() == 18
+
+
+@pytest.mark.parametrize("more,strategy,lost", [({}, R.skip(), {77}), ({}, R.retry_and_skip(2, 0), {77}), ({"group_size": 10}, R.skip(), set(range(70, 80)))])
+def test_only_what_fails_is_skipped(spark, tmp_path, more, strategy, lost):
+    """One envelope of 400 fails, or its group of ten: the calls are logarithmic in their number."""
+    spark.range(400).select(F.lit("p|0").alias("pid"), F.col("id").alias("seq_nr"), F.lit(0).alias("slice"), F.timestamp_seconds("id").alias("ts"), F.lit(False).alias("filtered")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    calls = []
+
+    def handler(rows, batch):
+        calls.append(batch)
+        return rows.select(F.when(F.col("seq_nr") == 77, F.raise_error(F.lit("poison")).cast("long")).otherwise(F.col("seq_nr")).alias("seq_nr"))
+
+    runner = Runner(spark, str(tmp_path / "store"), projection(tmp_path, handler, recovery=strategy, **more))
+    runner.run()
+    assert sorted(r["seq_nr"] for r in runner.store.results().collect()) == [n for n in range(400) if n not in lost]
+    assert len(calls) <= 2 * 12 + 2 * (1 + strategy.retries)
+
+
+def test_retries_lose_nothing(spark, folder):
+    path, _ = folder
+    calls = []
+
+    def handler(rows, batch):
+        calls.append(batch)
+        bad = F.raise_error(F.lit("not yet")).cast("long") if len(calls) < 3 else F.col("seq_nr")
+        return rows.select(bad.alias("seq_nr"))
+
+    runner = Runner(spark, str(path / "store"), projection(path, handler, recovery=R.retry_and_skip(3, 0)))
+    runner.run()
+    assert len(calls) == 3 and runner.store.results().count() == 8

@@ -6,6 +6,7 @@ import threading
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import UTC, datetime, timedelta
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,7 +18,7 @@ from tidemark.session import ensure_checkpoint_dir, importable
 from tidemark.streaming import recovery as R
 from tidemark.streaming.projection import Delivery, Projection, Runner, rate_limited, run_once
 from tidemark.streaming.stateful import fold_stream, validate_stream
-from tidemark.streaming.store import ProjectionId
+from tidemark.streaming.store import Log, ProjectionId
 from tidemark.streaming.telemetry import Recorder, ensemble
 
 
@@ -171,6 +172,45 @@ def op_B1_transactional_handler(spark: SparkSession, d: str) -> DataFrame:
     return runner.store.results().groupBy("batch_id").agg(F.sum("n").alias("n")).join(stored, "batch_id", "full").select("batch_id", "n", "records")
 
 
+_BATCHES = "SELECT {point} AS point, (event_id % 3)::INT AS batch_id, count(*) FILTER (event_type <> 'error') AS n, count(DISTINCT user_id) AS records FROM events WHERE event_id % 3 <= {last} GROUP BY event_id % 3"
+
+
+@query(" UNION ALL ".join(_BATCHES.format(point=f"'{p}'", last=last) for p, last in (("in a task", 0), ("before the offset", 0), ("before the commit", 0), ("after the commit", 1))))
+def op_B12_crash_points(spark: SparkSession, d: str) -> DataFrame:
+    """The second of three micro-batches crashes, at four points, and the projection isn't restarted: results and offset are seen both or not at all."""
+    folder, out = _in_batches(spark, d), None
+    for point in ("in a task", "before the offset", "before the commit", "after the commit"):
+
+        def handler(rows: DataFrame, batch: int, point: str = point) -> DataFrame:
+            made = rows.groupBy("event_type").agg(F.count("*").alias("n"))
+            fails = batch == 1 and point == "in a task"
+            return made.withColumn("n", F.when(F.col("event_type") == "click", F.raise_error(F.lit("crash")).cast("long")).otherwise(F.col("n"))) if fails else made
+
+        p = _projection(d, "crash-" + point.replace(" ", "-"), delivery=Delivery.EXACTLY_ONCE, restart=R.Restart(max_restarts=0), source=_events(d, folder), handler=handler)
+        runner = Runner(spark, _root(spark), p)
+        if point == "before the offset":
+            _crashing(runner, 1)
+        publish = runner.store._publish
+
+        def published(log: Log, point: str = point, publish: Callable[[Log], None] = publish) -> None:
+            if log.last == 1 and point == "before the commit":
+                raise RuntimeError("crash")
+            publish(log)
+            if log.last == 1 and point == "after the commit":
+                raise RuntimeError("crash")
+
+        runner.store._publish = published
+        try:
+            runner.run(sleep=lambda s: None)
+        except Exception as error:
+            if "crash" not in str(error):
+                raise
+        stored = runner.store.offsets().groupBy("batch_id").agg(F.count("*").alias("records"))
+        seen = runner.store.results().groupBy("batch_id").agg(F.sum("n").alias("n")).join(stored, "batch_id", "full").select(F.lit(point).alias("point"), "batch_id", "n", "records")
+        out = seen if out is None else out.unionByName(seen)
+    return out
+
+
 @query("SELECT count(*) AS n, 2::BIGINT AS started, 2::BIGINT AS stopped FROM events WHERE event_type <> 'error'")
 def op_L4_handler_lifecycle(spark: SparkSession, d: str) -> DataFrame:
     """A handler class is made anew after a failure; each is started before its first batch and stopped after its last."""
@@ -356,6 +396,55 @@ def op_L5_recovery(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k, *v) for k, v in cases.items()], "strategy string, done boolean, attempts long")
 
 
+@query("""WITH e AS (SELECT event_id FROM events WHERE event_type <> 'error'), poison AS (SELECT event_id FROM e WHERE event_id % 2000 = 7)
+SELECT 'skip' AS strategy, event_id FROM e WHERE event_id NOT IN (SELECT event_id FROM poison) UNION ALL SELECT 'retry_and_skip', event_id FROM e WHERE event_id NOT IN (SELECT event_id FROM poison)
+UNION ALL SELECT 'retry heals', event_id FROM e UNION ALL SELECT 'fail', event_id FROM e WHERE event_id % 3 < (SELECT min(event_id % 3) FROM poison)""")
+def op_L5b_recovery_by_envelope(spark: SparkSession, d: str) -> DataFrame:
+    """A handler that fails on a few events: skipping loses just these, a retry that heals loses none, and failing leaves what earlier micro-batches gave."""
+    folder, out = _in_batches(spark, d), None
+    for name, strategy, heals in (("skip", R.skip(), False), ("retry_and_skip", R.retry_and_skip(1, 0), False), ("retry heals", R.retry_and_fail(1, 0), True), ("fail", R.fail(), False)):
+        calls: dict[int, int] = {}
+
+        def handler(rows: DataFrame, batch: int, heals: bool = heals, calls: dict[int, int] = calls) -> DataFrame:
+            calls[batch] = calls.get(batch, 0) + 1
+            bad = F.col("event_id") % 2000 == 7
+            return rows.select("event_id") if heals and calls[batch] > 1 else rows.select(F.when(bad, F.raise_error(F.lit("poison")).cast("long")).otherwise(F.col("event_id")).alias("event_id"))
+
+        p = _projection(d, f"by-envelope-{name.replace(' ', '-')}", handler=handler, recovery=strategy, restart=R.Restart(max_restarts=0), source=_events(d, folder))
+        runner = Runner(spark, _root(spark), p)
+        try:
+            runner.run(sleep=lambda s: None)
+        except Exception as error:
+            if "poison" not in str(error):
+                raise
+        rows = runner.store.results()
+        if rows is not None:
+            rows = rows.select(F.lit(name).alias("strategy"), "event_id")
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("""WITH e AS (SELECT event_id, epoch_us(ts) AS us, (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 FROM events) AS half FROM events WHERE event_type <> 'error')
+SELECT 'back' AS step, event_id, CASE WHEN us > half THEN 2 ELSE 1 END::BIGINT AS n FROM e UNION ALL SELECT 'ahead', event_id, 1 FROM e WHERE us > half UNION ALL SELECT 'cleared', event_id, 2 FROM e""")
+def op_L8b_update_offset(spark: SparkSession, d: str) -> DataFrame:
+    """An offset set back reads again what is after it, one set ahead leaves out what is before, a cleared one reads all; results stay."""
+    low, high = spark.read.parquet(f"{d}/events.parquet").agg(*(F.unix_micros(f(F.col("ts").cast("timestamp"))) for f in (F.min, F.max))).first()
+    half = datetime.fromtimestamp(0, UTC) + timedelta(microseconds=(low + high) // 2)
+    rows = lambda batch, n: batch.select("event_id")
+    back, ahead, cleared = (Runner(spark, _root(spark), _projection(d, step, handler=rows)) for step in ("back", "ahead", "cleared"))
+    back.run()
+    back.update_offset(half)
+    ahead.update_offset(half)
+    cleared.run()
+    cleared.clear_offset()
+    out = None
+    for step, runner in (("back", back), ("ahead", ahead), ("cleared", cleared)):
+        runner.run()
+        seen = runner.store.results().groupBy("event_id").agg(F.count("*").alias("n")).select(F.lit(step).alias("step"), "event_id", "n")
+        out = seen if out is None else out.unionByName(seen)
+    return out
+
+
 @query("SELECT r AS restart, least(30.0, 3.0 * pow(2, r)) * 1.2 AS longest FROM range(8) t(r)")
 def op_L6_backoff(spark: SparkSession, d: str) -> DataFrame:
     """The longest delay before each restart."""

@@ -8,17 +8,22 @@
 With a journal the stream is validated strictly before the handler sees it: what is ahead of its predecessor waits, and
 what is missing is read from the journal (streaming.replay). Without, the source's rows are taken as they are.
 
+Under a strategy that skips, a micro-batch whose handler fails is halved until the envelopes or groups that fail are by
+themselves; only these are skipped, and the results of the others are kept.
+
 Grouped forms give the handler consecutive groups of at most so many rows of each micro-batch. Parallel forms give it a
 micro-batch's slices in parts beside one another, each under a number of its own; the offset is stored when all parts are done.
 """
 
 from __future__ import annotations
 
+import itertools
 import threading
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import nullcontext
 from dataclasses import dataclass, field, replace
+from datetime import datetime
 from enum import Enum
 from functools import reduce
 
@@ -27,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.validation import ACCEPTED
-from tidemark.streaming.recovery import Recovery, Restart, fail, recover, supervise
+from tidemark.streaming.recovery import Aborted, Recovery, Restart, fail, recover, supervise
 from tidemark.streaming.replay import REQUEST, Replays, replaying_state, validate_replaying
 from tidemark.streaming.store import ProjectionId, ProjectionStore
 from tidemark.streaming.telemetry import Telemetry
@@ -82,17 +87,81 @@ class Projection:
         visible = batch if self.flow or "filtered" not in batch.columns else batch.where(~F.col("filtered"))
         if self.delivery is Delivery.AT_MOST_ONCE:
             store.commit(batch_id, batch)
-        done, result = recover(lambda: self._handle(visible, batch_id), self.recovery, lambda e, what: self.telemetry.error(str(self.id), e, what))
-        if done and result is not None:
-            store.write_result(batch_id, result)
-        if self.delivery is not Delivery.AT_MOST_ONCE:
+        self._handled(store, visible, batch_id)
+        if self.delivery is Delivery.AT_MOST_ONCE:
+            store.publish_results(batch_id)
+        else:
             store.commit(batch_id, batch)
         self.telemetry.after(str(self.id), batch_id)
 
+    def _handled(self, store: ProjectionStore, rows: DataFrame, batch_id: int) -> None:
+        """The handler over a micro-batch under the recovery strategy; what it returns is computed and written here, so a failure shows here too."""
+        store.forget_results(batch_id)
+        told = lambda e, what: self.telemetry.error(str(self.id), e, what)
+
+        def attempt(own: DataFrame, part: int) -> None:
+            result = self._handle(own, batch_id)
+            if result is not None:
+                store.write_result(batch_id, result, part)
+
+        if not self.recovery.skip:
+            recover(lambda: attempt(rows, 0), self.recovery, told)
+            return
+        rows = self._grouped(rows)
+        try:
+            recover(lambda: attempt(rows, 0), replace(self.recovery, skip=False), lambda e, what: told(e, "split" if what == "fail" else what))
+        except Aborted:
+            raise
+        except Exception:
+            self._without_failing(rows, attempt, told)
+
+    def _without_failing(self, rows: DataFrame, attempt: Callable[[DataFrame, int], None], told: Callable[[BaseException, str], None]) -> None:
+        """Halves of a micro-batch, and halves of those that fail, down to the envelopes or groups that fail by themselves: these are skipped.
+
+        The halves are ranges of a hash of the envelope or group, so nothing of them is collected; results of good
+        ones are kept. A failing one costs about twice as many calls as its micro-batch's size has binary digits.
+        """
+        unit = ("slice", "group_nr") if self.group_size else ("pid", "seq_nr")
+        held = rows.withColumn("__unit", F.xxhash64(*unit)).persist()
+        parts = itertools.count(1)
+
+        def own(low: int, high: int) -> DataFrame:
+            return held.where(F.col("__unit").between(low, high)).drop("__unit")
+
+        try:
+            low, high = held.agg(F.min("__unit"), F.max("__unit")).first()
+            open_ranges = [(low, high)] if low is not None else []
+            while open_ranges:
+                low, high = open_ranges.pop()
+                if low == high:
+                    recover(lambda at=low: attempt(own(at, at), next(parts)), self.recovery, told)
+                    continue
+                middle = (low + high) // 2
+                for a, b in ((low, middle), (middle + 1, high)):
+                    first, last = held.where(F.col("__unit").between(a, b)).agg(F.min("__unit"), F.max("__unit")).first()
+                    if first is None:
+                        continue
+                    if first == last:
+                        open_ranges.append((first, last))
+                        continue
+                    try:
+                        attempt(own(first, last), next(parts))
+                    except Aborted:
+                        raise
+                    except Exception as error:
+                        told(error, "split")
+                        open_ranges.append((first, last))
+        finally:
+            held.unpersist()
+
+    def _grouped(self, rows: DataFrame) -> DataFrame:
+        if not self.group_size or "group_nr" in rows.columns:
+            return rows
+        order = Window.partitionBy("slice").orderBy("ts", "pid", "seq_nr")
+        return rows.withColumn("group_nr", F.floor((F.row_number().over(order) - 1) / self.group_size).cast("long"))
+
     def _handle(self, rows: DataFrame, batch_id: int) -> DataFrame | None:
-        if self.group_size:
-            order = Window.partitionBy("slice").orderBy("ts", "pid", "seq_nr")
-            rows = rows.withColumn("group_nr", F.floor((F.row_number().over(order) - 1) / self.group_size).cast("long"))
+        rows = self._grouped(rows)
         if self.parallel == 1:
             return self.handler(rows, batch_id)
         parts = [rows.where(F.col("slice") % self.parallel == n) for n in range(self.parallel)]
@@ -125,9 +194,9 @@ class Runner:
         if store.is_paused():
             return None
         p.telemetry.started(str(p.id))
-        rows = p.source(self.spark)
+        rows = store.after_start(p.source(self.spark))
         if p.journal is not None:
-            self.replays = Replays(self.spark, f"{store.base}/replays", p.journal, rows.drop("origin").schema)
+            self.replays = Replays(self.spark, store.replays(), p.journal, rows.drop("origin").schema)
             rows = validate_replaying(rows, self.replays, p.reset_after_s)
         writer = rows.writeStream.queryName(str(p.id)).option("checkpointLocation", store.checkpoint())
         writer = writer.foreachBatch(lambda batch, n: self._process(p, batch, n))
@@ -190,6 +259,11 @@ class Runner:
         best = self.store.offsets().groupBy("slice").agg(F.max(F.struct("ts", "pid", "seq_nr")).alias("m"))
         return best.select("slice", "m.*")
 
+    def update_offset(self, offset: datetime | Mapping[int, datetime]) -> None:
+        """Stop, and let the next run go on after a time, for all slices or each by its own: back or ahead."""
+        self.stop()
+        self.store.set_offset(offset)
+
     def clear_offset(self) -> None:
         self.stop()
         self.store.clear()
