@@ -90,3 +90,61 @@ def test_a_crash_after_the_answer(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ProjectionStore, "commit", once)
     got = run(spark, tmp_path, [GAPS], WHOLE, restarts=1)
     assert sorted(e for _, e in got) == ["a-1", "a-2", "a-3", "a-4", "a-5", "b-1", "b-2", "b-3"] and failed == [0]
+
+
+# Replays beside a filtered live stream.
+JOURNAL = [(f"{p}|1", n, "error" if n % 3 == 0 else "ok") for p in "abcdefgh" for n in range(1, 26)]
+ROWS = "pid string, seq_nr long, event_type string"
+ASK = "pid string, from_nr long, filter_after long, asked long"
+
+
+@pytest.fixture
+def merge(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidemark.streaming.cursors import ReplayMerge
+
+    m = ReplayMerge(spark, str(tmp_path), lambda s: s.createDataFrame(JOURNAL, ROWS), F.col("event_type") != "error", parallelism=3, rows_each=10)
+
+    def step(n, live=(), asks=(), m=m):
+        rows = m.step(spark.createDataFrame(list(live), ROWS), spark.createDataFrame(list(asks), ASK), n)
+        return sorted((r["pid"][0], r["seq_nr"], r["replayed"]) for r in rows.collect())
+
+    step.cursors = m.cursors
+    return step
+
+
+def test_filter_after_of_replays_and_filtered_live_rows(merge):
+    got = merge(0, [("a|1", 2, "error"), ("a|1", 30, "ok")], [("a|1", 1, 5, 1), ("b|1", 20, 0, 2), ("c|1", 0, 0, 3)])
+    assert got == sorted([("a", 30, False), *(("a", n, True) for n in range(1, 11) if n < 5 or n % 3), *(("b", n, True) for n in range(20, 26))])
+
+
+def test_a_newer_request_replaces_an_older(merge):
+    merge(0, asks=[("a|1", 1, 0, 1)])
+    # Another number: what was left of the old replay isn't read; the same number goes on with another filter_after.
+    assert merge(1, asks=[("a|1", 22, 0, 2)]) == [("a", n, True) for n in range(22, 26)]
+    assert merge(2) == [] and merge.cursors(2).count() == 0
+    merge(3, asks=[("b|1", 1, 0, 3), ("c|1", 5, 0, 4), ("c|1", 24, 0, 5)])
+    got = merge(4, asks=[("b|1", 1, 1, 6)])
+    assert got == [("b", n, True) for n in range(11, 21) if n % 3]
+    assert merge(5, asks=[("b|1", 2, 0, 7), ("b|1", 1, 0, 8)]) == [("b", n, True) for n in range(1, 11)]
+
+
+def test_three_at_a_time_in_order(spark, merge, monkeypatch):
+    from tidemark.streaming import cursors as C
+
+    one_stream = C.with_requests
+    monkeypatch.setattr(C, "with_requests", lambda c, r: one_stream(c, r, streams=1))
+    seen, n = [], 0
+    asks = [(f"{p}|1", 1, 0, k) for k, p in enumerate("hgfedcba")]
+    while n == 0 or merge.cursors(n - 1).count():
+        rows = merge(n, asks=asks if n == 0 else ())
+        seen.append(sorted({p for p, _, _ in rows}, reverse=True))
+        assert len(rows) <= 30
+        n += 1
+    assert seen == [list("hgf")] * 3 + [list("edc")] * 3 + [list("ba")] * 3
+
+
+def test_a_micro_batch_that_runs_again(merge):
+    merge(0, asks=[("a|1", 1, 0, 1)])
+    assert merge(1) == merge(1) == [("a", n, True) for n in range(11, 21)]

@@ -135,10 +135,15 @@ def fill_gaps(events: DataFrame, pid: str = "pid", seq: str = "seq_nr") -> DataF
 
 
 def replay_or_filter(live: DataFrame, replayed: DataFrame, passes: Column, filter_after: str = "filter_after") -> DataFrame:
-    """live and replayed rows in one stream: numbers below an entity's filter_after pass unfiltered; 0 or null never does."""
-    both = live.withColumn("replayed", F.lit(False)).unionByName(replayed.withColumn("replayed", F.lit(True)), allowMissingColumns=True)
-    free = F.coalesce((F.col(filter_after) > 0) & (F.col("seq_nr") < F.col(filter_after)), F.lit(False))
-    return both.where(free | passes)
+    """live and replayed rows in one stream, with `replayed`; live rows are filtered.
+
+    Replayed rows below their filter_after pass whatever the filter, the others are filtered too; 0 or null is no limit,
+    so that all of them pass. Only replayed has the column; it goes.
+    """
+    again = replayed.withColumn("replayed", F.lit(True))
+    limit = F.coalesce(F.col(filter_after), F.lit(0))
+    free = again.where((limit == 0) | (F.col("seq_nr") < limit) | passes).drop(filter_after)
+    return live.where(passes).withColumn("replayed", F.lit(False)).unionByName(free, allowMissingColumns=True)
 
 
 IN_FLIGHT_LIMIT = 10_000

@@ -310,11 +310,23 @@ def op_D13_trigger_replay(spark: SparkSession, d: str) -> DataFrame:
     return done.where((F.col("verdict") == V.REJECTED) & (F.col("seq_nr") > 1)).groupBy("pid").agg(F.min("seq_nr").alias("triggered_by"))
 
 
-@query(f"WITH {ENV} SELECT event_id, false AS replayed FROM env WHERE event_id % 2 = 1 AND (event_type <> 'error' OR seq_nr < 5) UNION ALL SELECT event_id, true FROM env WHERE event_id % 2 = 0 AND (event_type <> 'error' OR seq_nr < 5)")
-def op_D14_interleaved_replay(spark: SparkSession, d: str) -> DataFrame:
-    j = journal(spark, d).withColumn("filter_after", F.lit(5))
+#: A request of a replay: every error asks for its entity from ten numbers before, those of even ids without an end of what passes.
+_ASKS = "SELECT pid, greatest(seq_nr - 10, 1) AS from_nr, CASE WHEN event_id % 2 = 0 THEN 0 ELSE seq_nr END AS filter_after, event_id AS asked FROM env WHERE event_type = 'error'"
+#: The rule for replayed events of request r: below filter_after, of which 0 is the highest number, they pass; else the filter decides.
+_FREE = "e.seq_nr < CASE WHEN r.filter_after = 0 THEN 9223372036854775807 ELSE r.filter_after END OR e.event_type <> 'error'"
+
+
+def _asks(events: DataFrame) -> DataFrame:
+    return events.where("event_type = 'error'").select("pid", F.greatest(F.col("seq_nr") - 10, F.lit(1)).alias("from_nr"), F.when(F.col("event_id") % 2 == 0, 0).otherwise(F.col("seq_nr")).cast("long").alias("filter_after"), F.col("event_id").alias("asked"))
+
+
+@query(f"WITH {ENV}, r AS ({_ASKS}) SELECT e.event_id, r.asked FROM r JOIN env e ON e.pid = r.pid AND e.seq_nr >= r.from_nr AND e.seq_nr < r.from_nr + 20 WHERE {_FREE}")
+def op_N4_filter_after(spark: SparkSession, d: str) -> DataFrame:
+    """Every request's first twenty events: those before filter_after pass the filter by, the others don't; 0 is no limit."""
+    j = journal(spark, d)
+    again = _asks(j).join(j, "pid").where(F.col("seq_nr").between(F.col("from_nr"), F.col("from_nr") + 19))
     passes = L.passes(L.EventFilter.of(L.criterion("exclude_tags", ["error"])))
-    return V.replay_or_filter(j.where("event_id % 2 = 1"), j.where("event_id % 2 = 0"), passes).select("event_id", "replayed")
+    return V.replay_or_filter(j.limit(0), again, passes).select("event_id", "asked")
 
 
 @query(f"WITH {ENV}, g AS (SELECT * FROM env WHERE event_id % 23 <> 0), m AS (SELECT pid, min(seq_nr) AS lo, max(seq_nr) AS hi FROM g GROUP BY pid), s AS (SELECT pid, unnest(generate_series(lo, hi)) AS seq_nr FROM m) SELECT s.pid, s.seq_nr, g.pid IS NULL AS filler FROM s LEFT JOIN g ON g.pid = s.pid AND g.seq_nr = s.seq_nr")

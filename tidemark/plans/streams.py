@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import slice_of
 from tidemark.plans.base import ENV, query
+from tidemark.plans.rules import _ASKS, _FREE, _asks
 from tidemark.session import ensure_checkpoint_dir, importable
 from tidemark.streaming import recovery as R
+from tidemark.streaming.cursors import ReplayMerge
 from tidemark.streaming.projection import Delivery, Projection, Runner, rate_limited, run_once
 from tidemark.streaming.stateful import fold_stream, validate_stream
 from tidemark.streaming.store import Log, ProjectionId
@@ -363,6 +365,32 @@ def op_G4b_out_of_order_stream(spark: SparkSession, d: str) -> DataFrame:
     return marked.groupBy("pid").agg(F.count("*").alias("n"), F.max("seq_nr").alias("last_seq_nr"), F.bool_and("fine").alias("in_order"))
 
 
+@query(f"""WITH {ENV}, r AS (SELECT pid, arg_max(from_nr, asked) AS from_nr, arg_max(filter_after, asked) AS filter_after FROM ({_ASKS} AND event_id % 3 = 0) GROUP BY pid)
+SELECT event_id, false AS replayed FROM env WHERE event_type <> 'error' UNION ALL SELECT e.event_id, true FROM r JOIN env e ON e.pid = r.pid AND e.seq_nr >= r.from_nr WHERE {_FREE}""")
+def op_D14_interleaved_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Three micro-batches of live events; the first one's errors ask for replays, of which an entity's newest counts. These run beside the live events, at most three of a stream at once, twenty numbers a micro-batch, until all are done."""
+    from tidemark.operators import filters as L
+    from tidemark.plans.base import journal
+
+    folder, out = f"{_root(spark)}/live", f"{_root(spark)}/out"
+    rows = journal(spark, d).select("event_id", "event_type", "pid", "seq_nr", "tags")
+    for n in range(3):
+        rows.where(F.col("event_id") % 3 == n).coalesce(1).write.mode("append").parquet(folder)
+    merge = ReplayMerge(spark, f"{out}-cursors", lambda s: journal(s, d), L.passes(L.EventFilter.of(L.criterion("exclude_tags", ["error"]))), rows_each=20)
+    last = []
+
+    def step(batch: DataFrame, n: int) -> None:
+        asked = _asks(batch) if n == 0 else _asks(batch).limit(0)
+        merge.step(batch, asked, n).select("event_id", "replayed").write.mode("overwrite").parquet(f"{out}/batch={n}")
+        last[:] = [n]
+
+    rate_limited(spark, folder, rows.schema, 1).writeStream.foreachBatch(step).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    nothing = spark.createDataFrame([], rows.schema)
+    while not merge.cursors(last[0]).isEmpty():  # as if the stream went on
+        step(nothing, last[0] + 1)
+    return spark.read.parquet(out).select("event_id", "replayed")
+
+
 def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     """All rows of a stream with the batch that gave them."""
     root = _root(spark)
