@@ -148,3 +148,32 @@ def test_three_at_a_time_in_order(spark, merge, monkeypatch):
 def test_a_micro_batch_that_runs_again(merge):
     merge(0, asks=[("a|1", 1, 0, 1)])
     assert merge(1) == merge(1) == [("a", n, True) for n in range(11, 21)]
+
+
+# A filter that is exchanged while the stream runs.
+def test_versions_of_a_filter(spark, tmp_path):
+    from tidemark.streaming.filtering import CRITERIA, FilteredStream
+
+    journal = [(f"user|{p}", n, ["error"] if n % 3 == 0 else []) for p in "abc" for n in range(1, 8)]
+    schema = "pid string, seq_nr long, tags array<string>"
+    stream = FilteredStream(spark, str(tmp_path), lambda s: s.createDataFrame(journal, schema), rows_each=4)
+    live = spark.createDataFrame(journal[-3:] + [("user|a", 9, ["error"])], schema)
+    frame = lambda *rows: spark.createDataFrame(list(rows), CRITERIA)
+
+    def step(n, rows=live):
+        return sorted((r["pid"][-1], r["seq_nr"], r["replayed"]) for r in stream.step(rows, n).collect())
+
+    everything = [("a", 9, False), ("c", 5, False), ("c", 6, False), ("c", 7, False)]
+    assert step(0) == everything
+    assert stream.update(frame(("exclude_tags", "error", 0), ("include_ids", "a", 2), ("include_ids", "user|b", 0))) == 1
+    # By entity id; number 2 asks for a replay, in two steps; number 0 for none.
+    assert step(1) == sorted([*[e for e in everything if e[1] != 6], *(("a", n, True) for n in range(2, 6))])
+    stream.update(frame(("remove_include_ids", "a", 0), ("include_ids", "user|c", 7), ("exclude_ids", "c", 0)))
+    # Run again, a micro-batch takes the version it took first.
+    assert step(1) == sorted([*[e for e in everything if e[1] != 6], *(("a", n, True) for n in range(2, 6))])
+    # The replay that goes on isn't stopped by the removal; the live filter is the new one.
+    assert step(2) == [("a", 6, True), ("a", 7, True), ("c", 5, False), ("c", 6, False), ("c", 7, False), ("c", 7, True)]
+    assert step(3, live.limit(0)) == []
+    with pytest.raises(ValueError, match="more than"):
+        stream.update(frame(*(("exclude_tags", f"t{n}", 0) for n in range(1_001))))
+        step(4)

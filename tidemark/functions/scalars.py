@@ -143,3 +143,8 @@ def tags_match_topic(tags: Column, expression: str, prefix: str = TOPIC_PREFIX)
     if topic_pattern(expression) == "":
         return F.lit(True)
     return F.coalesce(F.exists(tags, lambda t: t.startswith(prefix) & topic_matches(F.substring(t, F.lit(len(prefix) + 1), F.length(t)), expression)), F.lit(False))
+
+
+def correlation_id(seed: str, key: Column) -> Column:
+    """An id in the form of a UUID for a key of a run, the same each time."""
+    return F.regexp_replace(F.md5(F.concat(F.lit(f"{seed}:"), key)), "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5")

@@ -78,6 +78,16 @@ def us(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*(F.unix_micros(c).alias(f"{c}_us") if kinds[c] == "timestamp" else F.col(c) for c in columns))
 
 
+def until(spark: SparkSession, sf_dir: str, part: int) -> int:
+    """The microsecond that ends the first of so many equal parts of the events' time."""
+    low, high = table(spark, sf_dir, "events").agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    return low + (high - low) // part
+
+
+def sql_until(part: int) -> str:
+    return f"(SELECT min(epoch_us(ts)) + (max(epoch_us(ts)) - min(epoch_us(ts))) // {part} FROM events)"
+
+
 def sql_hash(text: str) -> str:
     """The polynomial hash before its sign is taken, in SQL."""
     return f"list_reduce(list_prepend(0::BIGINT, list_transform(range(1, length({text}) + 1), lambda i: ascii(substring({text}, i::INT, 1))::BIGINT)), lambda a, x: (a * 31 + x) % 4294967296)"

@@ -11,7 +11,8 @@ from tidemark.operators import filters as L
 from tidemark.operators import offsets as O
 from tidemark.operators import transform as T
 from tidemark.operators import validation as V
-from tidemark.plans.base import ARRIVAL, CHG, DIRTY, ENV, REC, changes, dirty, journal, query, records, table, us
+from tidemark.plans.base import ARRIVAL, CHG, DIRTY, ENV, REC, changes, dirty, journal, query, records, sql_until, table, until, us
+from tidemark.streaming.filtering import marked, replays_of
 
 EV = ("event_id", "pid", "seq_nr")
 
@@ -75,15 +76,18 @@ def op_C9_exclude_ids_join(spark: SparkSession, d: str) -> DataFrame:
     return journal(spark, d).join(ids, "user_id", "left_anti").select(*EV)
 
 
-@query(f"WITH {ENV} SELECT event_id, pid, seq_nr FROM env WHERE pid IN ('user|8', 'user|46') AND event_id >= 5000 UNION ALL SELECT event_id, pid, seq_nr FROM env WHERE pid = 'user|8' AND seq_nr >= 5 AND event_id < 5000")
+@query(f"""WITH {ENV}, i AS (SELECT DISTINCT user_id, user_id % 4 AS from_nr FROM events WHERE user_id % 5 = 1) SELECT event_id, pid, seq_nr FROM env JOIN i USING (user_id) WHERE epoch_us(ts) > {sql_until(2)}
+UNION ALL SELECT event_id, pid, seq_nr FROM env JOIN i USING (user_id) WHERE from_nr >= 1 AND seq_nr >= from_nr AND epoch_us(ts) <= {sql_until(2)}""")
 def op_C10_include_ids_replay(spark: SparkSession, d: str) -> DataFrame:
-    """Including an id with a number of 1 or more also reads its earlier events again, from that number."""
-    before, after = L.EventFilter.of(L.criterion("exclude_regex", [".*"])), L.EventFilter.of(L.criterion("exclude_regex", [".*"]), L.criterion("include_ids", {"user|8": 5, "user|46": 0}))
-    j = journal(spark, d)
-    live = L.filter_events(j.where("event_id >= 5000"), after)
-    for pid, nr in after.replays(before).items():
-        live = live.unionByName(j.where((F.col("pid") == pid) & (F.col("seq_nr") >= nr) & (F.col("event_id") < 5000)))
-    return live.select(*EV)
+    """Including ids with a number of 1 or more also reads their earlier events again, from that number: one join for any number of ids."""
+    j, half = journal(spark, d), until(spark, d, 2)
+    ids = table(spark, d, "events").where("user_id % 5 = 1").select("user_id").distinct()
+    none = L.criteria_frame(spark, [L.criterion("exclude_regex", [L.EXCLUDE_ALL])])
+    criteria = none.unionByName(ids.select(F.lit("include_ids").alias("kind"), F.col("user_id").cast("string").alias("value"), (F.col("user_id") % 4).alias("seq_nr")))
+    late = F.unix_micros("ts") > half
+    live = marked(j.where(late), criteria, "passes").where("passes").drop("passes")
+    again = j.where(~late).join(replays_of(none, criteria, j), "pid").where(F.col("seq_nr") >= F.col("from_nr")).drop("from_nr")
+    return live.unionByName(again).select(*EV)
 
 
 @query("SELECT * FROM (VALUES ('exclude_ids', 'a', 0::BIGINT), ('exclude_ids', 'b', 0), ('exclude_ids', 'd', 0), ('include_ids', 'c', 2)) t(kind, value, seq_nr)")
@@ -127,20 +131,6 @@ def op_C14_filter_diff(spark: SparkSession, d: str) -> DataFrame:
     return L.diff_frames(a, b.where("kind = 'include_ids'"))
 
 
-@query(f"WITH {ENV} SELECT event_id, pid, seq_nr FROM env WHERE event_id < 4000 AND event_type <> 'error' UNION ALL SELECT event_id, pid, seq_nr FROM env WHERE event_id >= 4000 AND (event_type <> 'error' OR pid = 'user|8') UNION ALL SELECT event_id, pid, seq_nr FROM env WHERE event_id < 4000 AND pid = 'user|8' AND seq_nr >= 3 AND event_type = 'error'")
-def op_C15_dynamic_update(spark: SparkSession, d: str) -> DataFrame:
-    """A filter is exchanged between two batches; what it newly includes is read again from its number, without repeats."""
-    first = L.EventFilter.of(L.criterion("exclude_tags", ["error"]))
-    second = first.apply_in_order([L.criterion("include_ids", {"user|8": 3})])
-    j = journal(spark, d)
-    seen = L.filter_events(j.where("event_id < 4000"), first)
-    out = seen.unionByName(L.filter_events(j.where("event_id >= 4000"), second))
-    for pid, nr in second.replays(first).items():
-        again = j.where((F.col("pid") == pid) & (F.col("seq_nr") >= nr) & (F.col("event_id") < 4000))
-        out = out.unionByName(again.join(seen.select("event_id"), "event_id", "left_anti").select(*j.columns))
-    return out.select(*EV)
-
-
 _REPLICA = "CASE event_id % 4 WHEN 0 THEN 'DCA' WHEN 1 THEN 'DCB' WHEN 2 THEN 'DCC' ELSE 'DCD' END"
 
 
@@ -155,10 +145,10 @@ def op_C16_origin_filter(spark: SparkSession, d: str) -> DataFrame:
     return T.mark_by_origin(_replicated(spark, d), T.excluded_origins("DCA", "DCB", ["DCA", "DCC"])).select("event_id", "filtered")
 
 
-@query(f"WITH {ENV}, a AS (SELECT pid, {_REPLICA} AS o, max(seq_nr) AS acked FROM env WHERE event_id < 3000 GROUP BY 1, 2) SELECT event_id, coalesce(seq_nr <= acked, false) AS filtered FROM (SELECT *, {_REPLICA} AS o FROM env) LEFT JOIN a USING (pid, o)")
+@query(f"WITH {ENV}, a AS (SELECT pid, {_REPLICA} AS o, max(seq_nr) AS acked FROM env WHERE epoch_us(ts) <= {sql_until(2)} GROUP BY 1, 2) SELECT event_id, coalesce(seq_nr <= acked, false) AS filtered FROM (SELECT *, {_REPLICA} AS o FROM env) LEFT JOIN a USING (pid, o)")
 def op_C17_acknowledged(spark: SparkSession, d: str) -> DataFrame:
     e = _replicated(spark, d)
-    return T.mark_acknowledged(e, e.where("event_id < 3000").select("origin_pid", "origin_seq_nr")).select("event_id", "filtered")
+    return T.mark_acknowledged(e, e.where(F.unix_micros("ts") <= until(spark, d, 2)).select("origin_pid", "origin_seq_nr")).select("event_id", "filtered")
 
 
 @query("SELECT event_id, (event_id % 5)::INT AS partition FROM events WHERE event_id % 5 IN (0, 3)")
@@ -258,14 +248,14 @@ def op_D5_sequence_reset(spark: SparkSession, d: str) -> DataFrame:
     return V.validate(dirty(spark, d), ARRIVAL, reset_after_s=90 * 86_400, unknown_accepted=False).select(*DV)
 
 
-@query(f"""WITH {ENV}, firsts AS (SELECT * FROM env WHERE event_id >= 3000 QUALIFY row_number() OVER (PARTITION BY pid ORDER BY seq_nr) = 1), r AS (SELECT slice, max(ts) AS m FROM env WHERE event_id < 2000 GROUP BY slice)
+@query(f"""WITH {ENV}, firsts AS (SELECT * FROM env WHERE epoch_us(ts) > {sql_until(2)} QUALIFY row_number() OVER (PARTITION BY pid ORDER BY seq_nr) = 1), r AS (SELECT slice, max(ts) AS m FROM env WHERE epoch_us(ts) <= {sql_until(3)} GROUP BY slice)
 SELECT f.pid, f.seq_nr, CASE WHEN f.seq_nr = 1 OR p.ts IS NULL OR epoch_us(p.ts) < epoch_us(m) - 86400000000 THEN 'accepted' ELSE 'rejected' END AS verdict
 FROM firsts f LEFT JOIN env p ON p.pid = f.pid AND p.seq_nr = f.seq_nr - 1 AND p.event_id % 7 <> 0 LEFT JOIN r ON r.slice = f.slice""")
 def op_D6_event_timestamps(spark: SparkSession, d: str) -> DataFrame:
     """Unknown ids that begin above 1 are accepted if the event before is gone or older than the retention of their slice."""
     j = journal(spark, d)
-    first = j.where("event_id >= 3000").groupBy("pid").agg(F.min_by(F.struct("seq_nr", "ts", "slice", "event_id"), "seq_nr").alias("m")).select("pid", "m.*")
-    ready = V.with_previous(first, j.where("event_id % 7 <> 0"), 86_400, j.where("event_id < 2000"))
+    first = j.where(F.unix_micros("ts") > until(spark, d, 2)).groupBy("pid").agg(F.min_by(F.struct("seq_nr", "ts", "slice", "event_id"), "seq_nr").alias("m")).select("pid", "m.*")
+    ready = V.with_previous(first, j.where("event_id % 7 <> 0"), 86_400, j.where(F.unix_micros("ts") <= until(spark, d, 3)))
     return V.validate(ready, ["seq_nr"]).select("pid", "seq_nr", "verdict")
 
 

@@ -18,6 +18,7 @@ from tidemark.plans.rules import _ASKS, _FREE, _asks
 from tidemark.session import ensure_checkpoint_dir, importable
 from tidemark.streaming import recovery as R
 from tidemark.streaming.cursors import ReplayMerge
+from tidemark.streaming.filtering import FilteredStream
 from tidemark.streaming.projection import Delivery, Projection, Runner, rate_limited, run_once
 from tidemark.streaming.stateful import fold_stream, validate_stream
 from tidemark.streaming.store import Log, ProjectionId
@@ -391,6 +392,36 @@ def op_D14_interleaved_replay(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out).select("event_id", "replayed")
 
 
+@query(f"""WITH {ENV}, b AS (SELECT *, event_id % 3 AS n FROM env)
+SELECT event_id, false AS replayed FROM b WHERE n = 0 AND event_type <> 'error' OR n = 1 AND (event_type <> 'error' OR user_id % 5 = 1) OR n = 2 AND (event_type <> 'error' AND user_id % 7 <> 3 OR user_id % 5 = 1 AND user_id % 2 = 1 OR user_id % 5 = 2)
+UNION ALL SELECT event_id, true FROM env WHERE user_id % 5 = 1 AND user_id % 4 >= 1 AND seq_nr >= user_id % 4 OR user_id % 5 = 2 AND seq_nr >= 3""")
+def op_C15_dynamic_update(spark: SparkSession, d: str) -> DataFrame:
+    """A running stream of three micro-batches, between which the filter is exchanged twice: ids are included from a number, removed and excluded, and what is included anew is read again."""
+    from tidemark.operators import filters as L
+    from tidemark.plans.base import journal
+
+    folder, out = f"{_root(spark)}/live", f"{_root(spark)}/out"
+    rows = journal(spark, d).select("event_id", "user_id", "pid", "seq_nr", "tags")
+    for n in range(3):
+        rows.where(F.col("event_id") % 3 == n).coalesce(1).write.mode("append").parquet(folder)
+    users = rows.select("user_id").distinct()
+    ids = lambda kind, which, nr: users.where(which).select(F.lit(kind).alias("kind"), F.col("user_id").cast("string").alias("value"), nr.cast("long").alias("seq_nr"))
+    updates = [
+        ids("include_ids", "user_id % 5 = 1", F.col("user_id") % 4),
+        ids("remove_include_ids", "user_id % 5 = 1 AND user_id % 2 = 0", F.lit(0)).unionByName(ids("exclude_ids", "user_id % 7 = 3", F.lit(0))).unionByName(ids("include_ids", "user_id % 5 = 2", F.lit(3))),
+    ]
+    stream = FilteredStream(spark, f"{out}-filter", lambda s: journal(s, d), parallelism=1_000_000, rows_each=1_000_000_000)
+    stream.update(L.criteria_frame(spark, [L.criterion("exclude_tags", ["error"])]))
+
+    def step(batch: DataFrame, n: int) -> None:
+        stream.step(batch, n).select("event_id", "replayed").write.mode("overwrite").parquet(f"{out}/batch={n}")
+        if n < len(updates):
+            stream.update(updates[n])  # as another process does while the stream runs
+
+    rate_limited(spark, folder, rows.schema, 1).writeStream.foreachBatch(step).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("event_id", "replayed")
+
+
 def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     """All rows of a stream with the batch that gave them."""
     root = _root(spark)

@@ -76,11 +76,11 @@ class ReplayMerge:
             return self.spark.createDataFrame([], CURSOR_SCHEMA)
         return self.spark.read.schema(CURSOR_SCHEMA).parquet(self._stored(batch_id))
 
-    def step(self, live: DataFrame, requests: DataFrame, batch_id: int) -> DataFrame:
-        """The live and replayed events of a micro-batch that pass, with `replayed`; the journal has live's columns."""
+    def step(self, live: DataFrame, requests: DataFrame, batch_id: int, mark: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+        """The live and replayed events of a micro-batch that pass, with `replayed`; the journal has live's columns. mark may add columns that `passes` needs."""
         target = f"{self.folder}/started-{batch_id}"
         working(with_requests(self.cursors(batch_id - 1), requests), self.parallelism).write.mode("overwrite").parquet(target)
         now = self.spark.read.schema(CURSOR_SCHEMA).parquet(target)
         events, on = moved(now, self.journal(self.spark).select(*live.columns), self.rows_each)
         on.write.mode("overwrite").parquet(self._stored(batch_id))
-        return replay_or_filter(live, events, self.passes)
+        return replay_or_filter(mark(live), mark(events), self.passes)
