@@ -177,3 +177,32 @@ def test_versions_of_a_filter(spark, tmp_path):
     with pytest.raises(ValueError, match="more than"):
         stream.update(frame(*(("exclude_tags", f"t{n}", 0) for n in range(1_001))))
         step(4)
+
+
+# Pushes with acknowledgement.
+def test_acknowledgements_of_what_was_never_sent(spark, tmp_path):
+    from tidemark.streaming.projection import rate_limited
+    from tidemark.streaming.pushes import ACK_SCHEMA, acknowledgements, pushed
+    from tidemark.streaming.replay import replaying_state
+
+    spark.createDataFrame([("a", 1), ("a", 2)], ACK_SCHEMA).write.parquet(str(tmp_path / "in"))
+    sent = []
+
+    def deliver(batch, n):
+        rows = batch.collect()
+        sent.extend((r["what"], r["seq_nr"], r["passed"]) for r in rows)
+        if n == 0:  # out of order, repeated
+            spark.createDataFrame([("a", 2), ("a", 2)], ACK_SCHEMA).write.parquet(str(tmp_path / "acks" / "0"))
+        if n and ("offset", None, 2) not in sent and not (tmp_path / "acks" / "1").exists():
+            spark.createDataFrame([("a", 1)], ACK_SCHEMA).write.parquet(str(tmp_path / "acks" / "1"))
+        if ("offset", None, 2) in sent and not (tmp_path / "acks" / "2").exists():
+            spark.createDataFrame([("a", 3)], ACK_SCHEMA).write.parquet(str(tmp_path / "acks" / "2"))
+
+    stream = pushed(rate_limited(spark, str(tmp_path / "in"), ACK_SCHEMA), acknowledgements(spark, str(tmp_path / "acks")), patience_s=600)
+    with replaying_state(spark):
+        query = stream.writeStream.foreachBatch(deliver).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(processingTime="0 seconds").start()
+    with pytest.raises(Exception, match="acknowledgement of a 3, which wasn't sent"):
+        query.awaitTermination(120)
+    query.stop()
+    # Number 2 alone doesn't move the offset; with number 1 both are passed.
+    assert sent == [("send", 1, None), ("send", 2, None), ("offset", None, 2)]

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import entity_type, slice_of
@@ -124,6 +124,13 @@ def mark_acknowledged(events: DataFrame, acks: DataFrame) -> DataFrame:
     return joined.withColumn("filtered", was | F.coalesce(F.col("origin_seq_nr") <= F.col("__acked"), F.lit(False))).drop("__acked")
 
 
+def ack_cache(acks: DataFrame, by: str, limit: int = 1_000) -> DataFrame:
+    """(by, origin_pid, origin_seq_nr): what a cache of acknowledgements (by, origin_pid, origin_seq_nr, at) holds of each stream: of at most so many entities the highest number, those longest without a higher one having been put out."""
+    best = acks.groupBy(by, "origin_pid").agg(F.max("origin_seq_nr").alias("origin_seq_nr"), F.min_by("at", F.struct(-F.col("origin_seq_nr"), F.col("at"))).alias("at"))
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("at"), "origin_pid"))
+    return best.withColumn("__place", place).where(F.col("__place") <= limit).select(by, "origin_pid", "origin_seq_nr")
+
+
 def with_replication_defaults(events: DataFrame, self_replica: str) -> DataFrame:
     """Missing replication metadata means: written here, with this number."""
     return events.withColumn("origin_replica", F.coalesce("origin_replica", F.lit(self_replica))).withColumn("origin_seq_nr", F.coalesce("origin_seq_nr", "seq_nr"))

@@ -11,6 +11,7 @@ from tidemark.functions import scalars as S
 from tidemark.operators import filters as L
 from tidemark.operators import handlers as H
 from tidemark.operators import offsets as O
+from tidemark.operators import orset
 from tidemark.operators import validation as V
 from tidemark.plans.base import ENV, REC, journal, query, records, sql_hash, sql_shard, table, us
 
@@ -204,6 +205,19 @@ def op_J2_replicated_filter(spark: SparkSession, d: str) -> DataFrame:
     return L.latest_wins(_filter_log(spark, d))
 
 
+@query("""WITH c AS (SELECT user_id::VARCHAR AS value, event_id AS seq_nr, 'r' || event_id % 3 AS replica, event_id AS counter, event_type = 'error' AS gone FROM events),
+m AS (SELECT value, max(seq_nr) AS seq_nr FROM (SELECT *, max(CASE WHEN gone THEN counter END) OVER (PARTITION BY value, replica) AS last FROM c) WHERE NOT gone AND (last IS NULL OR counter > last) GROUP BY value)
+SELECT 'include_ids' AS kind, value, seq_nr FROM m WHERE value::BIGINT % 10 <> 0 UNION ALL SELECT DISTINCT 'include_ids', user_id::VARCHAR, 7 FROM events WHERE user_id % 20 = 0""")
+def op_J2b_or_set(spark: SparkSession, d: str) -> DataFrame:
+    """Three replicas change a set of included ids by themselves and merge; one then removes ids while another adds some of them: these additions stay."""
+    e = table(spark, d, "events")
+    changes = e.select(F.lit("include_ids").alias("kind"), F.col("user_id").cast("string").alias("value"), F.col("event_id").alias("seq_nr"), F.concat(F.lit("r"), (F.col("event_id") % 3).cast("string")).alias("replica"), F.col("event_id").alias("counter"), (F.col("event_type") == "error").alias("removed"))
+    one, two, three = (orset.replica_state(changes.where(F.col("replica") == r)) for r in ("r0", "r1", "r2"))
+    users = e.select(F.lit("include_ids").alias("kind"), F.col("user_id").cast("string").alias("value"), "user_id", F.lit(7).cast("long").alias("seq_nr")).distinct()
+    all_three = orset.merged(orset.merged(one, two), three)
+    return orset.merged(orset.removed(all_three, users.where("user_id % 10 = 0")), orset.added(three, users.where("user_id % 20 = 0"), "r2")).values()
+
+
 @query(f"WITH {REC}, m AS (SELECT *, max(ts) OVER (PARTITION BY slice) AS t FROM rec) SELECT pid, seq_nr FROM m WHERE epoch_us(ts) >= epoch_us(t) - 432000000000 OR seq_nr % 2 = 1")
 def op_J3_evict_union(spark: SparkSession, d: str) -> DataFrame:
     return O.evict(records(spark, d), 5 * 86_400, F.col("seq_nr") % 2 != 1).select("pid", "seq_nr")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import filters as L
@@ -151,6 +151,15 @@ def op_C17_acknowledged(spark: SparkSession, d: str) -> DataFrame:
     return T.mark_acknowledged(e, e.where(F.unix_micros("ts") <= until(spark, d, 2)).select("origin_pid", "origin_seq_nr")).select("event_id", "filtered")
 
 
+@query(f"""WITH {ENV}, a AS (SELECT pid, slice // 256 AS stream, max(seq_nr) AS acked, max(event_id) AS t FROM env WHERE event_type <> 'error' GROUP BY 1, 2),
+c AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY stream ORDER BY t DESC, pid) <= 10) SELECT event_id, coalesce(seq_nr <= acked, false) AS filtered FROM env LEFT JOIN c USING (pid)""")
+def op_C17b_ack_cache(spark: SparkSession, d: str) -> DataFrame:
+    """Acknowledgements of all events but errors, in a cache of ten entities a stream: those acknowledged longest ago are forgotten, and their events pass. An entity's numbers and ids don't rise together, so the last to raise its number counts."""
+    j = journal(spark, d).withColumn("stream", F.expr("slice div 256")).withColumn("origin_pid", F.col("pid")).withColumn("origin_seq_nr", F.col("seq_nr"))
+    acks = j.where("event_type <> 'error'").withColumn("at", F.max("event_id").over(Window.partitionBy("pid").orderBy("seq_nr")))
+    return T.mark_acknowledged(j, T.ack_cache(acks, "stream", 10)).select("event_id", "filtered")
+
+
 @query("SELECT event_id, (event_id % 5)::INT AS partition FROM events WHERE event_id % 5 IN (0, 3)")
 def op_C18_offset_verification(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", (F.col("event_id") % 5).cast("int").alias("partition"))

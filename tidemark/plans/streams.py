@@ -19,7 +19,10 @@ from tidemark.session import ensure_checkpoint_dir, importable
 from tidemark.streaming import recovery as R
 from tidemark.streaming.cursors import ReplayMerge
 from tidemark.streaming.filtering import FilteredStream
+from tidemark.streaming.grouping import Groups
 from tidemark.streaming.projection import Delivery, Projection, Runner, rate_limited, run_once
+from tidemark.streaming.pushes import OFFSET, SEND, acknowledgements, pushed
+from tidemark.streaming.replay import replaying_state
 from tidemark.streaming.stateful import fold_stream, validate_stream
 from tidemark.streaming.store import Log, ProjectionId
 from tidemark.streaming.telemetry import Recorder, ensemble
@@ -422,6 +425,63 @@ def op_C15_dynamic_update(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out).select("event_id", "replayed")
 
 
+@query("SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 2 ELSE 1 END::BIGINT AS sends, true AS passed FROM events")
+def op_B15b_acknowledged_pushes(spark: SparkSession, d: str) -> DataFrame:
+    """Events in three files are pushed; acknowledgements of some are lost, so these are sent again, and only what is acknowledged is passed by the offset."""
+    from tidemark.plans.base import journal
+
+    root, rounds, done = _root(spark), [], threading.Event()
+    rows = journal(spark, d).select("event_id", "pid", "seq_nr")
+    last = rows.groupBy("pid").agg(F.max("seq_nr").alias("n"))
+    part = F.ntile(3).over(Window.partitionBy("pid").orderBy("seq_nr"))
+    for n in range(3):
+        rows.withColumn("part", part).where(F.col("part") == n + 1).drop("part").coalesce(1).write.mode("append").parquet(f"{root}/in")
+
+    def deliver(batch: DataFrame, n: int) -> None:
+        batch = batch.persist()
+        sent = batch.where(F.col("what") == SEND)
+        if not batch.isEmpty():
+            sent.select("event_id", "pid", "seq_nr", "attempt").write.mode("overwrite").parquet(f"{root}/received/batch={n}")
+            batch.where(F.col("what") == OFFSET).select("pid", "passed").write.mode("overwrite").parquet(f"{root}/offsets/batch={n}")
+            # The consumer's acknowledgements, of which some are lost on the way the first time.
+            sent.where("attempt > 1 OR event_id % 11 <> 0").select("pid", "seq_nr").write.mode("overwrite").parquet(f"{root}/acks/{n}")
+            rounds.append(n)
+            passed = spark.read.parquet(f"{root}/offsets").groupBy("pid").agg(F.max("passed").alias("n"))
+            if last.join(passed, ["pid", "n"], "left_anti").isEmpty():
+                done.set()
+        batch.unpersist()
+
+    stream = pushed(rate_limited(spark, f"{root}/in", rows.schema, 1), acknowledgements(spark, f"{root}/acks"), patience_s=1.0)
+    with replaying_state(spark):
+        query = stream.writeStream.foreachBatch(deliver).option("checkpointLocation", f"{root}/checkpoint").trigger(processingTime="0 seconds").start()
+    while not done.wait(0.5):
+        if not query.isActive:
+            raise query.exception() or RuntimeError("stopped")
+    query.stop()
+    top = spark.read.parquet(f"{root}/offsets").groupBy("pid").agg(F.max("passed").alias("top"))
+    received = spark.read.parquet(f"{root}/received").groupBy("event_id", "pid", "seq_nr").agg(F.count("*").alias("sends"))
+    return received.join(top, "pid").select("event_id", "sends", (F.col("seq_nr") <= F.col("top")).alias("passed"))
+
+
+@query(f"WITH {ENV} SELECT event_id, slice, (row_number() OVER (PARTITION BY slice ORDER BY event_id) - 1) // 20 AS group_nr FROM env")
+def op_G1b_groups_over_batches(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of three micro-batches in groups of twenty: what one leaves unfinished the next goes on with, and the last closes all."""
+    from tidemark.plans.base import journal
+
+    folder, out = f"{_root(spark)}/in", f"{_root(spark)}/out"
+    rows = journal(spark, d).select("event_id", "slice")
+    third = F.ntile(3).over(Window.partitionBy("slice").orderBy("event_id"))
+    for n in range(3):
+        rows.withColumn("part", third).where(F.col("part") == n + 1).drop("part").coalesce(1).write.mode("append").parquet(folder)
+    groups = Groups(spark, f"{out}-state", rows.schema, 20, ["event_id"])
+
+    def step(batch: DataFrame, n: int) -> None:
+        groups.step(batch, n, last=n == 2).write.mode("overwrite").parquet(f"{out}/batch={n}")
+
+    rate_limited(spark, folder, rows.schema, 1).writeStream.foreachBatch(step).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("event_id", "slice", "group_nr")
+
+
 def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     """All rows of a stream with the batch that gave them."""
     root = _root(spark)
