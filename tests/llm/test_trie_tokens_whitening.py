@@ -86,6 +86,22 @@ def test_trie_without_rebuilt_turns_and_without_rows(spark):
     assert trie_rows(prefixtrie.prefix_trie(conversations(spark, rows).limit(0))) == []
 
 
+def test_numbers_of_turns_in_sampled_ranges(spark):
+    """A conversation over several ranges, whose limits a small sample draws."""
+    from tidemark.session import Scratch
+
+    key, rows = "spark.sql.execution.rangeExchange.sampleSizePerPartition", [(c, t, "user", f"{c} {t}") for c, n in ((1, 700), (2, 3), (3, 900), (4, 40)) for t in range(n)]
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "2")
+        with Scratch(spark) as kept:
+            turns = kept.store(prefixtrie.turn_digests(conversations(spark, rows).repartition(6)))
+            got = {(r["conv_id"], r["nr"]): bytes(r["digest"]) for r in prefixtrie.numbered(turns, kept).collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert got == {(c, t + 1): hashlib.sha256(f"4:{r}{x}".encode()).digest() for c, t, r, x in rows}
+
+
 def test_ends_are_joined_over_ranges(spark):
     ids = sorted({k * 37 - 9000 for k in range(700)})
     ends = spark.createDataFrame([(1, 2, c) for c in ids] + [(3, 4, 5)], "a long, b long, conv_id long")

@@ -42,11 +42,14 @@ def turn_digests(conversations: DataFrame, conv_col: str = "conv_id", turn_col:
     return rows.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).alias("turn"), role.alias("role"), F.unhex(F.sha2(whole, 256)).alias("digest"), words.alias("words"))
 
 
-def numbered(turns: DataFrame) -> DataFrame:
-    """(conv_id, nr, digest, words), nr 1 for a conversation's first turn: numbered within ranges of the order, to which the counts of earlier ranges are added, so a long conversation is spread over tasks."""
+def numbered(turns: DataFrame, kept: Scratch) -> DataFrame:
+    """(conv_id, nr, digest, words), nr 1 for a conversation's first turn: numbered within ranges of the order, to which the counts of earlier ranges are added, so a long conversation is spread over tasks.
+
+    Ranges are drawn by a sample, so they are stored before they are counted: another evaluation may draw others.
+    """
     order = ["conv_id", F.asc_nulls_first("turn"), "role", "digest"]
     ranged = turns.repartitionByRange(*order).withColumn("range", F.spark_partition_id())
-    own = ranged.withColumn("own", F.row_number().over(Window.partitionBy("conv_id", "range").orderBy(*order[1:])).cast("long"))
+    own = kept.store(ranged.withColumn("own", F.row_number().over(Window.partitionBy("conv_id", "range").orderBy(*order[1:])).cast("long")).select("conv_id", "range", "own", "digest", "words"))
     last = own.groupBy("conv_id", "range").agg(F.max("own").alias("n"))
     earlier = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     # Conversations in several ranges only: two ranges meet in one conversation at most, so there are fewer such rows than ranges.
@@ -154,7 +157,7 @@ def prefix_trie(conversations: DataFrame, group: int = GROUP, heads: int = HEADS
     """A row a node: a, b (its digest), conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256. columns as of turn_digests."""
     with Scratch(conversations.sparkSession) as kept:
         turns = kept.store(turn_digests(conversations, **columns))
-        chunks = kept.store(rebuilt(numbered(turns), group, heads))
+        chunks = kept.store(rebuilt(numbered(turns, kept), group, heads))
         rows = kept.store(prefixes(chunks))
         zero = F.lit(0).cast("long")
         root = chunks.where("chunk = 0").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).where("n_convs > 0")
