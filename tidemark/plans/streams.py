@@ -482,6 +482,56 @@ def op_G1b_groups_over_batches(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out).select("event_id", "slice", "group_nr")
 
 
+@query(f"WITH {ENV} SELECT event_id, 1::BIGINT AS n FROM env WHERE slice BETWEEN 256 AND 767")
+def op_A17b_growing_journal(spark: SparkSession, d: str) -> DataFrame:
+    """A consumer of a range of slices follows a stored journal that grows between its runs: each event comes once."""
+    from tidemark.plans.base import journal
+    from tidemark.sources.journal import stream_journal, write_journal
+
+    root = _root(spark)
+    rows = journal(spark, d).select("event_id", "pid", "seq_nr", "ts", "slice")
+    p = _projection(d, "following", handler=lambda batch, n: batch.select("event_id"), delivery=Delivery.EXACTLY_ONCE, source=lambda s: stream_journal(s, f"{root}/journal", rows.schema, 256, 767))
+    for n in range(3):
+        write_journal(rows.where(F.col("event_id") % 3 == n), f"{root}/journal")
+        Runner(spark, f"{root}/store", p).run()
+    return Runner(spark, f"{root}/store", p).store.results().groupBy("event_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT r AS replica, event_id, 1::BIGINT AS n FROM events, (VALUES ('r0'), ('r1'), ('r2')) t(r)")
+def op_L14b_replicas_exchange(spark: SparkSession, d: str) -> DataFrame:
+    """Three replicas with journals of their own, each of which takes from the others what began there, in two rounds between which they write on: all have every event once, and none comes back to where it began."""
+    from tidemark.plans.base import journal
+
+    root, names = _root(spark), ("r0", "r1", "r2")
+    rows = journal(spark, d).select("event_id", "pid", "seq_nr", "ts", "slice", F.concat(F.lit("r"), (F.col("event_id") % 3).cast("string")).alias("origin"))
+    later = F.ntile(2).over(Window.partitionBy("pid").orderBy("seq_nr")) == 2
+
+    def consumer(here: str, there: str) -> Runner:
+        def take(batch: DataFrame, n: int) -> None:
+            batch.drop("filtered").write.mode("overwrite").parquet(f"{root}/journals/{here}/from-{there}-{n}")
+
+        def source(s: SparkSession) -> DataFrame:
+            sent = s.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{root}/journals/{there}")
+            # The producer's side of the filter: only what began there. Other rows move the offset on.
+            return sent.withColumn("filtered", F.col("origin") != there)
+
+        return Runner(spark, f"{root}/store", _projection(d, f"{here}-takes-from", id=ProjectionId(here, there), handler=take, source=source))
+
+    for part in (~later, later):
+        own = rows.withColumn("part", part).where("part").drop("part")
+        for r in names:
+            own.where(F.col("origin") == r).write.mode("append").parquet(f"{root}/journals/{r}/own")
+        for here in names:
+            for there in names:
+                if here != there:
+                    consumer(here, there).run()
+    out = None
+    for r in names:
+        held = spark.read.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{root}/journals/{r}").groupBy("event_id").agg(F.count("*").alias("n")).select(F.lit(r).alias("replica"), "event_id", "n")
+        out = held if out is None else out.unionByName(held)
+    return out
+
+
 def _drained(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     """All rows of a stream with the batch that gave them."""
     root = _root(spark)

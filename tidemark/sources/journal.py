@@ -11,6 +11,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidemark.functions.scalars import SLICES, slice_of
 
@@ -40,6 +41,14 @@ def read_journal(spark: SparkSession, path: str, min_slice: int = 0, max_slice:
     return spark.read.parquet(path).where(F.col("slice_bucket").between(low, high) & F.col("slice").between(min_slice, max_slice)).drop("slice_bucket")
 
 
+def stream_journal(spark: SparkSession, path: str, schema: StructType, min_slice: int = 0, max_slice: int = SLICES - 1, files_per_batch: int | None = None) -> DataFrame:
+    """A journal of write_journal as a stream that follows what is appended; of a range of slices, only its directories are read. schema: the journal's."""
+    low, high = min_slice * SLICE_BUCKETS // SLICES, max_slice * SLICE_BUCKETS // SLICES
+    reader = spark.readStream.schema(StructType([*schema.fields, StructField("slice_bucket", IntegerType())]))
+    rows = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
+    return rows.where(F.col("slice_bucket").between(low, high) & F.col("slice").between(min_slice, max_slice)).drop("slice_bucket")
+
+
 def _since(start: datetime | None, inclusive: bool = False) -> Column:
     ts = F.col("ts")
     return F.lit(True) if start is None else ts >= F.lit(start) if inclusive else ts > F.lit(start)
