@@ -1,8 +1,10 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import strict as S
 from tidemark.operators import validation as V
 
 T0 = datetime(2024, 1, 1)
@@ -94,3 +96,64 @@ def test_random_catch_up(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "pid string, seq_nr long, ts timestamp")
     assert V.validate(df, ["seq_nr"]).count() == 0
+
+
+def folded(rows, reset_us, free_only_one):
+    """Verdicts of rows (pid, n, us, stored, prev_us) in arrival order, one at a time."""
+    states, out = {}, []
+    for pid, n, us, stored, prev in rows:
+        entity = states.setdefault(pid, V.Entity(stored or 0, 0 if stored else None))
+        if free_only_one and not entity.seq and n != 1:
+            prev = 0
+        out.append(entity.verdict(n, us, prev, None, None, reset_us))
+    return out
+
+
+@pytest.mark.parametrize(("seed", "reset_us", "strict", "small"), [(1, None, True, 0), (2, None, False, 0), (3, 40, True, 0), (4, 40, False, 30), (5, None, True, 512), (6, 40, False, 512)])
+def test_equals_a_fold(spark, monkeypatch, seed, reset_us, strict, small):
+    """Entities of every kind of disorder, over blocks of four numbers and as arrays: in order, repeated, shuffled, backwards, with gaps and with a state before."""
+    monkeypatch.setattr(S, "BLOCK", 4)
+    monkeypatch.setattr(V, "SMALL", small)
+    rng, rows = random.Random(seed), []
+    for e in range(60):
+        top = rng.randrange(1, 25)
+        numbers = list(range(1, top + 1)) * rng.choice([1, 1, 2, 3])
+        kind = e % 5
+        if kind == 1:
+            rng.shuffle(numbers)
+        elif kind == 2:
+            numbers = sorted(numbers, key=lambda n: n + rng.randrange(4))
+        elif kind == 3:
+            numbers = list(range(top, 0, -1)) * top
+        elif kind == 4:
+            numbers = [n for n in numbers if rng.random() > 0.1] + numbers
+        stored = rng.choice([None, None, rng.randrange(1, 6)])
+        rows += [(f"e{e}", n, stored, rng.choice([None, 5])) for n in numbers]
+    clock = {}
+    rows = [(p, n, clock.setdefault(p, rng.randrange(9)) + i % 500, stored, prev) for i, (p, n, stored, prev) in enumerate(rows)]
+    frame = [(i, p, n, T0 + timedelta(microseconds=us), stored, None if stored is None else 0, prev) for i, (p, n, us, stored, prev) in enumerate(rows)]
+    df = spark.createDataFrame(frame, "arrival int, pid string, seq_nr long, ts timestamp, stored long, stored_us long, prev_us long")
+    base = round(T0.timestamp() * 1_000_000) if T0.tzinfo else spark.range(1).select(F.unix_micros(F.lit(T0))).first()[0]
+    df = df.withColumn("stored_us", F.col("stored_us") + base)
+    done = V.validate(df, ["arrival"], reset_after_s=None if reset_us is None else reset_us / 1_000_000, unknown_accepted=not strict)
+    got = [r["verdict"] for r in done.orderBy("arrival").collect()]
+    assert got == folded([(p, n, us, stored, prev) for p, n, us, stored, prev in rows], reset_us, strict)
+
+
+@pytest.mark.parametrize("small", [0, 512])
+def test_ties_nulls_and_clashing_names(spark, monkeypatch, small):
+    """Equal rows: one is accepted; a row without id or number is rejected; columns named like the work's own stay as they are."""
+    monkeypatch.setattr(V, "SMALL", small)
+    rows = [("p", 1, "x"), ("p", 1, "x"), ("p", 2, "y"), ("p", None, "z"), (None, 1, "w"), ("p", 0, "v")]
+    df = spark.createDataFrame(rows, "pid string, seq_nr long, pos string").withColumn("ts", F.lit(T0)).withColumn("at", F.lit(7)).withColumn("n", F.lit("n")).withColumn("row", F.lit("r"))
+    got = V.validate(df, ["ts"], unknown_accepted=False)
+    assert got.columns == [*df.columns, "verdict"]
+    assert sorted((r["pos"], r["verdict"], r["at"], r["n"], r["row"]) for r in got.collect()) == [("v", V.REJECTED, 7, "n", "r"), ("w", V.REJECTED, 7, "n", "r"), ("x", V.ACCEPTED, 7, "n", "r"), ("x", V.DUPLICATE, 7, "n", "r"), ("y", V.ACCEPTED, 7, "n", "r"), ("z", V.REJECTED, 7, "n", "r")]
+
+
+def test_no_python_in_the_plan(spark, monkeypatch):
+    df = spark.createDataFrame([("p", 1, T0)], "pid string, seq_nr long, ts timestamp")
+    for reset, small in ((None, 0), (1, 0), (1, 512)):
+        monkeypatch.setattr(V, "SMALL", small)
+        plan = V.validate(df, ["seq_nr"], reset_after_s=reset)._jdf.queryExecution().toString()
+        assert not any(word in plan for word in ("MapInArrow", "MapInPandas", "PythonUDF", "FlatMapGroups"))

@@ -1,23 +1,23 @@
 """Sequence validation: every entity's events exactly once and in order.
 
-A row's verdict depends on which earlier rows were accepted, so the strict rule isn't a window function. It is a fold
-over rows hashed by entity and sorted within the partition: state is one number per entity in hand, and a partition streams through in
-Arrow batches, so an entity of any length costs no more memory than a short one. The relaxed rule (gaps
-allowed) is a running maximum and stays in the JVM.
+A row's verdict depends on which earlier rows were accepted, so the strict rule isn't a window function. Over tables an
+entity with few rows is an array that one expression goes through; in a larger one accepted rows are a path from number to
+number, found by windows and joins (operators.strict). In a stream an entity's state is at hand and Entity says what becomes of a row. The relaxed rule (gaps allowed) is a running maximum.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
-from tidemark.session import importable
+from tidemark.operators.strict import accepted_at
+from tidemark.session import Scratch, stored
 
 ACCEPTED, DUPLICATE, REJECTED, REJECTED_BACKTRACKING = "accepted", "duplicate", "rejected", "rejected_backtracking"
+#: Rows of an entity up to which they are taken as one array.
+SMALL = 512
 #: Columns of a validation input beside the caller's own; each may be missing.
 OPTIONAL = {"stored": "long", "stored_us": "long", "prev_us": "long", "accept_before_us": "long", "origin": "string"}
 
@@ -48,35 +48,94 @@ class Entity:
 
 
 def validate(events: DataFrame, order: list[str], reset_after_s: float | None = None, unknown_accepted: bool = True, pid: str = "pid", seq: str = "seq_nr", ts: str = "ts") -> DataFrame:
-    """events with `verdict`. order is the arrival order within an entity, which should be total.
+    """events with `verdict`. order is the arrival order within an entity; what it leaves open goes by number.
 
     Of the OPTIONAL columns, stored and stored_us are an entity's state before the batch, prev_us is the time of the
     event before (null: not found), accept_before_us the time before which a missing predecessor doesn't matter, and origin
     "backtracking", "pubsub" or null. With unknown_accepted an entity's first row is judged by prev_us; without, it is
-    rejected unless it has number 1.
+    rejected unless it has number 1. Of rows that are equal in order and number one is accepted, the others repeat it. Rows
+    without an id, or with no number of 1 or more, are rejected. An empty table gives an empty one.
     """
-    importable(events.sparkSession)
     plain = [c for c in events.columns if c != "verdict"]
-    extra = [F.col(c) if c in events.columns else F.lit(None).cast(t).alias(c) for c, t in OPTIONAL.items()]
-    base = events.select(*[c for c in plain if c not in OPTIONAL], *extra).withColumn("__us", F.unix_micros(ts))
-    dealt = base.repartition(pid).sortWithinPartitions(pid, *order)
-    schema = StructType([*dealt.schema.fields, StructField("verdict", StringType())])
+    extra = {c: F.col(c).cast(t) if c in events.columns else F.lit(None).cast(t) for c, t in OPTIONAL.items()}
+    first = (F.col(seq) == 1) | extra["prev_us"].isNull() | F.coalesce(extra["prev_us"] < extra["accept_before_us"], F.lit(False))
+    place = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(seq).cast("long").alias("n"))
+    rejected = F.when(extra["origin"] == "backtracking", REJECTED_BACKTRACKING).otherwise(REJECTED)
+    rows = events.select(
+        F.struct(*plain).alias("row"), F.col(pid).alias("pid"), F.col(seq).cast("long").alias("n"), place.alias("pos"), F.unix_micros(ts).alias("us"), (first if unknown_accepted else F.col(seq) == 1).alias("free"),
+        F.coalesce(extra["stored"], F.lit(0).cast("long")).alias("stored"), extra["stored_us"].alias("stored_us"), rejected.alias("rejected"),
+    )
+    fit = F.col("pid").isNotNull() & F.coalesce(F.col("n") >= 1, F.lit(False))
     reset_us = None if reset_after_s is None else round(reset_after_s * 1_000_000)
-    names = (pid, seq, "__us", "stored", "stored_us", "prev_us", "accept_before_us", "origin")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, state = object(), Entity(0, None)
-        for batch in batches:
-            made = []
-            for p, s, us, stored, stored_us, prev, before, origin in zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names)):
-                if p != current:
-                    current, state = p, Entity(stored or 0, stored_us)
-                if not unknown_accepted and not state.seq and s != 1:
-                    prev, before = 0, None  # as if the predecessor were known and recent
-                made.append(state.verdict(s, us, prev, before, origin, reset_us))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=[*batch.schema.names, "verdict"])
-
-    return dealt.mapInArrow(run, schema).select(*plain, "verdict")
+    judged = _by_size(rows.where(fit), reset_us)
+    unfit = rows.where(~fit).select("row", F.col("rejected").alias("verdict"))
+    return judged.select("row", "verdict").unionByName(unfit).select("row.*", "verdict")
+
+
+def _by_size(rows: DataFrame, reset_us: int | None) -> DataFrame:
+    """rows with verdict: entities of at most SMALL rows as an array each, larger ones by paths. Both give the same."""
+    large = rows.groupBy("pid").count().where(F.col("count") > SMALL).select("pid")
+    if large.isEmpty():
+        return _folded(rows, reset_us)
+    large = stored(large)
+    big = rows.join(large, "pid", "left_semi")
+    judged = _judged(big) if reset_us is None else _judged_with_resets(big, reset_us)
+    return _folded(rows.join(large, "pid", "left_anti"), reset_us).unionByName(judged.select("row", "verdict"))
+
+
+def _folded(rows: DataFrame, reset_us: int | None) -> DataFrame:
+    """(row, verdict) of entities with few rows: an expression goes through each one's rows in order."""
+    key = F.struct("pos", "n", "us", "free", "stored", "stored_us", "rejected")
+    grouped = rows.groupBy("pid").agg(F.collect_list(key).alias("keys"), F.collect_list("row").alias("rows"))  # both lists in the same order
+    dealt = grouped.select("rows", F.sort_array(F.transform("keys", lambda x, i: F.struct(x["pos"].alias("pos"), i.alias("i"), x.alias("key")))).alias("keys"))
+
+    def step(state: Column, item: Column) -> Column:
+        x, known = item["key"], state["n"] > 0
+        reset = F.lit(False) if reset_us is None else F.coalesce(x["us"] > state["us"] + reset_us, F.lit(False))
+        taken = F.when(known, (x["n"] == state["n"] + 1) | (x["n"] == 1) & reset).otherwise(x["free"])
+        verdict = F.when(taken, ACCEPTED).when(known & (x["n"] <= state["n"]) & ~reset, DUPLICATE).otherwise(x["rejected"])
+        return F.struct(F.when(taken, x["n"]).otherwise(state["n"]).alias("n"), F.when(taken, x["us"]).otherwise(state["us"]).alias("us"), F.array_append(state["verdicts"], verdict).alias("verdicts"))
+
+    head = F.col("keys")[0]["key"]
+    begin = F.struct(head["stored"].alias("n"), head["stored_us"].alias("us"), F.array().cast("array<string>").alias("verdicts"))
+    done = dealt.select("rows", "keys", F.aggregate("keys", begin, step, lambda s: s["verdicts"]).alias("verdicts"))
+    return done.select(F.inline(F.transform("keys", lambda x, i: F.struct(F.col("rows")[x["i"]].alias("row"), F.col("verdicts")[i].alias("verdict")))))
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    """rows with verdict, by the places at which their numbers are accepted."""
+    places = accepted_at(rows.select("pid", "n", "pos", "free", "stored"))
+    joined = rows.join(places, ["pid", "n"])
+    nth = F.row_number().over(Window.partitionBy("pid", "n", "pos").orderBy(F.lit(1)))
+    repeated = (F.col("n") <= F.col("stored")) | (F.col("at") <= F.col("pos")) | (F.col("below") < F.col("pos"))
+    return joined.withColumn("verdict", F.when((F.col("at") == F.col("pos")) & (nth == 1), ACCEPTED).when(repeated, DUPLICATE).otherwise(F.col("rejected"))).drop("at", "below")
+
+
+def _judged_with_resets(rows: DataFrame, reset_us: int) -> DataFrame:
+    """rows with verdict where entities may begin again: as if they didn't, up to an entity's first reset, then its rest from there.
+
+    Rounds are as many as the most resets of an entity. The state at a row is a running value of its entity, in one window.
+    """
+    parts, spark = [], rows.sparkSession
+    by = Window.partitionBy("pid").orderBy("pos", F.when(F.col("verdict") == ACCEPTED, 0).otherwise(1))
+    taken = F.when(F.col("verdict") == ACCEPTED, F.struct("n", "us"))
+    with Scratch(spark) as at:
+        while True:
+            state = F.coalesce(F.last(taken, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.struct(F.col("stored").alias("n"), F.col("stored_us").alias("us")))
+            seen = _judged(rows).withColumn("state", state).withColumn("reset", (F.col("state.n") > 0) & F.coalesce(F.col("us") > F.col("state.us") + reset_us, F.lit(False)))
+            begins = F.col("reset") & (F.col("n") == 1) & (F.col("verdict") != ACCEPTED)
+            # Rows up to an entity's first reset are done; which of equal rows begins it is the window's order too.
+            through = F.sum(begins.cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))
+            counted = at.store(seen.withColumn("starts", begins).withColumn("through", through))
+            here = F.when(F.col("starts"), ACCEPTED).when((F.col("verdict") == DUPLICATE) & F.col("reset"), F.col("rejected")).otherwise(F.col("verdict"))
+            first = (F.col("through") == 0) | F.col("starts") & (F.col("through") == 1)
+            parts.append(at.keep(counted.where(first).select("row", here.alias("verdict"))))
+            rest = counted.where(~first)
+            if rest.isEmpty():
+                break
+            again = counted.where(F.col("starts") & (F.col("through") == 1)).select("pid", F.col("us").alias("again_us"))
+            rows = at.store(rest.join(again, "pid").select("row", "pid", "n", "pos", "us", "free", F.lit(1).cast("long").alias("stored"), F.col("again_us").alias("stored_us"), "rejected"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def validate_relaxed(events: DataFrame, order: list[str], pid: str = "pid", seq: str = "seq_nr") -> DataFrame:

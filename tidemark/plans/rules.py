@@ -233,18 +233,18 @@ _RESET = "f.stored > 0 AND s.ts > f.st + INTERVAL 90 DAY"
 @query(_fold("true", "(f.stored = 0 OR s.seq_nr = f.stored + 1)", "f.stored > 0 AND s.seq_nr <= f.stored"))
 def op_D1_validate(spark: SparkSession, d: str) -> DataFrame:
     """An unknown id's first event is accepted whatever its number, as no earlier event is found."""
-    return V.validate(dirty(spark, d), ARRIVAL).select(*DV)
+    return V.validate(dirty(spark, d).drop("slice"), ARRIVAL).select(*DV)
 
 
 @query(_fold("true", "(f.stored = 0 OR s.seq_nr = f.stored + 1)", "f.stored > 0 AND s.seq_nr <= f.stored").replace("SELECT pid, seq_nr, l_partkey, l_suppkey, verdict FROM f", "SELECT pid, seq_nr, count(*) AS n FROM f WHERE verdict = 'duplicate' GROUP BY pid, seq_nr"))
 def op_D2_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    return V.validate(dirty(spark, d), ARRIVAL).where(F.col("verdict") == V.DUPLICATE).groupBy("pid", "seq_nr").agg(F.count("*").alias("n"))
+    return V.validate(dirty(spark, d).drop("slice"), ARRIVAL).where(F.col("verdict") == V.DUPLICATE).groupBy("pid", "seq_nr").agg(F.count("*").alias("n"))
 
 
 @query(_fold("seq_nr = 1", "(s.seq_nr = f.stored + 1)", "f.stored > 0 AND s.seq_nr <= f.stored"))
 def op_D3_strict_next(spark: SparkSession, d: str) -> DataFrame:
     """Without looking for earlier events: an unknown id begins with number 1."""
-    return V.validate(dirty(spark, d), ARRIVAL, unknown_accepted=False).select(*DV)
+    return V.validate(dirty(spark, d).drop("slice"), ARRIVAL, unknown_accepted=False).select(*DV)
 
 
 @query(f"WITH {DIRTY} SELECT pid, seq_nr, l_partkey, l_suppkey, CASE WHEN seq_nr > coalesce(max(seq_nr) OVER (PARTITION BY pid ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) THEN 'accepted' ELSE 'duplicate' END AS verdict FROM dirty")
@@ -254,7 +254,7 @@ def op_D4_relaxed(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_fold("seq_nr = 1", f"(s.seq_nr = f.stored + 1 OR s.seq_nr = 1 AND {_RESET})", f"f.stored > 0 AND s.seq_nr <= f.stored AND NOT ({_RESET})"))
 def op_D5_sequence_reset(spark: SparkSession, d: str) -> DataFrame:
-    return V.validate(dirty(spark, d), ARRIVAL, reset_after_s=90 * 86_400, unknown_accepted=False).select(*DV)
+    return V.validate(dirty(spark, d).drop("slice"), ARRIVAL, reset_after_s=90 * 86_400, unknown_accepted=False).select(*DV)
 
 
 @query(f"""WITH {ENV}, firsts AS (SELECT * FROM env WHERE epoch_us(ts) > {sql_until(2)} QUALIFY row_number() OVER (PARTITION BY pid ORDER BY seq_nr) = 1), r AS (SELECT slice, max(ts) AS m FROM env WHERE epoch_us(ts) <= {sql_until(3)} GROUP BY slice)
@@ -271,7 +271,7 @@ def op_D6_event_timestamps(spark: SparkSession, d: str) -> DataFrame:
 @query(_fold("true", "(f.stored = 0 OR s.seq_nr = f.stored + 1)", "f.stored > 0 AND s.seq_nr <= f.stored").replace("SELECT pid, seq_nr, l_partkey, l_suppkey, verdict FROM f", "SELECT pid, count(*) FILTER (verdict = 'accepted') AS accepted, count(*) FILTER (verdict = 'duplicate') AS duplicates, count(*) FILTER (verdict = 'rejected') AS rejected FROM f GROUP BY pid"))
 def op_D7_validate_all(spark: SparkSession, d: str) -> DataFrame:
     n = lambda v: F.count_if(F.col("verdict") == v)
-    return V.validate(dirty(spark, d), ARRIVAL).groupBy("pid").agg(n(V.ACCEPTED).alias("accepted"), n(V.DUPLICATE).alias("duplicates"), n(V.REJECTED).alias("rejected"))
+    return V.validate(dirty(spark, d).drop("slice"), ARRIVAL).groupBy("pid").agg(n(V.ACCEPTED).alias("accepted"), n(V.DUPLICATE).alias("duplicates"), n(V.REJECTED).alias("rejected"))
 
 
 @query(f"WITH {REC}, s AS (SELECT pid, max(seq_nr) AS stored FROM rec WHERE ts < TIMESTAMP '2024-01-15' GROUP BY pid) SELECT event_id, stored, CASE WHEN stored IS NOT NULL AND seq_nr <= stored THEN 'duplicate' ELSE 'accepted' END AS verdict FROM env LEFT JOIN s USING (pid)")
