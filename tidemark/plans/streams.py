@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import slice_of
-from tidemark.plans.base import ENV, query
+from tidemark.plans.base import ENV, query, table
 from tidemark.plans.rules import _ASKS, _FREE, _asks
 from tidemark.session import ensure_checkpoint_dir, importable
 from tidemark.streaming import recovery as R
 from tidemark.streaming.cursors import ReplayMerge
 from tidemark.streaming.filtering import FilteredStream
 from tidemark.streaming.grouping import Groups
+from tidemark.streaming.metrics import Meter
 from tidemark.streaming.projection import Delivery, Projection, Runner, rate_limited, run_once
 from tidemark.streaming.pushes import OFFSET, SEND, acknowledgements, pushed
 from tidemark.streaming.replay import replaying_state
@@ -642,6 +643,15 @@ def op_L8_management(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "step string, has_offset boolean, paused boolean, started long")
 
 
+@query("""WITH b AS (SELECT event_id % 3 AS batch, count(*) AS n_rows, count(*) FILTER (event_type = 'error') AS n_filtered, max(epoch_us(ts)) AS newest_us, sum(event_id % 1000 * 1000)::BIGINT AS lag_sum_us, max(event_id % 1000 * 1000) AS lag_max_us FROM events GROUP BY 1)
+SELECT batch, n_rows, n_filtered, newest_us, lag_sum_us, lag_max_us, max(newest_us) OVER (ORDER BY batch) AS offset_us, (SELECT max(epoch_us(ts)) FROM events) - max(newest_us) OVER (ORDER BY batch) AS backlog_us FROM b""")
+def op_L10_measures(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, lag and backlog of each of three micro-batches, as observed where their offsets were stored; a row is consumed up to a second after its time."""
+    meter = Meter(lambda: F.timestamp_micros(F.unix_micros("ts") + F.col("event_id") % 1000 * 1000), lambda s: table(s, d, "events"))
+    _ran(spark, _projection(d, "measured", source=_events(d, _in_batches(spark, d)), meter=meter))
+    return meter.table(spark).drop("projection")
+
+
 @query("SELECT * FROM (VALUES ('after', true), ('before', true), ('error', true), ('restarted', true), ('started', true), ('stopped', true)) t(hook, called)")
 def op_L9_status_observer(spark: SparkSession, d: str) -> DataFrame:
     """Every hook of a projection that fails once and restarts."""

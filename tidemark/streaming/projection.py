@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.validation import ACCEPTED
+from tidemark.streaming.metrics import Meter
 from tidemark.streaming.recovery import Aborted, Recovery, Restart, fail, recover, supervise
 from tidemark.streaming.replay import REQUEST, Replays, replaying_state, validate_replaying
 from tidemark.streaming.store import ProjectionId, ProjectionStore
@@ -60,6 +61,7 @@ class Projection:
     recovery: Recovery = field(default_factory=fail)
     restart: Restart = field(default_factory=Restart)
     telemetry: Telemetry = field(default_factory=Telemetry)
+    meter: Meter | None = None
     journal: Callable[[SparkSession], DataFrame] | None = None
     reset_after_s: float | None = None
 
@@ -86,14 +88,25 @@ class Projection:
         self.telemetry.before(str(self.id), batch_id)
         visible = batch if self.flow or "filtered" not in batch.columns else batch.where(~F.col("filtered"))
         if self.delivery is Delivery.AT_MOST_ONCE:
-            store.commit(batch_id, batch)
+            self._commit(store, batch, batch_id)
         self._handled(store, visible, batch_id)
         if self.delivery is Delivery.AT_MOST_ONCE:
             store.publish_results(batch_id)
         else:
-            store.commit(batch_id, batch)
+            self._commit(store, batch, batch_id)
         self.telemetry.after(str(self.id), batch_id)
 
+    def _commit(self, store: ProjectionStore, batch: DataFrame, batch_id: int) -> None:
+        """Store the offset; a meter observes the rows that are read for it."""
+        if self.meter is None:
+            store.commit(batch_id, batch)
+            return
+        name = str(self.id)
+        self.meter.begin(name, store.offsets)
+        batch, seen = self.meter.observed(batch)
+        store.commit(batch_id, batch)
+        self.telemetry.measured(name, self.meter.committed(store.spark, name, batch_id, seen))
+
     def _handled(self, store: ProjectionStore, rows: DataFrame, batch_id: int) -> None:
         """The handler over a micro-batch under the recovery strategy; what it returns is computed and written here, so a failure shows here too."""
         store.forget_results(batch_id)
@@ -263,10 +276,16 @@ class Runner:
         """Stop, and let the next run go on after a time, for all slices or each by its own: back or ahead."""
         self.stop()
         self.store.set_offset(offset)
+        self._forget()
 
     def clear_offset(self) -> None:
         self.stop()
         self.store.clear()
+        self._forget()
+
+    def _forget(self) -> None:
+        if self.projection.meter is not None:
+            self.projection.meter.forget(str(self.projection.id))
 
     def pause(self) -> None:
         self.stop()

@@ -6,6 +6,8 @@ import contextlib
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+from tidemark.streaming.metrics import Measure
+
 
 class Observer:
     """Callbacks in the order of a projection's life; override what is of interest."""
@@ -13,6 +15,7 @@ class Observer:
     def started(self, projection: str) -> None: ...
     def before(self, projection: str, batch_id: int) -> None: ...
     def after(self, projection: str, batch_id: int) -> None: ...
+    def measured(self, projection: str, measure: Measure) -> None: ...
     def error(self, projection: str, error: BaseException, action: str) -> None: ...
     def restarted(self, projection: str, count: int, error: BaseException) -> None: ...
     def stopped(self, projection: str) -> None: ...
@@ -38,6 +41,9 @@ class Telemetry:
     def after(self, projection: str, batch_id: int) -> None:
         self._tell("after", projection, batch_id)
 
+    def measured(self, projection: str, measure: Measure) -> None:
+        self._tell("measured", projection, measure)
+
     def error(self, projection: str, error: BaseException, action: str) -> None:
         self._tell("error", projection, error, action)
 
@@ -55,7 +61,7 @@ class Recorder(Observer):
         self.events: list[tuple] = []
 
     def __getattribute__(self, name: str):
-        if name in ("started", "before", "after", "error", "restarted", "stopped"):
+        if name in ("started", "before", "after", "measured", "error", "restarted", "stopped"):
             return lambda *args: self.events.append((name, *args))
         return super().__getattribute__(name)
 
