@@ -6,6 +6,7 @@ from itertools import permutations
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import handlers as H
 from tidemark.operators import orset as S
 from tidemark.streaming.grouping import Groups
 
@@ -62,3 +63,13 @@ def test_a_replicated_set(spark):
     assert values(S.merged(once, gone)) == values(once) == values(S.merged(once, once))
     assert S.merged(a, S.ORSet(a.dots.limit(0), a.vector.limit(0))).values().count() == 2
     assert once.vector.where(F.col("replica") == "b").first()["counter"] == 3
+
+
+def test_groups_over_all_rows(spark):
+    """Numbers go on from range to range; equal rows count each; an empty table has no groups; a column of the result's name is replaced."""
+    rows = spark.range(1000).select((F.col("id") * 37 % 1000).alias("at"), F.lit("x").alias("group_nr")).unionByName(spark.createDataFrame([(5, "x")] * 3, "at long, group_nr string")).repartition(7)
+    done = H.grouped(rows, 10, ["at"])
+    assert done.columns == ["at", "group_nr"]
+    expected = sorted([*range(1000), 5, 5, 5])
+    assert sorted((r["at"], r["group_nr"]) for r in done.collect()) == [(v, i // 10) for i, v in enumerate(expected)]
+    assert H.grouped(rows.where("at < 0"), 10, ["at"]).collect() == []

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import coarse
+from tidemark.session import stored
 
 
 def word_count(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -34,9 +35,21 @@ def checkouts(events: DataFrame, kind: str = "purchase") -> DataFrame:
 
 
 def grouped(rows: DataFrame, size: int, order: list[str], partition: str | None = None) -> DataFrame:
-    """rows with group_nr: consecutive groups of size rows within a partition column (or over all rows, ranked in one task, for small batches)."""
-    w = Window.partitionBy(partition).orderBy(*order) if partition else Window.orderBy(*order)
-    return rows.withColumn("group_nr", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+    """rows with group_nr: consecutive groups of size rows within a partition column, or over all rows.
+
+    order should be total; rows that it leaves open are grouped in any order. Over all rows, they are dealt by ranges of
+    the order and stored, each range is numbered by itself, and numbers go on from the sizes of the ranges before.
+    """
+    nth = F.floor((F.col("__nth") - 1) / size).cast("long")
+    if partition:
+        numbered = rows.withColumn("__nth", F.row_number().over(Window.partitionBy(partition).orderBy(*order)))
+        return numbered.withColumn("group_nr", nth).drop("__nth")
+    dealt = stored(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sizes = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__size"))
+    before = F.sum("__size").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.broadcast(sizes.select("__range", F.coalesce(before, F.lit(0)).alias("__before")))  # one row a range
+    numbered = dealt.withColumn("__own", F.row_number().over(Window.partitionBy("__range").orderBy(*order))).join(starts, "__range")
+    return numbered.withColumn("__nth", F.col("__own") + F.col("__before")).withColumn("group_nr", nth).select(*[c for c in rows.columns if c != "group_nr"], "group_nr")
 
 
 def coarse_locations(locations: DataFrame) -> DataFrame:

@@ -18,6 +18,12 @@ def op_G1_grouped(spark: SparkSession, d: str) -> DataFrame:
     return H.grouped(journal(spark, d), 20, ["event_id"], "slice").select("event_id", "slice", "group_nr")
 
 
+@query("SELECT event_id, (row_number() OVER (ORDER BY ts, event_id) - 1) // 20 AS group_nr FROM events")
+def op_G1c_grouped_overall(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of twenty over all events in the order of their times, whatever their entity."""
+    return H.grouped(table(spark, d, "events").select("event_id", "ts"), 20, ["ts", "event_id"]).select("event_id", "group_nr")
+
+
 @query(f"WITH {REC}, m AS (SELECT *, max(ts) OVER (PARTITION BY slice) AS t FROM rec) SELECT slice, count(*) AS kept FROM m WHERE epoch_us(ts) >= epoch_us(t) - 3600000000 GROUP BY slice")
 def op_G2_window_eviction(spark: SparkSession, d: str) -> DataFrame:
     return O.evict(records(spark, d), 3600).groupBy("slice").agg(F.count("*").alias("kept"))

@@ -15,6 +15,7 @@ from tidemark.operators import transform as T
 from tidemark.operators import validation as V
 from tidemark.plans.base import ENV, REC, journal, query, records, table, us
 from tidemark.plans.streams import _projection, _root
+from tidemark.session import stored
 from tidemark.sources import journal as J
 from tidemark.sources.custom import MadeEventsSource
 from tidemark.streaming import recovery as R
@@ -279,24 +280,22 @@ def op_B6_table_offset_store(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "projection_key string, current_offset string, manifest string")
 
 
-@query("SELECT * FROM (VALUES ('many', true), ('one', false)) t(offsets, refused)")
+@query("SELECT event_type AS projection_key, max(event_id)::VARCHAR AS current_offset, (SELECT count(DISTINCT event_type) FROM events) AS refused FROM events WHERE event_type = 'click' GROUP BY 1")
 def op_B10_single_offsets(spark: SparkSession, d: str) -> DataFrame:
-    """A store of single offsets refuses offsets of several keys at once."""
+    """A store of single offsets takes one key's; offsets of several keys at once are refused, and what was stored stays."""
     prefix = f"t{uuid.uuid4().hex[:12]}_"
     B.create_tables(spark, prefix)
     store = B.TableOffsetStore(spark, "single", prefix, mergeable=False)
-    keys = table(spark, d, "events").select(F.col("event_type").alias("projection_key"), F.lit("1").alias("current_offset"), F.lit("LNG").alias("manifest")).distinct()
-
-    def refused(offsets: DataFrame) -> bool:
-        try:
-            store.save(offsets)
-        except ValueError:
-            return True
-        return False
-
-    rows = [("one", refused(keys.where("projection_key = 'click'"))), ("many", refused(keys))]
+    keys = table(spark, d, "events").groupBy(F.col("event_type").alias("projection_key")).agg(F.max("event_id").cast("string").alias("current_offset")).withColumn("manifest", F.lit("LNG"))
+    store.save(keys.where("projection_key = 'click'"))
+    refused = 0
+    try:
+        store.save(keys)
+    except ValueError:
+        refused = keys.count()
+    kept = stored(store.read().select("projection_key", "current_offset", F.lit(refused).cast("long").alias("refused")))
     B.drop_tables(spark, prefix)
-    return spark.createDataFrame(rows, "offsets string, refused boolean")
+    return kept
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'purchase')")

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import UTC, datetime, timedelta
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -622,25 +622,49 @@ def op_L6_backoff(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(n, restart.delay(n, lambda: 1.0)) for n in range(8)], "restart long, longest double")
 
 
-@query("SELECT * FROM (VALUES ('after_pause', false, true, 0::BIGINT), ('after_resume', true, false, 1), ('after_clear', false, false, 0)) t(step, has_offset, paused, started)")
+@query("""WITH c AS (SELECT event_type, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1), o AS (SELECT max(epoch_us(ts)) AS us FROM events), s(step, paused, times, kept) AS (VALUES ('after_pause', true, 0, false), ('after_resume', false, 1, true), ('after_clear', false, 1, false), ('after_another_run', false, 2, true))
+SELECT step, paused, event_type, n * times AS n, CASE WHEN kept THEN us END AS offset_us FROM s, c, o WHERE times > 0 UNION ALL SELECT step, paused, NULL, 0, NULL FROM s WHERE times = 0""")
 def op_L8_management(spark: SparkSession, d: str) -> DataFrame:
-    """Pause before the first run, resume, clear."""
-    recorder = Recorder()
-    runner = Runner(spark, _root(spark), _projection(d, "managed", telemetry=ensemble([recorder])))
-    rows = []
+    """Pause before the first run, resume, clear, run again: events handled by type so far, and the newest offset."""
+    runner = Runner(spark, _root(spark), _projection(d, "managed"))
+    steps = []
 
     def note(step: str) -> None:
-        rows.append((step, bool(runner.offset().take(1)), runner.is_paused(), min(recorder.count("started"), 1) if step != "after_clear" else 0))
+        newest = runner.offset().agg(F.unix_micros(F.max("ts")).alias("offset_us")).first()[0]
+        has = runner.store.results() is not None
+        rows = _result(runner).select("event_type", "n") if has else spark.range(1).select(F.lit(None).cast("string").alias("event_type"), F.lit(0).cast("long").alias("n"))
+        # What is written later must not show here: these folders stay as they are.
+        steps.append(rows.select(F.lit(step).alias("step"), F.lit(runner.is_paused()).alias("paused"), "event_type", "n", F.lit(newest).cast("long").alias("offset_us")))
 
     runner.pause()
     runner.run()
     note("after_pause")
-    query = runner.resume()
-    query.awaitTermination()
+    runner.resume().awaitTermination()
     note("after_resume")
     runner.clear_offset()
     note("after_clear")
-    return spark.createDataFrame(rows, "step string, has_offset boolean, paused boolean, started long")
+    runner.run()
+    note("after_another_run")
+    return reduce(DataFrame.unionByName, steps)
+
+
+@query("""WITH b AS (SELECT event_id % 3 AS batch, count(*) FILTER (event_type <> 'error') AS n FROM events GROUP BY 1)
+SELECT hook, batch, CASE WHEN hook = 'before' AND batch = 1 THEN 2 ELSE 1 END AS calls, n FROM b, (VALUES ('before'), ('after')) h(hook)
+UNION ALL SELECT hook, NULL, calls, NULL FROM (VALUES ('started', 2), ('error', 1), ('restarted', 1), ('stopped', 1)) h(hook, calls)""")
+def op_L9_status_observer(spark: SparkSession, d: str) -> DataFrame:
+    """Calls of every hook, by micro-batch where it has one, of a projection over three whose second one fails once and restarts; and the events handled in each."""
+    recorder, failed = Recorder(), []
+
+    def handler(rows: DataFrame, batch: int) -> DataFrame:
+        if batch == 1 and not failed:
+            failed.append(batch)
+            raise RuntimeError("once")
+        return rows.select("event_id")
+
+    runner = _ran(spark, _projection(d, "observed", source=_events(d, _in_batches(spark, d)), handler=handler, telemetry=ensemble([recorder])))
+    told = spark.createDataFrame([(e[0], e[2] if e[0] in ("before", "after") else None) for e in recorder.events], "hook string, batch long")
+    handled = runner.store.results().groupBy(F.col("batch_id").cast("long").alias("batch")).agg(F.count("*").alias("n"))
+    return told.groupBy("hook", "batch").agg(F.count("*").alias("calls")).join(handled, "batch", "left")
 
 
 @query("""WITH b AS (SELECT event_id % 3 AS batch, count(*) AS n_rows, count(*) FILTER (event_type = 'error') AS n_filtered, max(epoch_us(ts)) AS newest_us, sum(event_id % 1000 * 1000)::BIGINT AS lag_sum_us, max(event_id % 1000 * 1000) AS lag_max_us FROM events GROUP BY 1)
