@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 from collections import Counter
@@ -90,6 +91,48 @@ def test_kept_ids(spark, model):
         assert zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"]
 
 
+def test_rows_and_sequence_ids(spark, model):
+    """Copies of a row are told apart, sequence ids have no gaps, and sequences of one long text don't follow one another."""
+    docs = [(1, "one text " * 9000), *((2, "a copy") for _ in range(5)), *((10 + i, "filler words " * (i % 200)) for i in range(600))]
+    rows = P.pack_documents(documents(spark, docs), tokenizer_path()).collect()
+    seqs = check_pieces(rows, docs, model)
+    assert sorted(seqs) == list(range(len(seqs)))
+    by_row = {}
+    for r in rows:
+        by_row.setdefault(r["row"], []).append(r)
+    assert len(by_row) == len(docs)
+    for own in by_row.values():
+        assert len({r["doc_id"] for r in own}) == 1 and sum(r["length"] for r in own) == own[0]["doc_tokens"]
+    whole = sorted(r["sequence_id"] for r in rows if r["doc_id"] == 1 and r["length"] == 1024)
+    assert len(whole) > 10 and not any(b == a + 1 for a, b in zip(whole, whole[1:]))
+    mates = [sorted(r["doc_id"] for r in own) for own in seqs.values() if len(own) > 2]
+    assert sum(b - a == 1 for own in mates for a, b in zip(own, own[1:])) < sum(len(own) - 1 for own in mates) / 2
+
+
+def test_whole_sequences_are_not_shuffled(spark):
+    docs = documents(spark, [(i, "one text " * 3000) for i in range(40)])
+    packed = P.pack_documents(docs, tokenizer_path(), keep_ids=True)
+    one = packed.where("length = 1024").select("doc_id", "start", "sequence_id", "ids")
+    assert one.count() >= 40 and len({r[0] for r in one.select("sequence_id").collect()}) == one.count()
+    lines = packed._jdf.queryExecution().sparkPlan().toString().splitlines()
+    below = lines[next(i for i, x in enumerate(lines) if "Union" in x) + 1 :]
+    # The last child of the union is the whole sequences' branch.
+    last = max(i for i, x in enumerate(below) if x.lstrip(" :").startswith("+-") and x.index("+-") == min(y.index("+-") for y in below if "+-" in y))
+    whole = "\n".join(below[last:])
+    assert "Window" not in whole and "SortMergeJoin" not in whole and "BroadcastHashJoin" in whole and "Window" in "\n".join(below[:last])
+
+
+@pytest.mark.parametrize("total", [0, 1, 2, 3, 4, 6, 30, 97, 1000, 30030])
+def test_stride(total):
+    step = P.stride(total)
+    assert step >= 1 and sorted(i * step % total for i in range(total)) == list(range(total))
+
+
+def test_stride_stays_within_a_long():
+    for total in (10**9, 3 * 10**10, 2**40):
+        assert math.gcd(P.stride(total), total) == 1 and P.stride(total) * (total - 1) < 1 << 63
+
+
 def test_equal_lengths_spread_over_salts(spark, model):
     docs = [(i, "the same text") for i in range(3000)]
     seqs = check_pieces(P.pack_documents(documents(spark, docs), tokenizer_path()).collect(), docs, model)

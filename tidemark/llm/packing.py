@@ -6,18 +6,24 @@ histogram of at most capacity / 2 bars, whatever the input), and the cutting-sto
 is solved by column generation: a pattern is a multiset of lengths that fits a sequence, the restricted master program
 prices each length, and a knapsack dynamic program over the prices finds the pattern to add. Patterns are used as often
 as the solution rounded down; what is left of the histogram is packed by first fit, longest first. Documents are then
-ranked within their length and the rank decides pattern, sequence and place. Only the histogram reaches the driver.
+ranked within their length, in a seeded order, and the rank decides pattern, sequence and place. Only the histogram
+reaches the driver. Whole sequences take no part in this: a task numbers its own as it cuts them, the counts of tasks say
+where its numbers begin, and neither they nor their ids are shuffled.
+
+Sequences of one pattern, and those of one long document, are dealt out over all sequence ids by a fixed stride, so that
+reading sequences in the order of their ids meets lengths, sources and documents mixed.
 
 The program is solved over lengths rounded up to a multiple of `grain`, which bounds its size; a sequence may then
 have a few free places more, never fewer.
 
 Defined results: a null text counts as empty and is one piece with the end id alone; every id is in exactly one piece;
-repeated rows are packed once each; equal documents tie in rank by doc_id, then by row; an empty table gives no rows;
-extra columns are ignored.
+repeated rows are packed once each, and pieces of one row share its number `row`; ties in rank are broken by doc_id, then
+by row; an empty table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -27,9 +33,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import keyed_text, slices
-from tidemark.session import cut
+from tidemark.session import stored
 
-CAPACITY, GRAIN, END_ID = 1024, 2, 0
+CAPACITY, GRAIN, END_ID, SEED = 1024, 2, 0, 42
 #: Salts within a length: ranks of one length are counted in so many parts, so that a length of very many documents is spread.
 SALTS = 64
 
@@ -86,8 +92,11 @@ def byte_ranks(path: str) -> dict[bytes, int] | None:
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int | None = END_ID, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): whole sequences and the remainder of every document; one pass, no shuffle."""
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
+    """(doc_id, start, length, ids_crc32, doc_tokens, row, nth[, ids]): whole sequences and the remainder of every document; one pass, no shuffle.
+
+    row numbers the rows of docs, its bits from 33 on are the task; nth is the number of whole sequences that the task cut before.
+    """
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long, nth long" + ", ids array<int>" * keep_ids
     tail = np.array([] if end_id is None else [end_id], np.uint32)
     half = capacity // 2
 
@@ -102,28 +111,26 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = FileTokenizer(tokenizer_path)
+        wholes = 0
         for batch in batches:
             for piece in slices(batch):
-                doc_ids, starts, lengths, sums, totals, kept = [], [], [], [], [], []
-                for doc_id, ids in zip(piece.column(0).to_pylist(), tokenizer.ids(piece.column(1).to_pylist())):
+                cut_pieces, kept = [], []
+                for doc_id, row, ids in zip(piece.column(0).to_pylist(), piece.column(2).to_pylist(), tokenizer.ids(piece.column(1).to_pylist())):
                     ids = np.concatenate((ids, tail)).astype("<u4", copy=False)
                     for begin, end in cuts(len(ids)):
                         part = ids[begin:end]
-                        doc_ids.append(doc_id)
-                        starts.append(begin)
-                        lengths.append(end - begin)
-                        sums.append(zlib.crc32(part.tobytes()))
-                        totals.append(len(ids))
+                        cut_pieces.append((doc_id, begin, end - begin, zlib.crc32(part.tobytes()), len(ids), row, wholes))
+                        wholes += end - begin == capacity
                         if keep_ids:
                             kept.append(part.view("<i4"))
-                cols = [pa.array(x, pa.int64()) for x in (doc_ids, starts, lengths, sums, totals)]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+                cols = [pa.array(x, pa.int64()) for x in zip(*cut_pieces)] or [pa.array([], pa.int64())] * 7
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row", "nth"]
                 if keep_ids:
                     cols.append(pa.array(kept, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return keyed_text(docs, id_col, text_col).mapInArrow(run, schema)
+    return keyed_text(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, schema)
 
 
 def best_pattern(sizes: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -231,37 +238,51 @@ def plan_table(histogram: dict[int, int], capacity: int, grain: int) -> list[tup
     return rows
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, grain: int = GRAIN, end_id: int | None = END_ID, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The pieces of token_pieces with sequence_id and offset: offsets of a sequence begin at 0 and have no gaps."""
+def stride(total: int) -> int:
+    """A step through 0 to total - 1 that meets each number once: near the golden section of total, no divisor in common with it, products of two numbers within a long."""
+    step = max(1, min(int(total * 0.618034), (1 << 62) // max(total, 1)))
+    while math.gcd(step, total) > 1:
+        step -= 1
+    return step
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, grain: int = GRAIN, end_id: int | None = END_ID, keep_ids: bool = False, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The pieces of token_pieces with sequence_id (from 0, without gaps), offset (from 0 in each sequence, without gaps), row and, if asked for, ids."""
     if capacity % (2 * grain):
         raise ValueError("grain must divide half the capacity")
     spark = docs.sparkSession
-    pieces = cut(token_pieces(docs, tokenizer_path, capacity, end_id, keep_ids, id_col, text_col).withColumn("piece", F.monotonically_increasing_id()))
-    bar: Column = F.ceil(F.col("length") / grain).cast("int")
     whole = F.col("length") == capacity
-    salted = pieces.select("*", F.when(whole, F.lit(0)).otherwise(bar).alias("bar"), F.pmod(F.xxhash64("piece"), F.lit(SALTS)).cast("int").alias("salt"))
-    # At most capacity / grain + 1 bars times SALTS rows, whatever the input.
-    counts = {(r["bar"], r["salt"]): r["n"] for r in salted.groupBy("bar", "salt").agg(F.count("*").alias("n")).collect()}
+    bar = F.when(whole, F.lit(0)).otherwise(F.ceil(F.col("length") / grain)).cast("int").alias("bar")
+    # Numbers of whole sequences go on from task to task, ranks of a length from salt to salt.
+    part = F.when(whole, F.shiftright("row", 33)).otherwise(F.pmod(F.xxhash64(F.lit(seed), "row", "start"), F.lit(SALTS))).cast("int").alias("part")
+    pieces = stored(token_pieces(docs, tokenizer_path, capacity, end_id, keep_ids, id_col, text_col)).select("*", bar, part)
+    # At most capacity / (2 grain) bars times SALTS rows and one for each task, whatever the input.
+    counts = {(r["bar"], r["part"]): r["n"] for r in pieces.groupBy("bar", "part").agg(F.count("*").alias("n")).collect()}
     histogram: dict[int, int] = {}
     before = []
-    for (b, s), n in sorted(counts.items()):
-        before.append((b, s, histogram.get(b, 0)))
+    for (b, p), n in sorted(counts.items()):
+        before.append((b, p, histogram.get(b, 0)))
         histogram[b] = histogram.get(b, 0) + n
     wholes = histogram.pop(0, 0)
     plan = plan_table(histogram, capacity, grain)
-    plan = [(0, 0, wholes, 1, max((q + t // n for _, _, t, n, q, _ in plan), default=0), 0), *plan]
-    # Both tables have as many rows as bars and salts or patterns allow, so their size is bounded.
-    ranks = F.broadcast(spark.createDataFrame(before or [(0, 0, 0)], "bar int, salt int, before long"))
+    packed = max((q + t // n for _, _, t, n, q, _ in plan), default=0)
+    # Both tables have as many rows as tasks, bars and salts, or patterns allow, so their size is bounded.
+    ranks = F.broadcast(spark.createDataFrame(before or [(0, 0, 0)], "bar int, part int, before long"))
     by_bar: dict[int, list[tuple]] = {}
     for b, first, total, each, sequence, place in plan:
         by_bar.setdefault(b, []).append((first, total, each, sequence, place))
-    uses = F.broadcast(spark.createDataFrame([(b, rows) for b, rows in by_bar.items()], "bar int, uses array<struct<first: long, total: long, each: long, sequence: long, place: long>>"))
-    own = F.row_number().over(Window.partitionBy("bar", "salt").orderBy("doc_id", "piece")).cast("long") - 1
-    ranked = salted.withColumn("own", own).join(ranks, ["bar", "salt"]).withColumn("rank", F.col("own") + F.col("before")).join(uses, "bar")
+    uses = F.broadcast(spark.createDataFrame(list(by_bar.items()), "bar int, uses array<struct<first: long, total: long, each: long, sequence: long, place: long>>"))
+    order = Window.partitionBy("bar", "part").orderBy(F.xxhash64(F.lit(seed), "doc_id", "start"), "doc_id", "row", "start")
+    ranked = pieces.where(~whole).withColumn("own", F.row_number().over(order).cast("long") - 1)
+    ranked = ranked.join(ranks, ["bar", "part"]).withColumn("rank", F.col("own") + F.col("before")).join(uses, "bar")
     use = F.filter("uses", lambda u: (u["first"] <= F.col("rank")) & (F.col("rank") < u["first"] + u["total"]))[0]
     placed = ranked.withColumn("use", use).withColumn("nth", F.col("rank") - F.col("use.first"))
-    placed = placed.withColumn("sequence_id", F.col("use.sequence") + F.floor(F.col("nth") / F.col("use.each")).cast("long"))
+    placed = placed.withColumn("sequence", F.col("use.sequence") + F.floor(F.col("nth") / F.col("use.each")).cast("long"))
     placed = placed.withColumn("place", F.col("use.place") + F.col("nth") % F.col("use.each"))
-    earlier = Window.partitionBy("sequence_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("sequence").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0)).cast("long"))
-    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * keep_ids)
+    alone = pieces.where(whole).join(ranks, ["bar", "part"]).withColumn("sequence", F.lit(packed) + F.col("nth") + F.col("before")).withColumn("offset", F.lit(0).cast("long"))
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence", "offset", "row", *["ids"] * keep_ids]
+    every = placed.select(*names).unionByName(alone.select(*names))
+    dealt: Column = F.col("sequence").cast("long") * F.lit(stride(packed + wholes)) % F.lit(max(packed + wholes, 1))
+    return every.withColumn("sequence", dealt.cast("long")).withColumnRenamed("sequence", "sequence_id")
