@@ -1,6 +1,11 @@
 """A training-data pipeline of five stages: STAGES, run() and the query `pipeline`.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+
+Defined results of every stage: an empty table gives no rows; null and empty texts are documents without words, which are
+near copies of one another, so one of them stays; null doc_ids, langs and sources are kept as they are; texts of any length
+are taken whole; repeated rows are exact copies; extra columns, whatever their names, go with their rows up to packing,
+which drops them (values of columns `copy` and `shuffle_key` become those of mixing).
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from tidemark.session import importable, stored
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose toxicity score reaches the threshold go; the model is trained on labels outside the held-out fold."""
+    """Rows whose toxicity score reaches the threshold go; the model is trained on labels outside the held-out fold. Without labels of both kinds all rows stay."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -26,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row stays; found secrets are masked, and n_chars follows."""
+    """Every row stays; found secrets are masked, and n_chars follows. A null text stays null, and so does its n_chars."""
     importable(spark)
     masked = secrets.redact_secrets(docs)
     return masked.withColumn("n_chars", F.char_length("text").cast(masked.schema["n_chars"].dataType)) if "n_chars" in masked.columns else masked
@@ -38,9 +43,9 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequences and offsets."""
+    """Pieces of documents with their ids, sequences and offsets: the training data. Pieces of one copy of a document share `row`."""
     importable(spark)
-    return packing.pack_documents(docs, tokenizer_path())
+    return packing.pack_documents(docs, tokenizer_path(), keep_ids=True)
 
 
 STAGES = [
