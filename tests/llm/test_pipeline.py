@@ -1,6 +1,10 @@
+import zlib
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm.fixtures import TEXTS, documents, empty
 from tests.llm.test_simhash import plain_near
 
 pipeline = pytest.importorskip("corpus_pipeline")
@@ -37,3 +41,44 @@ def test_run(spark, sf_dir):
     out = pipeline.run(spark, sf_dir)
     full = out.groupBy("sequence_id").agg(F.sum("length").alias("n"))
     assert out.count() > 0 and not full.where("n > 1024").take(1)
+
+
+def _folder(spark, docs, sf_dir, root):
+    docs.write.parquet(f"{root}/documents.parquet")
+    spark.read.parquet(f"{sf_dir}/labels.parquet").write.parquet(f"{root}/labels.parquet")
+    return str(root)
+
+
+def test_awkward_rows_through_all_stages(spark, sf_dir, tmp_path):
+    """Nulls, empty and long texts, ties, repeats and clashing columns: every stage keeps all columns, the rows that stay are whole in the ids of the last."""
+    from tidemark.llm.packing import FileTokenizer
+    from tidemark.llm.queries import tokenizer_path
+
+    own = _folder(spark, documents(spark), sf_dir, tmp_path)
+    docs = spark.read.parquet(f"{own}/documents.parquet")
+    names, kept = docs.columns, []
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = pipeline.stored(stage(spark, docs, own))
+        assert docs.columns == names
+        kept.append(docs.select("doc_id", "text").collect())
+    clean, single, masked, mixed = kept
+    assert len(clean) == len(TEXTS)
+    ids = [r["doc_id"] for r in single]
+    assert len(ids) == len(set(ids)) and {0, 3, 7, 8, 9, 11, None} <= set(ids) and not {1, 2} & set(ids)
+    assert len([r for r in single if not (r["text"] or "").split()]) == 1
+    assert sorted(map(str, masked)) == sorted(map(str, single)) and set(map(str, mixed)) <= set(map(str, masked))
+    rows = {}
+    for r in pipeline.STAGES[-1][1](spark, docs, own).collect():
+        assert zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] and len(r["ids"]) == r["length"]
+        rows.setdefault(r["row"], []).append(r)
+    assert len(rows) == len(mixed)
+    model = FileTokenizer(tokenizer_path())
+    texts = {r["doc_id"]: r["text"] or "" for r in mixed}
+    for pieces in rows.values():
+        pieces.sort(key=lambda r: r["start"])
+        assert [i for r in pieces for i in r["ids"]] == [*model.ids([texts[pieces[0]["doc_id"]]])[0].tolist(), 0]
+
+
+def test_run_on_an_empty_table(spark, sf_dir, tmp_path):
+    out = pipeline.run(spark, _folder(spark, empty(spark), sf_dir, tmp_path))
+    assert out.count() == 0 and "ids" in out.columns
