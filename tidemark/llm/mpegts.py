@@ -8,7 +8,7 @@ random-access points. Header fields of all packets of a stream are parsed at onc
 
 Defined results: a null text counts as empty; an empty text is stored as 192 spaces; equal texts give equal bytes
 and features; bytes that aren't whole packets, lost sync bytes, wrong section checksums, counter jumps and
-truncated elementary packets are counted in the features and never raise. Extra input columns are ignored.
+truncated elementary packets are counted in the features and never raise. An empty table gives no rows. Extra input columns are ignored.
 """
 
 from __future__ import annotations

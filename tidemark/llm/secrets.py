@@ -8,7 +8,7 @@ allowed) around one of these or, with an encryption header, around whole cipher
 signed-token header. A run that merely looks random is not reported. Public keys and certificates are key encodings too.
 
 Defined results: a null text counts as empty; empty texts have no spans; repeated rows give repeated results;
-spans are offsets in code points, end exclusive. Extra input columns are ignored.
+spans are offsets in code points, end exclusive. An empty table gives no rows. Extra input columns are ignored.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ Labels, language, source and doc_id are never inputs of a score. Whole texts are
 TRAIN_ROWS, so their ids and two numbers of each may pass through the driver, as may the weights, which only significant tokens of those texts have.
 
 Defined results: a null text counts as empty and has the score of no evidence; rows without a label or doc_id aren't
-trained on; without a label of either kind all scores are 0; repeated rows are scored alike.
+trained on; without a label of either kind all scores are 0; repeated rows are scored alike. Texts of any length are scanned whole, an
+empty table gives no rows, and extra columns, whatever their names, don't count.
 """
 
 from __future__ import annotations
