@@ -110,7 +110,7 @@ def merge(spark, tmp_path):
         rows = m.step(spark.createDataFrame(list(live), ROWS), spark.createDataFrame(list(asks), ASK), n)
         return sorted((r["pid"][0], r["seq_nr"], r["replayed"]) for r in rows.collect())
 
-    step.cursors = m.cursors
+    step.cursors, step.finish = m.cursors, m.finish
     return step
 
 
@@ -145,6 +145,20 @@ def test_three_at_a_time_in_order(spark, merge, monkeypatch):
     assert seen == [list("hgf")] * 3 + [list("edc")] * 3 + [list("ba")] * 3
 
 
+def test_what_is_left_when_the_live_stream_ends_is_one_step(spark, merge, monkeypatch):
+    """All cursors end at once, those that wait for their turn too; each by its own filter_after and from where it stood."""
+    from tidemark.streaming import cursors as C
+
+    one_stream = C.with_requests
+    monkeypatch.setattr(C, "with_requests", lambda c, r: one_stream(c, r, streams=1))
+    asks = [(f"{p}|1", 3, 0 if p < "e" else 9, k) for k, p in enumerate("abcdefgh")]
+    first = merge(0, asks=asks)
+    assert first == [(p, n, True) for p in "abc" for n in range(3, 13)]
+    rest = sorted((r["pid"][0], r["seq_nr"], r["replayed"]) for r in merge.finish(1).collect())
+    assert rest == sorted([*((p, n, True) for p in "abc" for n in range(13, 26)), *(("d", n, True) for n in range(3, 26)), *((p, n, True) for p in "efgh" for n in range(3, 26) if n < 9 or n % 3)])
+    assert merge.cursors(1).count() == 0
+
+
 def test_a_micro_batch_that_runs_again(merge):
     merge(0, asks=[("a|1", 1, 0, 1)])
     assert merge(1) == merge(1) == [("a", n, True) for n in range(11, 21)]
@@ -206,3 +220,4 @@ def test_acknowledgements_of_what_was_never_sent(spark, tmp_path):
     query.stop()
     # Number 2 alone doesn't move the offset; with number 1 both are passed.
     assert sent == [("send", 1, None), ("send", 2, None), ("offset", None, 2)]
+

@@ -300,3 +300,16 @@ def test_retries_lose_nothing(spark, folder):
     runner = Runner(spark, str(path / "store"), projection(path, handler, recovery=R.retry_and_skip(3, 0)))
     runner.run()
     assert len(calls) == 3 and runner.store.results().count() == 8
+
+
+def test_parts_are_micro_batches_whatever_their_size(spark, tmp_path, monkeypatch):
+    """Parts of many and of few rows, and one of none, have as many files each, and each is one micro-batch."""
+    from tidemark.plans import streams as S
+
+    monkeypatch.setattr(S, "FILE_ROWS", 100)
+    rows = spark.range(1000).selectExpr("id AS event_id", "CASE WHEN id < 997 THEN 0 ELSE 2 END AS part")
+    batches = S._batches(rows, str(tmp_path / "in"), "part")
+    seen = []
+    stream = batches.stream(spark, rows.schema)
+    stream.writeStream.foreachBatch(lambda b, n: seen.append((n, b.count(), b.selectExpr("max(part)").first()[0]))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert batches.each == 4 and [s for s in seen if s[1]] == [(0, 997, 0), (2, 3, 2)]

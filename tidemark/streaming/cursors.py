@@ -84,3 +84,14 @@ class ReplayMerge:
         events, on = moved(now, self.journal(self.spark).select(*live.columns), self.rows_each)
         on.write.mode("overwrite").parquet(self._stored(batch_id))
         return replay_or_filter(mark(live), mark(events), self.passes)
+
+    def finish(self, batch_id: int, mark: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+        """What all cursors have left, as the step after a live stream's last one, in the journal's columns with `replayed`.
+
+        There is no live event then that a replay could hold up, and no request that could replace one, so all of them
+        are read to their ends by one join, dealt by entity, however many there are. None goes on.
+        """
+        journal = self.journal(self.spark)
+        left = self.cursors(batch_id - 1).select("pid", "next_nr", "filter_after").join(journal, "pid").where(F.col("seq_nr") >= F.col("next_nr")).drop("next_nr")
+        self.spark.createDataFrame([], CURSOR_SCHEMA).write.mode("overwrite").parquet(self._stored(batch_id))
+        return replay_or_filter(mark(journal.limit(0)), mark(left), self.passes)
