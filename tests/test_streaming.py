@@ -302,6 +302,34 @@ def test_retries_lose_nothing(spark, folder):
     assert len(calls) == 3 and runner.store.results().count() == 8
 
 
+@pytest.mark.parametrize("more", [{"recovery": R.skip()}, {"recovery": R.retry_and_skip(2, 0), "delivery": Delivery.EXACTLY_ONCE}])
+def test_single_envelopes_are_skipped_in_one_pass(spark, tmp_path, more):
+    """However many fail: one job writes the results, and what is skipped is told once a micro-batch."""
+    from tidemark.streaming.envelopes import EachEnvelope
+    from tidemark.streaming.telemetry import Telemetry
+
+    def call(envelope):
+        if envelope["seq_nr"] % 2:
+            raise ValueError(f"no {envelope['pid']}")
+        return {"at": envelope["seq_nr"], "pid": envelope["pid"]} if envelope["seq_nr"] % 4 else None
+
+    told = []
+
+    class Telling(Telemetry):
+        def error(self, projection, error, what):
+            told.append((type(error).__name__, str(error), what))
+
+    rows = spark.range(1, 2001).selectExpr("'p' AS pid", "id AS seq_nr", "1 AS slice", "timestamp_micros(id) AS ts", "false AS filtered")
+    p = Projection(ProjectionId("each", "all"), lambda s: rows, EachEnvelope(call, "at long, pid string"), telemetry=Telling(), **more)
+    store = run_once(spark, str(tmp_path), p, rows)
+    assert sorted(r["at"] for r in store.results().collect()) == list(range(2, 2001, 4))
+    assert told == [("Skipped", "1000 envelopes, one of them with ValueError: no p", "skip")]
+    with pytest.raises(Exception, match="no p"):
+        run_once(spark, f"{tmp_path}/fails", p.with_recovery(R.retry_and_fail(1, 0)), rows)
+    with pytest.raises(ValueError):
+        Projection(ProjectionId("each", "all"), lambda s: rows, p.handler, group_size=2)
+
+
 def test_parts_are_micro_batches_whatever_their_size(spark, tmp_path, monkeypatch):
     """Parts of many and of few rows, and one of none, have as many files each, and each is one micro-batch."""
     from tidemark.plans import streams as S

@@ -9,7 +9,8 @@ With a journal the stream is validated strictly before the handler sees it: what
 what is missing is read from the journal (streaming.replay). Without, the source's rows are taken as they are.
 
 Under a strategy that skips, a micro-batch whose handler fails is halved until the envelopes or groups that fail are by
-themselves; only these are skipped, and the results of the others are kept.
+themselves; only these are skipped, and the results of the others are kept. That takes calls for each one that fails; a
+handler of single envelopes (streaming.envelopes) is told apart in its tasks instead, in one pass.
 
 Grouped forms give the handler consecutive groups of at most so many rows of each micro-batch. Parallel forms give it a
 micro-batch's slices in parts beside one another, each under a number of its own; the offset is stored when all parts are done.
@@ -32,13 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.validation import ACCEPTED
+from tidemark.streaming.envelopes import EachEnvelope, Skipped
 from tidemark.streaming.metrics import Meter
 from tidemark.streaming.recovery import Aborted, Recovery, Restart, fail, recover, supervise
 from tidemark.streaming.replay import REQUEST, Replays, replaying_state, validate_replaying
 from tidemark.streaming.store import ProjectionId, ProjectionStore
 from tidemark.streaming.telemetry import Telemetry
 
-Handler = Callable[[DataFrame, int], DataFrame | None]
+Handler = Callable[[DataFrame, int], DataFrame | None] | EachEnvelope
 
 
 class Delivery(Enum):
@@ -74,6 +76,8 @@ class Projection:
             raise ValueError("a group has at least one row")
         if self.parallel < 1 or self.parallel > 1 and self.delivery is not Delivery.AT_LEAST_ONCE:
             raise ValueError("only at least once runs in parallel")
+        if isinstance(self.handler, EachEnvelope) and (self.group_size or self.parallel > 1):
+            raise ValueError("a handler of single envelopes has neither groups nor parts")
 
     def with_recovery(self, recovery: Recovery) -> Projection:
         return replace(self, recovery=recovery)
@@ -117,6 +121,9 @@ class Projection:
             if result is not None:
                 store.write_result(batch_id, result, part)
 
+        if isinstance(self.handler, EachEnvelope):
+            self._each(store, rows, batch_id, told)
+            return
         if not self.recovery.skip:
             recover(lambda: attempt(rows, 0), self.recovery, told)
             return
@@ -128,6 +135,19 @@ class Projection:
         except Exception:
             self._without_failing(rows, attempt, told)
 
+    def _each(self, store: ProjectionStore, rows: DataFrame, batch_id: int, told: Callable[[BaseException, str], None]) -> None:
+        """A handler of single envelopes: what its calls fail with is known only in the tasks; how many were skipped is told here."""
+        result, seen = self.handler.results(rows, self.recovery)
+        try:
+            store.write_result(batch_id, result)
+        except Exception as error:
+            told(error, "fail")
+            if f"{Aborted.__module__}.{Aborted.__name__}" in str(error):
+                raise Aborted(str(error)) from error
+            raise
+        if found := seen.get["n"]:
+            told(Skipped(f"{found} envelopes, one of them with {seen.get['failure']}"), "skip")
+
     def _without_failing(self, rows: DataFrame, attempt: Callable[[DataFrame, int], None], told: Callable[[BaseException, str], None]) -> None:
         """Halves of a micro-batch, and halves of those that fail, down to the envelopes or groups that fail by themselves: these are skipped.
 
