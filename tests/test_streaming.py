@@ -341,3 +341,17 @@ def test_parts_are_micro_batches_whatever_their_size(spark, tmp_path, monkeypatc
     stream = batches.stream(spark, rows.schema)
     stream.writeStream.foreachBatch(lambda b, n: seen.append((n, b.count(), b.selectExpr("max(part)").first()[0]))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert batches.each == 4 and [s for s in seen if s[1]] == [(0, 997, 0), (2, 3, 2)]
+
+
+def test_hashes_of_short_and_long_strings(spark):
+    from tidemark.functions.scalars import string_hash
+
+    def expected(text):
+        h = 0
+        for c in text:
+            h = (h * 31 + ord(c)) % (1 << 32)
+        return h - (1 << 32) if h >= 1 << 31 else h
+
+    texts = ["", "a", "user|1234567", "x" * 31, "z|" * 16, "z|" * 16 + "9", "~" * 200]
+    got = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select("t", string_hash(F.col("t")).alias("h")).collect()
+    assert {r["t"]: r["h"] for r in got} == {**{t: expected(t) for t in texts}, None: None}
