@@ -221,3 +221,55 @@ def test_acknowledgements_of_what_was_never_sent(spark, tmp_path):
     # Number 2 alone doesn't move the offset; with number 1 both are passed.
     assert sent == [("send", 1, None), ("send", 2, None), ("offset", None, 2)]
 
+
+# An entity's events in few values of its state.
+class State(dict):
+    """A map state that counts its calls."""
+
+    calls = 0
+
+    def _called(self, result):
+        self.calls += 1
+        return result
+
+    def containsKey(self, key):  # noqa: N802
+        return self._called(key in self)
+
+    def getValue(self, key):  # noqa: N802
+        return self._called(self[key])
+
+    def updateValue(self, key, value):  # noqa: N802
+        self._called(self.__setitem__(key, value))
+
+    def removeKey(self, key):  # noqa: N802
+        self._called(self.pop(key))
+
+    def keys(self):
+        return iter(self._called(list(super().keys())))
+
+
+def test_blocks_of_events():
+    from tidemark.streaming import blocks as B
+
+    # Few events take no call of the map state at all.
+    state, few = State(), B.Blocks(State(), 0, None)
+    few.put(2, ("b", 2))
+    few.put(9, ("c", 9))
+    kept = B.Blocks(state, 2, few.save())
+    assert kept.least() == 2 and kept.pop(2) == ("b", 2) and kept.get(3) is None and [n for n, _ in kept.items()] == [9]
+    assert kept.pop(9) and kept.save() is None and state.calls == 0
+    # Many take few: more blocks than are in memory at once, each written once or twice.
+    count = B.SIZE * (B.OPEN + 8)
+    held = B.Blocks(state, 0, None)
+    for n in range(count, 0, -1):
+        held.put(n, (f"e{n}", n))
+    assert held.save() is None and len(state) == count // B.SIZE + 1 and state.calls <= 4 * len(state)
+    again = B.Blocks(state, count, None)
+    assert again.least() == 1 and [again.pop(n) for n in range(1, count)] == [(f"e{n}", n) for n in range(1, count)]
+    assert again.pop(5) is None and again.get(count) == (f"e{count}", count) and again.least() == count
+    again.save()
+    assert list(state) == [(count // B.SIZE,)] and [nr for nr, _ in B.Blocks(state, 1, None).items()] == [count]
+    cleared = B.Blocks(state, 1, None)
+    cleared.put(7, ("x", 7))
+    cleared.clear()
+    assert cleared.save() is None and not state and cleared.least() is None

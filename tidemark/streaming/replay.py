@@ -13,7 +13,6 @@ rows of "request" with from_nr and to_nr, of which only the ids are set.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -24,6 +23,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tidemark.operators.validation import ACCEPTED, DUPLICATE, REJECTED
 from tidemark.session import importable
+from tidemark.streaming.blocks import STATE_KEY, STATE_VALUE, Blocks
 
 REQUEST = "request"
 #: Beside an event's own columns: where it came from, and of the end of an answer its range and how many events it has.
@@ -45,19 +45,18 @@ class Waiting(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "seq long, us long, asked long, held long")
-        self.waiting = handle.getMapState("waiting", "seq_nr long", "event binary")
+        self.seen = handle.getValueState("seen", "seq long, us long, asked long, held long, few binary")
+        self.waiting = handle.getMapState("waiting", STATE_KEY, STATE_VALUE)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        seq, us, asked, held = self.seen.get() if self.seen.exists() else (0, None, 0, 0)
-        ends = []
+        seq, us, asked, held, few = self.seen.get() or (0, None, 0, 0, None)
+        ends, waiting = [], Blocks(self.waiting, held, few)
 
         def follow() -> Iterator[Row]:
             """What waited for the last accepted event."""
             nonlocal seq, us, held
-            while held and self.waiting.containsKey((seq + 1,)):
-                event, time = pickle.loads(bytes(self.waiting.getValue((seq + 1,))[0]))
-                self.waiting.removeKey((seq + 1,))
+            while held and (found := waiting.pop(seq + 1)):
+                event, time = found
                 seq, us, held = seq + 1, time, held - 1
                 yield self.row(*event, ACCEPTED, None, None)
 
@@ -71,7 +70,7 @@ class Waiting(StatefulProcessor):
                 yield self.row(*event, DUPLICATE, None, None)
                 continue
             if seq and n <= seq:  # numbers began anew
-                self.waiting.clear()
+                waiting.clear()
                 seq, asked, held = 0, 0, 0
             if n == seq + 1:
                 seq, us = n, time
@@ -79,31 +78,32 @@ class Waiting(StatefulProcessor):
                 yield from follow()
             elif r["origin"] == "pubsub":
                 yield self.row(*event, REJECTED, None, None)
-            elif held and self.waiting.containsKey((n,)):
+            elif held and waiting.get(n):
                 yield self.row(*event, DUPLICATE, None, None)
             else:
-                self.waiting.updateValue((n,), (pickle.dumps((event, time)),))
+                waiting.put(n, (event, time))
                 held += 1
         for begin, end, found in ends:
             if seq < end and held:
                 if seq or found or begin != 1:
                     raise RejectedEnvelope(f"replay of {key[0]} from {begin} to {end} has {found} events")
-                seq = min(k[0] for k in self.waiting.keys()) - 1
+                seq = waiting.least() - 1
                 yield from follow()
-        low = min((k[0] for k in self.waiting.keys()), default=0) if held else 0
+        low = waiting.least() if held else 0
+        few = waiting.save()
         if held and low - 1 > asked:
             asked = low - 1
             yield self._request(key[0], seq + 1, asked)
             if self.patience_ms is not None:
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms)
-        self.seen.update((seq, us, asked, held))
+        self.seen.update((seq, us, asked, held, few))
 
     def _request(self, pid: str, begin: int, end: int) -> Row:
         return self.row(*(pid if c == "pid" else None for c in self.columns), REQUEST, begin, end)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         """An answer is overdue: ask again."""
-        seq, _, asked, held = self.seen.get()
+        seq, _, asked, held, _ = self.seen.get()
         if held and seq < asked:
             yield self._request(key[0], seq + 1, asked)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms)
