@@ -10,7 +10,6 @@ Rows of the stream: "send" with `attempt`, to be delivered, and "offset" with th
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -19,6 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tidemark.session import importable
+from tidemark.streaming.blocks import STATE_KEY, STATE_VALUE, Blocks
 
 SEND, OFFSET = "send", "offset"
 ACK_SCHEMA = "pid string, seq_nr long"
@@ -37,11 +37,11 @@ class InFlight(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.sent = handle.getValueState("sent", "highest long, passed long, n long")
-        self.flying = handle.getMapState("flying", "seq_nr long", "event binary, attempt long, due long")
+        self.sent = handle.getValueState("sent", "highest long, passed long, n long, few binary")
+        self.flying = handle.getMapState("flying", STATE_KEY, STATE_VALUE)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        highest, passed, n = self.sent.get() if self.sent.exists() else (0, 0, 0)
+        highest, passed, n, few = self.sent.get() or (0, 0, 0, None)
         due, acks, new = timerValues.getCurrentProcessingTimeInMs() + self.patience_ms, [], {}
         for r in rows:
             if r["__ack"]:
@@ -50,34 +50,36 @@ class InFlight(StatefulProcessor):
                 new[r["seq_nr"]] = tuple(r[c] for c in self.columns)
                 if n + len(new) > self.limit:
                     raise RuntimeError(f"more than {self.limit} events of {key[0]} in flight")
-        for nr, event in sorted(new.items()):
-            self.flying.updateValue((nr,), (pickle.dumps(event), 1, due))
+        flying = Blocks(self.flying, n, few)
+        for nr, event in sorted(new.items(), key=lambda item: item[0]):
+            flying.put(nr, (event, 1, due))
             highest, n = nr, n + 1
             yield self.row(*event, SEND, 1, None)
         for nr in acks:
             if nr > highest:
                 raise UnknownAcknowledgement(f"acknowledgement of {key[0]} {nr}, which wasn't sent")
-            if self.flying.containsKey((nr,)):
-                self.flying.removeKey((nr,))
+            if flying.pop(nr):
                 n -= 1
         if new:
             self.handle.registerTimer(due)
-        done = highest if n == 0 else min(k[0] for k in self.flying.keys()) - 1 if acks else passed
+        done = highest if n == 0 else flying.least() - 1 if acks else passed
+        few = flying.save()
         if done > passed:
             passed = done
             yield self.row(*(key[0] if c == "pid" else None for c in self.columns), OFFSET, None, passed)
-        self.sent.update((highest, passed, n))
+        self.sent.update((highest, passed, n, few))
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         """Send again what is overdue."""
-        now, again = timerValues.getCurrentProcessingTimeInMs(), []
-        for (nr,), (event, attempt, due) in self.flying.iterator():
+        highest, passed, n, few = self.sent.get()
+        now, flying, again = timerValues.getCurrentProcessingTimeInMs(), Blocks(self.flying, n, few), False
+        for nr, (event, attempt, due) in flying.items():
             if due <= now:
-                again.append((nr, event, attempt))
-        for nr, event, attempt in sorted(again):
-            self.flying.updateValue((nr,), (event, attempt + 1, now + self.patience_ms))
-            yield self.row(*pickle.loads(bytes(event)), SEND, attempt + 1, None)
+                flying.put(nr, (event, attempt + 1, now + self.patience_ms))
+                again = True
+                yield self.row(*event, SEND, attempt + 1, None)
         if again:
+            self.sent.update((highest, passed, n, flying.save()))
             self.handle.registerTimer(now + self.patience_ms)
 
     def close(self) -> None: ...
