@@ -355,3 +355,29 @@ def test_hashes_of_short_and_long_strings(spark):
     texts = ["", "a", "user|1234567", "x" * 31, "z|" * 16, "z|" * 16 + "9", "~" * 200]
     got = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").select("t", string_hash(F.col("t")).alias("h")).collect()
     assert {r["t"]: r["h"] for r in got} == {**{t: expected(t) for t in texts}, None: None}
+
+
+def test_stored_parts_hold_the_envelopes(spark, sf_dir):
+    """A stream over stored parts reads slices, which it doesn't compute in every pass; parts of rows that enough tasks read aren't shuffled."""
+    from tidemark.plans import streams as S
+
+    for batches in (S._in_batches(spark, sf_dir), S._at_once(spark, sf_dir)):
+        held = spark.read.parquet(batches.folder)
+        want = S._as_table(spark, sf_dir).drop("user_id")
+        assert held.columns == want.columns and held.count() == want.count() and held.exceptAll(want).isEmpty()
+        plan = S._events(sf_dir, batches)(spark)._jdf.queryExecution().analyzed().toString()
+        assert "ascii" not in plan
+
+
+@pytest.mark.parametrize("pieces", [1, 3, 16])
+def test_parts_of_rows_in_any_number_of_pieces(spark, tmp_path, monkeypatch, pieces):
+    from tidemark.plans import streams as S
+
+    monkeypatch.setattr(S, "FILE_ROWS", 100)
+    rows = S.stored(spark.range(0, 3000, 1, pieces).selectExpr("id AS event_id"))
+    batches = S._batches(rows, str(tmp_path / "in"))
+    assert len(list((tmp_path / "in").glob("*.parquet"))) == 3 * batches.each
+    seen = []
+    query = batches.stream(spark, rows.schema).writeStream.foreachBatch(lambda b, n: seen.append((n, b.selectExpr("count(*)", "min(event_id % 3)", "max(event_id % 3)").first()[:])))
+    query.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert seen == [(n, (1000, n, n)) for n in range(3)]

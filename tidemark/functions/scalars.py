@@ -15,20 +15,25 @@ TOPIC_PREFIX = "t:"
 EARTH_RADIUS_M = 6_371_000
 
 
-#: Characters up to which a string's hash is a sum without a loop.
-SHORT = 32
+#: Characters up to which a string's hash is a sum without a loop, each of so many terms.
+SHORT = (16, 32)
+
+
+def _short_hash(text: Column, size: int) -> Column:
+    """The hash of at most `size` ASCII characters, compiled with its query: bytes from the last one on; before the first one there is none, which counts 0."""
+    code = lambda i: F.ascii(F.substring(text.cast("binary"), -i, 1).cast("string")).cast("long")
+    return reduce(Column.__add__, (code(i) * pow(31, i - 1, 1 << 32) for i in range(1, size + 1)))
 
 
 def string_hash(text: Column) -> Column:
     """The 32-bit polynomial hash (factor 31) of a string's characters, as a signed long; for ASCII, as ids are."""
-    # Short strings, as ids are: a sum from the last character on (before the first one there is none, which counts 0), compiled with its query.
-    terms = (F.ascii(F.substring(text, -i, 1)).cast("long") * pow(31, i - 1, 1 << 32) for i in range(1, SHORT + 1))
-    short = reduce(Column.__add__, terms) % (1 << 32)
     places = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
     codes = F.transform(places, lambda i: F.ascii(F.substring(text, i, F.lit(1))).cast("long"))
-    long = F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: (a * 31 + c) % (1 << 32))
-    folded = F.when(F.length(text) <= SHORT, short).otherwise(long)
-    return F.when(folded >= 1 << 31, folded - (1 << 32)).otherwise(folded)
+    hashed = F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: (a * 31 + c) % (1 << 32))
+    for size in reversed(SHORT):
+        hashed = F.when((F.length(text) <= size) & (F.octet_length(text) == F.length(text)), _short_hash(text, size)).otherwise(hashed)
+    # As the sign is taken without naming the sum twice, it is computed once.
+    return F.pmod(hashed + (1 << 31), F.lit(1 << 32)) - (1 << 31)
 
 
 def slice_of(pid: Column, slices: int = SLICES) -> Column:
