@@ -273,3 +273,33 @@ def test_blocks_of_events():
     cleared.put(7, ("x", 7))
     cleared.clear()
     assert cleared.save() is None and not state and cleared.least() is None
+
+
+def test_entities_of_a_bucket(spark, tmp_path, monkeypatch):
+    """Many entities share a bucket, whose waiting events aren't all in memory at once, and some fill several blocks: each ends whole, and one call is made for a bucket."""
+    from tidemark.streaming import replay
+
+    class State(dict):
+        exists, containsKey, getValue, updateValue, removeKey = dict.__len__, dict.__contains__, dict.get, dict.__setitem__, dict.__delitem__  # noqa: N815
+
+    class Handle:
+        def getMapState(self, *of):  # noqa: N802
+            return State()
+
+    from pyspark.sql import Row
+
+    monkeypatch.setattr(replay, "IN_MEMORY", 40)
+    work = replay.Waiting(["pid", "seq_nr", "__us"], None, None)
+    work.init(Handle())
+    item = Row("pid", "seq_nr", "__us", "__origin", "__bucket")
+    size = {"a": 1500, "b": 30, "c": 30}
+    rows = [item(p, n, n, None, 1) for n in range(1500, 1, -1) for p in size if n <= size[p]]
+    asked = [tuple(r)[-2:] for r in work.handleInputRows((1,), iter(rows), None) if r.verdict == replay.REQUEST]
+    assert asked == [(1, 1)] * 3
+    last = [item("c", 1, 1, "replay", 1), item("a", 2, 2, None, 1), *(item(p, None, None, "end:1:1:1", 1) for p in "ac"), item("a", 1, 1, "replay", 1)]
+    got = [(r.pid, r.seq_nr, r.verdict) for r in work.handleInputRows((1,), iter(last), None)]
+    for p in "ac":
+        assert [n for q, n, v in got if q == p and v == replay.ACCEPTED] == list(range(1, size[p] + 1))
+    assert [g for g in got if g[2] != replay.ACCEPTED] == [("a", 2, replay.DUPLICATE)] and not work.waiting and work.seen[("b",)][4] == 29
+    with pytest.raises(replay.RejectedEnvelope, match="replay of b from 1 to 1 has 1 events"):
+        list(work.handleInputRows((1,), iter([item("b", None, None, "end:1:1:1", 1)]), None))
