@@ -10,6 +10,9 @@ which drops them (values of columns `copy` and `shuffle_key` become those of mix
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,22 @@ from tidemark.llm.queries import tokenizer_path
 from tidemark.session import importable, stored
 
 
+#: Rows that cross to a Python worker at once: whole texts, which the engine and the worker both hold outside the heap.
+ROWS_AT_ONCE = 1000
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """At most ROWS_AT_ONCE rows an Arrow batch, or what the session asks for if that is less. The rows are the same."""
+    before = spark.conf.get(_ARROW_ROWS)
+    spark.conf.set(_ARROW_ROWS, str(ROWS_AT_ONCE if int(before) <= 0 else min(ROWS_AT_ONCE, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ARROW_ROWS, before)
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose toxicity score reaches the threshold go; the model is trained on labels outside the held-out fold. Without labels of both kinds all rows stay."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
@@ -27,7 +46,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each component of near copies stays, by five-word shingles with a Jaccard similarity of 0.8 or more: that of the smallest doc_id."""
     importable(spark)
-    return simhash.drop_near_copies(docs)
+    with small_batches(spark):  # what crosses to Python here is stored within
+        return simhash.drop_near_copies(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -82,3 +82,20 @@ def test_awkward_rows_through_all_stages(spark, sf_dir, tmp_path):
 def test_run_on_an_empty_table(spark, sf_dir, tmp_path):
     out = pipeline.run(spark, _folder(spark, empty(spark), sf_dir, tmp_path))
     assert out.count() == 0 and "ids" in out.columns
+
+
+def test_arrow_batches_of_near_dedup_are_bounded(spark, monkeypatch):
+    """Rows cross to Python in small batches while near copies are dropped; the session's own bound is back afterwards, and a smaller one holds."""
+    import corpus_pipeline as P
+
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    monkeypatch.setattr(P.simhash, "drop_near_copies", lambda docs: seen.append(spark.conf.get(name)) or docs)
+    before = spark.conf.get(name)
+    try:
+        for own in ("10000", "70", "0"):
+            spark.conf.set(name, own)
+            P.drop_near_duplicates(spark, None, "")
+            assert spark.conf.get(name) == own
+    finally:
+        spark.conf.set(name, before)
+    assert seen == ["1000", "70", "1000"]

@@ -12,8 +12,8 @@ from pyspark.sql.types import StructType
 from tidemark.session import importable
 
 #: Whole texts that one slice of work holds at most, unless a single text is longer.
-SLICE_BYTES = 4 << 20
-SLICE_ROWS = 2048
+SLICE_BYTES = 1 << 20
+SLICE_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

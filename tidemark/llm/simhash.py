@@ -50,7 +50,7 @@ SEED = 42
 LOW_BITS = 0x5555555555555555
 SEGMENTS_PER_HALF = 16
 #: Hashes whose bits are counted at once.
-BLOCK = 1 << 17
+BLOCK = 1 << 14
 #: Near copies: words of a shingle, and the least Jaccard similarity of two sets of shingles.
 NEAR_SHINGLE, NEAR_SIMILARITY = 5, Fraction(4, 5)
 #: One text in SAMPLE is sampled for common shingles; those of COMMON or more sampled texts, at most MOST_COMMON, are filed last.
